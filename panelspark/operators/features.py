@@ -96,7 +96,7 @@ def add_seasonal_features(panel: DataFrame) -> DataFrame:
         "seasonal_trough_month": F.when(usable, F.array_position("_r", low).cast("int")).otherwise(1),
         "seasonal_ratio": pick(F.when(low > 0, F.least(high / (low + EPS), F.lit(5.0))).otherwise(1.0), 1.0),
     }
-    out |= {f"q{q}_effect": pick(quarter(q), 0.0) for q in range(1, 5)}
+    out |= {f"seasonal_q{q}_effect": pick(quarter(q), 0.0) for q in range(1, 5)}
     return shaped.withColumns(out).drop("_moy", "_rows", "_mean", "_level", "_r")
 
 
@@ -183,7 +183,7 @@ def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
-def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package")) -> DataFrame:
+def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package", "country")) -> DataFrame:
     """Hospital share, package form, category codes and two products."""
     rate, pack = _c("hospital_rate"), F.lower("main_package")
 

@@ -248,7 +248,7 @@ def resilience(actual: DataFrame, pred: DataFrame, threshold: float = 0.0, criti
     first_ok = F.expr(f"array_position(transform(_after, x -> x.error_pct > {critical}), false)")
     recovery = F.when(F.col("max_under_forecast") > critical,
                       F.when(first_ok > 0, first_ok - 1).otherwise(F.size("_after"))).otherwise(0).cast("int")
-    risk = 0.6 * F.col("under_forecast_pct") + 0.4 * F.col("_critical") / n
+    risk = 0.6 * F.col("under_forecast_pct") + 0.4 * (F.col("_critical") / n)
     scored = stats.withColumns({"recovery_time": recovery, "stock_out_risk_score": risk})
     score = 1.0 - (0.4 * F.col("under_forecast_pct") + 0.3 * F.least("max_under_forecast", F.lit(1.0))
                    + 0.2 * F.col("stock_out_risk_score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelspark.plans import queries_features, queries_metrics, queries_panel  # noqa: F401
+from panelspark.plans import queries_checks, queries_features, queries_metrics, queries_panel  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

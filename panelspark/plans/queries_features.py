@@ -153,7 +153,7 @@ SEASON = {
     SELECT {ROW}, {rx('coalesce(hi - lo, 0)', 'seasonal_amplitude')}, CAST(coalesce(peak, 6) AS INT) AS seasonal_peak_month,
       CAST(coalesce(trough, 1) AS INT) AS seasonal_trough_month,
       {rx('CASE WHEN lo > 0 THEN least(hi / (lo + 1e-6), 5) ELSE 1 END', 'seasonal_ratio')},
-      {', '.join(rx(f'coalesce(q{q}, 0)', f'q{q}_effect') for q in range(1, 5))}
+      {', '.join(rx(f'coalesce(q{q}, 0)', f'seasonal_q{q}_effect') for q in range(1, 5))}
     FROM panel LEFT JOIN shape USING ({SER})""")
 def _(spark, sf):
     p = fx.panel(spark, sf)
@@ -234,7 +234,8 @@ DRUG_SQL = f"""CASE WHEN hospital_rate <= 30 THEN 'low' WHEN hospital_rate <= 70
       CAST(biological AS INT) * n_gxs AS biological_x_n_gxs,
       {rx('hospital_rate / 100 * months_postgx', 'hospital_rate_x_time')},
       CAST(dense_rank() OVER (ORDER BY ther_area) - 1 AS INT) AS ther_area_encoded,
-      CAST(dense_rank() OVER (ORDER BY main_package) - 1 AS INT) AS main_package_encoded"""
+      CAST(dense_rank() OVER (ORDER BY main_package) - 1 AS INT) AS main_package_encoded,
+      CAST(dense_rank() OVER (ORDER BY country) - 1 AS INT) AS country_encoded"""
 
 
 @query("e07_drug_features", views="panel", sql=f"SELECT {ROW}, {DRUG_SQL} FROM panel")
@@ -266,10 +267,6 @@ def _(spark, sf):
     return added(p, E.add_early_erosion_features(p))
 
 
-def _pick(sql: str, names: str) -> str:
-    return sql
-
-
 @query("e01_make_features", views="panel", ctes={**PRE, **SEASON, **generics_ctes(6), **EARLY}, sql=f"""
     SELECT p.country, p.brand_name, p.months_postgx, {rx('coalesce(s.hi - s.lo, 0)', 'seasonal_amplitude')},
       {rx('r.tr', 'pre_entry_trend')}, {rx('coalesce(e.a05 / (p.avg_vol_12m + 1e-6), 1)', 'erosion_0_5')},

@@ -192,14 +192,14 @@ def _(spark, sf):
 
 RES = {
     "short": f"SELECT {ROW}, va - vp AS e, (va - vp) / (va + 1e-6) AS pct FROM {{pairs}}",
-    "worst": f"SELECT {SER}, arg_max(months_postgx, (pct, -months_postgx)) AS at, max(pct) AS w FROM {{short}} GROUP BY 1, 2",
+    "worst": f"SELECT {SER}, arg_max(months_postgx, (pct, -months_postgx)) AS worst_at, max(pct) AS w FROM {{short}} GROUP BY 1, 2",
     "after": f"""SELECT {SER}, row_number() OVER (PARTITION BY {SER} ORDER BY months_postgx) - 1 AS i, pct > 0.1 AS crit
-        FROM {{short}} JOIN {{worst}} USING ({SER}) WHERE months_postgx >= at""",
+        FROM {{short}} JOIN {{worst}} USING ({SER}) WHERE months_postgx >= worst_at""",
     "rec": f"SELECT {SER}, coalesce(min(i) FILTER (NOT crit), count(*)) AS rec FROM {{after}} GROUP BY 1, 2",
     "res0": f"""SELECT {SER}, count(*) AS n_months, count(*) FILTER (e > 0) AS under_forecast_count,
         count(*) FILTER (e > 0) / count(*) AS under_forecast_pct, coalesce(max(pct) FILTER (e > 0), 0) AS max_under_forecast,
         coalesce(avg(pct) FILTER (e > 0), 0) AS avg_under_forecast,
-        0.6 * count(*) FILTER (e > 0) / count(*) + 0.4 * count(*) FILTER (pct > 0.1) / count(*) AS stock_out_risk_score
+        CAST(0.6 AS DOUBLE) * (count(*) FILTER (e > 0) / count(*)) + CAST(0.4 AS DOUBLE) * (count(*) FILTER (pct > 0.1) / count(*)) AS stock_out_risk_score
         FROM {{short}} GROUP BY 1, 2""",
     "res1": f"""SELECT r.*, CAST(CASE WHEN max_under_forecast > 0.1 THEN rec ELSE 0 END AS INT) AS recovery_time
         FROM {{res0}} r JOIN {{rec}} USING ({SER})""",
