@@ -128,7 +128,7 @@ def view_texts(d: Dialect) -> dict[str, str]:
               CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'val' END AS split,
               CAST(1 + o_orderkey % 2 AS INT) AS scenario, lower(substr(o_orderpriority, 1, 1)) AS model,
               CASE o_custkey % 3 WHEN 0 THEN 'rmse' WHEN 1 THEN 'mae' ELSE 'metric1_official' END AS metric,
-              o_totalprice / 100000 AS value, CAST(o_orderkey % 5 AS INT) AS step,
+              o_totalprice / 1000 AS value, CAST(o_orderkey % 5 AS INT) AS step,
               CAST(CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 1 + o_orderkey % 2 END AS INT) AS bucket,
               CAST(o_custkey AS STRING) AS series_id,
               concat('{{"order":"', CAST(o_orderkey AS STRING), '"}}') AS extra

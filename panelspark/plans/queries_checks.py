@@ -156,7 +156,7 @@ def _(spark, sf):
 
 def submission(spark, sf):
     """Forecasts of all series but one country, with some months twice and some values below 0."""
-    p = N.exponential_decay(G.create_aux(fx.panel(spark, sf)), range(24)).where("country <> 'CHINA'")
+    p = N.exponential_decay(G.create_aux(fx.panel(spark, sf)), range(24)).where("country <> 'NATION_3'")
     p = p.withColumn("volume", F.when(F.col("months_postgx") == 23, -F.col("volume"))
                      .when(F.col("months_postgx") == 22, F.lit(None)).otherwise(F.col("volume")))
     return p.unionByName(p.where("months_postgx = 3"))
@@ -168,7 +168,7 @@ def template(spark, sf):
 
 
 SUB = {"sub0": """SELECT country, brand_name, months_postgx, CASE WHEN months_postgx = 23 THEN -volume WHEN months_postgx = 22 THEN NULL
-           ELSE volume END AS volume FROM {pred} WHERE country <> 'CHINA'""",
+           ELSE volume END AS volume FROM {pred} WHERE country <> 'NATION_3'""",
        "sub": "SELECT * FROM {sub0} UNION ALL SELECT * FROM {sub0} WHERE months_postgx = 3",
        "tmpl": "SELECT country, brand_name, months_postgx FROM {pred} WHERE months_postgx >= 1",
        "kc": f"""SELECT {ROW}, sum(s) AS s, sum(t) AS t FROM (SELECT {ROW}, 1 AS s, 0 AS t FROM {{sub}} UNION ALL
