@@ -95,7 +95,8 @@ def _assembled(df: DataFrame, column: str) -> DataFrame:
 
 def fit_isotonic_calibration(val: DataFrame, min_rows: int = 5) -> dict[tuple, IsotonicRegressionModel]:
     """An isotonic model per scenario, bucket and month window (at most 12 groups)."""
-    rows = val.withColumn("time_window", time_window(F.col("scenario"))).dropna(subset=CALIBRATION_KEYS)
+    rows = stage(val.withColumn("time_window", time_window(F.col("scenario"))).dropna(subset=CALIBRATION_KEYS)
+                 .select(*CALIBRATION_KEYS, "volume_true", "volume_pred"))
     groups = rows.groupBy(*CALIBRATION_KEYS).count().where(F.col("count") >= min_rows).collect()
     models = {}
     for g in groups:
@@ -108,8 +109,11 @@ def fit_isotonic_calibration(val: DataFrame, min_rows: int = 5) -> dict[tuple, I
 
 
 def apply_isotonic_calibration(pred: DataFrame, models: Mapping[tuple, IsotonicRegressionModel]) -> DataFrame:
-    """Each group's rows through its model; rows of other groups keep their volume."""
-    rows = pred.withColumn("time_window", time_window(F.col("scenario")))
+    """Each group's rows through its model; rows of other groups keep their volume.
+
+    The rows are staged because every group reads them again.
+    """
+    rows = stage(pred.withColumn("time_window", time_window(F.col("scenario"))))
     rest, parts = rows, []
     for key, model in models.items():
         mine = F.lit(True)
