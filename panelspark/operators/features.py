@@ -175,12 +175,32 @@ def add_future_generics_features(panel: DataFrame, cutoff: int = 0) -> DataFrame
     }).drop("_now", "_low")
 
 
-def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Code of each value: its place among the sorted distinct values, from 0; null becomes -1."""
-    values = df.where(_c(column).isNotNull()).select(column).distinct().withColumn("_all", F.lit(0))
-    ranked = spread_rank(values, "_all", [_c(column)], F.substring(column, 1, 3), "_rank")
-    codes = stage(ranked.select(column, (_c("_rank") - 1).cast("int").alias(out)))
-    return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
+def _by_category(df: DataFrame, columns, keep=(), others: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row and column as (kind, value, ...): several groupings then share one aggregate.
+
+    Partial sums are formed before the shuffle, so the copies never travel.
+    """
+    named = {c: _c(c) for c in columns} | (others or {})
+    parts = F.array(*[F.struct(F.lit(n).alias("kind"), x.cast("string").alias("value")) for n, x in named.items()])
+    return df.select(*keep, F.explode(parts).alias("_p")).select(*keep, "_p.kind", "_p.value")
+
+
+def _attach_category(df: DataFrame, table: DataFrame, kind: str, value: Column, columns) -> DataFrame:
+    """Left join of one kind of a staged category table; its size is known, so Spark decides on broadcasting."""
+    own = table.where(_c("kind") == kind).select(_c("value").alias("_value"), *columns)
+    return df.withColumn("_value", value.cast("string")).join(own, "_value", "left").drop("_value")
+
+
+def label_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Code of each value under a new name: its place among the sorted distinct values, from 0; null becomes -1."""
+    values = _by_category(df, columns).where(_c("value").isNotNull()).distinct()
+    ranked = spread_rank(values, "kind", [_c("value")], F.substring("value", 1, 3), "_rank")
+    codes = stage(ranked.select("kind", "value", (_c("_rank") - 1).cast("int").alias("_code")))
+    out = df
+    for name, code in columns.items():
+        out = _attach_category(out, codes, name, _c(name), ["_code"]).withColumn(
+            code, F.coalesce("_code", F.lit(-1))).drop("_code")
+    return out
 
 
 def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package", "country")) -> DataFrame:
@@ -200,9 +220,7 @@ def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package", "co
         "biological_x_n_gxs": _c("biological").cast("int") * _c("n_gxs"),
         "hospital_rate_x_time": rate / 100 * _c(MONTH),
     })
-    for name in encode:
-        out = label_codes(out, name, f"{name}_encoded")
-    return out
+    return label_codes(out, {name: f"{name}_encoded" for name in encode})
 
 
 def add_early_erosion_features(panel: DataFrame) -> DataFrame:
@@ -254,18 +272,19 @@ def add_target_encoding_features(df: DataFrame, scenario=1, columns=("ther_area"
         {"_h": order_hash(seed, *[_c(k) for k in SERIES]), "_all": F.lit(0)})
     folds = stage(spread_rank(series, "_all", [_c("_h"), *[_c(k) for k in SERIES]], hash_bucket(_c("_h")), "_place")
                   .select(*SERIES, ((_c("_place") - 1) % n_folds).cast("int").alias("_fold")))
-    tagged = target.join(folds, SERIES)
-    overall = one_row(target.agg(F.avg("y_norm").alias("m")))
-    out = df.join(folds, SERIES, "left").withColumn("_mean", overall["m"])
+    tagged = target.join(folds, SERIES).withColumn("_y", _c("y_norm"))
+    per_fold = _by_category(tagged, columns, ["_fold", "_y"], {"_all": F.lit("")}).groupBy("kind", "value", "_fold").agg(
+        F.sum("_y").alias("s"), F.count("_y").alias("n"))
+    table = stage(per_fold.groupBy("kind", "value").agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.map_from_entries(
+        F.collect_list(F.struct("_fold", F.struct("s", "n")))).alias("_by_fold")))
+    mean = table.where(_c("kind") == "_all").agg((F.max("_s") / F.max("_n")).alias("m"))
+    out = df.join(folds, SERIES, "left").withColumn("_mean", mean.scalar())
     for name in columns:
-        per_fold = tagged.groupBy(name, "_fold").agg(F.sum("y_norm").alias("s"), F.count("y_norm").alias("n"))
-        whole = per_fold.groupBy(name).agg(F.sum("s").alias("_s"), F.sum("n").alias("_n"), F.map_from_entries(
-            F.collect_list(F.struct("_fold", F.struct("s", "n")))).alias("_by_fold"))
-        own = F.element_at("_by_fold", F.col("_fold"))
+        own = F.element_at("_by_fold", _c("_fold"))
         n = _c("_n") - F.coalesce(own["n"], F.lit(0))
         s = _c("_s") - F.coalesce(own["s"], F.lit(0.0))
         smooth = (s + _c("_mean") * smoothing) / (n + smoothing)
-        out = (out.join(stage(whole), name, "left")
+        out = (_attach_category(out, table, name, _c(name), ["_s", "_n", "_by_fold"])
                .withColumn(f"{name}_erosion_prior",
                            F.when(_c("_fold").isNotNull() & (n > 0), smooth).otherwise(_c("_mean")))
                .drop("_s", "_n", "_by_fold"))
@@ -279,12 +298,14 @@ def add_target_encoding_features(df: DataFrame, scenario=1, columns=("ther_area"
 
 def add_frequency_encoding_features(df: DataFrame, columns, normalize: bool = True) -> DataFrame:
     """Share (or count) of each value among the non-null values of its column; null gives 0."""
+    table = _by_category(df, columns).where(_c("value").isNotNull()).groupBy("kind", "value").agg(
+        F.count(F.lit(1)).cast("double").alias("_n"))
+    table = stage(table)
     out = df
     for name in columns:
-        counts = stage(df.where(_c(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).cast("double").alias("_n")))
-        total = one_row(counts.agg(F.sum("_n").alias("t")))["t"] if normalize else F.lit(1.0)
-        freq = counts.select(name, (_c("_n") / total).alias(f"{name}_freq"))
-        out = out.join(freq, name, "left").withColumn(f"{name}_freq", _or(_c(f"{name}_freq"), 0))
+        total = table.where(_c("kind") == name).agg(F.sum("_n").alias("t")).scalar() if normalize else F.lit(1.0)
+        out = _attach_category(out, table, name, _c(name), ["_n"]).withColumn("_t", total)
+        out = out.withColumn(f"{name}_freq", _or(_c("_n") / _c("_t"), 0)).drop("_n", "_t")
     return out
 
 
@@ -301,17 +322,26 @@ def add_visibility_features(panel: DataFrame, visibility: DataFrame | None, date
         {c: _or(F.coalesce(_c(c), _c("_m")[c]), 0) if c in have else F.lit(0.0) for c in VISIBILITY_COLUMNS}).drop("_m")
 
 
-def add_loo_prior(df: DataFrame, group: str, out: str) -> DataFrame:
-    """Mean of y_norm over the other rows of the group; the group mean for a single row, else the overall mean.
+def add_loo_priors(df: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """Mean of y_norm over the other rows of the group, per output name and grouping expression.
 
-    Sums come from a grouped aggregate with map-side combine, so a group that
+    The group mean for a single row, the overall mean for a null group. Sums of
+    all groupings come from one aggregate with map-side combine, so a group that
     holds a third of the rows never sits in one task.
     """
-    sums = stage(df.where(_c(group).isNotNull()).groupBy(group).agg(
+    sums = stage(_by_category(df, [], ["y_norm"], groups | {"_all": F.lit("")}).groupBy("kind", "value").agg(
         F.sum("y_norm").alias("_s"), F.count("y_norm").alias("_n")))
-    overall = one_row(df.agg(F.avg("y_norm").alias("m")))["m"]
+    overall = sums.where(_c("kind") == "_all").agg((F.max("_s") / F.max("_n")).alias("m")).scalar()
     value = F.when(_c("_n") > 1, (_c("_s") - _c("y_norm")) / (_c("_n") - 1)).otherwise(ratio(_c("_s"), _c("_n")))
-    return df.join(sums, group, "left").withColumn(out, F.coalesce(value, overall)).drop("_s", "_n")
+    out = df.withColumn("_overall", overall)
+    for name, group in groups.items():
+        out = _attach_category(out, sums, name, group, ["_s", "_n"]).withColumn(
+            name, F.coalesce(value, _c("_overall"))).drop("_s", "_n")
+    return out.drop("_overall")
+
+
+def add_loo_prior(df: DataFrame, group: str, out: str) -> DataFrame:
+    return add_loo_priors(df, {out: _c(group)})
 
 
 def hospital_segment(rate: Column) -> Column:
@@ -321,11 +351,10 @@ def hospital_segment(rate: Column) -> Column:
 
 def add_collaboration_features(df: DataFrame) -> DataFrame:
     """Leave-one-out erosion priors by country, area, hospital segment and package."""
-    out = df.withColumn("_segment", hospital_segment(_c("hospital_rate")))
-    for group, name in [("country", "country"), ("ther_area", "ther_area"), ("_segment", "hospital"),
-                        ("main_package", "package")]:
-        out = add_loo_prior(out, group, f"collab_{name}_erosion_prior")
-    return out.drop("_segment")
+    return add_loo_priors(df, {
+        "collab_country_erosion_prior": _c("country"), "collab_ther_area_erosion_prior": _c("ther_area"),
+        "collab_hospital_erosion_prior": hospital_segment(_c("hospital_rate")),
+        "collab_package_erosion_prior": _c("main_package")})
 
 
 def add_sequence_features(panel: DataFrame, lags=(1, 2, 3, 6), windows=(3, 6, 12)) -> DataFrame:
@@ -356,14 +385,15 @@ def make_features(panel: DataFrame, scenario, mode: str = "train", config: dict
     """All feature groups under the scenario's cutoff; the config decides on the optional ones."""
     config = {**DEFAULT_FEATURES, **(config or {})}
     cutoff, _, _ = scenario_window(scenario)
-    out = add_pre_entry_features(panel)
+    # the category joins come first: they need plain columns only, and the series windows then share one exchange
+    out = add_drug_features(panel)
+    out = add_pre_entry_features(out)
     out = add_seasonal_features(out)
     out = add_time_features(out)
     out = add_generics_features(out, cutoff)
     out = add_future_generics_features(out, cutoff)
     if cutoff > 0:
         out = add_early_erosion_features(out)
-    out = add_drug_features(out)
     out = add_interaction_features(out, config["interactions"])
     if mode == "train":
         if config["target_encoding"]:

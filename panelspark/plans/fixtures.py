@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.functions.stage import stage
 from panelspark.operators import panel as panel_ops
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
@@ -153,8 +154,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view as a Spark DataFrame.
 
-    ``series_month`` is persisted for the session: it has at most nations x
-    brands x months rows, and almost every other view starts from it.
+    ``series_month`` is written once per session and folder: almost every other
+    view starts from it, and it is one aggregate over the largest tables.
     """
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
@@ -165,16 +166,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     inputs = {n: view(spark, sf_dir, n) for n in set(_NAME.findall(text))}
     df = spark.sql(text, **inputs)
     if name == "series_month":
-        df = df.persist()
+        df = stage(df)
         _kept[key] = df
     return df
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The training panel, kept for the session as get_panel would."""
+    """The training panel, written once per session and folder as get_panel would."""
     key = (spark.sparkContext.applicationId, str(sf_dir), "panel")
     if key not in _kept:
-        _kept[key] = panel_ops.build_panel(*raw_tables(spark, sf_dir)).persist()
+        _kept[key] = stage(panel_ops.build_panel(*raw_tables(spark, sf_dir)))
     return _kept[key]
 
 

@@ -65,7 +65,7 @@ def _(spark, sf):
       {r('avg_vol_12m')}, pre_entry_months_available * 1.0 AS pre_entry_months_available,
       dense_rank() OVER (ORDER BY ther_area) - 1.0 AS ther_area_encoded FROM panel""")
 def _(spark, sf):
-    return E.feature_matrix(E.label_codes(fx.panel(spark, sf), "ther_area", "ther_area_encoded"))
+    return E.feature_matrix(E.label_codes(fx.panel(spark, sf), {"ther_area": "ther_area_encoded"}))
 
 
 @query("c06_narrow_types", views="panel", digits=3, sql=f"""
