@@ -14,7 +14,8 @@ from panelspark.operators import visibility as V
 from panelspark.plans import fixtures as fx
 from panelspark.plans.registry import query, r, rx
 from panelspark.sources import external as X
-from panelspark.sources import logs, tables
+from panelspark.sources import logs, schemas, tables
+from panelspark.sources.files import lazy_load
 from panelspark.sources.visibility import VisibilitySource
 
 ROW = "country, brand_name, months_postgx"
@@ -151,6 +152,15 @@ def _(spark, sf):
     return logs.load_metric_records(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("a04_lazy_load")
+def _(spark, sf):
+    """The volume table through a CSV file and its parquet copy."""
+    path = f"{store(spark, sf)}/volume.csv"
+    fx.view(spark, sf, "volume").write.mode("overwrite").csv(path, header=True)
+    lazy_load(spark, path, schemas.RAW["volume"])
+    return lazy_load(spark, path, schemas.RAW["volume"])
+
+
 LOG = "run_id, phase, split, scenario, model, metric, step, bucket, series_id"
 
 
