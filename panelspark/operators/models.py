@@ -69,12 +69,12 @@ class ModelSpec:
         return LinearRegression(**p)
 
     def pipeline(self) -> Pipeline:
-        inputs = list(self.features)
+        inputs = [f"_x_{c}" for c in self.features]
         if self.kind.startswith("gbt") or self.kind == "forest":
             stages = [VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="keep"),
                       VectorIndexer(inputCol="_raw", outputCol="_features", maxCategories=8, handleInvalid="keep")]
         else:
-            filled = [f"_i_{c}" for c in inputs]
+            filled = [f"_i_{c}" for c in self.features]
             stages = [Imputer(inputCols=inputs, outputCols=filled, strategy="mean"),
                       VectorAssembler(inputCols=filled, outputCol="_raw")]
             if self.polynomial > 1:
@@ -85,9 +85,9 @@ class ModelSpec:
 
 
 def numeric(df: DataFrame, columns, fill: bool) -> DataFrame:
-    """Feature columns as doubles; trees get 0 for a gap, linear models impute."""
+    """Add each feature as a double under a name of its own; trees get 0 for a gap, linear models impute."""
     value = (lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))) if fill else (lambda c: F.col(c).cast("double"))
-    return df.withColumns({c: value(c) for c in columns})
+    return df.withColumns({f"_x_{c}": value(c) for c in columns})
 
 
 @dataclass
@@ -98,7 +98,7 @@ class FittedModel:
     def transform(self, df: DataFrame, keep_vector: bool = False) -> DataFrame:
         tree = not isinstance(self.spec.estimator(), LinearRegression)
         scored = self.model.transform(numeric(df, self.spec.features, tree))
-        made = [c for c in scored.columns if c.startswith("_i_") or c in ("_raw", "_poly", "_features")]
+        made = [c for c in scored.columns if c.startswith(("_i_", "_x_")) or c in ("_raw", "_poly", "_features")]
         return scored.drop(*[c for c in made if not (keep_vector and c == "_features")])
 
     def importance(self, spark) -> DataFrame:
@@ -115,7 +115,7 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
     if not spec.features:
         raise ValueError("name the feature columns")
     est = spec.estimator()
-    rows = numeric(train.where(F.col(spec.label).isNotNull()), spec.features, not isinstance(est, LinearRegression))
+    rows = train.where(F.col(spec.label).isNotNull())
     known = list(spec.features)
     if isinstance(est, LinearRegression):
         # the imputer needs one value per column; a column without any is useless to a linear model
@@ -123,7 +123,8 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
         known = [c for c in known if counts[c]]
         spec = replace(spec, features=tuple(known))
     extra = [c for c in (spec.weight, spec.validation) if c]
-    return FittedModel(spec, spec.pipeline().fit(rows.select(*dict.fromkeys([*known, spec.label, *extra]))))
+    rows = numeric(rows.select(*dict.fromkeys([*known, spec.label, *extra])), known, not isinstance(est, LinearRegression))
+    return FittedModel(spec, spec.pipeline().fit(rows))
 
 
 def predict(model: FittedModel, df: DataFrame, low: float = 0.0, high: float = 2.0) -> DataFrame:
@@ -327,8 +328,8 @@ def permutation_importance(model: FittedModel, df: DataFrame, n_repeats: int = 5
     spec = model.spec
     names = list(spec.features)
     keys = [F.col(c).cast("string") for c in ROW_KEY]
-    rows = stage(numeric(df.where(F.col(spec.label).isNotNull()).select(*ROW_KEY, *[c for c in names if c not in ROW_KEY],
-                                                                      spec.label), names, True).withColumn("_all", F.lit(0)))
+    rows = stage(df.where(F.col(spec.label).isNotNull()).select(
+        *ROW_KEY, *[c for c in names if c not in ROW_KEY], spec.label).withColumn("_all", F.lit(0)))
     y = F.col(spec.label)
 
     def mse(scored: DataFrame, *by: str) -> DataFrame:
@@ -416,12 +417,12 @@ def adversarial_validation(train: DataFrame, test: DataFrame, features: list[str
                            depth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Can a classifier tell train from test? (AUC per fold, mean importance per feature)."""
     def side(df, label):
-        return numeric(df, features, True).select(*ROW_KEY, *[c for c in features if c not in ROW_KEY]).withColumn(
+        return numeric(df, features, True).select(*SERIES, *[f"_x_{c}" for c in features]).withColumn(
             "_label", F.lit(float(label)))
     fold = F.pmod(F.xxhash64(F.lit(seed), *SERIES), F.lit(n_folds)).cast("int")
     rows = stage(side(train, 0).unionByName(side(test, 1)).withColumn("_fold", fold))
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), forest])
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_x"), forest])
     judge = BinaryClassificationEvaluator(labelCol="_label")
     aucs, weights = [], []
     for k in range(n_folds):

@@ -163,8 +163,10 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int =
     seen = _search(start, chunks, id_type, k)
     bound = stage(seen.groupBy("query").agg(F.sort_array(F.collect_list("distance")).alias("_d")).select(
         F.col("query").alias("rep"), F.when(F.size("_d") >= k, F.element_at("_d", k)).alias("bound")))
-    # distance d means an angle of acos(1 - d); the slack covers rounding
-    reach = F.coalesce(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - F.col("bound")))) + 1e-6, F.lit(math.pi))
+    # distance d means an angle of acos(1 - d); the slack covers the rounding of distances. Without k rows in the
+    # first cell there is no bound yet, and every cell is searched.
+    angle = F.acos(F.greatest(F.lit(-1.0), 1 - (F.col("bound") + 1e-8))) + 1e-6
+    reach = F.when(F.col("bound").isNotNull(), angle).otherwise(F.lit(math.pi))
     # a zero vector is at distance 1 from everything, so its angles bound nothing
     zero = dot(F.col("u"), F.col("u")) == 0
     wide = rows.join(bound, "rep", "left").withColumn("_reach", F.when(zero, math.pi).otherwise(reach))
