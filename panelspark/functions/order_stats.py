@@ -59,28 +59,25 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
               weight: Column | None = None, staged: bool = True) -> DataFrame:
     """Exact quantiles with linear interpolation per group; columns ``by`` + names of ``probs``.
 
-    Null keys and null values are left out. ``weight`` is an integer count of
-    how often a row stands in the sample. The histogram is read twice, so it is
-    staged unless ``df`` itself is cheap to read again.
+    The first pass only counts buckets, whose number is bounded, and finds the
+    one or two that hold each quantile. The second pass keeps the rows of those
+    buckets, so values travel only there. Null keys and null values are left
+    out. ``weight`` is an integer count of how often a row stands in the sample.
+    The bucket table is staged, which gives the second pass a table of known
+    size to join; ``staged=False`` leaves that out for inputs that are cheap.
     """
     keys = by or ["_all"]
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v))
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
     for k in by:
         rows = rows.where(F.col(k).isNotNull())
-    hist = (
-        rows.groupBy(*keys, v.alias("_v"))
-        .agg(F.sum(weight if weight is not None else F.lit(1)).cast("long").alias("_n"))
-        .withColumn("_bucket", magnitude_bucket(F.col("_v")))
-    )
-    if staged:
-        hist = stage(hist)
+    w = weight if weight is not None else F.lit(1)
+    rows = rows.select(*(by or [F.lit(0).alias("_all")]), v.alias("_v"), w.cast("long").alias("_w"),
+                       magnitude_bucket(v).alias("_bucket"))
     along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     buckets = (
-        hist.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_bn"))
+        rows.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_bn"))
         .withColumn("_before", F.coalesce(F.sum("_bn").over(along), F.lit(0)))
         .withColumn("_total", F.sum("_bn").over(whole))
         .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs.values()))])))
@@ -88,9 +85,12 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
         .where((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_bn") > F.floor("_pos")))
         .drop("_bn", "_total")
     )
+    if staged:
+        buckets = stage(buckets)
     inside = Window.partitionBy(*keys, "_p", "_bucket").orderBy("_v")
     placed = (
-        hist.join(buckets, [*keys, "_bucket"])
+        rows.join(buckets, [*keys, "_bucket"])
+        .groupBy(*keys, "_p", "_bucket", "_before", "_pos", "_v").agg(F.sum("_w").alias("_n"))
         .withColumn("_from", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
         .withColumn("_to", F.col("_from") + F.col("_n"))
         .where((F.col("_from") <= F.ceil("_pos")) & (F.col("_to") > F.floor("_pos")))

@@ -22,13 +22,20 @@ def by_month():
 def prepare_base_panel(volume: DataFrame, generics: DataFrame, medicine_info: DataFrame) -> DataFrame:
     """volume left join generics on the row key, left join medicine_info on the series key.
 
-    No side is hinted: every one of them grows with the number of series, so
-    Spark's size threshold decides on broadcasting.
+    The competitor counts of a series (at most 48 months) travel as one array,
+    so all three tables meet on the series key: volume is shuffled once, and the
+    series windows that follow find their partitioning already there. No side is
+    hinted; Spark's size threshold decides on broadcasting. The row key has to
+    be unique in ``generics``, which quality.duplicate_keys checks.
     """
     require(volume, [*ROW_KEY, "volume"], "volume")
     require(generics, [*ROW_KEY, "n_gxs"], "generics")
     require(medicine_info, SERIES, "medicine_info")
-    return volume.join(generics, ROW_KEY, "left").join(medicine_info, SERIES, "left")
+    counts = generics.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(MONTH).alias("m"), F.col("n_gxs").alias("n")))).alias("_counts"))
+    here = F.filter("_counts", lambda c: c["m"] == F.col(MONTH))
+    joined = volume.join(counts, SERIES, "left").withColumn("n_gxs", F.try_element_at(here, F.lit(1))["n"]).drop("_counts")
+    return joined.select(*volume.columns, "n_gxs").join(medicine_info, SERIES, "left")
 
 
 def handle_missing_values(panel: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def _(spark, sf):
 
 SANE = {"mm": "SELECT months_postgx, avg(volume) AS m FROM {sub} GROUP BY 1",
         "ends": """SELECT avg(m) FILTER (a <= 6) AS early_mean, avg(m) FILTER (z <= 6) AS late_mean, count(*) AS k FROM
-            (SELECT m, row_number() OVER (ORDER BY months_postgx) AS a, row_number() OVER (ORDER BY months_postgx DESC) AS z FROM {mm} WHERE m IS NOT NULL)"""}
+            (SELECT m, row_number() OVER (ORDER BY months_postgx) AS a, row_number() OVER (ORDER BY months_postgx DESC) AS z FROM {mm})"""}
 
 
 @query("b14_prediction_sanity", views="pred", ctes={**SUB, **SANE}, sql=f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelspark.constants import MACRO_COLUMNS, ROW_KEY, VISIBILITY_COLUMNS
@@ -145,14 +147,14 @@ def _(spark, sf):
     return df.withColumn("date", F.col("date").cast("string"))
 
 
-@query("a14_save_metric_records")
+@query("a14_save_metric_records", views="metric_log", sql="SELECT run_id, count(*) AS n_rows FROM metric_log GROUP BY 1")
 def _(spark, sf):
     path = f"{store(spark, sf)}/metric_log"
     logs.save_metric_records(fx.view(spark, sf, "metric_log"), path, append=False)
     return logs.load_metric_records(spark, path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("a04_lazy_load")
+@query("a04_lazy_load", views="volume", sql=f"SELECT {SER}, month, months_postgx, {r('volume')} FROM volume")
 def _(spark, sf):
     """The volume table through a CSV file and its parquet copy."""
     path = f"{store(spark, sf)}/volume.csv"
@@ -182,16 +184,20 @@ def forecast(spark, sf):
     return B.exponential_decay(G.create_aux(fx.panel(spark, sf)), range(24))
 
 
-@query("a17_save_submission")
+def _log_sql(notes: str, info: str, score: float) -> str:
+    return f"""
+    SELECT 'v1' AS version, count(*) AS n_rows, count(DISTINCT (country, brand_name)) AS n_series, {rx('avg(volume)', 'volume_mean')},
+      {rx('stddev_samp(volume)', 'volume_std')}, {rx('min(volume)', 'volume_min')}, {rx('max(volume)', 'volume_max')},
+      {score}::DOUBLE AS validation_score, '{info}' AS model_info, '{notes}' AS notes FROM pred"""
+
+
+@query("a17_save_submission", views="pred", sql=_log_sql("", '{"model": "decay"}', 0.9))
 def _(spark, sf):
-    out = f"{store(spark, sf)}/submissions"
-    return logs.save_submission(forecast(spark, sf), out, "v1", fx.panel(spark, sf), {"model": "decay"}, 0.9).limit(1)
+    out = f"{store(spark, sf)}/submissions-{uuid.uuid4().hex}"
+    return logs.save_submission(forecast(spark, sf), out, "v1", fx.panel(spark, sf), {"model": "decay"}, 0.9).drop("timestamp")
 
 
-@query("a18_submission_log_row", views="pred", sql=f"""
-    SELECT 'v1' AS version, count(*) AS n_rows, count(DISTINCT (country, brand_name)) AS n_series, {rx('avg(volume)', 'volume_mean')},
-      {rx('stddev_samp(volume)', 'volume_std')}, {rx('min(volume)', 'volume_min')}, {rx('max(volume)', 'volume_max')},
-      0.5::DOUBLE AS validation_score, '{{}}' AS model_info, 'n' AS notes FROM pred""")
+@query("a18_submission_log_row", views="pred", sql=_log_sql("n", "{}", 0.5))
 def _(spark, sf):
     return logs.submission_log_row(forecast(spark, sf), "v1", None, 0.5, "n").drop("timestamp")
 

@@ -104,7 +104,7 @@ def _(spark, sf):
     return P.handle_missing_pre_entry_data(fx.panel(spark, sf).select(*ROW_KEY, a.alias("avg_vol_12m")))
 
 
-@query("c11_chunked_apply")
+@query("c11_chunked_apply", views="panel", sql=f"SELECT {ROW}, {rx('volume * 2', 'volume')} FROM panel")
 def _(spark, sf):
     def double(batch):
         batch["volume"] = batch["volume"] * 2

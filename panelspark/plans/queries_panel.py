@@ -39,9 +39,18 @@ def _(spark, sf):
         "volume", "avg_vol_12m", "y_norm", "mean_erosion")
 
 
-@query("d04_augment_panel")
+def _draw(tag: str) -> str:
+    key = f"concat_ws('|', '42', '{tag}', country, brand_name, CAST(months_postgx AS STRING))"
+    return f"CAST(CAST(concat('0x', substr(md5({key}), 1, 8)) AS UBIGINT) AS DOUBLE) / 4294967296.0"
+
+
+@query("d04_augment_panel", views="panel", sql=f"""
+    , t AS (SELECT *, CASE WHEN {_draw('drop')} < 0.05 THEN 1 ELSE 0 END AS gone, {_draw('jitter')} AS u FROM panel),
+    s AS (SELECT *, avg(gone) OVER (PARTITION BY country, brand_name) AS share FROM t)
+    SELECT country, brand_name, months_postgx, {rx('greatest(0, volume * (1 + (2 * u - 1) * 0.05))', 'volume')} FROM s
+    WHERE (gone = 0 OR share >= 0.8) AND months_postgx BETWEEN 0 AND 23""")
 def _(spark, sf):
-    return P.augment_panel(fx.panel(spark, sf))
+    return P.augment_panel(fx.panel(spark, sf)).select("country", "brand_name", "months_postgx", "volume")
 
 
 TEST_PANEL = {
