@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from panelspark.functions.expr import one_row, ratio
 from panelspark.functions.stage import stage
 from panelspark.operators import similarity
 
+# The grouped forecaster calls helpers of this module; they travel with it, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MATCHING = ["log_avg_vol", "pre_entry_trend", "pre_entry_volatility", "hospital_rate", "n_gxs_at_entry", "n_gxs"]
 CATEGORIES = ["ther_area", "main_package"]
 

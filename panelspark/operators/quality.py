@@ -58,7 +58,7 @@ def future_leakage(panel: DataFrame, scenario, build: Callable[[DataFrame], Data
     names = columns or [c for c in numeric_columns(whole)
                         if c not in (*ROW_KEY, "volume", "y_norm", "mean_erosion", "bucket")]
     def view(df):
-        return df.select(*ROW_KEY, F.hash(*[F.round(F.col(c).cast("double"), 6) for c in names]).alias("_h"))
+        return df.select(*ROW_KEY, F.xxhash64(*[F.round(F.col(c).cast("double"), 6) for c in names]).alias("_h"))
     a, b = view(whole), view(blind)
     return a.join(b.withColumnRenamed("_h", "_h2"), ROW_KEY, "full").where(~F.col("_h").eqNullSafe(F.col("_h2"))).select(
         *ROW_KEY)

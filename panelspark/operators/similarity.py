@@ -76,8 +76,12 @@ def _celled(reps: DataFrame, dim: int, delta: float) -> DataFrame:
 
 
 def _chunked(celled: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows gathered into chunks of about CHUNK rows per cell, spread by hash."""
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_parts"))
+    """Rows gathered into chunks of about CHUNK rows per cell, spread by hash.
+
+    The table of cell sizes is bounded by the grid and staged, so a large cell
+    is split without being shuffled as a whole first.
+    """
+    sizes = stage(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_parts")))
     return (celled.join(sizes, "cell")
             .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
             .groupBy("cell", "chunk").agg(F.collect_list(F.struct(*columns)).alias("rows")))
