@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.constants import ROW_KEY, SERIES
+from panelspark.constants import ROW_KEY
 from panelspark.operators import columns as C
 from panelspark.operators import features as E
 from panelspark.operators import panel as P
-from panelspark.operators import visibility as V
 from panelspark.plans import fixtures as fx
 from panelspark.plans.registry import query, r, rx
 
