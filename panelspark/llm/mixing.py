@@ -101,67 +101,91 @@ def route(patterns: list[tuple[tuple[int, ...], float]], quotas: list[float], re
     return out
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams(), sources: str = "source") -> DataFrame:
-    """(doc_id, size, sources, copies, taken, source_size, target) per row of (doc_id, text, ``sources``).
+def _measured(docs: DataFrame, p: MixParams, sources: str) -> dict:
+    """The columns that the mix works with: size, sources as an array, place in the seeded order."""
+    if dict(docs.dtypes)[sources].startswith("array"):
+        pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(sources).cast("array<string>"), F.array(F.lit(None).cast("string")))))
+    else:
+        pattern = F.array(F.col(sources).cast("string"))
+    order = F.md5(F.concat(F.lit(p.seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return {"_size": size, "_sources": pattern, "_u": order}
 
-    ``sources`` is a string or, for overlapping sources, an array of strings;
-    null is a source of its own, the last, and so are null entries. size is the
-    number of words, 0 for null. copies says how often the mix takes the whole
-    document: all documents of a pattern equally often, and those first in the
-    seeded order (md5 of seed and doc_id) once more, up to the nearest document.
-    source_size and target are the sums over the document's sources. Rows that
-    repeat a doc_id share one place in the order and are taken together. Empty
-    input gives no rows. Other columns are not looked at.
+
+def plan_mix(base: DataFrame, p: MixParams) -> DataFrame:
+    """Per set of sources: how often all its documents are taken, and up to where in the seeded order once more.
+
+    ``base`` has _size, _sources and _u and is read four times. The result has
+    one row per set of sources.
     """
-    p = params
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[sources]
-    one = not kind.startswith("array")
-    pattern = F.array(F.col(sources).cast("string")) if one else F.array_sort(F.array_distinct(F.coalesce(F.col(sources).cast("array<string>"), F.array(F.lit(None).cast("string")))))
-    order = F.md5(F.concat(F.lit(p.seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    base = stage(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        pattern.alias("sources"), order.alias("u")))
-    sums = base.groupBy("sources").agg(F.sum("size").alias("size")).limit(p.max_patterns + 1).collect()  # bounded by max_patterns
+    spark = base.sparkSession
+    sums = base.groupBy("_sources").agg(F.sum("_size").alias("size")).limit(p.max_patterns + 1).collect()  # bounded by max_patterns
     if len(sums) > p.max_patterns:
         raise ValueError(f"more than {p.max_patterns} different sets of sources")
-    names = sorted({s for r in sums for s in r["sources"]}, key=lambda s: (s is None, s or ""))
+    names = sorted({s for r in sums for s in r["_sources"]}, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(names)}
-    sizes = [0] * len(names)
+    sizes, shared = [0] * len(names), [0] * len(names)
     for r in sums:
-        for s in r["sources"]:
+        for s in r["_sources"]:
             sizes[index[s]] += r["size"]
+            shared[index[s]] += 1
     weights = [p.weights[i % len(p.weights)] for i in range(len(names))]
-    total = p.share * sum(r["size"] for r in sums)
-    goal = targets(sizes, weights, total, p.repeats) if names else []
-    flows = route([(tuple(index[s] for s in r["sources"]), float(r["size"])) for r in sums], goal, p.repeats)
+    goal = targets(sizes, weights, p.share * sum(r["size"] for r in sums), p.repeats) if names else []
+    flows = route([(tuple(index[s] for s in r["_sources"]), float(r["size"])) for r in sums], goal, p.repeats)
     rows = []
     for r, flow in zip(sums, flows):
-        amount, size = sum(flow.values()), r["size"]
-        if len(r["sources"]) == 1 and sum(r["sources"] == q["sources"] or r["sources"][0] in q["sources"] for q in sums) == 1:
-            amount = goal[index[r["sources"][0]]]  # nothing to route: without the rounding of the flow
+        at, size = [index[s] for s in r["_sources"]], r["size"]
+        # a source with documents of its own only has one way; its target is then exact
+        amount = goal[at[0]] if len(at) == 1 and shared[at[0]] == 1 else sum(flow.values())
         copies = min(p.repeats, int(amount // size)) if size else 0
-        rows.append((r["sources"], copies, float(amount - copies * size) if copies < p.repeats else 0.0,
-                     sum(sizes[index[s]] for s in r["sources"]), float(sum(goal[index[s]] for s in r["sources"]))))
-    plan = stage(spark.createDataFrame(rows, "sources array<string>, base int, extra double, source_size long, target double"))
-    return _select(base, plan, p)
-
-
-def _select(base: DataFrame, plan: DataFrame, p: MixParams) -> DataFrame:
-    """``extra`` tokens of each pattern in the seeded order: sums of 65,536 ranges of it, then one range exactly."""
-    same = F.col("l.sources").eqNullSafe(F.col("r.sources"))
-    part = F.substring("u", 1, 4).alias("part")
-    ranges = base.groupBy("sources", part).agg(F.sum("size").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(W.partitionBy("sources").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows.append((r["_sources"], copies, float(amount - copies * size) if copies < p.repeats else 0.0,
+                     sum(sizes[i] for i in at), float(sum(goal[i] for i in at))))
+    plan = stage(spark.createDataFrame(rows, "_sources array<string>, base int, extra double, source_size long, target double"))
+
+    # extra tokens in the seeded order: sums of 65,536 ranges of it, then one range exactly
+    same = F.col("l._sources").eqNullSafe(F.col("r._sources"))
+    part = F.substring("_u", 1, 4)
+    ranges = base.groupBy("_sources", part.alias("part")).agg(F.sum("_size").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(W.partitionBy("_sources").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("before", before).alias("l").join(plan.alias("r"), same).select("l.*", "extra")
-    edge = stage(ranges.where("before <= extra AND extra < before + sum").select("sources", "part", "before", "extra"))
-    inside = base.alias("l").join(edge.alias("r"), same & (F.substring("l.u", 1, 4) == F.col("r.part"))).select("l.sources", "part", "u", "size", "before", "extra")
-    inside = inside.groupBy("sources", "part", "before", "extra", "u").agg(F.sum("size").alias("size"))
-    reach = F.col("before") + F.sum("size").over(W.partitionBy("sources", "part").orderBy("u"))
-    last = inside.withColumn("reach", reach).where("reach - size / 2 <= extra").groupBy("sources").agg(F.max("u").alias("last"))
-    cut = edge.alias("l").join(last.alias("r"), same, "left").select("l.sources", "part", "last")
-    full = plan.alias("l").join(cut.alias("r"), same, "left").select("l.*", "part", "last")
-    more = (F.col("extra") > 0) & (F.col("part").isNull() | (F.substring("u", 1, 4) < F.col("part")) | F.coalesce(F.col("u") <= F.col("last"), F.lit(False)))
-    copies = F.col("base") + F.when(more, 1).otherwise(0)
-    return base.alias("l").join(stage(full).alias("r"), same).select(
-        "doc_id", "size", F.col("l.sources").alias("sources"), copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), "source_size", "target")
+    edge = stage(ranges.where("before <= extra AND extra < before + sum").select("_sources", "part", "before", "extra"))
+    inside = base.alias("l").join(edge.alias("r"), same & (F.substring("l._u", 1, 4) == F.col("r.part"))).select("l._sources", "part", "_u", "_size", "before", "extra")
+    inside = inside.groupBy("_sources", "part", "before", "extra", "_u").agg(F.sum("_size").alias("size"))
+    reach = F.col("before") + F.sum("size").over(W.partitionBy("_sources", "part").orderBy("_u"))
+    last = inside.withColumn("reach", reach).where("reach - size / 2 <= extra").groupBy("_sources").agg(F.max("_u").alias("last"))
+    cut = edge.alias("l").join(last.alias("r"), same, "left").select("l._sources", "part", "last")
+    return stage(plan.alias("l").join(cut.alias("r"), same, "left").select("l.*", "part", "last"))
+
+
+def _copies(base: DataFrame, plan: DataFrame) -> DataFrame:
+    """``base`` with the columns of ``plan`` and _copies."""
+    same = F.col("l._sources").eqNullSafe(F.col("r._sources"))
+    early = F.substring("_u", 1, 4) < F.col("part")
+    more = (F.col("extra") > 0) & (F.col("part").isNull() | early | F.coalesce(F.col("_u") <= F.col("last"), F.lit(False)))
+    return base.alias("l").join(plan.alias("r"), same).select("l.*", "source_size", "target", (F.col("base") + F.when(more, 1).otherwise(0)).alias("_copies"))
+
+
+def mix(docs: DataFrame, params: MixParams = MixParams(), sources: str = "source") -> DataFrame:
+    """(doc_id, size, sources, copies, taken, source_size, target) per row of (doc_id, text, ``sources``).
+
+    ``sources`` is a string or, for overlapping sources, an array of strings;
+    null is a source of its own, the last, and so are null entries. size is the
+    number of words, 0 for null. copies says how often the mix takes the whole
+    document: all documents of a set of sources equally often, and those first
+    in the seeded order (md5 of seed and doc_id) once more, up to the nearest
+    document. source_size and target are the sums over the document's sources.
+    Rows that repeat a doc_id share one place in the order and are taken
+    together. Empty input gives no rows. Other columns are not looked at.
+    """
+    base = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(n) for n, c in _measured(docs, params, sources).items())))
+    return _copies(base, plan_mix(base, params)).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_sources").alias("sources"), F.col("_copies").alias("copies"),
+        (F.col("_size") * F.col("_copies")).cast("long").alias("taken"), "source_size", "target")
+
+
+def mixed(docs: DataFrame, params: MixParams = MixParams(), sources: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns kept; rules as in ``mix``."""
+    measured = _measured(docs, params, sources)
+    plan = plan_mix(stage(docs.select(*(c.alias(n) for n, c in measured.items()))), params)
+    taken = _copies(docs.withColumns(measured), plan)
+    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from panelspark.llm import fertility, hash_index, line_dedup, mixing, packing, superminhash, token_transducer
+from panelspark.llm import fertility, hash_index, line_dedup, mixing, packing, repeats, superminhash, token_transducer, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,31 @@ def op2_exact_dedup(spark, sf_dir):
     return hash_index.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f""")
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_toxicity(spark, sf_dir):
+    """Scores of all documents by a model of the rows that are not held out; checked by held-out accuracy in the tests."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs.select("doc_id", "text"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op5_repeated_strings(spark, sf_dir):
+    """Bytes under repeated strings of 200 bytes; checked against brute force in the tests."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 LINE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
