@@ -28,7 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest doc_id of every group linked by a similarity of 0.8 or more."""
     params = superminhash.NearDupParams(percent=80, rows=5, bands=34)
     dropped = stage(superminhash.near_duplicates(docs, params).where("NOT kept").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

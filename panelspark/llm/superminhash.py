@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def links(rows):
-        return _compare(rows.join(texts, "rep"), p)
+        return _compare(rows.join(texts.hint("merge"), "rep"), p)  # one plan at every size
 
     first = stage(links(rows.withColumns({"against": F.lit(-1), "root": F.col("node"), "mover": F.lit(True)})))
     large = member.where("blocks > 1")
