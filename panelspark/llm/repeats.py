@@ -82,8 +82,9 @@ def candidates(data: np.ndarray, base: np.ndarray, end: np.ndarray, lead: np.nda
 def suffix_array(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of the suffixes data[start:end], and the common prefix of each with the one before it (0 for the first)."""
     longest = int((end - start).max()) if len(start) else 0
-    column = np.arange(longest)
-    rows = np.where(column < (end - start)[:, None], data[np.minimum(start[:, None] + column, len(data) - 1)], 0).astype(np.uint8)
+    padded = np.concatenate([data, np.zeros(longest, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, longest)[start] if longest else np.zeros((0, 0), np.uint8)
+    rows[np.arange(longest) >= (end - start)[:, None]] = 0
     order = np.argsort(np.ascontiguousarray(rows).view(f"S{longest}").reshape(-1), kind="stable") if longest else np.arange(len(start))
     rows, size = rows[order], (end - start)[order]
     common = np.zeros(len(start), np.int64)
