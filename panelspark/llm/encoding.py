@@ -9,6 +9,7 @@ punctuation U+2010-U+2027) take that way; all others go through tokenizers.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -24,20 +25,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(json_path)
-        self.full.no_padding()
-        self.full.no_truncation()
-        self.fast = None
+        self.path, self.library, self.fast = json_path, None, None
         ranks = json_path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             with open(ranks, "rb") as f:
                 held = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {t.content: i for i, t in self.full.get_added_tokens_decoder().items()}
-            self.special = [s for s in special]
+            with open(json_path, encoding="utf-8") as f:
+                self.special = [t["content"] for t in json.load(f)["added_tokens"]]
             self.fast = tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN, mergeable_ranks=held, special_tokens={})
 
+    @property
+    def full(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_padding()
+            self.library.no_truncation()
+        return self.library
+
     @classmethod
     def held(cls, json_path: str) -> "Encoder":
         """One per Python worker and file."""

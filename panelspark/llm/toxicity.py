@@ -132,7 +132,7 @@ class Automaton:
                 if (i == len(word) - 1 or not self.term[node][1]) and (best is None or (e, -self.term[node][2]) < best[:2]):
                     best = (e, -self.term[node][2])
         out = None if best is None else (-best[1], best[0])
-        if len(self.words) >= 300_000:
+        if len(self.words) >= 100_000:
             self.words.clear()
         self.words[raw] = out
         return out
