@@ -5,7 +5,7 @@ how ordinary that is: characters per token, the share of tokens that fall back
 to single bytes, and the entropy of the tokens. All three depend on the language
 and on the length, so each document is held against the quartiles of the
 documents of its language (its script, where the language is unknown) and of its
-power of two of tokens. The quartiles are exact and over all documents.
+power of two of words. The quartiles are exact and over all documents.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ class FertilityParams:
     ``support`` documents reject nothing.
     """
     model: str = ""
-    low: float = 3.0
+    low: float = 2.75
     high: float = 8.0
     bytes: float = 8.0
     floor: float = 0.01
@@ -149,7 +149,7 @@ def rate(docs: DataFrame, params: FertilityParams = FertilityParams()) -> DataFr
     """
     p = params
     found = stage(measures(docs, p).withColumn("_group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script")))
-                  .withColumn("_size", F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")))
+                  .withColumn("_size", F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))).cast("int")))
     of = ["_group", "_size"]
     metrics = {"chars_per_token": 3, "entropy": 2, "byte_share": 4}
     # few distinct values by rounding, so the quartiles come from counts of values
