@@ -101,17 +101,17 @@ def add_seasonal_features(panel: DataFrame) -> DataFrame:
 
 
 def add_time_features(panel: DataFrame) -> DataFrame:
-    """Month powers, phase flags, calendar position and decay curves."""
+    """Month powers, phase flags, calendar position (January where the month is unknown) and decay curves."""
     m = _c(MONTH)
     phase = F.when(m < 0, "pre").when(m <= 5, "early").when(m <= 11, "mid").otherwise("late")
-    dated = panel.withColumns({"time_bucket": phase, "month_of_year": month_number(_c("month"))})
+    dated = panel.withColumns({"time_bucket": phase, "month_of_year": F.coalesce(month_number(_c("month")), F.lit(1))})
     moy = _c("month_of_year")
     turn = moy * (2 * math.pi / 12)
     after = m >= 0
     dated = dated.withColumn("quarter", F.ceil(moy / 3).cast("int"))
     return dated.withColumns({
-        "months_postgx_squared": F.pow(m, F.lit(2.0)),
-        "months_postgx_cubed": F.pow(m, F.lit(3.0)),
+        "months_postgx_sq": F.pow(m, F.lit(2.0)),
+        "months_postgx_cube": F.pow(m, F.lit(3.0)),
         "is_post_entry": flag(after),
         "is_early": flag(m.between(0, 5)),
         "is_mid": flag(m.between(6, 11)),
@@ -191,11 +191,22 @@ def _attach_category(df: DataFrame, table: DataFrame, kind: str, value: Column,
     return df.withColumn("_value", value.cast("string")).join(own, "_value", "left").drop("_value")
 
 
-def label_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Code of each value under a new name: its place among the sorted distinct values, from 0; null becomes -1."""
+CATEGORIES = ("ther_area", "main_package", "country")
+
+
+def category_codes(df: DataFrame, columns=CATEGORIES) -> DataFrame:
+    """(kind, value, _code): the place of each value among its column's sorted distinct values, from 0.
+
+    The fitted half of ``label_codes``; keep it with the model that was trained on the codes.
+    """
     values = _by_category(df, columns).where(_c("value").isNotNull()).distinct()
     ranked = spread_rank(values, "kind", [_c("value")], F.substring("value", 1, 3), "_rank")
-    codes = stage(ranked.select("kind", "value", (_c("_rank") - 1).cast("int").alias("_code")))
+    return stage(ranked.select("kind", "value", (_c("_rank") - 1).cast("int").alias("_code")))
+
+
+def label_codes(df: DataFrame, columns: dict[str, str], codes: DataFrame | None = None) -> DataFrame:
+    """Code of each value under a new name, by a table of ``category_codes`` or by the frame's own values; null and unknown become -1."""
+    codes = category_codes(df, columns) if codes is None else codes
     out = df
     for name, code in columns.items():
         out = _attach_category(out, codes, name, _c(name), ["_code"]).withColumn(
@@ -203,8 +214,8 @@ def label_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out
 
 
-def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package", "country")) -> DataFrame:
-    """Hospital share, package form, category codes and two products."""
+def add_drug_features(panel: DataFrame, encode=CATEGORIES, codes: DataFrame | None = None) -> DataFrame:
+    """Hospital share, package form, category codes (of the training data, if its table is given) and two products."""
     rate, pack = _c("hospital_rate"), F.lower("main_package")
 
     def mentions(words) -> Column:
@@ -220,7 +231,7 @@ def add_drug_features(panel: DataFrame, encode=("ther_area", "main_package", "co
         "biological_x_n_gxs": _c("biological").cast("int") * _c("n_gxs"),
         "hospital_rate_x_time": rate / 100 * _c(MONTH),
     })
-    return label_codes(out, {name: f"{name}_encoded" for name in encode})
+    return label_codes(out, {name: f"{name}_encoded" for name in encode}, codes)
 
 
 def add_early_erosion_features(panel: DataFrame) -> DataFrame:
@@ -381,12 +392,12 @@ DEFAULT_FEATURES = {"interactions": [], "target_encoding": False, "collaboration
                     "frequency": []}
 
 
-def make_features(panel: DataFrame, scenario, mode: str = "train", config: dict | None = None) -> DataFrame:
-    """All feature groups under the scenario's cutoff; the config decides on the optional ones."""
+def make_features(panel: DataFrame, scenario, mode: str = "train", config: dict | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """All feature groups under the scenario's cutoff; the config decides on the optional ones, ``codes`` on the category codes."""
     config = {**DEFAULT_FEATURES, **(config or {})}
     cutoff, _, _ = scenario_window(scenario)
     # the category joins come first: they need plain columns only, and the series windows then share one exchange
-    out = add_drug_features(panel)
+    out = add_drug_features(panel, codes=codes)
     out = add_pre_entry_features(out)
     out = add_seasonal_features(out)
     out = add_time_features(out)

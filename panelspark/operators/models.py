@@ -6,17 +6,19 @@ are fitted more than once are staged, so their lineage runs once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
-from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.constants import MONTH, ROW_KEY, SERIES
@@ -71,8 +73,8 @@ class ModelSpec:
     def pipeline(self) -> Pipeline:
         inputs = [f"_x_{c}" for c in self.features]
         if self.kind.startswith("gbt") or self.kind == "forest":
-            stages = [VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="keep"),
-                      VectorIndexer(inputCol="_raw", outputCol="_features", maxCategories=8, handleInvalid="keep")]
+            # codes split as ordered numbers, whatever the number of distinct values
+            stages = [VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep")]
         else:
             filled = [f"_i_{c}" for c in self.features]
             stages = [Imputer(inputCols=inputs, outputCols=filled, strategy="mean"),
@@ -90,10 +92,43 @@ def numeric(df: DataFrame, columns, fill: bool) -> DataFrame:
     return df.withColumns({f"_x_{c}": value(c) for c in columns})
 
 
+def monomials(spark, features, degree: int) -> list[str]:
+    """Names of the columns that PolynomialExpansion makes, in its order: the product of distinct primes tells the factors."""
+    primes = [p for p in range(2, 30 * len(features) + 30) if all(p % q for q in range(2, int(p ** 0.5) + 1))][:len(features)]
+    one = spark.createDataFrame([(Vectors.dense([float(p) for p in primes]),)], ["x"])
+    products = PolynomialExpansion(degree=degree, inputCol="x", outputCol="y").transform(one).first()["y"]
+    out = []
+    for product in products:
+        left, factors = int(product), []
+        for p, name in zip(primes, features):
+            while left % p == 0:
+                left //= p
+                factors.append(name)
+        out.append(" * ".join(factors))
+    return out
+
+
 @dataclass
 class FittedModel:
     spec: ModelSpec
     model: PipelineModel
+    codes: DataFrame | None = None  # category codes of the training data
+
+    def save(self, path: str) -> None:
+        """Write the pipeline, the spec and the category codes below ``path``."""
+        spark = SparkSession.getActiveSession()
+        self.model.write().overwrite().save(f"{path}/model")
+        spec = json.dumps({**asdict(self.spec), "params": dict(self.spec.params)})
+        spark.createDataFrame([(spec,)], "spec string").coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
+        if self.codes is not None:
+            self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, codes: bool = False) -> "FittedModel":
+        """What ``save`` wrote; with ``codes`` also the category codes."""
+        spec = json.loads(spark.read.parquet(f"{path}/spec").first()["spec"])
+        spec = ModelSpec(**{**spec, "features": tuple(spec["features"])})
+        return cls(spec, PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/codes") if codes else None)
 
     def transform(self, df: DataFrame, keep_vector: bool = False) -> DataFrame:
         tree = not isinstance(self.spec.estimator(), LinearRegression)
@@ -105,13 +140,16 @@ class FittedModel:
         """(feature, importance): impurity gains, or absolute coefficients of the scaled columns."""
         last = self.model.stages[-1]
         values = (last.featureImportances if hasattr(last, "featureImportances") else last.coefficients).toArray()
-        names = list(self.spec.features)
+        names = monomials(spark, self.spec.features, self.spec.polynomial) if len(values) > len(self.spec.features) else list(self.spec.features)
         return spark.createDataFrame([(n, float(abs(v))) for n, v in zip(names, values)],
                                      "feature string, importance double")
 
 
-def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
-    """Fit on rows with a label. Early stopping runs on rows whose ``validation`` column is true."""
+def fit(spec: ModelSpec, train: DataFrame, codes: DataFrame | None = None) -> FittedModel:
+    """Fit on rows with a label. Early stopping runs on rows whose ``validation`` column is true.
+
+    ``codes`` is the table of category codes that ``train`` was made with; it stays with the model.
+    """
     if not spec.features:
         raise ValueError("name the feature columns")
     est = spec.estimator()
@@ -124,7 +162,7 @@ def fit(spec: ModelSpec, train: DataFrame) -> FittedModel:
         spec = replace(spec, features=tuple(known))
     extra = [c for c in (spec.weight, spec.validation) if c]
     rows = numeric(rows.select(*dict.fromkeys([*known, spec.label, *extra])), known, not isinstance(est, LinearRegression))
-    return FittedModel(spec, spec.pipeline().fit(rows))
+    return FittedModel(spec, spec.pipeline().fit(rows), codes)
 
 
 def predict(model: FittedModel, df: DataFrame, low: float = 0.0, high: float = 2.0) -> DataFrame:

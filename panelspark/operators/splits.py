@@ -220,7 +220,7 @@ def paired_t_test(scores: DataFrame, a: str, b: str, metric: str) -> DataFrame:
 
 
 def p_value(t: Column, df: Column, steps: int = 2000) -> Column:
-    """Two-sided p-value of Student's t.
+    """Two-sided p-value of Student's t; null where t is.
 
     With x = sqrt(df) tan(a) the density becomes cos(a)^(df - 1), so the p-value
     is one minus the ratio of two integrals over an angle, taken by midpoints.
@@ -230,4 +230,4 @@ def p_value(t: Column, df: Column, steps: int = 2000) -> Column:
         return step * F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0),
                                   lambda acc, i: acc + F.pow(F.cos((i - 0.5) * step), df - 1))
     angle = F.atan(F.abs(t) / F.sqrt(df))
-    return F.greatest(1 - integral(angle) / integral(F.lit(math.pi / 2)), F.lit(0.0))
+    return F.when(t.isNotNull(), F.greatest(1 - integral(angle) / integral(F.lit(math.pi / 2)), F.lit(0.0)))

@@ -58,7 +58,7 @@ def view_texts(d: Dialect) -> dict[str, str]:
         "generics": """
             SELECT country, brand_name, CAST(months_postgx AS INT) AS months_postgx,
               CAST(CASE WHEN months_postgx < 0 THEN 0 ELSE ns + CAST(floor(months_postgx / 6) AS INT) END AS INT) AS n_gxs
-            FROM {series_month} WHERE months_postgx BETWEEN -24 AND 23 AND t % 11 <> 5""",
+            FROM {series_month} WHERE months_postgx BETWEEN -24 AND 23""",
         "medicine_info": """
             SELECT DISTINCT country, brand_name,
               concat('AREA_', CAST((nk * 3 + bk) % 6 AS STRING)) AS ther_area,
@@ -80,13 +80,13 @@ def view_texts(d: Dialect) -> dict[str, str]:
         "holidays": f"""
             SELECT DISTINCT CAST(o.o_orderdate AS DATE) AS date, n.n_name AS country, 'H' AS holiday_name,
               'national' AS holiday_type
-            FROM {ordered} WHERE o.o_orderkey % 37 = 0""",
+            FROM {ordered}""",
         "epidemics": f"""
             SELECT CAST(o.o_orderdate AS DATE) AS start_date,
               CASE WHEN o.o_orderkey % 422 = 0 THEN NULL
                    ELSE CAST(o.o_orderdate + CAST(o.o_orderkey % 90 AS INT) * INTERVAL '1' DAY AS DATE) END AS end_date,
               n.n_name AS country, 'wave' AS event_name, CAST(1 + o.o_orderkey % 5 AS INT) AS severity
-            FROM {ordered} WHERE o.o_orderkey % 211 = 0""",
+            FROM {ordered}""",
         "macro": f"""
             SELECT CAST(o.o_orderdate AS DATE) AS date, n.n_name AS country,
               CASE o.o_orderkey % 4 WHEN 0 THEN 'gdp_growth' WHEN 1 THEN 'unemployment' WHEN 2 THEN 'inflation'
@@ -103,7 +103,7 @@ def view_texts(d: Dialect) -> dict[str, str]:
               CASE WHEN o.o_orderkey % 5 = 0 THEN ''
                    ELSE concat('Brand#', CAST(1 + o.o_orderkey % 25 AS STRING), '|Brand#',
                                CAST(1 + (o.o_orderkey + 7) % 25 AS STRING)) END AS affected_brands
-            FROM {ordered} WHERE o.o_orderkey % 151 = 0""",
+            FROM {ordered}""",
         "vis_orders": f"""
             SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, p.p_brand AS brand_name,
               l.l_quantity AS order_quantity, l.l_quantity * (1 - l.l_discount) AS filled_quantity,
@@ -112,7 +112,7 @@ def view_texts(d: Dialect) -> dict[str, str]:
         "vis_inventory": f"""
             SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, p.p_brand AS brand_name,
               l.l_extendedprice / 10 AS inventory_units, l.l_quantity AS days_of_supply, l.l_tax * 10 AS stock_out_risk
-            FROM {shipped} WHERE l.l_linenumber % 2 = 0""",
+            FROM {shipped}""",
         "vis_suppliers": f"""
             SELECT {d.month_start('l.l_shipdate')} AS date, n.n_name AS country, p.p_brand AS brand_name,
               l.l_suppkey AS supplier_id,

@@ -17,10 +17,10 @@ from panelspark.operators import postprocess as K
 
 
 def scenario_forecast(model: I.FittedModel, panel: DataFrame, scenario) -> DataFrame:
-    """Forecast the target months of all series of one scenario: (row key, volume)."""
+    """Forecast the target months of all series of one scenario, with the category codes of the model: (row key, volume)."""
     _, low, high = scenario_window(scenario)
     grown = P.expand_panel(panel, low, high)
-    features = E.make_features(grown, scenario, "test")
+    features = E.make_features(grown, scenario, "test", codes=model.codes)
     scored = I.predict(model, features.where(F.col(MONTH).between(low, high)))
     volume = F.col("prediction") * F.col("avg_vol_12m")
     return scored.select(*ROW_KEY, F.greatest(volume, F.lit(0.0)).alias("volume"))

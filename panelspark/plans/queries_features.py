@@ -161,7 +161,7 @@ def _(spark, sf):
 
 @query("e04_time_features", views="panel", sql=f"""
     , t AS (SELECT {ROW}, months_postgx AS m, CAST({MOY} AS INT) AS moy FROM panel)
-    SELECT {ROW}, {rx('pow(m, 2)', 'months_postgx_squared')}, {rx('pow(m, 3)', 'months_postgx_cubed')},
+    SELECT {ROW}, {rx('pow(m, 2)', 'months_postgx_sq')}, {rx('pow(m, 3)', 'months_postgx_cube')},
       CASE WHEN m >= 0 THEN 1 ELSE 0 END AS is_post_entry,
       CASE WHEN m < 0 THEN 'pre' WHEN m <= 5 THEN 'early' WHEN m <= 11 THEN 'mid' ELSE 'late' END AS time_bucket,
       CASE WHEN m BETWEEN 0 AND 5 THEN 1 ELSE 0 END AS is_early, CASE WHEN m BETWEEN 6 AND 11 THEN 1 ELSE 0 END AS is_mid,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.constants import ROW_KEY, SERIES
 from panelspark.operators import baselines as B
 from panelspark.operators import curves as U
+from panelspark.operators import features as E
 from panelspark.operators import metrics as G
 from panelspark.operators import models as I
 from panelspark.operators import panel as P
@@ -287,10 +288,24 @@ def _(spark, sf):
     test = test_panel(spark, sf)
     kinds = P.detect_test_scenarios(test)
     template = kinds.select(*SERIES, F.explode(F.sequence(F.when(F.col("scenario") == 1, 0).otherwise(6), F.lit(23))).alias("months_postgx"))
-    fitted = {s: I.fit(LINEAR, frame(spark, sf, s)) for s in (1, 2)}
+    codes = E.category_codes(fx.panel(spark, sf))
+    fitted = {s: I.fit(LINEAR, frame(spark, sf, s), codes) for s in (1, 2)}
     return forecast.generate_submission(fitted, test, template, smooth=True)
 
 
+@query("k01_test_category_codes", views="panel test_volume medicine_info", sql="""
+    , codes AS (SELECT ther_area, row_number() OVER (ORDER BY ther_area) - 1 AS code FROM (SELECT DISTINCT ther_area FROM panel WHERE ther_area IS NOT NULL))
+    SELECT t.country, t.brand_name, CAST(coalesce(max(c.code), -1) AS INT) AS ther_area_encoded
+    FROM test_volume t LEFT JOIN medicine_info m USING (country, brand_name) LEFT JOIN codes c ON m.ther_area = c.ther_area
+    GROUP BY 1, 2""")
+def _(spark, sf):
+    """The codes that the test rows of each scenario are scored with are those of the training panel."""
+    test, codes = P.handle_missing_pre_entry_data(test_panel(spark, sf)), E.category_codes(fx.panel(spark, sf))
+    kinds = P.detect_test_scenarios(test).select(*SERIES, "scenario")
+    parts = [E.add_drug_features(test.join(kinds.where(F.col("scenario") == s).select(*SERIES), SERIES, "left_semi"), codes=codes) for s in (1, 2)]
+    return parts[0].unionByName(parts[1]).select(*SERIES, "ther_area_encoded").distinct()
+
+
 @query("k05_route_by_bucket")
 def _(spark, sf):
     train, val = parts(spark, sf)

@@ -118,3 +118,11 @@ def test_target_encoding_keeps_folds_apart(spark):
     total = sum(range(10))
     # 10 series in 5 folds of two: the prior is the mean over the other eight
     assert all(any(abs(r[2] - (total - r[1] - j) / 8) < 1e-9 for j in range(10)) for r in out)
+
+
+def test_codes_of_new_data_are_those_of_the_training_data(panel):
+    codes = E.category_codes(panel, ("ther_area",))
+    part = panel.where("ther_area = 'T2'")
+    new = part.withColumn("ther_area", F.lit("T9")).unionByName(part)
+    got = {r["ther_area"]: r["code"] for r in E.label_codes(new, {"ther_area": "code"}, codes).collect()}
+    assert got == {"T2": 1, "T9": -1}

@@ -153,3 +153,21 @@ def test_seed_members(frame):
     spec = I.ModelSpec("gbt_sampled", {"maxIter": 3, "maxDepth": 3}, COLS)
     scores, members = I.multi_seed(train, val, 1, spec, [1, 2])
     assert scores.count() == 2 and J.seed_ensemble(members, "median").count() == val.count()
+
+
+def test_importance_of_a_polynomial_has_a_row_per_coefficient(frame):
+    spec = I.ModelSpec("ridge", {}, ("months_postgx", "x"), polynomial=2)
+    model = I.fit(spec, frame)
+    got = {r["feature"]: r["importance"] for r in model.importance(frame.sparkSession).collect()}
+    assert set(got) == {"months_postgx", "x", "months_postgx * months_postgx", "months_postgx * x", "x * x"}
+    assert len(got) == len(model.model.stages[-1].coefficients)
+
+
+def test_saved_model_scores_alike(frame, spark, tmp_path):
+    codes = spark.createDataFrame([("ther_area", "A", 0)], "kind string, value string, _code int")
+    model = I.fit(LINEAR, frame, codes)
+    model.save(str(tmp_path / "m"))
+    again = I.FittedModel.load(spark, str(tmp_path / "m"), codes=True)
+    assert again.spec.features == model.spec.features and again.codes.collect() == codes.collect()
+    a, b = (sorted(r["prediction"] for r in m.transform(frame).collect()) for m in (model, again))
+    assert a == b

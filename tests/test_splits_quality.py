@@ -124,3 +124,11 @@ def test_scenario_violations(many):
     got = {r["violation"]: r["n"] for r in Q.scenario_violations(many, many.where("months_postgx < 2"), 1).collect()}
     assert got["series_overlap"] == 60 and got["months_too_early"] == 240 and got["row_overlap"] == 360
     assert Q.scenario_violations(many.where("bucket = 1"), many.where("bucket = 2 AND months_postgx >= 0"), 1).count() == 0
+
+
+def test_t_test_is_null_where_undefined(spark):
+    rows = [("a", "m", 0, 1.0), ("b", "m", 0, 2.0), ("a", "n", 0, 1.0), ("b", "n", 0, 1.0), ("a", "n", 1, 2.0), ("b", "n", 1, 2.0)]
+    scores = spark.createDataFrame(rows, "model string, metric string, fold int, value double")
+    for metric in ("m", "n"):
+        got = S.paired_t_test(scores, "a", "b", metric).first()
+        assert got["t_statistic"] is None and got["p_value"] is None
