@@ -62,7 +62,11 @@ def gram(df: DataFrame, names: list[str], target: str, weight: str | None = None
 
 
 def simplex_weights(g: np.ndarray, c: np.ndarray, steps: int = 20000) -> np.ndarray:
-    """Weights >= 0 with sum 1 that minimise w'Gw - 2c'w, by projected gradient steps on a k x k matrix."""
+    """Weights >= 0 with sum 1 that minimise w'Gw - 2c'w.
+
+    Projected gradient steps on the k x k matrix find which weights are zero;
+    the others then follow from one linear system.
+    """
     k = len(c)
     w = np.full(k, 1.0 / k)
     rate = 1.0 / max(2 * np.linalg.eigvalsh(g)[-1], 1e-12)
@@ -71,10 +75,24 @@ def simplex_weights(g: np.ndarray, c: np.ndarray, steps: int = 20000) -> np.ndar
         up = np.sort(move)[::-1]
         excess = (np.cumsum(up) - 1) / np.arange(1, k + 1)
         new = np.maximum(move - excess[np.nonzero(up > excess)[0][-1]], 0)
-        if np.abs(new - w).max() < 1e-12:
-            return new
+        moved = np.abs(new - w).max()
         w = new
-    return w
+        if moved < 1e-12:
+            break
+    return _on_face(g, c, w)
+
+
+def _on_face(g: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The minimum with sum 1 over the weights that are not zero; ``w`` itself where the system has no such solution."""
+    on = np.flatnonzero(w > 1e-7)
+    n = len(on)
+    system = np.ones((n + 1, n + 1))
+    system[:n, :n], system[n, n] = g[np.ix_(on, on)], 0
+    if np.linalg.matrix_rank(system) <= n:
+        return w
+    exact = np.zeros(len(w))
+    exact[on] = np.linalg.solve(system, np.append(c[on], 1.0))[:n]
+    return exact if exact.min() >= 0 else w
 
 
 def box_weights(g: np.ndarray, c: np.ndarray, steps: int = 20000) -> np.ndarray:

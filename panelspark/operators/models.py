@@ -17,7 +17,7 @@ from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -250,10 +250,10 @@ def long_scores(scores: DataFrame, ids: list[str]) -> DataFrame:
 
 def tune(train: DataFrame, scenario, spec: ModelSpec, grid: Mapping[str, list], parallelism: int = 2, folds: int = 0,
          train_ratio: float = 0.8):
-    """Grid search on the official metric with the tuning classes of pyspark.ml.
+    """Grid search on the official metric, which needs whole series: (best fitted model, table of the grid with its metric).
 
-    Returns (best fitted model, table of the grid with its metric). ``folds`` > 1
-    uses folds by series, else one hold-out of rows.
+    ``folds`` > 1 uses folds by series, else one hold-out of series; the best
+    point is then fitted on all rows.
     """
     est = spec.estimator()
     tree = not isinstance(est, LinearRegression)
@@ -271,16 +271,15 @@ def tune(train: DataFrame, scenario, spec: ModelSpec, grid: Mapping[str, list],
                                foldCol="_fold", parallelism=parallelism)
         best = tuner.fit(rows)
         values = best.avgMetrics
+        model = best.bestModel
     else:
-        rows = stage(rows)
-        tuner = TrainValidationSplit(estimator=pipe, estimatorParamMaps=points, evaluator=evaluator,
-                                     trainRatio=train_ratio, seed=spec.seed, parallelism=parallelism)
-        best = tuner.fit(rows)
-        values = best.validationMetrics
+        fitting, held = split_frame(rows, 1 - train_ratio, spec.seed)
+        values = [evaluator.evaluate(pipe.fit(fitting, point).transform(held)) for point in points]
+        model = pipe.fit(rows, points[min(range(len(points)), key=lambda i: values[i])])
     table = train.sparkSession.createDataFrame(
         [(i, str({p.name: v for p, v in point.items()}), float(m)) for i, (point, m) in enumerate(zip(points, values))],
         "config int, params string, official_metric double")
-    return FittedModel(spec, best.bestModel), table
+    return FittedModel(spec, model), table
 
 
 def compare_models(train: DataFrame, val: DataFrame, scenario, specs: Mapping[str, ModelSpec]) -> DataFrame:

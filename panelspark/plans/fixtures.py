@@ -1,5 +1,8 @@
 """Panel, event and supply tables as views over the star-schema tables.
 
+All rows of the tables count: shipments fall on a 48-month cycle around the
+event month of their series, so that a series has at most 48 months.
+
 One text per view serves Spark and DuckDB; the few calls that are written
 differently come from a small dialect object. ``{name}`` stands for a table or
 for another view.
@@ -17,6 +20,9 @@ from panelspark.operators import panel as panel_ops
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 
+#: Every further block of parts has brands of its own, so that series grow with the parts; promotions follow by customers.
+BRANDS, PARTS, CUSTOMERS = 25, 2000, 1500
+
 
 @dataclass(frozen=True)
 class Dialect:
@@ -40,25 +46,33 @@ def view_texts(d: Dialect) -> dict[str, str]:
         JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {nation} n ON s.s_nationkey = n.n_nationkey"""
     ordered = """{orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
         JOIN {nation} n ON c.c_nationkey = n.n_nationkey"""
-    t = "(year(l.l_shipdate) - 1995) * 12 + month(l.l_shipdate) - 1"
-    start = "(30 + (n.n_nationkey * 7 + CAST(substr(p.p_brand, 7) AS INT) * 3) % 24)"
+    bk = f"(CAST(substr(p.p_brand, 7) AS INT) + {BRANDS} * CAST({d.div('p.p_partkey', str(PARTS))} AS INT))"
+    brand = f"concat('Brand#', CAST({bk} AS STRING))"
+    custom = f"{BRANDS} * {d.div('o.o_custkey', str(CUSTOMERS))}"
     return {
-        "series_month": f"""
-            SELECT n.n_name AS country, p.p_brand AS brand_name, n.n_nationkey AS nk,
-              CAST(substr(p.p_brand, 7) AS INT) AS bk, {t} AS t, {t} - {start} AS months_postgx,
-              SUM(l.l_quantity) AS q, COUNT(DISTINCT l.l_suppkey) AS ns
-            FROM {shipped} GROUP BY 1, 2, 3, 4, 5, 6""",
+        "shipped_month": f"""
+            SELECT n.n_name AS country, CAST(n.n_nationkey AS INT) AS nk, {bk} AS bk, l.l_suppkey,
+              CAST((year(l.l_shipdate) - 1995) * 12 + month(l.l_shipdate) - 1 AS INT) AS raw_t, SUM(l.l_quantity) AS q
+            FROM {shipped} GROUP BY 1, 2, 3, 4, 5""",
+        "supplied": """
+            SELECT country, nk, bk, l_suppkey, CAST(30 + (nk * 7 + bk * 3) % 24 AS INT) AS start,
+              CAST(((raw_t - 6 - (nk * 7 + bk * 3) % 24) % 48 + 48) % 48 - 24 AS INT) AS months_postgx, SUM(q) AS q
+            FROM {shipped_month} GROUP BY 1, 2, 3, 4, 5, 6""",
+        "series_month": """
+            SELECT country, concat('Brand#', CAST(bk AS STRING)) AS brand_name, nk, bk, start + months_postgx AS t, months_postgx,
+              SUM(q) AS q, COUNT(*) AS ns
+            FROM {supplied} GROUP BY 1, 2, 3, 4, 5, 6""",
         "volume": """
             SELECT country, brand_name, substr('JanFebMarAprMayJunJulAugSepOctNovDec', (t % 12) * 3 + 1, 3) AS month,
               CAST(months_postgx AS INT) AS months_postgx,
               CASE WHEN months_postgx < 0 THEN q
                    ELSE q * exp(-(CASE bk % 3 WHEN 0 THEN 0.30 WHEN 1 THEN 0.05 ELSE 0.0 END) * months_postgx)
               END AS volume
-            FROM {series_month} WHERE months_postgx BETWEEN -24 AND 23""",
+            FROM {series_month}""",
         "generics": """
             SELECT country, brand_name, CAST(months_postgx AS INT) AS months_postgx,
               CAST(CASE WHEN months_postgx < 0 THEN 0 ELSE ns + CAST(floor(months_postgx / 6) AS INT) END AS INT) AS n_gxs
-            FROM {series_month} WHERE months_postgx BETWEEN -24 AND 23""",
+            FROM {series_month}""",
         "medicine_info": """
             SELECT DISTINCT country, brand_name,
               concat('AREA_', CAST((nk * 3 + bk) % 6 AS STRING)) AS ther_area,
@@ -71,7 +85,7 @@ def view_texts(d: Dialect) -> dict[str, str]:
         "calendar": f"""
             SELECT country, brand_name, CAST(months_postgx AS INT) AS months_postgx,
               make_date(CAST(1995 + {d.div('t', '12')} AS INT), CAST(t % 12 + 1 AS INT), 1) AS date
-            FROM {{series_month}} WHERE months_postgx BETWEEN -24 AND 23""",
+            FROM {{series_month}}""",
         "test_volume": """
             SELECT v.* FROM {volume} v JOIN (SELECT DISTINCT country, brand_name, nk, bk FROM {series_month}) s
               ON v.country = s.country AND v.brand_name = s.brand_name
@@ -101,20 +115,20 @@ def view_texts(d: Dialect) -> dict[str, str]:
               CASE o.o_orderkey % 4 WHEN 0 THEN 'price_cut' WHEN 1 THEN 'marketing_campaign' WHEN 2 THEN 'patent_expiry'
                    ELSE 'formulary_change' END AS event_type,
               CASE WHEN o.o_orderkey % 5 = 0 THEN ''
-                   ELSE concat('Brand#', CAST(1 + o.o_orderkey % 25 AS STRING), '|Brand#',
-                               CAST(1 + (o.o_orderkey + 7) % 25 AS STRING)) END AS affected_brands
+                   ELSE concat('Brand#', CAST(1 + o.o_orderkey % 25 + {custom} AS STRING), '|Brand#',
+                               CAST(1 + (o.o_orderkey + 7) % 25 + {custom} AS STRING)) END AS affected_brands
             FROM {ordered}""",
         "vis_orders": f"""
-            SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, p.p_brand AS brand_name,
+            SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, {brand} AS brand_name,
               l.l_quantity AS order_quantity, l.l_quantity * (1 - l.l_discount) AS filled_quantity,
               {d.days('l.l_shipdate', 'o.o_orderdate')} AS lead_time_days
             FROM {shipped} JOIN {{orders}} o ON l.l_orderkey = o.o_orderkey""",
         "vis_inventory": f"""
-            SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, p.p_brand AS brand_name,
+            SELECT CAST(l.l_shipdate AS DATE) AS date, n.n_name AS country, {brand} AS brand_name,
               l.l_extendedprice / 10 AS inventory_units, l.l_quantity AS days_of_supply, l.l_tax * 10 AS stock_out_risk
             FROM {shipped}""",
         "vis_suppliers": f"""
-            SELECT {d.month_start('l.l_shipdate')} AS date, n.n_name AS country, p.p_brand AS brand_name,
+            SELECT {d.month_start('l.l_shipdate')} AS date, n.n_name AS country, {brand} AS brand_name,
               l.l_suppkey AS supplier_id,
               AVG(CASE WHEN l.l_returnflag = 'R' THEN 0 ELSE 1 END) AS reliability_score,
               AVG(CASE WHEN l.l_linestatus = 'F' THEN 1 ELSE 0 END) AS on_time_delivery_rate

@@ -426,9 +426,22 @@ def _(spark, sf):
     return C.feature_correlations(fx.panel(spark, sf).select("volume", "n_gxs", "hospital_rate"), 0.5, "spearman")
 
 
-@query("e18_remove_redundant_features")
-def _(spark, sf):
-    return C.remove_redundant_features(fx.panel(spark, sf).select(*ROW_KEY, *NUMS), 0.9, 0.01)[0]
+def _redundant() -> dict[str, str]:
+    spread = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS feature, var_samp({c}) > 0.01 AS varied FROM {{panel}}" for i, c in enumerate(NUMS))
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) >= 0.9 AS strong FROM {{panel}}"
+                               for i, a in enumerate(NUMS) for b in NUMS[i + 1:])
+    rows = " UNION ALL ".join(f"SELECT {ROW}, '{c}' AS feature, {c}::DOUBLE AS value FROM {{panel}}" for c in NUMS)
+    return {"spread": spread, "strong": pairs, "cells": rows,
+            "kept": """SELECT feature FROM {spread} s WHERE varied AND NOT EXISTS (SELECT 1 FROM {strong} p JOIN {spread} o ON o.feature = p.a
+                WHERE p.b = s.feature AND p.strong AND o.varied)"""}
+
+
+@query("e18_remove_redundant_features", views="panel", ctes=_redundant(), sql=f"""
+    SELECT {ROW}, feature, {r('value')} FROM cells WHERE feature IN (SELECT feature FROM kept)""")
+def _(spark, sf):
+    """The columns that stay, one row per cell."""
+    left = C.remove_redundant_features(fx.panel(spark, sf).select(*ROW_KEY, *[F.col(c).cast("double").alias(c) for c in NUMS]), 0.9, 0.01)[0]
+    return left.unpivot(ROW_KEY, [c for c in NUMS if c in left.columns], "feature", "value")
 
 
 @query("e19_feature_scaler_standard", views="panel", sql=f"""

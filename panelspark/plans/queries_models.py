@@ -1,20 +1,23 @@
 """Queries over fitted models.
 
-Fits have no SQL twin, so these get a rows-only check; what can be repeated in
-SQL (nearest neighbours, feature selection and pruning) has one.
+What a fit predicts has no SQL twin unless it is least squares. Its queries give
+the rows it speaks for, their target and the training curve, which SQL repeats,
+and what must hold of any good forecast: bounds, and less error than a mean.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.constants import ROW_KEY, SERIES
+from panelspark.constants import MONTH, RESIDUAL_WINDOWS, ROW_KEY, SERIES
+from panelspark.functions.expr import attach, clip
 from panelspark.operators import baselines as B
 from panelspark.operators import curves as U
 from panelspark.operators import features as E
 from panelspark.operators import metrics as G
 from panelspark.operators import models as I
 from panelspark.operators import panel as P
+from panelspark.operators import postprocess as K
 from panelspark.operators import similarity as Z
 from panelspark.plans import fixtures as fx
 from panelspark.plans import forecast
@@ -45,10 +48,6 @@ def parts(spark, sf):
     return df.where(odd), df.where(~odd)
 
 
-def scores(df):
-    return df.select(*ROW_KEY, "y_norm", "prediction")
-
-
 KNN = {"frm": "SELECT p.*, ln(1 + avg_vol_12m) AS log_avg_vol FROM {panel} p WHERE bucket IS NOT NULL AND months_postgx BETWEEN 0 AND 23",
        "g0": f"SELECT {SER}, coalesce(max(n_gxs) FILTER (months_postgx = 0), 0) AS n0 FROM {{panel}} GROUP BY 1, 2",
        "raw0": f"""SELECT {SER}, arg_min(log_avg_vol, months_postgx) AS x0, any_value(tr) AS x1, any_value(coalesce(sd / (avg_vol_12m + 1e-6), 0)) AS x2,
@@ -96,95 +95,167 @@ def _(spark, sf):
     return Z.nearest(df.where("label % 2 = 0"), df.where("label % 2 = 1"), "vec_id", "embedding", 5)
 
 
-@query("i10_linear_model")
+def judged(train, scored):
+    """Keys, target and training curve of the scored rows; are forecasts in [0, 2], and better than the training mean?"""
+    e = F.col("prediction") - F.col("y_norm")
+    flat = F.col("_mean") - F.col("y_norm")
+    better = attach(scored, train.agg(F.avg("y_norm").alias("_mean"))).agg((F.avg(e * e) < F.avg(flat * flat)).alias("b"))
+    curve = train.groupBy(MONTH).agg(F.avg("y_norm").alias("curve"))
+    return scored.join(curve, MONTH, "left").select(
+        *ROW_KEY, "y_norm", "curve", F.coalesce(F.col("prediction").between(0, 2), F.lit(False)).alias("in_range"),
+        better.scalar().alias("beats_mean"))
+
+
+def measured(metrics, *keep):
+    """Scores of a hold-out: its size, and do they hang together and explain the target?"""
+    return metrics.select(*keep, "n_rows", (F.col("rmse") >= F.col("mae")).alias("ordered"), (F.col("r2") > 0).alias("explains"),
+                          F.col("official_metric").between(0, 5).alias("in_range"))
+
+
+EVEN, ODD = "CAST(substr(brand_name, 7) AS INT) % 2 = 0", "CAST(substr(brand_name, 7) AS INT) % 2 = 1"
+FRAME = {k: KNN[k] for k in ("frm", "mcv")}
+JUDGED = {"views": "panel", "ctes": FRAME, "sql": f"""
+    SELECT country, brand_name, f.months_postgx, {r('y_norm')}, {rx('c', 'curve')}, true AS in_range, true AS beats_mean
+    FROM frm f LEFT JOIN mcv m ON m.months_postgx = f.months_postgx WHERE {EVEN}"""}
+GOOD = "true AS ordered, true AS explains, true AS in_range"
+
+
+def measured_sql(labels):
+    """Hold-out scores of the even brands under each label."""
+    return {"views": "panel", "ctes": FRAME, "sql": " UNION ALL ".join(
+        f"SELECT {x}, (SELECT count(*) FROM frm WHERE {EVEN}) AS n_rows, {GOOD}" for x in labels)}
+
+
+LEAST = {**FRAME, "tr": f"SELECT *, n_gxs::DOUBLE AS g, months_postgx::DOUBLE AS m FROM {{frm}} WHERE {ODD}",
+         "mom": """SELECT covar_pop(m, m) AS mm, covar_pop(g, g) AS gg, covar_pop(m, g) AS mg, covar_pop(m, y_norm) AS my,
+             covar_pop(g, y_norm) AS gy, avg(m) AS am, avg(g) AS ag, avg(y_norm) AS ay FROM {tr}""",
+         "coef": "SELECT (my * gg - gy * mg) / (mm * gg - mg * mg) AS bm, (gy * mm - my * mg) / (mm * gg - mg * mg) AS bg, am, ag, ay FROM {mom}"}
+
+
+@query("i10_least_squares", views="panel", ctes=LEAST, digits=5, sql=f"""
+    SELECT {ROW},
+      {rx('greatest(0, least(2, ay + bm * (months_postgx - am) + bg * (n_gxs - ag)))', 'prediction', 5)}
+    FROM frm, coef WHERE {EVEN}""")
 def _(spark, sf):
+    """Without a penalty, the linear model solves the normal equations."""
     train, val = parts(spark, sf)
-    return scores(I.predict(I.fit(LINEAR, train), val))
+    spec = I.ModelSpec("ridge", {"regParam": 0.0}, ("months_postgx", "n_gxs"))
+    return I.predict(I.fit(spec, train), val).select(*ROW_KEY, "prediction")
 
 
-@query("i10_linear_model_polynomial_huber")
+@query("i10_linear_model", **JUDGED)
+def _(spark, sf):
+    train, val = parts(spark, sf)
+    return judged(train, I.predict(I.fit(LINEAR, train), val))
+
+
+@query("i10_linear_model_polynomial_huber", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
     few = I.ModelSpec("huber", {"maxIter": 20}, COLUMNS[:4], polynomial=2)
-    return scores(I.predict(I.fit(few, train), val))
+    return judged(train, I.predict(I.fit(few, train), val))
 
 
-@query("i11_gbt_early_stopping")
+@query("i11_gbt_early_stopping", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
     both = train.withColumn("_held", F.lit(False)).unionByName(val.withColumn("_held", F.lit(True)))
     spec = I.ModelSpec("gbt_deep", {"maxIter": 10, "maxDepth": 4}, COLUMNS, validation="_held")
-    return scores(I.predict(I.fit(spec, both), val))
+    return judged(train, I.predict(I.fit(spec, both), val))
 
 
-@query("i12_gbt_sampled")
+@query("i12_gbt_sampled", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.predict(I.fit(I.ModelSpec("gbt_sampled", {"maxIter": 8, "maxDepth": 4}, COLUMNS), train), val))
+    return judged(train, I.predict(I.fit(I.ModelSpec("gbt_sampled", {"maxIter": 8, "maxDepth": 4}, COLUMNS), train), val))
 
 
-@query("i13_forest")
+@query("i13_forest", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.predict(I.fit(I.ModelSpec("forest", {"numTrees": 15, "maxDepth": 6}, COLUMNS), train), val))
+    return judged(train, I.predict(I.fit(I.ModelSpec("forest", {"numTrees": 15, "maxDepth": 6}, COLUMNS), train), val))
 
 
-@query("i14_hybrid_model")
+@query("i14_hybrid_model", views="panel", ctes=FRAME, sql=f"""
+    SELECT {ROW}, {rx('exp(-0.05 * months_postgx)', 'physics')}, true AS adds_up, true AS in_range, true AS beats_mean
+    FROM frm WHERE {EVEN}""")
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return I.predict_hybrid(I.fit_hybrid(train, TREE), val).select(*ROW_KEY, "physics", "ml_residual", "prediction")
+    scored = I.predict_hybrid(I.fit_hybrid(train, TREE), val)
+    rows = judged(train, scored).drop("y_norm", "curve").join(scored.select(*ROW_KEY, "physics", "ml_residual", "prediction"), ROW_KEY)
+    whole = clip(F.col("physics") + F.col("ml_residual"), 0, 2)
+    return rows.select(*ROW_KEY, "physics", (F.abs(F.col("prediction") - whole) < 1e-9).alias("adds_up"), "in_range", "beats_mean")
 
 
-@query("i15_blended_series_forecast")
+@query("i15_blended_series_forecast", views="panel aux", ctes={
+    "past": f"SELECT {SER}, count(*) AS n FROM {{panel}} WHERE months_postgx < 0 AND volume IS NOT NULL GROUP BY 1, 2"}, sql=f"""
+    SELECT p.country, p.brand_name, CAST(h.m AS INT) AS months_postgx, CASE WHEN n >= 6 THEN 1 ELSE 0 END AS fitted,
+      CASE WHEN n < 6 THEN {rx('coalesce(avg_vol, 1) * exp(-0.05 * h.m)', 'x').rsplit(' AS ', 1)[0]} END AS decayed, true AS in_range
+    FROM past p CROSS JOIN (SELECT unnest(range(24)) AS m) h LEFT JOIN aux x ON x.country = p.country AND x.brand_name = p.brand_name""")
 def _(spark, sf):
     p = fx.panel(spark, sf)
-    return U.blended_series_forecast(p.where("months_postgx < 0"), range(24), fallback=G.create_aux(p))
+    out = U.blended_series_forecast(p.where("months_postgx < 0"), range(24), fallback=G.create_aux(p))
+    return out.select(*ROW_KEY, "fitted", F.when(F.col("fitted") == 0, F.col("volume")).alias("decayed"),
+                      (F.col("volume") >= 0).alias("in_range"))
 
 
-@query("i16_train_scenario_model")
+@query("i16_train_scenario_model", **measured_sql(["1 AS scenario"]))
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return I.train_scenario_model(train, val, 1, LINEAR, "log1p")[2]
+    return measured(I.train_scenario_model(train, val, 1, LINEAR, "log1p")[2], F.lit(1).alias("scenario"))
+
+
+FOLDED = {"frm": KNN["frm"], "fser": f"SELECT {SER}, min(bucket) AS b FROM {{frm}} GROUP BY 1, 2",
+          "ffold": f"""SELECT {SER}, CAST((row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', '42', {SER})), {SER}) - 1) % 3 AS INT) AS fold
+              FROM {{fser}}"""}
 
 
-@query("i17_cross_validation")
+@query("i17_cross_validation", views="panel", ctes=FOLDED, sql=f"""
+    SELECT fold, count(*) AS n_rows, {GOOD} FROM frm JOIN ffold USING ({SER}) GROUP BY 1""")
 def _(spark, sf):
-    return I.cross_validate(frame(spark, sf), 1, LINEAR, 3)[1]
+    return measured(I.cross_validate(frame(spark, sf), 1, LINEAR, 3)[1], "fold")
 
 
-@query("i18_tune")
+TUNED = " UNION ALL ".join(f"""SELECT {i} AS config, '{{''regParam'': {v}}}' AS params, true AS in_range""" for i, v in enumerate((0.01, 0.3)))
+
+
+def tuned(table):
+    return table.select("config", "params", F.col("official_metric").between(0, 5).alias("in_range"))
+
+
+@query("i18_tune", sql=TUNED)
 def _(spark, sf):
-    return I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]})[1]
+    return tuned(I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]})[1])
 
 
-@query("i18_tune_folds")
+@query("i18_tune_folds", sql=TUNED)
 def _(spark, sf):
-    return I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]}, folds=2)[1]
+    return tuned(I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]}, folds=2)[1])
 
 
-@query("i19_compare_models")
+@query("i19_compare_models", **measured_sql(["'tree' AS model", "'linear' AS model"]))
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return I.compare_models(train, val, 1, {"tree": TREE, "linear": LINEAR})
+    return measured(I.compare_models(train, val, 1, {"tree": TREE, "linear": LINEAR}), "model")
 
 
-@query("i20_compare_losses")
+@query("i20_compare_losses", **measured_sql([f"'{m}' AS model" for m in ("squared", "absolute", "linear_squared", "linear_huber")]))
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return I.compare_losses(train, val, 1, I.ModelSpec("gbt_fast", {"maxIter": 4, "maxDepth": 3}, COLUMNS))
+    return measured(I.compare_losses(train, val, 1, I.ModelSpec("gbt_fast", {"maxIter": 4, "maxDepth": 3}, COLUMNS)), "model")
 
 
-@query("i21_bucket_specialized_models")
+@query("i21_bucket_specialized_models", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.route_by_bucket(I.bucket_models(train, 1, LINEAR), val))
+    return judged(train, I.route_by_bucket(I.bucket_models(train, 1, LINEAR), val))
 
 
-@query("i22_multi_seed")
+@query("i22_multi_seed", **measured_sql(["1 AS seed", "2 AS seed"]))
 def _(spark, sf):
     train, val = parts(spark, sf)
     spec = I.ModelSpec("gbt_sampled", {"maxIter": 4, "maxDepth": 3}, COLUMNS)
-    return I.multi_seed(train, val, 1, spec, [1, 2])[0]
+    return measured(I.multi_seed(train, val, 1, spec, [1, 2])[0], "seed")
 
 
 def residual_frame(spark, sf):
@@ -193,25 +264,35 @@ def residual_frame(spark, sf):
     return df.join(base, ROW_KEY).withColumns({"volume_true": F.col("volume"), "scenario": F.lit(1)})
 
 
-@query("i23_residual_model")
+SPOKEN = "bucket = 1 AND (" + " OR ".join(f"months_postgx BETWEEN {a} AND {b}" for a, b in RESIDUAL_WINDOWS[1]) + ")"
+
+
+@query("i23_residual_model", views="panel", ctes={"frm": KNN["frm"]}, sql=f"""
+    SELECT count(*) AS n_val, true AS ordered FROM frm WHERE {SPOKEN} AND CAST(CAST(concat('0x', substr(md5(concat_ws('|', '42', country, brand_name,
+      CAST(months_postgx AS STRING))), 1, 8)) AS UBIGINT) AS DOUBLE) / 4294967296.0 < 0.2""")
 def _(spark, sf):
-    return I.train_residual_model(residual_frame(spark, sf), TREE)[1]
+    held = I.train_residual_model(residual_frame(spark, sf), TREE)[1]
+    return held.select("n_val", (F.col("rmse_residual") >= F.col("mae_residual")).alias("ordered"))
 
 
-@query("k11_residual_correction")
+@query("k11_residual_correction", views="panel pred", ctes={"frm": KNN["frm"]}, sql=f"""
+    SELECT f.country, f.brand_name, f.months_postgx, CASE WHEN {SPOKEN.replace('months_postgx', 'f.months_postgx')} THEN NULL
+      ELSE {rx('p.volume', 'x').rsplit(' AS ', 1)[0]} END AS unmoved, true AS in_range FROM frm f JOIN pred p USING ({ROW})""")
 def _(spark, sf):
-    from panelspark.operators.postprocess import apply_residual_correction
+    """Rows the residual model does not speak for keep their volume."""
     df = residual_frame(spark, sf)
     model = I.train_residual_model(df, TREE)[0]
     rows = model.transform(df).withColumn("volume", F.col("volume_pred"))
-    return apply_residual_correction(rows, "prediction").select(*ROW_KEY, "volume")
+    return K.apply_residual_correction(rows, "prediction").select(
+        *ROW_KEY, F.when(~K.residual_rows(), F.col("volume")).alias("unmoved"), (F.col("volume") >= 0).alias("in_range"))
 
 
-@query("i24_permutation_importance")
+@query("i24_permutation_importance", sql=" UNION ALL ".join(f"SELECT '{c}' AS feature, true AS in_range" for c in COLUMNS[:5]))
 def _(spark, sf):
     train, val = parts(spark, sf)
     few = I.ModelSpec("ridge", {}, COLUMNS[:5])
-    return I.permutation_importance(I.fit(few, train), val, 2)
+    table = I.permutation_importance(I.fit(few, train), val, 2)
+    return table.select("feature", (F.col("importance_mean").between(-1, 5) & (F.col("importance_std") >= 0)).alias("in_range"))
 
 
 NUMS = ["volume", "n_gxs", "hospital_rate", "avg_vol_12m", "months_postgx"]
@@ -241,41 +322,52 @@ def _(spark, sf):
     return I.prune_features(importance(spark, sf), 0.4, 4)
 
 
-@query("i27_feature_ablation")
+@query("i27_feature_ablation", sql="""
+    SELECT 'baseline' AS run, 12 AS n_features, 0.0::DOUBLE AS base_impact, true AS ordered UNION ALL SELECT 'drop_time', 9, NULL, true
+    UNION ALL SELECT 'add_time', 3, NULL, true""")
 def _(spark, sf):
-    return I.feature_ablation(frame(spark, sf), LINEAR, {"time": ["months_postgx", "time_decay", "month_sin"]})
+    table = I.feature_ablation(frame(spark, sf), LINEAR, {"time": ["months_postgx", "time_decay", "month_sin"]})
+    return table.select("run", "n_features", F.when(F.col("run") == "baseline", F.col("impact")).alias("base_impact"),
+                        (F.col("rmse") >= F.col("mae")).alias("ordered"))
 
 
-@query("i28_compare_approaches")
+@query("i28_compare_approaches", sql="""
+    SELECT 'plain' AS approach, true AS ordered UNION ALL SELECT 'encoded', true""")
 def _(spark, sf):
-    return I.compare_approaches(fx.panel(spark, sf), 1, {"plain": {}, "encoded": {"target_encoding": True}}, LINEAR)
+    table = I.compare_approaches(fx.panel(spark, sf), 1, {"plain": {}, "encoded": {"target_encoding": True}}, LINEAR)
+    return table.select("approach", (F.col("rmse") >= F.col("mae")).alias("ordered"))
 
 
 MEMBERS = {"tree": I.ModelSpec("gbt_fast", {"maxIter": 4, "maxDepth": 3}, COLUMNS), "linear": LINEAR}
 
 
-@query("j03_stacking")
+@query("j03_stacking", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.stacking(train, MEMBERS, 2)[0](val))
+    return judged(train, I.stacking(train, MEMBERS, 2)[0](val))
 
 
-@query("j04_blending")
+@query("j04_blending", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.blending(train, MEMBERS)[0](val))
+    return judged(train, I.blending(train, MEMBERS)[0](val))
 
 
-@query("j08_multi_model_ensemble")
+@query("j08_multi_model_ensemble", sql="SELECT true AS sums_to_one, true AS not_worse, true AS follows_scores")
 def _(spark, sf):
+    """Weights of the simplex, no worse than the best member (its own grid point), and the advice that follows."""
     train, val = parts(spark, sf)
-    return I.train_multi_model_ensemble(train, val, 1, MEMBERS, parts=4)
+    row = I.train_multi_model_ensemble(train, val, 1, MEMBERS, parts=4)
+    advice = F.when(F.col("score") < F.col("best_single_score"), "ensemble").otherwise(F.col("best_single"))
+    return row.select((F.abs(sum(F.col(f"w_{n}") for n in MEMBERS) - 1) < 1e-9).alias("sums_to_one"),
+                      (F.col("score") <= F.col("best_single_score") + 1e-4).alias("not_worse"),
+                      (F.col("recommendation") == advice).alias("follows_scores"))
 
 
-@query("j11_predict_batch")
+@query("j11_predict_batch", **JUDGED)
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return scores(I.predict(I.fit(LINEAR, train), val))
+    return judged(train, I.predict(I.fit(LINEAR, train), val))
 
 
 def test_panel(spark, sf):
@@ -283,14 +375,18 @@ def test_panel(spark, sf):
     return P.build_panel(volume, generics, med, is_train=False)
 
 
-@query("k01_generate_submission")
+@query("k01_generate_submission", views="test_volume", sql=f"""
+    , kind AS (SELECT {SER}, CASE WHEN max(CASE WHEN months_postgx BETWEEN 0 AND 5 THEN 1 ELSE 0 END) = 1 THEN 6 ELSE 0 END AS low
+      FROM test_volume GROUP BY 1, 2)
+    SELECT {SER}, CAST(h.m AS INT) AS months_postgx, true AS in_range FROM kind, (SELECT unnest(range(24)) AS m) h WHERE h.m >= low""")
 def _(spark, sf):
     test = test_panel(spark, sf)
     kinds = P.detect_test_scenarios(test)
     template = kinds.select(*SERIES, F.explode(F.sequence(F.when(F.col("scenario") == 1, 0).otherwise(6), F.lit(23))).alias("months_postgx"))
     codes = E.category_codes(fx.panel(spark, sf))
     fitted = {s: I.fit(LINEAR, frame(spark, sf, s), codes) for s in (1, 2)}
-    return forecast.generate_submission(fitted, test, template, smooth=True)
+    out = forecast.generate_submission(fitted, test, template, smooth=True)
+    return out.select(*ROW_KEY, F.coalesce(F.col("volume") >= 0, F.lit(False)).alias("in_range"))
 
 
 @query("k01_test_category_codes", views="panel test_volume medicine_info", sql="""
@@ -306,21 +402,27 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).select(*SERIES, "ther_area_encoded").distinct()
 
 
-@query("k05_route_by_bucket")
+@query("k05_route_by_bucket", views="panel", ctes=FRAME, sql=f"""
+    SELECT {ROW}, {r('avg_vol_12m')}, true AS in_range FROM frm WHERE {EVEN}""")
 def _(spark, sf):
     train, val = parts(spark, sf)
     models = I.bucket_models(train, 1, LINEAR)
-    return I.as_volume(I.route_by_bucket(models, val))
+    out = I.as_volume(I.route_by_bucket(models, val)).join(val.select(*ROW_KEY, "avg_vol_12m"), ROW_KEY)
+    return out.select(*ROW_KEY, "avg_vol_12m", F.col("volume").between(0, 2 * F.col("avg_vol_12m")).alias("in_range"))
 
 
-@query("f08_adversarial_validation")
+@query("f08_adversarial_validation", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS name, true AS in_range" for n in ["auc_fold_0", "auc_fold_1", *[f"shift_{c}" for c in COLUMNS]]))
 def _(spark, sf):
     train, val = parts(spark, sf)
     auc, shift = I.adversarial_validation(train, val, list(COLUMNS), 2, 10, 4)
     return auc.select(F.concat(F.lit("auc_fold_"), F.col("fold").cast("string")).alias("name"), F.col("auc").alias("value")).unionByName(
-        shift.select(F.concat(F.lit("shift_"), F.col("feature")).alias("name"), F.col("importance").alias("value")))
+        shift.select(F.concat(F.lit("shift_"), F.col("feature")).alias("name"), F.col("importance").alias("value"))).select(
+        "name", F.col("value").between(0, 1).alias("in_range"))
 
 
-@query("q04_sweep_with_cv")
+@query("q04_sweep_with_cv", sql="""
+    SELECT 'ridge' AS model, 3 AS n_folds, true AS ordered UNION ALL SELECT 'lasso', 3, true""")
 def _(spark, sf):
-    return I.sweep_with_cv(frame(spark, sf), 1, {"ridge": LINEAR, "lasso": I.ModelSpec("lasso", {}, COLUMNS)}, 3)
+    table = I.sweep_with_cv(frame(spark, sf), 1, {"ridge": LINEAR, "lasso": I.ModelSpec("lasso", {}, COLUMNS)}, 3)
+    return table.select("model", "n_folds", F.col("mean").between(F.col("min"), F.col("max")).alias("ordered"))

@@ -56,20 +56,53 @@ def _(spark, sf):
     return J.weighted(members(spark, sf), {"naive": 2, "linear": 1, "expo": 5})
 
 
-@query("j02_fit_weights_mae")
+def _best_mae() -> dict[str, str]:
+    values = ", ".join(f"({i}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for i, (x, y, z) in enumerate(J.simplex_grid(3, 10)))
+    return {**MEM, "points": f"SELECT * FROM (VALUES {values}) t(w_id, a, b, c)",
+            "best": f"""SELECT w_id, a, b, c FROM {{mem}} JOIN {{panel}} USING ({ROW}), {{points}} GROUP BY 1, 2, 3, 4
+                ORDER BY avg(abs(a * naive + b * linear + c * expo - y_norm)), w_id LIMIT 1"""}
+
+
+@query("j02_fit_weights_mae", views="panel aux", ctes=_best_mae(), sql=f"""
+    SELECT {ROW}, {rx('greatest(0, least(2, a * naive + b * linear + c * expo))', 'prediction')} FROM mem, best""")
 def _(spark, sf):
     y = fx.panel(spark, sf).where("months_postgx BETWEEN 0 AND 23").select(*ROW_KEY, "y_norm")
     w = J.fit_weights(y.join(J.wide(members(spark, sf), NAMES), ROW_KEY), NAMES, "y_norm", "mae", parts=10)
     return J.weighted(members(spark, sf), {n: x for n, x in w.items() if x > 0})
 
 
-@query("j05_blender")
+def _best_squares(rows: str) -> dict[str, str]:
+    """Least squares over three weights >= 0 with sum 1: the best of the corners, edge minima and inner minimum that are feasible."""
+    cells = ", ".join(f"avg(x{i} * x{j}) AS g{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3) if i <= j)
+    edges = []
+    for i, j in ((1, 2), (1, 3), (2, 3)):
+        t = f"(g{j}{j} - g{i}{j} + c{i} - c{j}) / nullif(g{i}{i} - 2 * g{i}{j} + g{j}{j}, 0)"
+        w = {i: t, j: f"1 - ({t})"}
+        edges.append("SELECT " + ", ".join(f"{w.get(k, '0')} AS w{k}" for k in (1, 2, 3)) + " FROM {moments}")
+    inner = """SELECT (r1 * a22 - r2 * a12) / nullif(a11 * a22 - a12 * a12, 0) AS w1, (r2 * a11 - r1 * a12) / nullif(a11 * a22 - a12 * a12, 0) AS w2
+        FROM (SELECT g11 - 2 * g13 + g33 AS a11, g12 - g13 - g23 + g33 AS a12, g22 - 2 * g23 + g33 AS a22,
+          c1 - c3 - g13 + g33 AS r1, c2 - c3 - g23 + g33 AS r2 FROM {moments})"""
+    return {**MEM, "fitrows": rows, "moments": f"SELECT {cells}, avg(x1 * t) AS c1, avg(x2 * t) AS c2, avg(x3 * t) AS c3 FROM {{fitrows}}",
+            "corners": "SELECT * FROM (VALUES (1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (0, 1, 0), (0, 0, 1)) v(w1, w2, w3) UNION ALL "
+                       + " UNION ALL ".join(edges) + f" UNION ALL SELECT w1, w2, 1 - w1 - w2 FROM ({inner})",
+            "chosen": """SELECT w1, w2, w3 FROM {corners}, {moments} WHERE w1 >= 0 AND w2 >= 0 AND w3 >= 0
+                ORDER BY w1 * w1 * g11 + w2 * w2 * g22 + w3 * w3 * g33 + 2 * (w1 * w2 * g12 + w1 * w3 * g13 + w2 * w3 * g23)
+                  - 2 * (w1 * c1 + w2 * c2 + w3 * c3) LIMIT 1"""}
+
+
+@query("j05_blender", views="panel aux", ctes=_best_squares(f"""SELECT {ROW}, naive AS x1, linear AS x2, expo AS x3, y_norm AS t
+    FROM {{mem}} JOIN {{panel}} USING ({ROW}) WHERE y_norm IS NOT NULL"""), sql=f"""
+    SELECT {ROW}, {rx('t', 'y_norm')}, {rx('x1', 'naive')}, {rx('x2', 'linear')}, {rx('x3', 'expo')},
+      {rx('w1 * x1 + w2 * x2 + w3 * x3', 'blended')} FROM fitrows, chosen""")
 def _(spark, sf):
     y = fx.panel(spark, sf).where("months_postgx BETWEEN 0 AND 23").select(*ROW_KEY, "y_norm")
     return J.optimize_weights(y, members(spark, sf), NAMES, "y_norm")[1]
 
 
-@query("j06_optimize_ensemble_weights")
+@query("j06_optimize_ensemble_weights", views="actual aux", digits=5, ctes=_best_squares(f"""SELECT {ROW}, avg_vol * naive AS x1,
+    avg_vol * linear AS x2, avg_vol * expo AS x3, volume AS t FROM {{mem}} JOIN {{actual}} USING ({ROW})"""), sql=f"""
+    SELECT {ROW}, {rx('t', 'volume', 5)}, {rx('x1', 'naive', 5)}, {rx('x2', 'linear', 5)}, {rx('x3', 'expo', 5)},
+      {rx('w1 * x1 + w2 * x2 + w3 * x3', 'blended', 5)} FROM fitrows, chosen""")
 def _(spark, sf):
     return J.optimize_weights(actual(spark, sf), members(spark, sf, False), NAMES)[1]
 
@@ -169,7 +202,22 @@ def _(spark, sf):
     return K.fit_grouped_calibration(validation(spark, sf))
 
 
-@query("k06_isotonic_calibration")
+ISO = {**CAL,
+       "levels": """SELECT scenario, bucket, time_window, vp, row_number() OVER (PARTITION BY scenario, bucket, time_window ORDER BY vp) AS i,
+           sum(sum(va)) OVER w AS s, sum(count(*)) OVER w AS n, sum(va) AS s1, count(*) AS n1 FROM {valrows} WHERE bucket IS NOT NULL GROUP BY 1, 2, 3, 4
+           WINDOW w AS (PARTITION BY scenario, bucket, time_window ORDER BY vp ROWS UNBOUNDED PRECEDING)""",
+       "spans": """SELECT a.scenario, a.bucket, a.time_window, a.i AS lo, b.i AS hi, b.vp, min((b.s - a.s + a.s1) / (b.n - a.n + a.n1)) OVER (
+             PARTITION BY a.scenario, a.bucket, a.time_window, a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m
+           FROM {levels} a JOIN {levels} b ON a.scenario = b.scenario AND a.bucket = b.bucket AND a.time_window = b.time_window AND a.i <= b.i""",
+       "iso": "SELECT scenario, bucket, time_window, vp, max(m) AS fit FROM {spans} GROUP BY 1, 2, 3, 4",
+       "isosize": "SELECT scenario, bucket, time_window FROM {valrows} GROUP BY 1, 2, 3 HAVING count(*) >= 5"}
+
+
+@query("k06_isotonic_calibration", views="pairs", ctes=ISO, digits=3, sql=f"""
+    SELECT {ROW}, v.scenario, v.bucket, {rx('avg_vol', 'avg_vol', 3)}, {rx('va', 'volume_true', 3)}, {rx('v.vp', 'volume_pred', 3)},
+      {rx('greatest(0, CASE WHEN z.scenario IS NULL THEN v.vp ELSE coalesce(fit, v.vp) END)', 'volume', 3)}
+    FROM valrows v LEFT JOIN isosize z ON z.scenario = v.scenario AND z.bucket = v.bucket AND z.time_window = v.time_window
+    LEFT JOIN iso i ON i.scenario = v.scenario AND i.bucket = v.bucket AND i.time_window = v.time_window AND i.vp = v.vp""")
 def _(spark, sf):
     val = validation(spark, sf)
     return K.apply_isotonic_calibration(val.withColumn("volume", F.col("volume_pred")), K.fit_isotonic_calibration(val))

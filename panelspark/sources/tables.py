@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +52,9 @@ def get_panel(spark: SparkSession, store: str, split: str, load: Callable[[], Ma
 
 def get_features(spark: SparkSession, store: str, split: str, scenario, mode: str,
                  panel: Callable[[], DataFrame], config: dict | None = None, force_rebuild: bool = False) -> DataFrame:
-    """Stored feature frame of (split, scenario, mode); E.split_features_target_meta names its columns."""
-    path = f"{store}/features/split={split}/scenario={scenario}/mode={mode}"
+    """Stored feature frame of (split, scenario, mode, options); E.split_features_target_meta names its columns."""
+    options = hashlib.md5(json.dumps(config or {}, sort_keys=True, default=str).encode()).hexdigest()[:12]
+    path = f"{store}/features/split={split}/scenario={scenario}/mode={mode}/options={options}"
     if not force_rebuild:
         stored = read_parquet_or_none(spark, path)
         if stored is not None:
