@@ -233,7 +233,9 @@ def resilience(actual: DataFrame, pred: DataFrame, threshold: float = 0.0, criti
     offset of the first uncritical month at or after the worst one.
     """
     pct = F.col("error_pct")
-    under, crit = F.col("error") > threshold, pct > critical
+    # a shortfall in the last digits of a double is none
+    under = (F.col("error") > threshold) & (F.coalesce(pct, F.lit(1.0)) > 1e-12)
+    crit = pct > critical
     stats = _shortfall(actual, pred).groupBy(*SERIES).agg(
         F.count(F.lit(1)).alias("n_months"), F.sum(flag(under)).alias("under_forecast_count"),
         F.coalesce(F.max(F.when(under, pct)), F.lit(0.0)).alias("max_under_forecast"),
