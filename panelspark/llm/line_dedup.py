@@ -1,11 +1,13 @@
 """Repeated runs of lines, found by winnowing over line hashes; DataFrame functions only.
 
-Lines with a word are units. The window of a unit is the shortest run of units
-from it that holds ``min_words`` words, so every run that long contains a whole
-window. The smallest line hash of a window is its fingerprint: equal runs share
-it, and only windows whose fingerprint stands at two places go on. Their whole
-content is matched, matches grow both ways through the overlapping windows, and
-every run but the first is deleted.
+Lines with a word are units. Windows are the shortest runs of units that hold
+``min_words`` words: from each unit on, up to each unit, and over each gap
+between two units. Every unit and every gap of a longer run lies in a window
+inside that run, whichever earlier place the run stands at. The smallest line
+hash of a window is its fingerprint: equal runs share it, and only windows whose
+fingerprint stands at two places go on. Their whole content is matched, matches
+grow both ways through the overlapping windows to the ends of the repeated run,
+and every run but the first is deleted.
 """
 
 from __future__ import annotations
@@ -31,14 +33,23 @@ def line_windows(docs: DataFrame, min_words: int) -> DataFrame:
     # equal rows of one doc_id are one document
     units = units.repartition("rid").groupBy("rid", "pos").agg(*(F.first(c).alias(c) for c in ("doc_id", "w", "h", "h2")))
     doc = W.partitionBy("rid")
-    units = units.withColumn("s", F.sum("w").over(doc.orderBy("pos")) - F.col("w")).withColumn("total", F.sum("w").over(doc))
-    frame = doc.orderBy("s").rangeBetween(0, min_words - 1)
-    windows = units.select(
-        "rid", "doc_id", "pos", "s", "total", F.max("pos").over(frame).alias("to"),
-        F.min(F.struct("h", F.negate("pos").alias("p"))).over(frame).alias("print"),
-        F.collect_list(F.struct("h", "h2")).over(frame).alias("content"))
-    return windows.where(f"s + {min_words} <= total").select(
-        "rid", "doc_id", "pos", "to", F.col("print.h").alias("print"), F.negate("print.p").alias("at"),
+    units = units.withColumn("s", F.sum("w").over(doc.orderBy("pos")) - F.col("w"))
+    units = units.withColumn("e", F.col("s") + F.col("w"))
+
+    def over(frame):
+        return (F.min("pos").over(frame).alias("from"), F.max("pos").over(frame).alias("to"), F.sum("w").over(frame).alias("words"),
+                F.min(F.struct("h", F.negate("pos").alias("p"))).over(frame).alias("print"),
+                F.collect_list(F.struct("h", "h2")).over(frame).alias("content"))
+
+    # from a unit on; over the gap behind a unit that is long enough alone; up to a unit, where that is no window of the first kind
+    kinds = [(over(doc.orderBy("s").rangeBetween(0, min_words - 1)), f"words >= {min_words}"),
+             (over(doc.orderBy("s").rowsBetween(0, 1)), f"w >= {min_words} AND to > from"),
+             (over(doc.orderBy("e").rangeBetween(1 - min_words, 0)), f"words - w >= {min_words}")]
+    windows = units.select("rid", "doc_id", "w", F.array(*(F.struct(*columns) for columns, _ in kinds)).alias("found"))
+    windows = windows.select("rid", "doc_id", "w", F.posexplode("found").alias("kind", "found")).select("rid", "doc_id", "w", "kind", "found.*")
+    which = " OR ".join(f"kind = {i} AND {condition}" for i, (_, condition) in enumerate(kinds))
+    return windows.where(which).select(
+        "rid", "doc_id", F.col("from").alias("pos"), "to", F.col("print.h").alias("print"), F.negate("print.p").alias("at"),
         F.xxhash64("content.h").alias("g1"), F.xxhash64("content.h2").alias("g2"))
 
 

@@ -180,3 +180,43 @@ def test_line_dedup_odd_rows(odd, make):
     assert got.count() == 7 and set(odd.columns) <= set(got.columns)
     assert [r["n_removed"] for r in got.collect()] == [0] * 7
     assert line_dedup.drop_repeated_lines(make([])).collect() == []
+
+
+def brute_lines(rows, least=10):
+    """Every run of lines with words, compared with every earlier place; rows in the order of doc_id."""
+    units = [(i, [(pos, line, len(WORD.findall(line))) for pos, line in enumerate(text.split("\n")) if WORD.search(line)]) for i, text in rows]
+    seen, gone = set(), collections.defaultdict(set)
+    for i, found in units:
+        for a in range(len(found)):
+            for b in range(a + 1, len(found) + 1):
+                run = tuple(line for _, line, _ in found[a:b])
+                if sum(w for *_, w in found[a:b]) >= least:
+                    if run in seen:
+                        gone[i].add((found[a][0], found[b - 1][0]))
+                    seen.add(run)
+    out = {}
+    for i, text in rows:
+        runs = []
+        for a, b in sorted(gone[i]):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        lines = text.split("\n")
+        kept = [line for pos, line in enumerate(lines) if not any(a <= pos <= b for a, b in runs)]
+        out[i] = (len(lines), len(lines) - len(kept), len(runs), "\n".join(kept))
+    return out
+
+
+def test_line_dedup_takes_runs_to_their_ends(make):
+    long = "one two three four five six seven eight nine ten"
+    r = random.Random(11)
+    lines = [long, "a b", "c", "d e f g", "h i j k l m", "", " ", "n o p q r s t u v w x"]
+    # a run that ends in a short line, at the end of a text, before other text, and longer at the second place than at the first
+    rows = [(1, f"{long}\nalpha beta"), (2, f"{long}\nalpha beta"), (3, f"{long}\nalpha beta\nother words"), (4, f"x\n{long}\nother words"),
+            (5, f"{long}\n\n{long} eleven\nlast"), (6, f"{long}\n\n{long} eleven\nlast")]
+    rows += [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 9)))) for i in range(10, 60)]
+    got = {x["doc_id"]: (x["n_lines"], x["n_removed"], x["n_runs"], x["text"]) for x in line_dedup.drop_repeated_lines(make(rows)).collect()}
+    want = brute_lines(rows)
+    assert got == want
+    assert want[2] == (2, 2, 1, "") and want[3][3] == "other words" and want[6] == (4, 4, 1, "")
