@@ -5,7 +5,10 @@ how ordinary that is: characters per token, the share of tokens that fall back
 to single bytes, and the entropy of the tokens. All three depend on the language
 and on the length, so each document is held against the quartiles of the
 documents of its language (its script, where the language is unknown) and of its
-power of two of words. The quartiles are exact and over all documents.
+power of two of words. The quartiles are exact and over all documents. A group
+with few documents takes the band of the neighbouring sizes, else of its whole
+language, widened where that has few too; a language of one or two documents
+takes the band around those of the languages of its script, else of all.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ class FertilityParams:
     ``low`` bounds the sum of the distances of characters per token and entropy
     below the median, ``high`` characters per token above it, and ``bytes`` the
     byte-fallback share above its upper quartile. Groups of fewer than
-    ``support`` documents reject nothing.
+    ``support`` documents are judged by a wider band, see ``wider_bands``.
     """
     model: str = ""
     low: float = 2.75
@@ -137,6 +140,59 @@ def measures(docs: DataFrame, p: FertilityParams) -> DataFrame:
         + ", script string, n_tokens long, chars_per_token double, byte_share double, entropy double")
 
 
+#: Measures that have bands, and the digits they are rounded to there.
+METRICS = {"chars_per_token": 3, "entropy": 2, "byte_share": 4, "of_most": 3}
+
+
+def wider_bands(found: DataFrame, p: FertilityParams) -> DataFrame:
+    """(_group, script, _size, _level, _scale, b_ of each measure): the narrowest band with enough documents for each kind of document.
+
+    Levels: 0 the group's size, 1 with its neighbours, 2 all sizes of the
+    group, 3 around the groups of the script, 4 around all groups. They need
+    ``support`` documents, but 2 needs three, the fewest whose median one odd
+    document can't be, and 4 any. Quartiles of n documents are uncertain by
+    1 / sqrt(n), so with fewer than ``support`` the widths are multiplied by
+    _scale. A band has its quartiles low and high, and the least and most of
+    the medians in it.
+    """
+    # few distinct values by rounding, so the quartiles come from counts of values
+    values = found.select("_group", "script", "_size", F.posexplode(F.array(*(F.round(c, d) for c, d in METRICS.items()))).alias("metric", "value"))
+    values = stage(values.groupBy("_group", "script", "_size", "metric", "value").agg(F.count("*").alias("n")))
+
+    def key(level, group="", script="", size=-1):
+        cast = [F.lit(x) if isinstance(x, str) else x for x in (group, script)]
+        return F.struct(F.lit(level).alias("level"), cast[0].alias("group"), cast[1].alias("of"), (F.lit(size) if isinstance(size, int) else size).alias("size"))
+
+    group, script, size = F.col("_group"), F.col("script"), F.col("_size")
+    part = values.select(F.explode(F.array(
+        key(0, group, size=size), *(key(1, group, size=size + d) for d in (-1, 0, 1)), key(2, group), key(3, group, script), key(4))).alias("key"),
+        "metric", "value", "n").select("key.*", "metric", "value", "n")
+    part = part.groupBy("level", "group", "of", "size", "metric", "value").agg(F.sum("n").alias("n"))
+    part = part.groupBy("level", "group", "of", "size").agg(
+        *(F.expr(f"percentile(CASE WHEN metric = {i} THEN value END, array(0.25, 0.5, 0.75), CASE WHEN metric = {i} THEN n ELSE 0 END)").alias(f"q_{c}")
+          for i, c in enumerate(METRICS)),
+        F.sum(F.when(F.col("metric") == 0, F.col("n"))).alias("_n"))
+    part = part.withColumn("_scale", F.sqrt(F.greatest(F.lit(1.0), p.support / F.col("_n"))))
+    part = stage(part.where((F.col("_n") >= p.support) | (F.col("level") == 2) & (F.col("_n") >= 3) | (F.col("level") == 4)))
+
+    def around(rows, *by):
+        return rows.groupBy(*by).agg(F.max("_scale").alias("_scale"), *(F.struct(
+            F.min(F.col(f"q_{c}")[0]).alias("low"), F.min(F.col(f"q_{c}")[1]).alias("least"),
+            F.max(F.col(f"q_{c}")[1]).alias("most"), F.max(F.col(f"q_{c}")[2]).alias("high")).alias(f"b_{c}") for c in METRICS))
+
+    names = ["level", "group", "of", "size"]
+    bands = around(part.where("level < 3"), *names)
+    bands = bands.unionByName(around(part.where("level = 3").withColumn("group", F.lit("")), *names))
+    bands = bands.unionByName(around(part.where("level >= 3").select(
+        F.lit(4).alias("level"), F.lit("").alias("group"), F.lit("").alias("of"), F.lit(-1).alias("size"), "_scale", *(f"q_{c}" for c in METRICS)), *names))
+    kinds = values.select("_group", "script", "_size").distinct().withColumn("key", F.explode(F.array(
+        key(0, group, size=size), key(1, group, size=size), key(2, group), key(3, script=script), key(4))))
+    joined = kinds.select("_group", "script", "_size", "key.*").join(bands, names)
+    taken = joined.groupBy("_group", "script", "_size").agg(
+        F.min("level").alias("_level"), F.min_by(F.struct("_scale", *(f"b_{c}" for c in METRICS)), "level").alias("band"))
+    return stage(taken.select("_group", "script", "_size", "_level", "band.*"))
+
+
 def rate(docs: DataFrame, params: FertilityParams = FertilityParams()) -> DataFrame:
     """Per row of (doc_id, text, lang if there): the counts, the measures, base_failed and kept.
 
@@ -150,27 +206,23 @@ def rate(docs: DataFrame, params: FertilityParams = FertilityParams()) -> DataFr
     p = params
     found = stage(measures(docs, p).withColumn("_group", F.coalesce(F.concat(F.lit("lang "), "lang"), F.concat(F.lit("script "), "script")))
                   .withColumn("_size", F.floor(F.log2(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))).cast("int")))
-    of = ["_group", "_size"]
-    metrics = {"chars_per_token": 3, "entropy": 2, "byte_share": 4}
-    # few distinct values by rounding, so the quartiles come from counts of values
-    values = found.select(*of, F.posexplode(F.array(*(F.round(c, d) for c, d in metrics.items()))).alias("metric", "value"))
-    values = values.groupBy(*of, "metric", "value").agg(F.count("*").alias("n"))
-    bands = values.groupBy(*of).agg(
-        *(F.expr(f"percentile(CASE WHEN metric = {i} THEN value END, array(0.25, 0.5, 0.75), CASE WHEN metric = {i} THEN n ELSE 0 END)").alias(f"q_{c}")
-          for i, c in enumerate(metrics)),
-        F.sum(F.when(F.col("metric") == 0, F.col("n"))).alias("_n"))
+    found = found.withColumn("of_most", F.col("entropy") / F.log2(F.greatest(F.col("n_tokens"), F.lit(2)).cast("double")))
+    bands = wider_bands(found, p)
 
     def width(c, least):
-        return F.greatest(F.col(f"q_{c}")[2] - F.col(f"q_{c}")[0], least)
+        return F.col("_scale") * F.greatest(F.col(f"b_{c}.high") - F.col(f"b_{c}.low"), least)
 
-    def distance(c):
-        middle = F.col(f"q_{c}")[1]
+    def distance(c, side):
+        middle = F.col(f"b_{c}.{side}")
         return (F.col(c) - middle) / F.greatest(width(c, p.floor * middle), F.lit(1e-9))
 
+    # longer texts have more entropy and less of the most they could have; over several sizes only what is low in both counts
+    low = F.least(F.greatest(distance("entropy", "least"), distance("of_most", "least")), F.lit(0.0))
+    entropy = F.when(F.col("_level") == 0, distance("entropy", "least")).otherwise(low)
     base = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
-    odd = (distance("chars_per_token") + distance("entropy") < -p.low) | (distance("chars_per_token") > p.high) | (
-        F.col("byte_share") > F.col("q_byte_share")[2] + p.bytes * width("byte_share", F.lit(p.byte_floor)))
-    out = found.join(bands, of, "left").withColumn("base_failed", base)
-    return out.withColumn("kept", ~F.col("base_failed") & ~((F.col("_n") >= p.support) & odd)).select(
+    odd = (distance("chars_per_token", "least") + entropy < -p.low) | (distance("chars_per_token", "most") > p.high) | (
+        F.col("byte_share") > F.col("b_byte_share.high") + p.bytes * width("byte_share", F.lit(p.byte_floor)))
+    out = found.join(bands, ["_group", "script", "_size"]).withColumn("base_failed", base)
+    return out.withColumn("kept", ~F.col("base_failed") & ~odd).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "script", "n_tokens", "chars_per_token", "byte_share", "entropy")

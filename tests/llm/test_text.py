@@ -172,6 +172,34 @@ def test_fertility_finds_odd_text(make):
     assert sum(got[i] for i, _ in rows[:197]) >= 0.95 * 197 and not any(got[300 + i] for i in range(10))
 
 
+def test_fertility_judges_small_groups(make):
+    model = fertility.FertilityParams(model=public_tokenizers.path("piece_bpe_32k.model"), max_repeat_percent=100)
+    r = random.Random(12)
+    words = "the of and river market between during question answer winter paper window garden simple letters morning".split()
+    other = "der die und fluss markt zwischen frage antwort winter papier fenster garten einfach briefe morgen strasse".split()
+
+    def text(n, of=words, noise=("",)):
+        return " ".join(r.choice(of) + r.choice(noise) for _ in range(n))
+
+    noise = ("###", "$$$", "%%%")
+    usual = [(i, text(120)) for i in range(3, 23)]
+    rare = [(1000 + i, text(120, other)) for i in range(4)]
+    sizes = [(1100, text(12)), (1101, text(9000))]
+    odd = [(2000, text(120, noise=noise)), (2001, text(9000, noise=noise)), (2002, text(14, noise=noise)), (2003, text(120, other, noise)), (2004, "the " * 9000),
+           (2005, text(120, noise=noise))]
+
+    def kept(rows):
+        docs = make(rows).withColumn("lang", F.when(F.col("doc_id").isin([1000, 1001, 1002, 1003, 2003]), "de")
+                                           .when(F.col("doc_id") == 2005, "fr").otherwise("en"))
+        return {x["doc_id"] for x in fertility.rate(docs, model).where("kept").collect()}
+
+    # one table of a few documents, and one where only the rare languages and sizes are few
+    small = kept(usual + odd[:1])
+    assert 2000 not in small and len(small) >= 18
+    large = kept([(i, text(120)) for i in range(3, 400)] + rare + sizes + odd)
+    assert not large & {i for i, _ in odd} and {1000, 1001, 1002, 1003, 1100, 1101} <= large
+
+
 def test_scripts():
     assert [fertility.script_of(t) for t in ("Hello é", "Привет a", "漢字 a", "12 !", "")] == ["latin", "cyrillic", "han", "none", "none"]
 
