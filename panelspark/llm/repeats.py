@@ -305,3 +305,61 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
 
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
                                   "runs array<struct<from:int,to:int>>, kept binary")
+
+
+def repeat_groups(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """(group, length, doc_id, th, place): every maximal repeat of ``length`` bytes or more, a row per occurrence.
+
+    group is a hash of the repeated string, length its full length in bytes,
+    which no context cuts; place is a byte of the text that th names. Maximal
+    is as in ``repeat_tree``; the copies of a text are occurrences each. Only
+    places in ``repeated_spans`` are looked at, and of those with the same next
+    ``length`` bytes only such as differ in the byte before. One task compares
+    what follows all the places of one such string.
+    """
+    p, keyed = params, _keyed(docs)
+    spans = repeated_spans(keyed, p).groupBy("th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    texts = keyed.groupBy("th").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+    def starts(batches):
+        for batch in batches:
+            for part in tb.slices(batch, "text", 1 << 20):
+                data, off = tb.flat(part.column("text"))
+                prefix = tb.prefix_hash(data)
+                for th, copies, spans, a, b in zip(part.column("th").to_pylist(), part.column("copies").to_pylist(),
+                                                   part.column("spans").to_pylist(), off[:-1], off[1:]):
+                    runs = merge([(x["from"], min(x["to"], b - a)) for x in spans])
+                    at = np.concatenate([a + np.arange(x, max(x, y - p.length + 1)) for x, y in runs]).astype(np.int64)
+                    left = np.where(at > a, data[at - 1].astype(np.int32), -1)
+                    key = tb.span_hash(prefix, at, at + p.length).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key), pa.array(np.full(len(at), th, np.int64)), pa.array((at - a).astype(np.int32)),
+                         pa.array(left.astype(np.int32)), pa.array(np.full(len(at), copies, np.int64))], names=["key", "th", "place", "left", "copies"])
+
+    found = stage(texts.join(spans, "th").select("th", "text", "copies", "spans").mapInArrow(
+        starts, "key long, th long, place int, left int, copies long"))
+    open_ = found.groupBy("key").agg(F.sum("copies").alias("n"), F.min("left").alias("a"), F.max("left").alias("b"))
+    open_ = open_.where("n > 1 AND (a <> b OR a < 0)").select("key")
+    places = found.join(open_, "key", "left_semi").join(texts.select("th", "text"), "th")
+    places = places.select("key", "th", "place", "left", "copies", F.expr("substring(cast(text AS binary), place + 1)").alias("rest"))
+
+    def solve(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("rest", "th", "place", "left", "copies"))))
+        # a second copy stands for all the others
+        rows = [r for r in rows for _ in range(min(2, r[4]))]
+        common = np.zeros(len(rows), np.int64)
+        for i in range(1, len(rows)):
+            a, b = rows[i - 1][0], rows[i][0]
+            n = min(len(a), len(b))
+            differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if a[:n] != b[:n] else ()
+            common[i] = differ[0] if len(differ) else n
+        left = np.array([r[3] if r[3] >= 0 else -1 - i for i, r in enumerate(rows)], np.int64)
+        out = []
+        for n, a, b in intervals(common, left, p.length):
+            group = int.from_bytes(hashlib.blake2b(rows[a][0][:n], digest_size=8).digest(), "little", signed=True)
+            out += [(group, n, th, place) for th, place in sorted({r[1:3] for r in rows[a:b + 1]})]
+        cols = list(zip(*out)) if out else [[]] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["group", "length", "th", "place"])
+
+    groups = places.groupBy("key").applyInArrow(solve, "group long, length long, th long, place int")
+    return groups.join(keyed.select("doc_id", "th"), "th").select("group", "length", "doc_id", "th", "place")

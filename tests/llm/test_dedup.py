@@ -158,6 +158,21 @@ def test_repeated_bytes_equal_brute_force(make, block):
         assert tuple(got[i])[1:5] == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeat_groups_equal_brute_force(make):
+    r = random.Random(4)
+    shared = ["".join(r.choice("abcé \n") for _ in range(n)) for n in (60, 400, 45)]
+    rows = [(i, "".join(r.choice("abcdefghij ") for _ in range(r.randrange(0, 80))) + r.choice([*shared, ""]) + r.choice([shared[0][7:], shared[1][9:300], "ab" * 40, ""]))
+            for i in range(40)] + [(90, None), (91, ""), (92, shared[1]), (93, shared[1]), (94, shared[1]), (95, "x" + shared[1])]
+    got = collections.defaultdict(set)
+    for x in repeats.repeat_groups(make(rows), repeats.RepeatParams(length=40, gram=20)).collect():
+        assert (x["doc_id"], x["place"]) not in got[x["group"], x["length"]]
+        got[x["group"], x["length"]].add((x["doc_id"], x["place"]))
+    want = [(n, frozenset((rows[t][0], a) for t, a in at)) for n, at in repeats.maximal_repeats([(t or "").encode() for _, t in rows], 40)]
+    assert sorted(((n, sorted(at)) for (_, n), at in got.items())) == sorted((n, sorted(at)) for n, at in want)
+    assert max(n for n, _ in want) >= 400
+    assert repeats.repeat_groups(make([])).collect() == []
+
+
 def test_repeats_odd_rows(odd, make):
     got = repeats.remove_repeats(odd).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in got} == {1: (0, 0), 2: (0, 0), 3: (4, 0), None: (10, 0), 4: (14, 0), 5: (300_000, 300_000)}
