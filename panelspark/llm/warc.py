@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -126,7 +127,7 @@ class WarcSource(DataSource):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Files are named anew by every attempt; the manifest, written last, names those that count."""
+    """Files are named anew by every attempt; a manifest of each write, written last, names those that count."""
 
     def __init__(self, options):
         self.path, self.level = options["path"].rstrip("/"), int(options.get("level", 6))
@@ -144,7 +145,7 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/manifest.json", compression=None) as out:
+        with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json", compression=None) as out:
             out.write(json.dumps([[m.path, m.size] for m in messages if m]).encode())
 
     def abort(self, messages):
@@ -174,15 +175,18 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, root = filesystem(self.path)
-        info = fs.get_file_info(f"{root}/manifest.json")
-        if info.type == pafs.FileType.File:
-            with fs.open_input_stream(info.path, compression=None) as f:
-                files = [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
-        elif fs.get_file_info(root).type == pafs.FileType.File:
+        if fs.get_file_info(root).type == pafs.FileType.File:
             files = [(root, fs.get_file_info(root).size)]
         else:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-            files = sorted((x.path, x.size) for x in found if x.path.endswith((".warc", ".warc.gz")))
+            lists = [x.path for x in found if re.fullmatch(r"manifest(-[0-9a-f]{32})?\.json", x.base_name)]
+            # a writer's own files count once a manifest names them, archives from elsewhere as they lie there
+            own = re.compile(r"part-[0-9a-f]{32}\.warc\.gz").fullmatch if lists else lambda name: None
+            named = {(x.path, x.size) for x in found if x.path.endswith((".warc", ".warc.gz")) and not own(x.base_name)}
+            for path in lists:
+                with fs.open_input_stream(path, compression=None) as f:
+                    named |= {(f"{path.rsplit('/', 1)[0]}/{name}", size) for name, size in json.loads(f.read())}
+            files = sorted(named)
         return [Range(path, a, min(a + self.split, size)) for path, size in files for a in range(0, size, self.split)] or [Range("", 0, 0)]
 
     def read(self, partition):

@@ -293,6 +293,18 @@ def test_warc_reads_plain_and_foreign_archives(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "plain"), payload=False).where("record_id IN ('<r3>', '<r4>')").select("payload_bytes", "payload").distinct().count() == 2
 
 
+def test_warc_writes_add_up(spark, tmp_path):
+    import gzip
+    path = str(tmp_path / "a")
+    for k in range(2):
+        warc.write_warc(warc.page_records(pages(spark, [(10 * k + i, "u", f"x{10 * k + i}", "p", "d") for i in range(5)])), path)
+    row = {"record_type": "response", "record_id": "<foreign>", "target_uri": "u", "date": None, "payload_digest": None, "refers_to": None, "payload_bytes": None, "payload": b"x"}
+    (tmp_path / "a" / "foreign.warc.gz").write_bytes(gzip.compress(warc.record(row)))
+    (tmp_path / "a" / f"part-{'0' * 32}.warc.gz").write_bytes(gzip.compress(warc.record(row | {"record_id": "<left by a failed attempt>"})))
+    got = sorted(r["record_id"] for r in warc.read_warc(spark, path).collect())
+    assert got == sorted(["<foreign>", *(f"<urn:x-page:{10 * k + i}>" for k in range(2) for i in range(5))])
+
+
 def test_pipeline_follows_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
