@@ -135,8 +135,10 @@ def plan_mix(base: DataFrame, p: MixParams) -> DataFrame:
     rows = []
     for r, flow in zip(sums, flows):
         at, size = [index[s] for s in r["_sources"]], r["size"]
-        # a source with documents of its own only has one way; its target is then exact
-        amount = goal[at[0]] if len(at) == 1 and shared[at[0]] == 1 else sum(flow.values())
+        amount = sum(flow.values())
+        # a source with documents of its own only has one way; what was routed there is its target but for rounding
+        if len(at) == 1 and shared[at[0]] == 1 and abs(amount - goal[at[0]]) <= 1e-6 * max(1.0, goal[at[0]]):
+            amount = goal[at[0]]
         copies = min(p.repeats, int(amount // size)) if size else 0
         rows.append((r["_sources"], copies, float(amount - copies * size) if copies < p.repeats else 0.0,
                      sum(sizes[i] for i in at), float(sum(goal[i] for i in at))))

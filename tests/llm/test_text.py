@@ -144,6 +144,17 @@ def test_overlapping_sources(spark):
     assert len(got) == 90 and abs(sum(r["taken"] for r in got) - 1.5 * 900) <= 30
 
 
+def test_flow_decides_for_single_sources(make, monkeypatch):
+    route, docs = mixing.route, make([(i, "w " * 10) for i in range(3, 63)])
+
+    def taken():
+        return sum(r["taken"] for r in mixing.mix(docs).collect())
+
+    whole = taken()
+    monkeypatch.setattr(mixing, "route", lambda *a: [{k: v / 2 for k, v in flow.items()} for flow in route(*a)])
+    assert whole > 0 and abs(taken() - whole / 2) <= 20
+
+
 def test_fertility_counts(make, odd):
     model = fertility.FertilityParams(model=public_tokenizers.path("piece_bpe_32k.model"))
     r = random.Random(6)
