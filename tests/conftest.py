@@ -56,8 +56,3 @@ def scored(spark):
     rows = "country string, brand_name string, months_postgx int, volume double"
     return (spark.createDataFrame(actual, rows), spark.createDataFrame(pred, rows),
             spark.createDataFrame(aux, "country string, brand_name string, avg_vol double, bucket int"))
-
-
-def by_key(df, *columns):
-    """{(country, brand_name, months_postgx): row} for small frames."""
-    return {(r["country"], r["brand_name"], r["months_postgx"]): r for r in df.collect()}

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import by_key
+from panel_rows import by_key
 from panelspark.operators import columns as C
 from panelspark.operators import features as E
 from panelspark.operators import quality as Q

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_key
+from panel_rows import by_key
 from panelspark.operators import columns as C
 from panelspark.operators import panel as P
 

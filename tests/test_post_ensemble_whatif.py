@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_key
+from panel_rows import by_key
 from panelspark.operators import baselines as B
 from panelspark.operators import ensemble as J
 from panelspark.operators import metrics as G
