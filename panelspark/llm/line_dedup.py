@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.stage import stage
+from panelspark.llm import textbytes as tb
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,14 +81,16 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     the same answer. Columns named n_lines, n_removed or n_runs are replaced.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = repeated_lines(own, min_words).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("from", "to")).alias("_runs"))
-    out = docs.withColumn("_rid", F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.col("text").cast("string")))
-    out = out.join(runs, "_rid", "left")
-    removed = F.expr("coalesce(aggregate(_runs, 0L, (a, r) -> a + r.to - r.from + 1), 0L)")
-    lines = F.split(F.col("text"), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (i >= r["from"]) & (i <= r["to"])))
-    cleaned = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": removed, "n_runs": F.when(F.col("_runs").isNull(), 0).otherwise(F.size("_runs")).cast("long"),
-        "text": cleaned}).select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")], "n_lines", "n_removed", "n_runs")
+    rid, found = tb.spare(docs.columns, "_rid"), tb.spare(docs.columns, "_runs")
+    runs = repeated_lines(own, min_words).groupBy(F.col("rid").alias(rid)).agg(F.collect_list(F.struct("from", "to")).alias(found))
+    out = docs.withColumn(rid, F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.col("text").cast("string")))
+    out = out.join(runs, rid, "left")
+    removed = F.expr(f"coalesce(aggregate({found}, 0L, (a, r) -> a + r.to - r.from + 1), 0L)")
+    text = F.col("text").cast("string")
+    lines = F.split(text, "\n", -1)
+    kept = F.filter(lines, lambda _, i: ~F.exists(found, lambda r: (i >= r["from"]) & (i <= r["to"])))
+    answer = {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": removed,
+              "n_runs": F.when(F.col(found).isNull(), 0).otherwise(F.size(found)).cast("long")}
+    cleaned = F.when(F.col(found).isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text")
+    rest = [c for c in docs.columns if c.lower() not in answer]
+    return out.select(*(cleaned if c == "text" else F.col(q) for c, q in zip(rest, tb.quoted(rest))), *(c.alias(n) for n, c in answer.items()))

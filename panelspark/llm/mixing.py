@@ -8,7 +8,6 @@ each pattern is taken, and a seeded order of its documents makes that whole.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.stage import stage
+from panelspark.llm import textbytes as tb
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,53 +52,90 @@ def targets(sizes: list[float], weights: list[float], total: float, repeats: flo
 def route(patterns: list[tuple[tuple[int, ...], float]], quotas: list[float], repeats: int) -> list[dict[int, float]]:
     """Per pattern the tokens it sends to each of its sources: the cheapest of the largest flows.
 
-    Successive cheapest paths; sending a pattern's tokens for the k-th time
-    costs k - 1 a token, so repetition is spread before it is deepened.
+    Sending a pattern's tokens for the k-th time costs k - 1 a token, so
+    repetition is spread before it is deepened. All other links are free, so a
+    cheapest path costs what its first link costs, and one price level after
+    another is a largest flow that begins at the flow of the level before it.
     """
-    start, end = 0, 1 + len(patterns) + len(quotas)
-    graph: list[list[int]] = [[] for _ in range(end + 1)]
-    edges: list[list[float]] = []  # to, capacity, cost; the reverse edge is the next or previous one
-
-    def link(a, b, capacity, cost):
-        graph[a].append(len(edges))
-        edges.append([b, capacity, cost])
-        graph[b].append(len(edges))
-        edges.append([a, 0.0, -cost])
-
-    for i, (sources, size) in enumerate(patterns):
-        for k in range(repeats):
-            link(start, 1 + i, float(size), float(k))
-        for s in sources:
-            link(1 + i, 1 + len(patterns) + s, math.inf, 0.0)
-    for s, quota in enumerate(quotas):
-        link(1 + len(patterns) + s, end, float(quota), 0.0)
     tiny = 1e-9 * (1.0 + sum(quotas))
-    while True:
-        cost, via, queue = [math.inf] * (end + 1), [-1] * (end + 1), [start]
-        cost[start] = 0.0
-        while queue:
-            later = []
-            for a in queue:
-                for e in graph[a]:
-                    b, capacity, price = edges[e]
-                    if capacity > tiny and cost[a] + price < cost[b] - 1e-12:
-                        cost[b], via[b] = cost[a] + price, e
-                        later.append(b)
-            queue = list(dict.fromkeys(later))
-        if via[end] < 0:
-            break
-        path, node = [], end
-        while node != start:
-            path.append(via[node])
-            node = edges[via[node] ^ 1][0]
-        amount = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= amount
-            edges[e ^ 1][1] += amount
-    out = []
-    for i in range(len(patterns)):
-        out.append({edges[e][0] - 1 - len(patterns): edges[e ^ 1][1] for e in graph[1 + i] if edges[e][0] > len(patterns) and edges[e ^ 1][1] > tiny})
-    return out
+    sent: list[dict[int, float]] = [dict.fromkeys(sources, 0.0) for sources, _ in patterns]
+    by_source: list[set[int]] = [set() for _ in quotas]  # patterns with tokens at a source
+    room = [float(q) for q in quotas]
+    left = [0.0] * len(patterns)
+    for _ in range(repeats):
+        left = [a + float(size) for a, (_, size) in zip(left, patterns)]
+        while _blocking(sent, by_source, room, left, tiny):
+            pass
+    return [{s: x for s, x in row.items() if x > tiny} for row in sent]
+
+
+def _blocking(sent, by_source, room, left, tiny: float) -> bool:
+    """One phase of largest flow: layers of patterns and sources by distance, then every path along them until none is left.
+
+    A path leads from a pattern with tokens left to a source with room, and in
+    between moves tokens that a pattern has at one source to another of its
+    sources.
+    """
+    depth, sdepth = {i: 0 for i, x in enumerate(left) if x > tiny}, {}
+    layer, goal = list(depth), False
+    while layer and not goal:
+        reached = []
+        for i in layer:
+            for s in sent[i]:
+                if s not in sdepth:
+                    sdepth[s] = depth[i]
+                    reached.append(s)
+                    goal = goal or room[s] > tiny
+        layer = []
+        if not goal:
+            for s in reached:
+                for j in by_source[s]:
+                    if j not in depth:
+                        depth[j] = sdepth[s] + 1
+                        layer.append(j)
+    if not goal:
+        return False
+    order, at = {i: list(sent[i]) for i in depth}, dict.fromkeys(depth, 0)
+    holders: dict[int, list[int]] = {}
+    held = dict.fromkeys(sdepth, 0)
+
+    def path_from(root: int) -> list[int] | None:
+        """Pattern, source, pattern, source, ... up to a source with room; what leads nowhere is never tried again."""
+        path = [root]
+        while True:
+            i = path[-1]
+            if at[i] == len(order[i]):
+                if len(path) == 1:
+                    return None
+                del path[-1]
+                held[path.pop()] += 1
+                continue
+            s = order[i][at[i]]
+            if sdepth.get(s) == depth[i]:
+                if room[s] > tiny:
+                    return [*path, s]
+                own = holders.setdefault(s, list(by_source[s]))
+                while held[s] < len(own) and not (depth.get(own[held[s]]) == depth[i] + 1 and sent[own[held[s]]][s] > tiny):
+                    held[s] += 1
+                if held[s] < len(own):
+                    path += [s, own[held[s]]]
+                    continue
+            at[i] += 1
+
+    for root in [i for i, d in depth.items() if d == 0]:
+        while left[root] > tiny and (path := path_from(root)):
+            amount = min(left[root], room[path[-1]], *(sent[path[k]][path[k - 1]] for k in range(2, len(path), 2)))
+            left[root] -= amount
+            room[path[-1]] -= amount
+            for k in range(0, len(path), 2):
+                i, s = path[k], path[k + 1]
+                sent[i][s] += amount
+                by_source[s].add(i)
+                if k:
+                    sent[i][path[k - 1]] -= amount
+                    if sent[i][path[k - 1]] <= tiny:
+                        by_source[path[k - 1]].discard(i)
+    return True
 
 
 def _measured(docs: DataFrame, p: MixParams, sources: str) -> dict:
@@ -130,6 +167,7 @@ def plan_mix(base: DataFrame, p: MixParams) -> DataFrame:
             sizes[index[s]] += r["size"]
             shared[index[s]] += 1
     weights = [p.weights[i % len(p.weights)] for i in range(len(names))]
+    sums.sort(key=lambda r: [(s is None, s or "") for s in r["_sources"]])
     goal = targets(sizes, weights, p.share * sum(r["size"] for r in sums), p.repeats) if names else []
     flows = route([(tuple(index[s] for s in r["_sources"]), float(r["size"])) for r in sums], goal, p.repeats)
     rows = []
@@ -187,7 +225,8 @@ def mix(docs: DataFrame, params: MixParams = MixParams(), sources: str = "source
 
 def mixed(docs: DataFrame, params: MixParams = MixParams(), sources: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns kept; rules as in ``mix``."""
-    measured = _measured(docs, params, sources)
-    plan = plan_mix(stage(docs.select(*(c.alias(n) for n, c in measured.items()))), params)
-    taken = _copies(docs.withColumns(measured), plan)
-    return taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    measured = [c.alias(n) for n, c in _measured(docs, params, sources).items()]
+    plan = plan_mix(stage(docs.select(*measured)), params)
+    # the row travels as one struct, so that no name inside meets a column of the documents
+    taken = _copies(docs.select(F.struct(*tb.quoted(docs.columns)).alias("_row"), *measured), plan)
+    return taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

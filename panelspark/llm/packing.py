@@ -39,15 +39,14 @@ def pieces(docs: DataFrame, p: PackParams) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of whole documents."""
     def run(batches):
         encoder = Encoder.held(p.tokenizer)
-        for batch in batches:
-            for part in tb.slices(batch, "text", 1 << 20):
-                out = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.ids(part.column("text").to_pylist())):
-                    ids = np.append(ids, np.uint32(p.end_id)).astype("<u4")
-                    out += [(doc_id, k, s, n, zlib.crc32(ids[s:s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), p.length))]
-                cols = list(zip(*out)) if out else [[]] * 5
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for part in tb.parts(batches, "text"):
+            out = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.ids(part.column("text").to_pylist())):
+                ids = np.append(ids, np.uint32(p.end_id)).astype("<u4")
+                out += [(doc_id, k, s, n, zlib.crc32(ids[s:s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), p.length))]
+            cols = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long")

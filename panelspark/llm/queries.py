@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from panelspark.llm import fertility, hash_index, line_dedup, mixing, packing, repeats, superminhash, token_transducer, toxicity, warc
+from panelspark.llm import (conversations, fertility, fill_middle, hash_index, line_dedup, mixing, packing, repeats, superminhash,
+                            token_transducer, toxicity, warc, window_dedup)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,12 +73,18 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL),
 u AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
 s AS (
-  SELECT doc_id, pos, line, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS s, sum(w) OVER (PARTITION BY doc_id) AS total
+  SELECT doc_id, pos, line, w, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS s
   FROM u WHERE w > 0),
-g AS (
-  SELECT doc_id, pos, s, total, max(pos) OVER f AS till, list(line) OVER f AS content
-  FROM s WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)),
-k AS (SELECT doc_id, pos, till, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM g WHERE s + 10 <= total),
+g AS ( -- shortest runs of ten words from a unit on, over the gap behind a long unit, and up to a unit
+  SELECT doc_id, pos, max(pos) OVER f AS till, list(line) OVER f AS content, sum(w) OVER f AS words
+  FROM s WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, pos, max(pos) OVER f, list(line) OVER f, CASE WHEN w >= 10 AND max(pos) OVER f > pos THEN w END
+  FROM s WINDOW f AS (PARTITION BY doc_id ORDER BY s ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER f, pos, list(line) OVER f, sum(w) OVER f
+  FROM s WINDOW f AS (PARTITION BY doc_id ORDER BY s + w RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)),
+k AS (SELECT doc_id, pos, till, rank() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM g WHERE words >= 10),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, till + 1)) AS pos FROM k WHERE nth > 1),
 spans AS (SELECT doc_id, pos, till, max(till) OVER (PARTITION BY doc_id ORDER BY pos, till ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
   FROM (SELECT DISTINCT doc_id, pos, till FROM k WHERE nth > 1)),
@@ -139,3 +146,49 @@ def op10_pack(spark, sf_dir):
     """Sequences of 2048 tokens; checked against a plain packer's invariants and the library's ids in the tests."""
     params = packing.PackParams(tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), params)
+
+
+WINDOW_SQL = r"""
+WITH w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+g AS (SELECT doc_id, pos, n, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS content FROM w),
+k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM g WHERE pos + 19 <= n),
+m AS (
+  SELECT w.doc_id, w.pos, word, coalesce(max(CASE WHEN nth > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN k ON w.doc_id = k.doc_id AND w.pos = k.pos),
+r AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM m GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+
+@query(WINDOW_SQL)
+def op11_substring_dedup(spark, sf_dir):
+    """Words under windows of 20 words that stand earlier in the corpus."""
+    return window_dedup.drop_repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+FIM_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS x FROM documents),
+d AS (SELECT *, len(u) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2, CAST('0x' || x[17:24] AS BIGINT) AS h3,
+  CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS y FROM p),
+f AS (SELECT *, strpos(y, CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS i, strpos(y, '<M>') AS j FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(y) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN y WHEN 'psm' THEN y[4:i - 1] || y[j + 3:] || y[i + 3:j - 1] ELSE y[i + 3:j - 1] || y[j + 3:] || y[4:i - 1] END) AS restored_sha256
+FROM f"""
+
+
+@query(FIM_SQL)
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_conversation_repair(spark, sf_dir):
+    """Faults and cheapest edits of whole conversations; checked against a search over all edits in the tests."""
+    return conversations.repair_digests(table(spark, sf_dir, "conversations"))

@@ -35,16 +35,25 @@ class NearDupParams:
     block: int = 2_000_000
 
 
-def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """One row of m slots per set, each the smallest (level, rank) that an element puts there."""
+def signatures(sets: list[np.ndarray], m: int, block: int = 1 << 16) -> np.ndarray:
+    """One row of m slots per set, each the smallest (level, rank) that an element puts there.
+
+    Elements are handled in blocks, so that memory is bounded for a set of any size.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     top = np.uint64(np.iinfo(np.uint64).max)
     h = np.full((len(sets), m), top, np.uint64)
     if not n.sum():
         return h
-    element = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), n)
-    perm = None
+    elements, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    for at in range(0, len(elements), block):
+        _draw(h, elements[at:at + block], owners[at:at + block])
+    return h
+
+
+def _draw(h: np.ndarray, element: np.ndarray, owner: np.ndarray) -> None:
+    """Lower the slots of ``h`` by the ranks of a block of elements, level by level."""
+    m, perm = h.shape[1], None
     for level in range(m):
         x = tb.mix(element + np.uint64(((level + 1) * 0x9E3779B97F4A7C15) & tb.M64))
         pick = level + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(m - level) >> np.uint64(32)).astype(np.int64)
@@ -56,8 +65,9 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
             slot = perm[each, pick].astype(np.int64)
             perm[each, pick] = perm[:, level]
         np.minimum.at(h.reshape(-1), owner * m + slot, rank)
-        open_docs = (h >> np.uint64(32)).max(axis=1) > level
-        keep = open_docs[owner]
+        lo = owner[0]
+        open_docs = (h[lo:owner[-1] + 1] >> np.uint64(32)).max(axis=1) > level
+        keep = open_docs[owner - lo]
         if level == 0:
             element, owner, first = element[keep], owner[keep], pick[keep]
             perm = np.tile(np.arange(m, dtype=np.uint16), (len(element), 1))
@@ -66,7 +76,6 @@ def signatures(sets: list[np.ndarray], m: int) -> np.ndarray:
             element, owner, perm = element[keep], owner[keep], perm[keep]
         if not len(element):
             break
-    return h
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -116,39 +125,38 @@ def link_sets(names, sets, roots, movers, percent: int) -> list[tuple[int, int]]
 
 
 def describe(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """(doc_id, n_shingles, node, bands) per document, from whole texts; node names the shingle set."""
+    """(doc_id, n_shingles, node, bands, text_hash) per document, from whole texts; node names the shingle set."""
     def run(batches):
         coef = tb.mix(np.arange(1, p.rows + 1, dtype=np.uint64)) | np.uint64(1)
-        for batch in batches:
-            for part in tb.slices(batch, "text"):
-                sets = tb.shingles(*tb.flat(part.column("text")), p.width)
-                sig = signatures(sets, p.rows * p.bands).reshape(len(sets), p.bands, p.rows)
-                keys = tb.mix((sig * coef).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
-                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * p.bands)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)),
-                     pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))],
-                    names=["doc_id", "n_shingles", "node", "bands"])
+        for part in tb.parts(batches, "text", 1 << 19):  # the permutations of its elements are the largest thing held
+            sets = tb.shingles(*tb.flat(part.column("text")), p.width)
+            sig = signatures(sets, p.rows * p.bands).reshape(len(sets), p.bands, p.rows)
+            keys = tb.mix((sig * coef).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
+            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * p.bands)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1))), part.column("text_hash")],
+                names=["doc_id", "n_shingles", "node", "bands", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        run, "doc_id long, n_shingles long, node long, bands array<long>, text_hash long")
 
 
 def _compare(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """Links (a, b) inside each (cluster, block, against); rows carry node, root, mover and the text."""
     def run(key, table):
         seen, names, sets, roots, movers = set(), [], [], [], []
-        for part in table.to_batches():
-            for piece in tb.slices(part, "text"):
-                found = tb.shingles(*tb.flat(piece.column("text")), p.width)
-                made = set_keys(found)
-                for k, (node, root, mover) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("node", "root", "mover")))):
-                    if made[k] == node and node not in seen:  # a repeated doc_id may bring another text
-                        seen.add(node)
-                        names.append(node)
-                        sets.append(found[k])
-                        roots.append(root)
-                        movers.append(mover)
+        for piece in tb.parts(table.to_batches(), "text"):
+            found = tb.shingles(*tb.flat(piece.column("text")), p.width)
+            made = set_keys(found)
+            for k, (node, root, mover) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("node", "root", "mover")))):
+                if made[k] == node and node not in seen:  # a repeated doc_id may bring another text
+                    seen.add(node)
+                    names.append(node)
+                    sets.append(found[k])
+                    roots.append(root)
+                    movers.append(mover)
         links = link_sets(names, sets, roots, movers, p.percent)
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
@@ -157,7 +165,7 @@ def _compare(rows: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row of (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash) per row of (doc_id, text).
 
     Documents are linked when 100 * intersection >= percent * union of their
     shingle sets; component_id is the smallest doc_id that links reach. Equal
@@ -213,7 +221,19 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     group = ids.where("n_shingles > 0").join(linked, "node", "left").withColumn("group", F.coalesce("group", "node"))
     lowest = group.groupBy("group").agg(F.min("rep").alias("component_id"))
     answer = stage(group.join(lowest, "group").select("node", "component_id"))
-    out = base.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
+    out = base.select("doc_id", "n_shingles", "node", "text_hash").join(answer, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+
+    A row is known by doc_id and the hash of its text, so that of two texts of
+    one doc_id only the copy goes. Rows equal in both are one document, and
+    rows without a doc_id or without words all stay.
+    """
+    gone = stage(near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
+    same = (docs["doc_id"].cast("long") == F.col("d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("h"))
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -8,6 +8,8 @@ byte, modulo 2**64, finished by a mixing step.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
@@ -83,6 +85,44 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 21):
         at = to
 
 
+def spare(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Names as Spark takes them literally, dots and all."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def give_back() -> None:
+    """Hand memory that this worker no longer uses to the system: a worker lives on and serves other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def parts(batches, column: str, limit: int = 1 << 20):
+    """The slices of all batches; what they leave behind is given back every 64 MB of text and at the end."""
+    seen = 0
+    try:
+        for batch in batches:
+            for part in slices(batch, column, limit):
+                seen += part.nbytes
+                yield part
+                if seen > 1 << 26:
+                    give_back()
+                    seen = 0
+    finally:
+        give_back()
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 

@@ -60,6 +60,7 @@ class Automaton:
     terms: list
     one: int
     two: int
+    held: int = 8_000  # states that are kept; beyond it they are worked out anew
     states: dict = field(default_factory=dict)
     moves: list = field(default_factory=list)
     found: list = field(default_factory=list)
@@ -81,6 +82,13 @@ class Automaton:
                 self.room[node] = max(self.room[node], allowed)
             self.term[node] = (letters, whole, weight, allowed)
         self.room[0] = max(self.room)
+        self._begin()
+
+    def _begin(self) -> None:
+        """Drop the states that words have asked for; only the first one is left."""
+        self.states.clear()
+        self.moves.clear()
+        self.found.clear()
         self.start = self._state({(0, 0, ""): None})
 
     def _state(self, members: dict) -> int:
@@ -121,6 +129,8 @@ class Automaton:
         """(weight, mistakes) of the best term in a word; a beginning may be followed by anything."""
         if raw in self.words:
             return self.words[raw]
+        if len(self.moves) > self.held:
+            self._begin()
         word, state, best = word_of(raw), self.start, None
         for i, c in enumerate(word):
             nxt = self.moves[state].get(c)
@@ -132,7 +142,7 @@ class Automaton:
                 if (i == len(word) - 1 or not self.term[node][1]) and (best is None or (e, -self.term[node][2]) < best[:2]):
                     best = (e, -self.term[node][2])
         out = None if best is None else (-best[1], best[0])
-        if len(self.words) >= 100_000:
+        if len(self.words) >= 50_000:
             self.words.clear()
         self.words[raw] = out
         return out
@@ -239,9 +249,9 @@ class ToxicityModel:
 
         def run(batches):
             machine = model.machine()
-            for batch in batches:
-                x = np.array([features(t, machine, model.params.window) for t in batch.column(f"_{rest.index('text')}").to_pylist()]).reshape(-1, FEATURES)
-                yield pa.RecordBatch.from_arrays([*(batch.column(f"_{i}") for i in range(len(rest))), pa.array(model.scores(x), pa.float64())],
+            for part in tb.parts(batches, f"_{rest.index('text')}"):
+                x = np.array([features(t.as_py(), machine, model.params.window) for t in part.column(f"_{rest.index('text')}")]).reshape(-1, FEATURES)
+                yield pa.RecordBatch.from_arrays([*(part.column(f"_{i}") for i in range(len(rest))), pa.array(model.scores(x), pa.float64())],
                                                  names=[*(f"_{i}" for i in range(len(rest))), "score"])
 
         own = docs.withColumn("text", F.col("text").cast("string"))
@@ -270,10 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def sketched(batches):
-        for batch in batches:
-            for part in tb.slices(batch, "text"):
-                low = [int(s[0]) - (1 << 63) if len(s) else 0 for s in tb.shingles(*tb.flat(part.column("text")))]
-                yield part.append_column("key", pa.array(low, pa.int64()))
+        for part in tb.parts(batches, "text"):
+            low = [int(s[0]) - (1 << 63) if len(s) else 0 for s in tb.shingles(*tb.flat(part.column("text")))]
+            yield part.append_column("key", pa.array(low, pa.int64()))
 
     rows = rows.where("text IS NOT NULL").select("text", "toxic").mapInArrow(sketched, "text string, toxic int, key long")
     rows = stage(rows.groupBy("key").agg(F.max(F.struct("toxic", "text")).alias("r")).select("r.*"))
@@ -285,8 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
     def begins(batches):
         held: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        for part in tb.parts(batches, "text"):
+            for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 seen = set()
                 for w in {word_of(w) for w in WORD.findall(text)}:
                     seen.update(w[:k] for k in range(p.shortest, min(len(w), p.longest) + 1))
@@ -307,9 +316,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
 
     def measure(batches):
         machine = model.machine()
-        for batch in batches:
-            x = [features(t, machine, p.window) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
+        for part in tb.parts(batches, "text"):
+            x = [features(t.as_py(), machine, p.window) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column("toxic")], names=["x", "toxic"])
 
     seen = rows.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").orderBy("toxic", "x").collect()  # bounded by the sample
     x, y = np.array([r["x"] for r in seen]), np.array([float(r["toxic"] > 0) for r in seen])
