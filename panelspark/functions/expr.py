@@ -16,6 +16,33 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
+STEADY = "decimal(38,18)"
+STEADY_BELOW = 1e14
+
+
+def steady_sum(x: Column, over=None) -> Column:
+    """The sum of doubles, the same in every order of the rows: whole multiples of 1e-18 are added without rounding.
+
+    Partial sums combine on the map side like any sum. Values of 1e14 and more,
+    for which the multiples have no room, infinities and NaN are added as
+    doubles beside it. Null where there is no value, as with ``sum``.
+    """
+    x = x.cast("double")
+    small = F.abs(x) < STEADY_BELOW
+
+    def total(c):
+        return F.sum(c).over(over) if over is not None else F.sum(c)
+
+    exact, large = total(F.when(small, x).cast(STEADY)).cast("double"), total(F.when(~small, x))
+    return F.when(exact.isNull(), large).otherwise(exact + F.coalesce(large, F.lit(0.0)))
+
+
+def steady_avg(x: Column, over=None) -> Column:
+    """The mean of doubles, the same in every order of the rows."""
+    n = F.count(x).over(over) if over is not None else F.count(x)
+    return F.try_divide(steady_sum(x, over), n)
+
+
 def flag(cond: Column) -> Column:
     """1 where cond holds, 0 where it is false or null."""
     return F.when(cond, 1).otherwise(0)

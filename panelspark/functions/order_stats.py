@@ -1,10 +1,13 @@
 """Exact ranks and quantiles that never put one whole group into one task.
 
 A plain ``row_number`` over a hot key sorts that key in a single task, and a
-plain ``percentile`` keeps every distinct value of it in one hash map. Here rows
-are first put into order-preserving buckets, the buckets are counted (with
-map-side combine), and only those counts, whose number is bounded, are summed
-up along a window.
+plain ``percentile`` keeps every distinct value of it in one hash map. Quantiles
+go down a radix tree: rows are counted in order-preserving buckets (with
+map-side combine), the bucket that holds a quantile is split again between its
+least and its largest value, and so on until few distinct values are left, so
+that values close together cost a further round and no large group. Ranks come
+from ranges of (value, salt) of equal size, with the counts of the values at
+their edges, so a value that most rows have is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -55,16 +58,35 @@ def spread_rank(df: DataFrame, group: str, order: list[Column], bucket: Column,
     )
 
 
+INSIDE = 20_000  # rows of different values that one task may order at the end of a descent
+CELLS = 4096  # cells that a bucket is split into
+
+
+def _chosen(counts: DataFrame, along_keys: list[str]) -> DataFrame:
+    """Of counted cells those that hold the lower or the upper row of their quantile, with what lies before them.
+
+    ``counts`` has _before, the rows before all cells of one descent. The cells of
+    a descent are bounded in number, so the window along them is too.
+    """
+    along = Window.partitionBy(*along_keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    moved = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    return moved.where((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_n") > F.floor("_pos")))
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-              weight: Column | None = None, staged: bool = True) -> DataFrame:
+              weight: Column | None = None, inside: int = INSIDE) -> DataFrame:
     """Exact quantiles with linear interpolation per group; columns ``by`` + names of ``probs``.
 
-    The first pass only counts buckets, whose number is bounded, and finds the
-    one or two that hold each quantile. The second pass keeps the rows of those
-    buckets, so values travel only there. Null keys and null values are left
-    out. ``weight`` is an integer count of how often a row stands in the sample.
-    The bucket table is staged, which gives the second pass a table of known
-    size to join; ``staged=False`` leaves that out for inputs that are cheap.
+    The first round counts magnitude buckets, whose number is bounded, and finds
+    the one or two that hold each quantile. A bucket with more than ``inside``
+    rows and more than one value is cut into CELLS cells between its least and largest value
+    and counted again: a bucket spans less than 2**46 doubles, so four rounds
+    reach single values. What is left is ordered. Only rows of chosen buckets
+    travel after the first round. Null keys and null values are left out;
+    infinite values are ordered like all others. ``weight`` is an integer count
+    of how often a row stands in the sample. The chosen cells are staged, one
+    row or two per quantile and group, and one number per round comes to the
+    driver.
     """
     keys = by or ["_all"]
     v = F.col(value).cast("double")
@@ -74,24 +96,30 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
     w = weight if weight is not None else F.lit(1)
     rows = rows.select(*(by or [F.lit(0).alias("_all")]), v.alias("_v"), w.cast("long").alias("_w"),
                        magnitude_bucket(v).alias("_bucket"))
-    along = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    buckets = (
-        rows.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_bn"))
-        .withColumn("_before", F.coalesce(F.sum("_bn").over(along), F.lit(0)))
-        .withColumn("_total", F.sum("_bn").over(whole))
-        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs.values()))])))
-        .withColumn("_pos", (F.col("_total") - 1) * F.col("_p"))
-        .where((F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_bn") > F.floor("_pos")))
-        .drop("_bn", "_total")
-    )
-    if staged:
-        buckets = stage(buckets)
-    inside = Window.partitionBy(*keys, "_p", "_bucket").orderBy("_v")
+    measures = (F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_rows"))
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in sorted(set(probs.values()))]))
+    first = rows.groupBy(*keys, "_bucket").agg(*measures).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    first = first.withColumns({"_p": wanted, "_cell": F.col("_bucket"), "_before": F.lit(0).cast("long")}).withColumn(
+        "_pos", (F.col("_total") - 1) * F.col("_p"))
+    columns = [*keys, "_p", "_bucket", "_lo", "_hi", "_before", "_pos", "_rows"]
+    held = stage(_chosen(first, [*keys, "_p"]).select(*columns))
+    here = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    done = []
+    wide = (F.col("_rows") > inside) & (F.col("_lo") < F.col("_hi"))
+    while held.where(wide).limit(1).count():
+        done.append(held.where(~wide))
+        inner = rows.join(held.where(wide).withColumnsRenamed({"_lo": "_l", "_hi": "_h"}).drop("_rows"), [*keys, "_bucket"]).where(F.col("_v").between(F.col("_l"), F.col("_h")))
+        share = (F.col("_v") / 2 - F.col("_l") / 2) / (F.col("_h") / 2 - F.col("_l") / 2)
+        cells = inner.withColumn("_cell", F.least(F.floor(share * CELLS), F.lit(CELLS - 1)).cast("long"))
+        counts = cells.groupBy(*keys, "_p", "_bucket", "_l", "_h", "_before", "_pos", "_cell").agg(*measures)
+        held = stage(_chosen(counts, [*keys, "_p", "_bucket", "_l", "_h"]).select(*columns))
+    for part in done:
+        held = held.unionByName(part)
+    along = Window.partitionBy(*keys, "_p", "_bucket", "_lo", "_hi").orderBy("_v")
     placed = (
-        rows.join(buckets, [*keys, "_bucket"])
-        .groupBy(*keys, "_p", "_bucket", "_before", "_pos", "_v").agg(F.sum("_w").alias("_n"))
-        .withColumn("_from", F.col("_before") + F.sum("_n").over(inside) - F.col("_n"))
+        rows.join(held, [*keys, "_bucket"]).where(here)
+        .groupBy(*keys, "_p", "_bucket", "_lo", "_hi", "_before", "_pos", "_v").agg(F.sum("_w").alias("_n"))
+        .withColumn("_from", F.col("_before") + F.sum("_n").over(along) - F.col("_n"))
         .withColumn("_to", F.col("_from") + F.col("_n"))
         .where((F.col("_from") <= F.ceil("_pos")) & (F.col("_to") > F.floor("_pos")))
     )
@@ -101,11 +129,11 @@ def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
 
     picks = []
     for name, p in probs.items():
-        here = F.col("_p") == F.lit(float(p))
-        low = F.max(F.when(here & holds(F.floor("_pos")), F.col("_v")))
-        high = F.max(F.when(here & holds(F.ceil("_pos")), F.col("_v")))
-        part = F.max(F.when(here, F.col("_pos") - F.floor("_pos")))
-        picks.append((low + (high - low) * part).alias(name))
+        mine = F.col("_p") == F.lit(float(p))
+        low = F.max(F.when(mine & holds(F.floor("_pos")), F.col("_v")))
+        high = F.max(F.when(mine & holds(F.ceil("_pos")), F.col("_v")))
+        part = F.max(F.when(mine, F.col("_pos") - F.floor("_pos")))
+        picks.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(name))
     result = placed.groupBy(*keys).agg(*picks)
     return result if by else result.drop("_all")
 
@@ -123,9 +151,9 @@ def group_and_overall_median(df: DataFrame, group: str, value: str, out: str, ov
     only if it is small.
     """
     hist = stage(df.groupBy(group, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("_w")))
-    per_group = stage(quantiles(hist, [group], value, {out: 0.5}, F.col("_w"), staged=False))
+    per_group = stage(quantiles(hist, [group], value, {out: 0.5}, F.col("_w")))
     filled = hist.join(per_group, group, "left").withColumn(value, F.coalesce(value, out))
-    overall = quantiles(filled, [], value, {overall_out: 0.5}, F.col("_w"), staged=False)
+    overall = quantiles(filled, [], value, {overall_out: 0.5}, F.col("_w"))
     return per_group, overall
 
 
@@ -141,20 +169,36 @@ def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return table.agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in columns])
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Rank of the value over all rows, ties sharing their mean rank, starting at 1."""
-    hist = (
-        df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", magnitude_bucket(F.col(value).cast("double"))).withColumn("_all", F.lit(0))
-    )
-    along = Window.partitionBy("_all").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        hist.groupBy("_all", "_bucket").agg(F.sum("_n").alias("_bn"))
-        .select("_bucket", F.coalesce(F.sum("_bn").over(along), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy("_bucket").orderBy(value)
-    ranks = (
-        hist.withColumn("_upto", F.sum("_n").over(inside)).join(offsets, "_bucket")
-        .select(value, (F.col("_offset") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).alias(out))
-    )
-    return df.join(ranks, value, "left")
+def average_rank(df: DataFrame, value: str, out: str, per_task: int = 1_000_000) -> DataFrame:
+    """Rank of the value over all rows, ties sharing their mean rank, starting at 1; a null has none.
+
+    Rows are dealt by ranges of (value, salt) of about ``per_task`` rows. Inside
+    a range everything is known but for its first and its last value, which may
+    go on in other ranges: one row per range tells how many rows have those and
+    how many come before. No row is joined on its value.
+    """
+    part, salt, n = "__rank_part", "__rank_salt", df.count()
+    ranges = max(1, -(-n // per_task))
+    rows = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
+    ranged = stage(rows.repartitionByRange(ranges, F.col(value).asc_nulls_last(), F.col(salt)).withColumn(part, F.spark_partition_id()).drop(salt))
+    known = F.col(value).isNotNull()
+    edges = stage(ranged.where(known).groupBy(part).agg(F.min(value).alias("lo"), F.max(value).alias("hi")))  # a row per range
+    sizes = ranged.where(known).select(part, F.col(value).alias("v")).join(edges, part).groupBy(part, "lo", "hi").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("v") == F.col("lo"), 1)).alias("at_lo"), F.count(F.when(F.col("v") == F.col("hi"), 1)).alias("at_hi"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("before", before)
+    ends = F.explode(F.array(F.struct(F.col("lo").alias("v"), F.col("at_lo").alias("n"), F.col("before").alias("less")),
+                             F.struct(F.col("hi").alias("v"), F.col("at_hi").alias("n"), (F.col("before") + F.col("n") - F.col("at_hi")).alias("less"))))
+    # a value at both ends of a range stands there once
+    spread = sizes.select(part, "lo", "hi", ends.alias("e")).distinct().groupBy(F.col("e.v").alias("v")).agg(F.sum("e.n").alias("all"), F.min("e.less").alias("less"))
+    table = stage(sizes.join(spread.select(F.col("v").alias("lo"), F.col("all").alias("lo_all"), F.col("less").alias("lo_less")), "lo")
+                  .join(spread.select(F.col("v").alias("hi"), F.col("all").alias("hi_all"), F.col("less").alias("hi_less")), "hi"))
+    own = Window.partitionBy(part).orderBy(F.col(value).asc_nulls_last())
+    same = Window.partitionBy(part, value)
+    at = F.struct(*[F.col(c) for c in ("lo", "hi", "before", "lo_all", "lo_less", "hi_all", "hi_less")]).alias("__rank_at")
+    inner = ranged.withColumns({"__rank_less": F.rank().over(own) - 1, "__rank_same": F.count("*").over(same)}).join(table.select(part, at), part, "left")
+    v, at = F.col(value), F.col("__rank_at")
+    less = F.when(v == at["lo"], at["lo_less"]).when(v == at["hi"], at["hi_less"]).otherwise(at["before"] + F.col("__rank_less"))
+    tied = F.when(v == at["lo"], at["lo_all"]).when(v == at["hi"], at["hi_all"]).otherwise(F.col("__rank_same"))
+    ranked = inner.withColumn("__rank", F.when(known, less + (tied + 1) / 2))
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col("__rank").alias(out))

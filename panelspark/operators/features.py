@@ -214,18 +214,25 @@ def label_codes(df: DataFrame, columns: dict[str, str], codes: DataFrame | None
     return out
 
 
-def add_drug_features(panel: DataFrame, encode=CATEGORIES, codes: DataFrame | None = None) -> DataFrame:
-    """Hospital share, package form, category codes (of the training data, if its table is given) and two products."""
+def add_drug_features(panel: DataFrame, encode=CATEGORIES, codes: DataFrame | None = None, bins=(30, 70)) -> DataFrame:
+    """Hospital share, package form, category codes (of the training data, if its table is given) and two products.
+
+    ``bins`` part the hospital share into low, medium and high, and tell retail
+    from hospital drugs.
+    """
     rate, pack = _c("hospital_rate"), F.lower("main_package")
+    low, high = bins
+    if not low < high:
+        raise ValueError("the bins of the hospital rate must rise")
 
     def mentions(words) -> Column:
         return flag(any_of([pack.contains(w) for w in words]))
 
     out = panel.withColumns({
-        "hospital_rate_bin": F.when(rate <= 30, "low").when(rate <= 70, "medium").otherwise("high"),
+        "hospital_rate_bin": F.when(rate <= low, "low").when(rate <= high, "medium").otherwise("high"),
         "hospital_rate_norm": rate / 100,
-        "is_hospital_drug": flag(rate > 70),
-        "is_retail_drug": flag(rate < 30),
+        "is_hospital_drug": flag(rate > high),
+        "is_retail_drug": flag(rate < low),
         "is_injection": mentions(INJECTION_WORDS),
         "is_oral": mentions(ORAL_WORDS),
         "biological_x_n_gxs": _c("biological").cast("int") * _c("n_gxs"),
@@ -388,22 +395,85 @@ def add_sequence_features(panel: DataFrame, lags=(1, 2, 3, 6), windows=(3, 6, 12
     return panel.withColumns(out)
 
 
-DEFAULT_FEATURES = {"interactions": [], "target_encoding": False, "collaboration": False, "sequence": False,
-                    "frequency": []}
+DEFAULT_FEATURES = {"pre_entry": {}, "time": {}, "generics": {}, "drug": {}, "scenario2_early": {}, "interactions": [], "target_encoding": False,
+                    "collaboration": False, "sequence": False, "frequency": [], "visibility": None}
+
+#: What goes when an option of a group is turned off. Windows that nothing asks for are never computed.
+OPTIONS = {
+    "pre_entry": {
+        "compute_trend": ["pre_entry_trend", "pre_entry_trend_norm"],
+        "compute_volatility": ["pre_entry_volatility"],
+        "compute_max": ["pre_entry_max", "pre_entry_max_ratio", "pre_entry_range_ratio"],
+        "compute_min": ["pre_entry_min", "pre_entry_min_ratio", "pre_entry_range_ratio"],
+        "log_transform": ["log_avg_vol", "log_avg_vol_6m", "log_avg_vol_3m"],
+        "compute_seasonal": ["seasonal_amplitude", "seasonal_peak_month", "seasonal_trough_month", "seasonal_ratio", *[f"seasonal_q{q}_effect" for q in range(1, 5)]]},
+    "time": {
+        "include_squared": ["months_postgx_sq", "months_postgx_cube"],
+        "include_is_post_entry": ["is_post_entry"],
+        "include_time_bucket": ["time_bucket", "is_early", "is_mid", "is_late"],
+        "include_month_of_year": ["month_of_year", "month_sin", "month_cos", "is_year_end", "is_year_start"],
+        "include_quarters": ["quarter", *[f"is_q{q}" for q in range(1, 5)]],
+        "include_decay": ["time_decay", "time_decay_fast", "sqrt_months_postgx"]},
+    "generics": {
+        "include_has_generic": ["has_generic"],
+        "include_multiple_generics": ["multiple_generics", "many_generics"],
+        "include_cummax": ["n_gxs_pre_cutoff_max"],
+        "include_first_month": ["first_generic_month", "months_since_first_generic", "had_generic_pre_entry"],
+        "include_entry_speed": ["generic_entry_speed"],
+        "include_future_n_gxs": ["n_gxs_at_month_12", "n_gxs_at_month_23", "n_gxs_max_forecast", "n_gxs_change_to_12", "n_gxs_change_to_23", "expected_new_generics",
+                                 "log_n_gxs_at_month_12", "log_n_gxs_at_month_23", "log_n_gxs_max_forecast"]},
+    "drug": {"derive_is_injection": ["is_injection", "is_oral"]},
+    "scenario2_early": {
+        "compute_avg_0_5": ["avg_vol_0_5", "avg_vol_0_2", "avg_vol_3_5"],
+        "compute_erosion_0_5": ["erosion_0_5", "erosion_0_2", "erosion_3_5"],
+        "compute_trend_0_5": ["trend_0_5", "trend_0_5_norm"],
+        "compute_drop_month_0": ["drop_month_0"],
+        "compute_change_windows": ["month_0_to_3_change", "month_3_to_5_change"],
+        "compute_recovery_signal": ["recovery_signal", "recovery_magnitude"],
+        "compute_competition_response": ["competition_response", "erosion_per_generic"]},
+}
+
+
+def _dropped(config: dict) -> list[str]:
+    """Columns of the options that the config turns off; an option it does not know is an error."""
+    out = []
+    for group, options in OPTIONS.items():
+        for name, on in (config[group] or {}).items():
+            if name in options and not on:
+                out += options[name]
+            elif name not in options and name not in {"drug": ("hospital_rate_bins", "categoricals")}.get(group, ()):
+                raise ValueError(f"unknown option {group}.{name}")
+    return out
 
 
 def make_features(panel: DataFrame, scenario, mode: str = "train", config: dict | None = None, codes: DataFrame | None = None) -> DataFrame:
-    """All feature groups under the scenario's cutoff; the config decides on the optional ones, ``codes`` on the category codes."""
+    """All feature groups under the scenario's cutoff; ``codes`` are category codes of the training data.
+
+    The config turns whole groups off (``False``) or single options of them
+    (see OPTIONS), and turns on what is off by default: interactions (pairs),
+    target_encoding, collaboration, frequency (columns), sequence, and
+    visibility: the monthly supply metrics, or {"data": metrics, "date_col":
+    name} where the panel's date is not called date. Options of drug are also
+    hospital_rate_bins and categoricals.
+    """
     config = {**DEFAULT_FEATURES, **(config or {})}
+    unknown = set(config) - set(DEFAULT_FEATURES)
+    if unknown:
+        raise ValueError(f"unknown feature groups {sorted(unknown)}")
+    gone = _dropped(config)
     cutoff, _, _ = scenario_window(scenario)
+    out = panel
     # the category joins come first: they need plain columns only, and the series windows then share one exchange
-    out = add_drug_features(panel, codes=codes)
-    out = add_pre_entry_features(out)
-    out = add_seasonal_features(out)
-    out = add_time_features(out)
-    out = add_generics_features(out, cutoff)
-    out = add_future_generics_features(out, cutoff)
-    if cutoff > 0:
+    if config["drug"] is not False:
+        drug = config["drug"] or {}
+        out = add_drug_features(out, drug.get("categoricals", CATEGORIES), codes, drug.get("hospital_rate_bins", (30, 70)))
+    if config["pre_entry"] is not False:
+        out = add_seasonal_features(add_pre_entry_features(out))
+    if config["time"] is not False:
+        out = add_time_features(out)
+    if config["generics"] is not False:
+        out = add_future_generics_features(add_generics_features(out, cutoff), cutoff)
+    if cutoff > 0 and config["scenario2_early"] is not False:
         out = add_early_erosion_features(out)
     out = add_interaction_features(out, config["interactions"])
     if mode == "train":
@@ -413,11 +483,14 @@ def make_features(panel: DataFrame, scenario, mode: str = "train", config: dict
             out = add_collaboration_features(out)
     if config["frequency"]:
         out = add_frequency_encoding_features(out, config["frequency"])
+    if config["visibility"] is not None:
+        given = config["visibility"] if isinstance(config["visibility"], dict) else {"data": config["visibility"]}
+        out = add_visibility_features(out, given.get("data"), given.get("date_col", "date"))
     if config["sequence"]:
         # Values at and after the cutoff are hidden from lags and rolling windows.
         hidden = out.withColumn("_kept", _c("volume")).withColumn("volume", _when(_c(MONTH) < cutoff))
         out = add_sequence_features(hidden).withColumn("volume", _c("_kept")).drop("_kept")
-    return out
+    return out.drop(*[c for c in gone if c not in panel.columns])
 
 
 META = [*SERIES, MONTH, "volume", "avg_vol_12m", "bucket", "mean_erosion", "y_norm"]

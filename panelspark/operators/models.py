@@ -6,31 +6,41 @@ are fitted more than once are staged, so their lineage runs once.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import json
+import sys
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.constants import MONTH, ROW_KEY, SERIES
-from panelspark.functions.expr import clip
+from panelspark.functions.expr import clip, steady_sum
 from panelspark.functions.order_stats import hash_bucket, order_hash, spread_rank
-from panelspark.functions.stage import stage
+from panelspark.functions.stage import stage, stage_folder
 from panelspark.operators import features as E
 from panelspark.operators import metrics as G
 from panelspark.operators import postprocess as K
 from panelspark.operators import splits as S
 from panelspark.operators import weights as H
 
+# the terms of a model are scored in workers and travel with the functions that call them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Presets of the tree families: deep and slow, leaf-sampled, and shallow and fast.
 PRESETS: dict[str, dict] = {
     "gbt_deep": {"maxDepth": 6, "stepSize": 0.05, "maxIter": 60},
@@ -282,6 +292,54 @@ def tune(train: DataFrame, scenario, spec: ModelSpec, grid: Mapping[str, list],
     return FittedModel(spec, model), table
 
 
+def trial_points(grid: Mapping[str, list], n_trials: int | None = None, seed: int = 42) -> list[dict]:
+    """All points of the grid, or ``n_trials`` of them, drawn by a hash of seed and point."""
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    if n_trials is None or n_trials >= len(points):
+        return points
+    drawn = sorted(range(len(points)), key=lambda i: hashlib.md5(f"{seed}|{points[i]}".encode()).hexdigest())[:n_trials]
+    return [points[i] for i in sorted(drawn)]
+
+
+def tune_halving(train: DataFrame, scenario, spec: ModelSpec, grid: Mapping[str, list], folds: int = 4, eta: int = 2,
+                 n_trials: int | None = None, weighted: bool = False, budget: int | None = None):
+    """Successive halving over folds by series: (best model on all rows, table of points, table of fits).
+
+    All points are tried on the first fold; the better 1 / ``eta`` of them, by
+    the mean official metric so far, go on to the next fold, and so on, so weak
+    points stop early. ``n_trials`` bounds the points, ``budget`` the fits: a
+    fold is only begun if all points left can be tried on it. The winner is the
+    best mean among the points with the most folds; ties go to the earlier
+    point. Every fit is a row of the last table.
+    """
+    points = trial_points(grid, n_trials, spec.seed)
+    tagged = stage(S.tag(train, S.fold_series(train, folds, seed=spec.seed)))
+    alive, scores, log = list(range(len(points))), {i: [] for i in range(len(points))}, []
+    for k in range(folds):
+        if budget is not None and len(log) + len(alive) > budget:
+            break
+        fitting, held = tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k)
+        for i in alive:
+            own = replace(spec, params={**spec.params, **points[i]})
+            value = train_scenario_model(fitting, held, scenario, own, weighted=weighted)[2].first()["official_metric"]
+            scores[i].append(float("inf") if value is None else float(value))
+            log.append((i, k, scores[i][-1]))
+        if k < folds - 1 and len(alive) > 1:
+            alive = sorted(sorted(alive, key=lambda i: (sum(scores[i]) / len(scores[i]), i))[:-(-len(alive) // eta)])
+    most = max(len(v) for v in scores.values())
+    if not most:
+        raise ValueError("the budget does not allow one fit per point")
+    mean = {i: sum(v) / len(v) for i, v in scores.items() if v}
+    best = min((i for i in mean if len(scores[i]) == most), key=lambda i: (mean[i], i))
+    spark = train.sparkSession
+    table = spark.createDataFrame([(i, str(points[i]), len(scores[i]), mean.get(i), i == best) for i in range(len(points))],
+                                  "config int, params string, n_folds int, official_metric double, best boolean")
+    fits = spark.createDataFrame(log, "config int, fold int, official_metric double")
+    rows = H.sample_weights(train, scenario) if weighted else train
+    model = fit(replace(spec, params={**spec.params, **points[best]}, weight="weight" if weighted else None), rows)
+    return model, table, fits
+
+
 def compare_models(train: DataFrame, val: DataFrame, scenario, specs: Mapping[str, ModelSpec]) -> DataFrame:
     """One row of metrics per configuration, best official metric first."""
     parts = [_labelled(train_scenario_model(train, val, scenario, s)[2], model=n) for n, s in specs.items()]
@@ -355,38 +413,125 @@ def train_residual_model(df: DataFrame, spec: ModelSpec, buckets=(1,), val_fract
 # --- importance, pruning, ablation --------------------------------------------------------------
 
 
+@dataclass
+class Scorer:
+    """What a fitted model adds up, as plain arrays: terms, and which terms each feature is part of.
+
+    A term is a tree, or a product of columns with a coefficient. A change of one
+    feature changes the terms that use it and no others.
+    """
+    features: list[str]
+    terms: list
+    start: float
+    fill: list[float]
+
+    def uses(self) -> list[list[int]]:
+        """Per feature the numbers of the terms that look at it."""
+        return [[i for i, t in enumerate(self.terms) if f in t["features"]] for f in range(len(self.features))]
+
+    def term(self, i: int, x: np.ndarray) -> np.ndarray:
+        t = self.terms[i]
+        if "factors" in t:
+            return t["weight"] * np.prod(x[:, t["factors"]], axis=1)
+        at = np.zeros(len(x), np.int64)
+        while True:
+            feature = t["feature"][at]
+            open_ = np.flatnonzero(feature >= 0)
+            if not len(open_):
+                return t["weight"] * t["value"][at]
+            left = x[open_, feature[open_]] <= t["threshold"][at[open_]]
+            at[open_] = np.where(left, t["left"][at[open_]], t["right"][at[open_]])
+
+    def filled(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), np.array(self.fill), x)
+
+
+def scorer(model: FittedModel, spark: SparkSession) -> Scorer:
+    """The terms of a fitted model; trees are read from its saved nodes, whose number the model's size bounds."""
+    names, last = list(model.spec.features), model.model.stages[-1]
+    if not hasattr(last, "trees"):
+        imputer = model.model.stages[0]
+        surrogate = imputer.surrogateDF.first().asDict()
+        scale = next(s for s in model.model.stages if hasattr(s, "std"))
+        kinds = [[names.index(f) for f in m.split(" * ")] for m in monomials(spark, names, model.spec.polynomial)] if model.spec.polynomial > 1 else [[i] for i in range(len(names))]
+        mean, std = scale.mean.toArray(), scale.std.toArray()
+        weights = [c / s if s else 0.0 for c, s in zip(last.coefficients.toArray(), std)]
+        terms = [{"factors": f, "weight": w, "features": set(f)} for f, w in zip(kinds, weights)]
+        return Scorer(names, terms, float(last.intercept - sum(w * m for w, m in zip(weights, mean))), [surrogate[f"_x_{c}"] for c in names])
+    path = f"{stage_folder(spark)}/model-{uuid.uuid4().hex}"
+    last.save(path)
+    saved = spark.read.parquet(f"{path}/data")
+    nodes: dict[int, dict[int, tuple]] = {}
+    split = F.col("nodeData.split")
+    for r in saved.select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"), F.col("nodeData.leftChild").alias("left"),
+                          F.col("nodeData.rightChild").alias("right"), split["featureIndex"].alias("feature"),
+                          F.try_element_at(split["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold")).collect():
+        nodes.setdefault(r["treeID"], {})[r["id"]] = (r["feature"] if r["left"] >= 0 else -1, r["threshold"], max(r["left"], 0), max(r["right"], 0), r["value"])
+    weights = list(last.treeWeights)
+    share = 1.0 / len(weights) if isinstance(last, RandomForestRegressionModel) else 1.0
+    terms = []
+    for i, weight in enumerate(weights):
+        rows = [nodes[i][k] for k in range(len(nodes[i]))]
+        feature = np.array([r[0] for r in rows], np.int64)
+        terms.append({"feature": feature, "threshold": np.array([r[1] if r[0] >= 0 else 0.0 for r in rows], float), "left": np.array([r[2] for r in rows]),
+                      "right": np.array([r[3] for r in rows]), "value": np.array([r[4] for r in rows], float), "weight": weight * share,
+                      "features": set(feature[feature >= 0].tolist())})
+    return Scorer(names, terms, 0.0, [0.0] * len(names))
+
+
 def permutation_importance(model: FittedModel, df: DataFrame, n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rise of the squared error when one column is shuffled: (feature, importance_mean, importance_std).
 
     Rows get a partner by matching two independent random ranks, so all columns
-    of a repeat are shuffled by one join. The columns are then tried in one job:
-    each row is copied per feature, with that one value taken from the partner.
+    of a repeat are shuffled by one join. A row and its partner then go through
+    one task, which scores the row once and, for every feature, only the terms
+    of the model that look at it again; a row is never copied per feature.
     """
     spec = model.spec
     names = list(spec.features)
     keys = [F.col(c).cast("string") for c in ROW_KEY]
     rows = stage(df.where(F.col(spec.label).isNotNull()).select(
         *ROW_KEY, *[c for c in names if c not in ROW_KEY], spec.label).withColumn("_all", F.lit(0)))
-    y = F.col(spec.label)
-
-    def mse(scored: DataFrame, *by: str) -> DataFrame:
-        e = F.col("prediction") - y
-        return scored.groupBy(*by).agg(F.avg(e * e).alias("mse"))
+    parts = scorer(model, df.sparkSession)
+    uses = parts.uses()
 
     def ranked(tag: str, repeat: int) -> DataFrame:
         h = rows.withColumn("_h", order_hash(seed, tag, repeat, *keys))
         return spread_rank(h, "_all", [F.col("_h"), *[F.col(c) for c in ROW_KEY]], hash_bucket(F.col("_h")), "_place").drop("_h")
 
-    base = mse(model.transform(rows)).withColumnRenamed("mse", "_base")
-    tries = []
-    for k in range(n_repeats):
-        partner = ranked("b", k).select("_place", F.struct(*names).alias("_other"))
-        both = ranked("a", k).join(partner, "_place").withColumn("_f", F.explode(F.array(*[F.lit(n) for n in names])))
-        swapped = both.withColumns({n: F.when(F.col("_f") == n, F.col("_other")[n]).otherwise(F.col(n)) for n in names})
-        tries.append(mse(model.transform(swapped), "_f"))
-    rise = _union(tries).withColumn("_rise", F.col("mse") - base.scalar())
-    return rise.groupBy(F.col("_f").alias("feature")).agg(
-        F.avg("_rise").alias("importance_mean"), F.stddev_pop("_rise").alias("importance_std"))
+    def tried(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own, other = (parts.filled(np.array(batch.column(c).flatten().to_numpy(zero_copy_only=False), float).reshape(n, -1)) for c in ("x", "other"))
+            y, repeat = batch.column("y").to_numpy(), batch.column("repeat").to_numpy()
+            each = np.stack([parts.term(i, own) for i in range(len(parts.terms))]) if parts.terms else np.zeros((0, n))
+            whole = parts.start + each.sum(axis=0)
+            out = []
+
+            def add(feature, prediction):
+                error = (prediction - y) ** 2
+                out.extend((feature, int(k), float(error[repeat == k].sum()), int((repeat == k).sum())) for k in np.unique(repeat))
+
+            add(None, whole)
+            for f, terms in enumerate(uses):
+                swapped = own.copy() if terms else own
+                if terms:
+                    swapped[:, f] = other[:, f]
+                add(names[f], whole + sum((parts.term(i, swapped) - each[i] for i in terms), np.zeros(n)))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())],
+                                             names=["feature", "repeat", "sse", "n"])
+
+    x = F.array(*[F.col(c).cast("double") for c in names])
+    pairs = _union([ranked("a", k).select("_place", x.alias("x"), F.col(spec.label).cast("double").alias("y"), F.lit(k).alias("repeat")).join(
+        ranked("b", k).select("_place", x.alias("other")), "_place") for k in range(n_repeats)])
+    sums = pairs.select("x", "other", "y", "repeat").mapInArrow(tried, "feature string, repeat int, sse double, n long")
+    mse = stage(sums.groupBy("feature", "repeat").agg((steady_sum(F.col("sse")) / F.sum("n")).alias("mse")))
+    rise = mse.where("feature IS NOT NULL").join(mse.where("feature IS NULL").select("repeat", F.col("mse").alias("_base")), "repeat")
+    rise = rise.withColumn("_rise", F.col("mse") - F.col("_base"))
+    return rise.groupBy("feature").agg(F.avg("_rise").alias("importance_mean"), F.stddev_pop("_rise").alias("importance_std"))
 
 
 def select_features(importance: DataFrame, top_k: int | None = None, threshold: float | None = None,
@@ -450,14 +595,19 @@ def compare_approaches(panel: DataFrame, scenario, approaches: Mapping[str, dict
     return stage(_union(parts)).orderBy("rmse")
 
 
-def adversarial_validation(train: DataFrame, test: DataFrame, features: list[str], n_folds: int = 5, trees: int = 30,
-                           depth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Can a classifier tell train from test? (AUC per fold, mean importance per feature)."""
+def adversarial_rows(train: DataFrame, test: DataFrame, features: list[str], n_folds: int = 5, seed: int = 42) -> DataFrame:
+    """Rows of both sides with their label (1 for test) and a fold drawn by series."""
     def side(df, label):
         return numeric(df, features, True).select(*SERIES, *[f"_x_{c}" for c in features]).withColumn(
             "_label", F.lit(float(label)))
-    fold = F.pmod(F.xxhash64(F.lit(seed), *SERIES), F.lit(n_folds)).cast("int")
-    rows = stage(side(train, 0).unionByName(side(test, 1)).withColumn("_fold", fold))
+    draw = F.conv(F.substring(order_hash(seed, *[F.col(c) for c in SERIES]), 1, 8), 16, 10).cast("long")
+    return side(train, 0).unionByName(side(test, 1)).withColumn("_fold", (draw % n_folds).cast("int"))
+
+
+def adversarial_validation(train: DataFrame, test: DataFrame, features: list[str], n_folds: int = 5, trees: int = 30,
+                           depth: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Can a classifier tell train from test? (AUC per fold, mean importance per feature)."""
+    rows = stage(adversarial_rows(train, test, features, n_folds, seed))
     forest = RandomForestClassifier(featuresCol="_x", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=[f"_x_{c}" for c in features], outputCol="_x"), forest])
     judge = BinaryClassificationEvaluator(labelCol="_label")
@@ -536,9 +686,9 @@ def train_multi_model_ensemble(train: DataFrame, val: DataFrame, scenario, specs
                                          .otherwise(F.col("best_single")))
 
 
-def sweep_with_cv(df: DataFrame, scenario, specs: Mapping[str, ModelSpec], n_folds: int = 3) -> DataFrame:
+def sweep_with_cv(df: DataFrame, scenario, specs: Mapping[str, ModelSpec], n_folds: int = 3, weighted: bool = True) -> DataFrame:
     """K-fold scores of every configuration with mean, deviation and interval, ranked."""
-    parts = [long_scores(cross_validate(df, scenario, s, n_folds)[1], ["fold"]).select(
+    parts = [long_scores(cross_validate(df, scenario, s, n_folds, weighted)[1], ["fold"]).select(
         F.lit(n).alias("model"), "fold", "metric", "value") for n, s in specs.items()]
     return S.comparison_table(stage(_union(parts)), "official_metric")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.constants import BUCKET_THRESHOLD, MONTH, MONTH_NAMES, ROW_KEY, SERIES, require
-from panelspark.functions.expr import attach, clip, flag, month_between, ratio
+from panelspark.functions.expr import attach, clip, flag, month_between, ratio, steady_avg
 from panelspark.functions.order_stats import group_and_overall_median, median, order_hash
 
 
@@ -70,7 +70,7 @@ def compute_pre_entry_stats(panel: DataFrame, is_train: bool = True,
     before = F.when(F.col(MONTH) < 0, F.col("volume"))
     own = panel.withColumns({
         "pre_entry_months_available": F.count(year).over(series_window()),
-        "_own": F.coalesce(F.avg(year).over(series_window()), F.avg(before).over(series_window())),
+        "_own": F.coalesce(steady_avg(year, series_window()), steady_avg(before, series_window())),
     })
     area, overall = group_and_overall_median(own, "ther_area", "_own", "_area", "_overall")
     done = attach(own.join(area, "ther_area", "left"), overall).withColumn(
@@ -85,7 +85,7 @@ def add_target(panel: DataFrame, bucket_threshold: float = BUCKET_THRESHOLD) ->
     y = F.coalesce(ratio(F.col("volume"), F.col("avg_vol_12m")), F.lit(1.0))
     scored = panel.withColumn("y_norm", y)
     post = F.when(month_between(0, 23), F.col("y_norm"))
-    return scored.withColumn("mean_erosion", F.avg(post).over(series_window())).withColumn(
+    return scored.withColumn("mean_erosion", steady_avg(post, series_window())).withColumn(
         "bucket", F.when(F.col("mean_erosion") <= bucket_threshold, 1).when(F.col("mean_erosion").isNotNull(), 2))
 
 
@@ -193,15 +193,25 @@ def handle_missing_pre_entry_data(panel: DataFrame, fallback: float = 1000.0) ->
     return attach(panel, overall).withColumn("avg_vol_12m", filled).select(*panel.columns)
 
 
-def narrow_types(df: DataFrame, keep=("y_norm", "volume", "avg_vol_12m", "mean_erosion", "hospital_rate")) -> DataFrame:
-    """Longs to int and doubles to float except the columns whose precision matters.
+#: Columns whose precision matters keep their type; whole numbers of a panel fit an int whatever its rows.
+PRECISE = ("y_norm", "volume", "avg_vol_12m", "mean_erosion", "hospital_rate")
+WHOLE = (MONTH, "n_gxs", "pre_entry_months_available", "bucket", "month_of_year", "quarter")
 
-    A long is narrowed only where all its values fit, which one aggregate decides.
+
+def narrow_types(df: DataFrame, keep=PRECISE, types: dict[str, str] | None = None) -> DataFrame:
+    """Narrower types by a fixed rule, the same for every table: doubles to float, the WHOLE columns and flags to int.
+
+    Flags are columns that begin with is_ or has_ or end with _missing. Other
+    longs stay. ``types`` adds or overrides single columns. The type never
+    follows the values; a value that does not fit its type is an error.
     """
-    longs = [c for c, t in df.dtypes if t == "bigint" and c not in keep]
-    floats = [c for c, t in df.dtypes if t == "double" and c not in keep]
-    out = df
-    if longs:
-        top = df.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in longs]).first()
-        out = out.withColumns({c: F.col(c).cast("int") for c in longs if (top[c] or 0) < 2 ** 31})
-    return out.withColumns({c: F.col(c).cast("float") for c in floats}) if floats else out
+    def target(name: str, kind: str) -> str | None:
+        if types and name in types:
+            return types[name]
+        if name in keep:
+            return None
+        if kind == "bigint" and (name in WHOLE or name.startswith(("is_", "has_", "n_gxs_")) or name.endswith("_missing")):
+            return "int"
+        return "float" if kind == "double" else None
+
+    return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, kind in df.dtypes if (t := target(c, kind))})

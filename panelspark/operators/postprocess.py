@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ from panelspark.functions.order_stats import median, quantiles
 from panelspark.functions.stage import stage
 from panelspark.operators.panel import by_month
 
+# the pooling of blocks runs in workers; it travels with its helpers
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def series_columns(panel: DataFrame, *columns: str) -> DataFrame:
     """One row per series; the columns are constant within a series."""
@@ -28,8 +32,8 @@ def apply_edge_case_fallback(pred: DataFrame, panel: DataFrame, curve: DataFrame
     y_norm of the other series. A month without a curve value keeps its forecast.
     """
     stats = stage(series_columns(panel, "avg_vol_12m", "pre_entry_volatility"))
-    low = one_row(quantiles(stats, [], "avg_vol_12m", {"q": 0.05}, staged=False))["q"]
-    high = one_row(quantiles(stats, [], "pre_entry_volatility", {"q": 0.95}, staged=False))["q"]
+    low = one_row(quantiles(stats, [], "avg_vol_12m", {"q": 0.05}))["q"]
+    high = one_row(quantiles(stats, [], "pre_entry_volatility", {"q": 0.95}))["q"]
     edge = stage(stats.withColumns({"_low": low, "_high": high}).where(
         (F.col("avg_vol_12m") < F.col("_low")) | (F.col("pre_entry_volatility") > F.col("_high")))
         .select(*SERIES, F.col("avg_vol_12m").alias("_base")))
@@ -89,43 +93,113 @@ def apply_calibration(pred: DataFrame, params: DataFrame) -> DataFrame:
     return out.withColumn("volume", F.greatest(fitted, F.lit(0.0))).select(*pred.columns)
 
 
-def _assembled(df: DataFrame, column: str) -> DataFrame:
-    return VectorAssembler(inputCols=[column], outputCol="_x", handleInvalid="skip").transform(df)
+# ---- isotonic calibration: pool adjacent violators as blocks that merge
+
+BLOCKS = f"{', '.join(f'{k} int' for k in CALIBRATION_KEYS)}, lo double, hi double, total double, n long"
+SEGMENTS = 16
 
 
-def fit_isotonic_calibration(val: DataFrame, min_rows: int = 5) -> dict[tuple, IsotonicRegressionModel]:
-    """An isotonic model per scenario, bucket and month window (at most 12 groups)."""
-    rows = stage(val.withColumn("time_window", time_window(F.col("scenario"))).dropna(subset=CALIBRATION_KEYS)
-                 .select(*CALIBRATION_KEYS, "volume_true", "volume_pred"))
-    groups = rows.groupBy(*CALIBRATION_KEYS).count().where(F.col("count") >= min_rows).collect()
-    models = {}
-    for g in groups:
-        key = tuple(g[k] for k in CALIBRATION_KEYS)
-        part = rows
-        for name, value in zip(CALIBRATION_KEYS, key):
-            part = part.where(F.col(name) == value)
-        models[key] = IsotonicRegression(featuresCol="_x", labelCol="volume_true").fit(_assembled(part, "volume_pred"))
-    return models
+def pooled(lo, hi, total, n) -> list[list]:
+    """Blocks (lo, hi, total, n) in order, merged until their means rise; merging merged blocks gives the same as merging all."""
+    out: list[list] = []
+    for a, b, t, c in zip(lo, hi, total, n):
+        block = [a, b, t, c]
+        while out and out[-1][2] * block[3] >= block[2] * out[-1][3]:
+            last = out.pop()
+            block = [last[0], block[1], last[2] + block[2], last[3] + block[3]]
+        out.append(block)
+    return out
+
 
+def _pool_batch(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("lo")
+    blocks = pooled(*(rows[c].tolist() for c in ("lo", "hi", "total", "n")))
+    out = pd.DataFrame(blocks, columns=["lo", "hi", "total", "n"])
+    for k in CALIBRATION_KEYS:
+        out.insert(0, k, rows[k].iloc[0])
+    return out[[*CALIBRATION_KEYS, "lo", "hi", "total", "n"]]
 
-def apply_isotonic_calibration(pred: DataFrame, models: Mapping[tuple, IsotonicRegressionModel]) -> DataFrame:
-    """Each group's rows through its model; rows of other groups keep their volume.
 
-    The rows are staged because every group reads them again.
+def fit_isotonic_calibration(val: DataFrame, min_rows: int = 5) -> DataFrame:
+    """Isotonic fit of volume_true over volume_pred per scenario, bucket and month window: (keys, lo, hi, fit), a row per block.
+
+    All groups are fitted together. Equal predictions are one point. Points are
+    dealt by ranges of (group, prediction), and every range pools its violators
+    by itself. What is left meets across ranges only where it can: the first
+    mean of any range behind bounds what may still come from there, the last
+    mean of any range before what may come from the other side, and blocks
+    between the two are final and part the others into runs that are pooled on
+    their own. Nothing comes to the driver.
     """
-    rows = stage(pred.withColumn("time_window", time_window(F.col("scenario"))))
-    rest, parts = rows, []
-    for key, model in models.items():
-        mine = F.lit(True)
-        for name, value in zip(CALIBRATION_KEYS, key):
-            mine = mine & F.col(name).eqNullSafe(F.lit(value))
-        scored = model.transform(_assembled(rows.where(mine), "volume"))
-        parts.append(scored.withColumn("volume", F.greatest("prediction", F.lit(0.0))).select(*pred.columns))
-        rest = rest.where(~mine)
-    out = rest.select(*pred.columns)
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    keys = CALIBRATION_KEYS
+    rows = val.withColumn("time_window", time_window(F.col("scenario"))).dropna(subset=keys).dropna(subset=["volume_true", "volume_pred"])
+    rows = rows.select(*[F.col(k).cast("int").alias(k) for k in keys], F.col("volume_pred").cast("double").alias("lo"), F.col("volume_true").cast("double").alias("y"))
+    points = rows.groupBy(*keys, "lo").agg(F.sum("y").alias("total"), F.count("*").alias("n"))
+    order = [*keys, "lo"]
+    ranged = points.select(*keys, "lo", F.col("lo").alias("hi"), "total", "n").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # a group's rows of one range are one group of the task
+    blocks = stage(ranged.groupBy(*keys, "part").applyInPandas(
+        lambda key, rows: _pool_batch(rows).assign(part=key[-1]), BLOCKS + ", part int"))
+    blocks = blocks.withColumn("mean", F.col("total") / F.col("n"))
+    # a row per group and range
+    ends = blocks.groupBy(*keys, "part").agg(F.min_by("mean", "lo").alias("first"), F.max_by("mean", "lo").alias("last"))
+    along = Window.partitionBy(*keys).orderBy("part")
+    inf = F.lit(float("inf"))
+    ends = ends.select(*keys, "part", F.coalesce(F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)), -inf).alias("below"),
+                       F.coalesce(F.min("first").over(along.rowsBetween(1, Window.unboundedFollowing)), inf).alias("above"))
+    judged = blocks.join(stage(ends), [*keys, "part"]).withColumn("final", F.col("mean").between(F.col("below"), F.col("above")))
+    # runs of open blocks lie between final ones; counted per range first, so that no window holds a group
+    within = Window.partitionBy(*keys, "part").orderBy("lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    judged = stage(judged.withColumn("seen", F.sum(F.col("final").cast("long")).over(within)))
+    passed = judged.groupBy(*keys, "part").agg(F.sum(F.col("final").cast("long")).alias("n_final"))
+    passed = passed.select(*keys, "part", F.coalesce(F.sum("n_final").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("passed"))
+    open_ = judged.where("NOT final").join(passed, [*keys, "part"]).withColumn("run", F.col("passed") + F.col("seen"))
+    merged = open_.groupBy(*keys, "run").applyInPandas(lambda key, rows: _pool_batch(rows), BLOCKS)
+    fit = judged.where("final").select(*keys, "lo", "hi", "total", "n").unionByName(merged)
+    enough = blocks.groupBy(*keys).agg(F.sum("n").alias("rows")).where(F.col("rows") >= min_rows).select(*keys)
+    return stage(fit.join(enough, keys).select(*keys, "lo", "hi", (F.col("total") / F.col("n")).alias("fit")))
+
+
+def apply_isotonic_calibration(pred: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each volume through its group's fit, floored at 0; between blocks the line that joins them, outside the outer values.
+
+    Rows of groups without a fit, and rows without a volume, keep it. Rows and
+    blocks of a group meet in SEGMENTS pieces, whose bounds are quantiles of the
+    blocks and whose neighbouring blocks are known.
+    """
+    keys = CALIBRATION_KEYS
+    # the ends of the blocks are the knots of the line
+    knots = blocks.select(*keys, F.explode(F.array(F.struct(F.col("lo").alias("x"), "fit"), F.struct(F.col("hi").alias("x"), "fit"))).alias("k")).select(*keys, "k.*").distinct()
+    marks = {f"q{i}": i / SEGMENTS for i in range(1, SEGMENTS)}
+    cuts = stage(quantiles(knots, keys, "x", marks).select(*keys, F.array(*marks).alias("cuts")))
+
+    def segment(df, how):
+        return df.join(cuts, keys, how).withColumn("segment", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+
+    placed = stage(segment(knots, "inner").drop("cuts"))
+    ends = placed.groupBy(*keys, "segment").agg(F.min(F.struct("x", "fit")).alias("low"), F.max(F.struct("x", "fit")).alias("high"))
+    every = blocks.select(*keys).distinct().withColumn("segment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
+    along = Window.partitionBy(*keys).orderBy("segment")  # SEGMENTS rows per group
+    near = every.join(ends, [*keys, "segment"], "left").select(
+        *keys, "segment", F.last("high", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("low", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    fields = [f.name for f in pred.schema.fields]
+    rows = pred.select(F.struct(*[F.col(f"`{c}`") for c in fields]).alias("row"), F.col("scenario").cast("int").alias("scenario"), F.col("bucket").cast("int").alias("bucket"),
+                       time_window(F.col("scenario")).cast("int").alias("time_window"), F.col("volume").cast("double").alias("x"))
+    rows = segment(rows, "left")
+    same = rows.where("cuts IS NULL OR x IS NULL").select("row.*")
+    rows = rows.where("cuts IS NOT NULL AND x IS NOT NULL").drop("cuts").withColumn("fit", F.lit(None).cast("double"))
+    both = rows.unionByName(placed.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
+    at = Window.partitionBy(*keys, "segment").orderBy("x")
+    knot = F.when(F.col("row").isNull(), F.struct("x", "fit"))
+    both = both.withColumns({"left": F.last(knot, ignorenulls=True).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+                             "right": F.first(knot, ignorenulls=True).over(at.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    both = both.where(F.col("row").isNotNull()).join(near, [*keys, "segment"], "left")
+    left, right, x = F.coalesce("left", "before"), F.coalesce("right", "after"), F.col("x")
+    line = left["fit"] + (right["fit"] - left["fit"]) * F.try_divide(x - left["x"], right["x"] - left["x"])
+    fitted = (F.when(left.isNull(), right["fit"]).when(right.isNull(), left["fit"]).when(left["x"] == x, left["fit"]).when(right["x"] == x, right["fit"]).otherwise(line))
+    volume = F.greatest(fitted, F.lit(0.0))
+    return both.select(*[volume.alias("volume") if c == "volume" else F.col("row")[c].alias(c) for c in fields]).unionByName(same)
 
 
 def smooth_predictions(pred: DataFrame, method: str = "rolling_median", window: int = 3,

@@ -1,27 +1,42 @@
 """Exact cosine neighbours without comparing every pair of rows.
 
-Angles on the unit sphere obey the triangle inequality: if x and y are at most
-``delta`` apart, their angles to any pivot differ by at most ``delta``. Vectors
-are put into cells by their angles to a few fixed pivots; only cells that can
-hold a partner meet. A cell is cut into chunks of bounded size, and one task
-handles one pair of chunks as a small matrix product, so a cell that holds a
-third of the vectors is many tasks. Equal vectors are compared once.
+Similar pairs: dimensions are ordered by variance, and a unit vector is known to
+the index by its first few and by the length of the rest. A pair can pass only
+if the product of the prefixes plus the product of the two lengths does, which
+is checked for whole boxes of vectors first and for single pairs then; only what
+is left is scored on all dimensions.
+
+Nearest rows: a ball tree of two levels. The centres of the leaves are learnt
+from a bounded sample; every row belongs to the leaf of its nearest centre, and
+the radius of a leaf covers all its rows. A leaf is cut into parts of bounded
+size, each with small balls of its own. By the triangle inequality for angles no
+row of a ball is nearer than the angle to its centre less its radius, so balls
+are looked at best first and left out where they cannot improve the k-th row.
+
+Equal vectors are compared once, leaves and boxes with very many rows are many
+tasks, and what comes to the driver is bounded by parameters.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelspark.functions.expr import one_row
 from panelspark.functions.stage import stage
 
-CHUNK = 2048
-N_PIVOTS = 3
+# helpers of this module travel with the functions that call them
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+CHUNK = 2048  # rows of a box or leaf that one task holds at a time
+SAMPLE = 20_000  # rows that boxes and centres are learnt from; which rows they are changes the speed and not the result
+LEAVES = 4096  # boxes or leaves at most
 
 
 def unit(vec: Column | str) -> Column:
@@ -35,22 +50,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def pivots(dim: int, count: int = N_PIVOTS) -> list[list[float]]:
-    """Fixed unit vectors from a rule, the same for every table of this width."""
-    out = []
-    for j in range(count):
-        raw = [math.cos((j + 1) * (i + 1) * 1.7) for i in range(dim)]
-        norm = math.sqrt(sum(x * x for x in raw))
-        out.append([x / norm for x in raw])
-    return out
-
-
-def angles(vec: Column, dim: int) -> Column:
-    """Angles in radians to the pivots; a zero vector counts as at a right angle to everything."""
-    return F.array(*[F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(vec, F.array(*[F.lit(x) for x in p])))))
-                     for p in pivots(dim)])
-
-
 def width(df: DataFrame, vec: str) -> int:
     row = df.select(F.size(vec).alias("n")).first()
     return row["n"] if row else 1
@@ -70,133 +69,363 @@ def distinct_vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
             .select("rep", unit("_v").alias("u"), F.sqrt(dot(v, v)).alias("norm")).where(F.col("norm") > 0))
 
 
-def _celled(reps: DataFrame, dim: int, delta: float) -> DataFrame:
-    a = angles(F.col("u"), dim)
-    return reps.withColumn("a", a).withColumn("cell", F.transform("a", lambda x: F.floor(x / delta).cast("int")))
-
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """A column of arrays as rows of a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _rows(matrix: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(matrix.ravel()))
+
+
+def _sampled(rows: DataFrame, dim: int) -> np.ndarray:
+    """At most SAMPLE unit vectors, chosen by a hash of their names."""
+    found = rows.select("rep", "u").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()
+    return np.array([r["u"] for r in found], float).reshape(-1, dim)
+
+
+# ---- similar pairs
+
+def prefix_length(n: int, dim: int) -> int:
+    """Dimensions that the index knows: more of them pay on larger tables."""
+    return max(1, min(dim - 1, 8, round(math.log2(max(2, n)) / 4))) if dim > 1 else 1
+
+
+def indexed(u: np.ndarray, order: list[int], p: int) -> np.ndarray:
+    """The first p dimensions in ``order`` and the length of the rest."""
+    rest = np.sqrt(np.maximum(0.0, (u[:, order[p:]] ** 2).sum(axis=1)))
+    return np.column_stack([u[:, order[:p]], rest])
+
+
+def split_boxes(w: np.ndarray, leaves: int) -> list[tuple]:
+    """A tree of median cuts: (dimension, value, left, right) or (leaf number,)."""
+    tree: list[tuple] = []
+    count = 0
+
+    def grow(rows, budget):
+        nonlocal count
+        at = len(tree)
+        tree.append(())
+        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(1)
+        if budget < 2 or len(rows) < 2 or not spread.max():
+            tree[at] = (count,)
+            count += 1
+            return at
+        d = int(np.argmax(spread))
+        value = float(np.median(rows[:, d]))
+        low = rows[:, d] < value
+        if not low.any():  # the median is the least value
+            value = float(np.nextafter(value, np.inf))
+            low = rows[:, d] < value
+        left = grow(rows[low], budget // 2)
+        right = grow(rows[~low], budget - budget // 2)
+        tree[at] = (d, value, left, right)
+        return at
+
+    grow(w, leaves)
+    return tree
+
+
+def box_of(tree: list[tuple], w: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(w), np.int32)
+    todo = [(0, np.arange(len(w)))]
+    while todo:
+        at, rows = todo.pop()
+        node = tree[at]
+        if len(node) == 1:
+            out[rows] = node[0]
+        elif len(rows):
+            low = w[rows, node[0]] < node[1]
+            todo += [(node[2], rows[low]), (node[3], rows[~low])]
+    return out
 
-def _chunked(celled: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows gathered into chunks of about CHUNK rows per cell, spread by hash.
 
-    The table of cell sizes is bounded by the grid and staged, so a large cell
-    is split without being shuffled as a whole first.
-    """
-    sizes = stage(celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_parts")))
-    return (celled.join(sizes, "cell")
-            .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("_parts")).cast("int"))
-            .groupBy("cell", "chunk").agg(F.collect_list(F.struct(*columns)).alias("rows")))
+def largest_product(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
+    """The largest product of a vector in one box and a vector in each of the others, and no more than their distance allows."""
+    each = np.maximum(np.maximum(lo * lo2, lo * hi2), np.maximum(hi * lo2, hi * hi2)).sum(axis=1)
+    gap = np.maximum(0.0, np.maximum(lo2 - hi, lo - hi2))
+    return np.minimum(each, 1 - (gap ** 2).sum(axis=1) / 2)  # unit vectors: |a - b|^2 = 2 - 2 ab
 
 
-def similar_pairs(df: DataFrame, id_col: str, vec: str, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs of classes with cosine above the threshold, classes of the ids).
+def similar_pairs(df: DataFrame, id_col: str, vec: str, threshold: float = 0.8, report: bool = False):
+    """(pairs of classes with cosine above the threshold, classes of the ids), and with ``report`` the work done.
 
     The cosine is dot / (norms + 1e-6). Every unordered pair of classes stands
     once as (src, dst, weight), smaller name first. Ids of one class are equal
     vectors; they are not written out as pairs, since n copies have n * n. The
     class table is (id, rep, copy_weight); the last is the cosine of a vector
-    with its copy, or 0 where that is not above the threshold.
+    with its copy, or 0 where that is not above the threshold. The work is one
+    row: classes, pairs that met the prefix bound in the index, pairs scored on
+    all dimensions.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold must lie between 0 and 1")
     dim = width(df, vec)
-    delta = math.acos(threshold) + 1e-9
     reps = stage(distinct_vectors(df, id_col, vec))
-    chunks = stage(_chunked(_celled(reps, dim, delta), ["rep", "u", "norm"]))
-    moves = [[]]
-    for _ in range(N_PIVOTS):
-        moves = [[*m, d] for m in moves for d in (-1, 0, 1)]
-    forward = [m for m in moves if m >= [0] * N_PIVOTS]
-    shifted = F.explode(F.array(*[F.array(*[F.col("cell")[i] + F.lit(d) for i, d in enumerate(m)]) for m in forward]))
-    left = chunks.select(F.col("cell").alias("home"), F.col("chunk").alias("c1"), F.col("rows").alias("r1"),
-                         shifted.alias("cell"))
-    right = chunks.select("cell", F.col("chunk").alias("c2"), F.col("rows").alias("r2"))
-    meets = left.join(right, "cell").where((F.col("home") != F.col("cell")) | (F.col("c1") <= F.col("c2")))
-    same = (F.col("home") == F.col("cell")) & (F.col("c1") == F.col("c2"))
+    # one row of dim + 1 numbers
+    spread = reps.agg(F.count("*").alias("n"), *[F.coalesce(F.var_pop(F.col("u")[i]), F.lit(0.0)).alias(f"v{i}") for i in range(dim)]).first()
+    n, order = spread["n"], sorted(range(dim), key=lambda i: (-spread[f"v{i}"], i))
+    p = prefix_length(n, dim)
+    tree = split_boxes(indexed(_sampled(reps, dim), order, p), max(1, min(LEAVES, n // 64)))
+
+    def place(batches):
+        for batch in batches:
+            w = indexed(_matrix(batch.column("u"), dim), order, p)
+            yield batch.append_column("w", _rows(w)).append_column("box", pa.array(box_of(tree, w)))
+
+    placed = stage(reps.mapInArrow(place, T.StructType([*reps.schema.fields, T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("box", T.IntegerType())])))
+    # posting lists: what a box holds, and how far it reaches
+    boxes = stage(placed.groupBy("box").agg(
+        F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"), F.array(*[F.min(F.col("w")[i]) for i in range(p + 1)]).alias("lo"),
+        F.array(*[F.max(F.col("w")[i]) for i in range(p + 1)]).alias("hi")))
+    held = boxes.orderBy("box").collect()  # at most LEAVES rows
+    numbers = np.array([r["box"] for r in held], np.int32)
+    lo, hi = (np.array([r[c] for r in held], float).reshape(-1, p + 1) for c in ("lo", "hi"))
+
+    def partners(batches):
+        for batch in batches:
+            found = []
+            for box in batch.column("box").to_pylist():
+                i = int(np.searchsorted(numbers, box))
+                found.append(numbers[i:][largest_product(lo[i], hi[i], lo[i:], hi[i:]) >= threshold - 1e-9])
+            yield pa.RecordBatch.from_arrays([batch.column("box"), pa.array(found, pa.list_(pa.int32()))], names=["home", "near"])
+
+    near = boxes.select("box").mapInArrow(partners, "home int, near array<int>").select("home", F.explode("near").alias("box"))
+    chunks = stage(placed.join(boxes.select("box", "parts"), "box").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+                   .groupBy("box", "part").agg(F.collect_list(F.struct("rep", "u", "norm", "w")).alias("rows")))
+    left = chunks.select(F.col("box").alias("home"), F.col("part").alias("c1"), F.col("rows").alias("r1")).join(near, "home")
+    right = chunks.select("box", F.col("part").alias("c2"), F.col("rows").alias("r2"))
+    meets = left.join(right, "box").where((F.col("home") != F.col("box")) | (F.col("c1") <= F.col("c2")))
+    same = (F.col("home") == F.col("box")) & (F.col("c1") == F.col("c2"))
+
+    def opened(rows):
+        rows = rows.values if isinstance(rows, pa.ListScalar) else rows
+        return rows.field("rep").to_numpy(zero_copy_only=False), *(_matrix(rows.field(c), k) for c, k in (("u", dim), ("w", p + 1))), rows.field("norm").to_numpy()
 
     def compare(batches):
         for batch in batches:
-            for r1, r2, is_same in zip(batch["r1"], batch["r2"], batch["same"]):
-                n1, n2 = np.array([r["norm"] for r in r1]), np.array([r["norm"] for r in r2])
-                size = np.outer(n1, n2)
-                sims = np.stack([r["u"] for r in r1]) @ np.stack([r["u"] for r in r2]).T * size / (size + 1e-6)
-                i, j = np.nonzero(sims > threshold)
-                if is_same:
-                    i, j = i[i < j], j[i < j]
-                if len(i) == 0:
-                    continue
-                a = np.array([r["rep"] for r in r1], dtype=object)[i]
-                b = np.array([r["rep"] for r in r2], dtype=object)[j]
+            for r1, r2, is_same in zip(batch.column("r1"), batch.column("r2"), batch.column("same").to_pylist()):
+                (names1, u1, w1, n1), (names2, u2, w2, n2) = opened(r1), opened(r2)
+                met = scored = 0
+                src, dst, weight = [names1[:0]], [names2[:0]], [n1[:0]]
+                for at in range(0, len(u1), 512):
+                    bound = w1[at:at + 512] @ w2.T >= threshold - 1e-9
+                    if is_same:
+                        bound &= np.arange(at, at + len(bound))[:, None] < np.arange(len(w2))
+                    met += bound.size
+                    i, j = np.nonzero(bound)
+                    i += at
+                    scored += len(i)
+                    size = n1[i] * n2[j]
+                    sims = np.einsum("ij,ij->i", u1[i], u2[j]) * size / (size + 1e-6)
+                    good = sims > threshold
+                    src.append(names1[i[good]])
+                    dst.append(names2[j[good]])
+                    weight.append(sims[good])
+                a, b = np.concatenate(src), np.concatenate(dst)
                 swap = a > b
-                yield pd.DataFrame({"src": np.where(swap, b, a), "dst": np.where(swap, a, b), "weight": sims[i, j]})
+                yield pa.RecordBatch.from_arrays([pa.array([None, *np.where(swap, b, a)], pa.string()), pa.array([None, *np.where(swap, a, b)], pa.string()),
+                                                  pa.array(np.concatenate([[0.0], *weight])), pa.array([met, *[0] * len(a)], pa.int64()),
+                                                  pa.array([scored, *[0] * len(a)], pa.int64())], names=["src", "dst", "weight", "met", "scored"])
 
-    pairs = meets.select("r1", "r2", same.alias("same")).mapInPandas(compare, "src string, dst string, weight double")
+    found = meets.select("r1", "r2", same.alias("same")).mapInArrow(compare, "src string, dst string, weight double, met long, scored long")
+    found = stage(found) if report else found
+    pairs = found.where("src IS NOT NULL").select("src", "dst", "weight")
     copy = F.col("norm") * F.col("norm") / (F.col("norm") * F.col("norm") + 1e-6)
     weights = reps.select("rep", F.when(copy > threshold, copy).otherwise(0.0).alias("copy_weight"))
-    return pairs, classes(df, id_col, vec).join(weights, "rep").select("id", "rep", "copy_weight")
-
+    known = classes(df, id_col, vec).join(weights, "rep").select("id", "rep", "copy_weight")
+    if not report:
+        return pairs, known
+    none = F.lit(0).cast("long")
+    return pairs, known, found.agg(F.lit(n).cast("long").alias("classes"), F.coalesce(F.sum("met"), none).alias("met"), F.coalesce(F.sum("scored"), none).alias("scored"))
+
+
+# ---- nearest rows
+
+def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Angles between the unit vectors of two matrices."""
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def grow_balls(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Rows of unit vectors cut in two, and again, until no ball holds more than ``most``; equal vectors stay together."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        y = x[rows]
+        a = y[np.argmin(y @ y.mean(axis=0))]  # far from the middle, and then far from there
+        b = y[np.argmin(y @ a)]
+        for _ in range(4):
+            first = y @ a >= y @ b
+            if first.all() or not first.any():
+                break
+            a, b = (z / max(1e-12, np.linalg.norm(z)) for z in (y[first].mean(axis=0), y[~first].mean(axis=0)))
+        if first.all() or not first.any():
+            out += [rows[i:i + most] for i in range(0, len(rows), most)]
+        else:
+            todo += [rows[first], rows[~first]]
+    return out
 
-def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
-    """The k nearest base rows of every query row by cosine distance: (query, neighbour, distance).
 
-    Exact. A first look at the query's own cell, or at the largest cell where
-    its own is thin, gives an upper bound on its k-th distance; then only cells
-    whose angle ranges come within that bound are searched.
+def _ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre and radius in radians of unit vectors."""
+    c = x.mean(axis=0)
+    c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+    return c, float(angle(x, c[None]).max()) + 1e-9
+
+
+def _reach(distance: np.ndarray) -> np.ndarray:
+    """The angle within which a row must lie to be at most as far; the slack covers rounded distances."""
+    return np.where(np.isfinite(distance), np.arccos(np.clip(1 - (np.where(np.isfinite(distance), distance, 0) + 1e-8), -1.0, 1.0)) + 1e-6, np.pi + 1)
+
+
+def _search_part(q: np.ndarray, bound: np.ndarray, x: np.ndarray, rank: np.ndarray, balls: list, k: int):
+    """The k nearest rows of one part for each query: (keys, rows scored). A key is distance * 1e9 and the rank of the name."""
+    centers = np.array([c for _, c, _ in balls])
+    lower = angle(q, centers) - np.array([r for _, _, r in balls])
+    none = np.int64(1) << 62
+    best = np.full((len(q), k), none)
+    scored = 0
+    for s in np.argsort(lower.min(axis=0)):
+        rows = balls[s][0]
+        ask = np.flatnonzero(lower[:, s] <= bound)
+        if not len(ask):
+            continue
+        scored += len(ask) * len(rows)
+        d = np.rint(np.clip(1 - q[ask] @ x[rows].T, 0, 2) * 1e9).astype(np.int64)
+        keys = np.concatenate([best[ask], (d << 24) | rank[rows]], axis=1)
+        keys.sort(axis=1)
+        best[ask] = keys[:, :k]
+        kth = keys[:, k - 1]
+        bound[ask] = np.minimum(bound[ask], _reach(np.where(kth < none, (kth >> 24) / 1e9, np.inf)))
+    return best, scored
+
+
+def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int = 5, report: bool = False):
+    """The k nearest base rows of every query row by cosine distance: (query, neighbour, distance, rank), and with ``report`` the work done.
+
+    Exact. The leaf that can hold the nearest row is searched first, which
+    bounds the k-th distance; then every other leaf that comes within the bound.
+    Ties follow the neighbour's id. A zero vector is at distance 1 from all
+    rows. The work is one row: pairs of a query and a row in all, and pairs
+    scored.
     """
     dim = width(base, vec)
-    delta = math.pi / 8
-    id_type = base.schema[id_col].dataType.simpleString()
-    train = stage(_celled(base.select(F.col(id_col).alias("rep"), unit(vec).alias("u")), dim, delta))
-    asks = stage(_celled(queries.select(F.col(id_col).alias("rep"), unit(vec).alias("u")), dim, delta))
-    ranges = train.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(F.col("a")[i]) for i in range(N_PIVOTS)]).alias("lo"),
-        F.array(*[F.max(F.col("a")[i]) for i in range(N_PIVOTS)]).alias("hi"))
-    # the number of cells is bounded by the grid: 9 steps of an eighth of a half turn per pivot
-    cells = stage(ranges)
-    table = one_row(cells.agg(F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells")))["cells"]
-
-    def gap(c: Column) -> Column:
-        return F.greatest(*[F.greatest(c["lo"][i] - F.col("a")[i], F.col("a")[i] - c["hi"][i], F.lit(0.0))
-                            for i in range(N_PIVOTS)])
-
-    rows = stage(asks.withColumn("_cells", table).withColumn("_cells", F.transform("_cells", lambda c: F.struct(
-        F.when(c["n"] >= k, 0).otherwise(1).alias("thin"), gap(c).alias("gap"), (-c["n"]).alias("rest"),
-        c["cell"].alias("cell")))))
-    chunks = stage(_chunked(train, ["rep", "u"]))
-    start = rows.select("rep", "u", F.array_min("_cells")["cell"].alias("cell"))
-    seen = _search(start, chunks, id_type, k)
-    bound = stage(seen.groupBy("query").agg(F.sort_array(F.collect_list("distance")).alias("_d")).select(
-        F.col("query").alias("rep"), F.when(F.size("_d") >= k, F.element_at("_d", k)).alias("bound")))
-    # distance d means an angle of acos(1 - d); the slack covers the rounding of distances. Without k rows in the
-    # first cell there is no bound yet, and every cell is searched.
-    angle = F.acos(F.greatest(F.lit(-1.0), 1 - (F.col("bound") + 1e-8))) + 1e-6
-    reach = F.when(F.col("bound").isNotNull(), angle).otherwise(F.lit(math.pi))
-    # a zero vector is at distance 1 from everything, so its angles bound nothing
-    zero = dot(F.col("u"), F.col("u")) == 0
-    wide = rows.join(bound, "rep", "left").withColumn("_reach", F.when(zero, math.pi).otherwise(reach))
-    near = F.filter("_cells", lambda c: c["gap"] <= F.col("_reach"))
-    targets = wide.select("rep", "u", F.explode(near).alias("c")).select("rep", "u", F.col("c.cell").alias("cell"))
-    found = _search(targets, chunks, id_type, k)
+    id_type = base.schema[id_col].dataType
+    rows = base.select(F.col(id_col).alias("rep"), unit(vec).alias("u"))
+    zero = F.forall("u", lambda x: x == 0)
+    train = stage(rows.where(~zero))
+    flat = stage(rows.where(zero).select("rep").orderBy("rep").limit(k))  # of equal distances the first k count
+    asks = stage(queries.select(F.col(id_col).alias("rep"), unit(vec).alias("u")).withColumn("zero", zero))
+    n_train = train.count()
+    sample = _sampled(train, dim)
+    leaves = grow_balls(sample, max(1, -(-len(sample) // max(1, min(LEAVES, n_train // 256)))))
+    centers = np.array([_ball(sample[r])[0] for r in leaves if len(r)]).reshape(-1, dim)
+
+    def settle(batches):
+        for batch in batches:
+            u = _matrix(batch.column("u"), dim)
+            a = np.concatenate([angle(u[i:i + 1024], centers) for i in range(0, len(u), 1024)]) if len(u) else np.zeros((0, 1))
+            leaf = a.argmin(axis=1) if len(u) else np.zeros(0, int)
+            yield batch.append_column("leaf", pa.array(leaf.astype(np.int32))).append_column("a", pa.array(a[np.arange(len(u)), leaf]))
+
+    settled = stage(train.mapInArrow(settle, T.StructType([*train.schema.fields, T.StructField("leaf", T.IntegerType()), T.StructField("a", T.DoubleType())])))
+    reach = stage(settled.groupBy("leaf").agg(F.max("a").alias("radius"), F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")))
+    held = reach.orderBy("leaf").collect()  # at most LEAVES rows, or one per sampled row
+    known = np.array([r["leaf"] for r in held], int)
+    radius, count, part_count = (np.array([r[c] for r in held]) for c in ("radius", "n", "parts"))
+    middle = centers[known] if len(known) else centers
+    part_of = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    parts = stage(settled.join(reach.select("leaf", "parts"), "leaf").withColumn("part", part_of)
+                  .groupBy("leaf", "part").agg(F.collect_list(F.struct("rep", "u")).alias("rows")))
+
+    def reached(batches):
+        """(rep, u, home leaf, leaves in reach of the first bound, that bound) per query."""
+        for batch in batches:
+            out = []
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                a = angle(_matrix(part.column("u"), dim), middle)
+                lower, upper = a - radius - 1e-9, a + radius + 1e-9
+                by = np.argsort(upper, axis=1)
+                enough = np.cumsum(count[by], axis=1) >= k
+                first = np.where(enough.any(axis=1), np.take_along_axis(upper, by, 1)[np.arange(len(a)), enough.argmax(axis=1)], np.pi + 1) + 1e-6
+                home = lower.argmin(axis=1)
+                for i in range(len(a)):
+                    others = np.flatnonzero(lower[i] <= first[i])
+                    out.append((int(known[home[i]]), float(first[i]), known[others].tolist(), lower[i, others].tolist()))
+            cols = list(zip(*out)) if out else [[]] * 4
+            types = [pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("u"), *(pa.array(c, t) for c, t in zip(cols, types))],
+                                             names=["rep", "u", "leaf", "bound", "near", "lower"])
+
+    fields = [T.StructField("rep", id_type), T.StructField("u", T.ArrayType(T.DoubleType()))]
+    wide = T.StructType([*fields, T.StructField("leaf", T.IntegerType()), T.StructField("bound", T.DoubleType()),
+                         T.StructField("near", T.ArrayType(T.IntegerType())), T.StructField("lower", T.ArrayType(T.DoubleType()))])
+    moving = asks.where("NOT zero").select("rep", "u")
+    if len(known):
+        started = stage(moving.mapInArrow(reached, wide))
+        first = stage(_searched(started.select("rep", "u", "leaf", "bound"), parts, reach, id_type, dim, k))
+        best = Window.partitionBy("query").orderBy("distance", "neighbour")
+        kth = (first.where("query IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+               .select(F.col("query").alias("rep"), (F.acos(F.greatest(F.lit(-1.0), 1 - (F.col("distance") + 1e-8))) + 1e-6).alias("better")))
+        tight = started.join(kth, "rep", "left").withColumn("bound", F.least("bound", "better"))
+        more = tight.select("rep", "u", "bound", F.col("leaf").alias("home"), F.explode(F.arrays_zip("near", "lower")).alias("x")).where(
+            (F.col("x.near") != F.col("home")) & (F.col("x.lower") <= F.col("bound")))
+        second = _searched(more.select("rep", "u", F.col("x.near").alias("leaf"), "bound"), parts, reach, id_type, dim, k)
+        found = first.unionByName(stage(second) if report else second)
+    else:
+        found = moving.where("false").select(F.col("rep").alias("query"), F.col("rep").alias("neighbour"), F.lit(1.0).alias("distance"), F.lit(0).cast("long").alias("scored"))
+    # rows at a right angle: zero vectors in the base, k of them at most, and for a zero query the first k of all
+    one, none = F.lit(1.0).alias("distance"), F.lit(0).cast("long").alias("scored")
+    to_flat = moving.join(F.broadcast(flat.select(F.col("rep").alias("neighbour"))), F.lit(True)).select(F.col("rep").alias("query"), "neighbour", one, none)
+    least = stage(rows.select(F.col("rep").alias("neighbour")).orderBy("neighbour").limit(k))
+    from_zero = asks.where("zero").join(F.broadcast(least), F.lit(True)).select(F.col("rep").alias("query"), "neighbour", one, none)
     order = Window.partitionBy("query").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def _search(targets: DataFrame, chunks: DataFrame, id_type: str, k: int) -> DataFrame:
-    """The k nearest rows of each (query, chunk) that meet; queries travel in chunks too."""
-    asks = _chunked(targets, ["rep", "u"]).select("cell", F.col("rows").alias("q"))
-    meets = asks.join(chunks, "cell").select("q", "rows")
+    kept = found.where("query IS NOT NULL").unionByName(to_flat).unionByName(from_zero)
+    result = kept.select("query", "neighbour", "distance", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+    if not report:
+        return result
+    n = asks.where("NOT zero").count()
+    return result, found.agg(F.lit(n * n_train).cast("long").alias("pairs"), F.coalesce(F.sum("scored"), F.lit(0)).cast("long").alias("scored"))
+
+
+def _searched(targets: DataFrame, parts: DataFrame, reach: DataFrame, id_type, dim: int, k: int) -> DataFrame:
+    """(query, neighbour, distance, scored) of the k nearest rows in each part of the leaves asked for; queries travel in chunks, and a row without a query counts."""
+    per_leaf = targets.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    asked = targets.join(stage(per_leaf), "leaf").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    asked = asked.groupBy("leaf", "chunk").agg(F.collect_list(F.struct("rep", "u", "bound")).alias("q"))
+    asked = asked.join(reach.select("leaf", "parts"), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meets = asked.join(parts, ["leaf", "part"]).select("q", "rows")
+    kind = _arrow(id_type)
 
     def search(batches):
         for batch in batches:
-            for q, rows in zip(batch["q"], batch["rows"]):
-                ids = np.array([r["rep"] for r in q], dtype=object)
-                names = np.array([r["rep"] for r in rows], dtype=object)
-                order = np.argsort(names, kind="stable")
-                sims = np.stack([r["u"] for r in q]) @ np.stack([r["u"] for r in rows]).T
-                dist = np.round(np.clip(1 - sims, 0, 2), 9)[:, order]
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({
-                    "query": np.repeat(ids, best.shape[1]), "neighbour": names[order][best].ravel(),
-                    "distance": np.take_along_axis(dist, best, 1).ravel()})
-
-    return meets.mapInPandas(search, f"query {id_type}, neighbour {id_type}, distance double")
+            for q, rows in zip(batch.column("q"), batch.column("rows")):
+                q, rows = q.values, rows.values
+                u, x = _matrix(q.field("u"), dim), _matrix(rows.field("u"), dim)
+                names, ids = rows.field("rep").to_numpy(zero_copy_only=False), q.field("rep").to_numpy(zero_copy_only=False)
+                by = np.argsort(names, kind="stable")
+                rank = np.empty(len(by), np.int64)
+                rank[by] = np.arange(len(by))
+                balls = [(r, *_ball(x[r])) for r in grow_balls(x, 64)]
+                best, scored = _search_part(u, q.field("bound").to_numpy().copy(), x, rank, balls, k)
+                i, j = np.nonzero(best < np.int64(1) << 62)
+                keys = best[i, j]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([None, *ids[i].tolist()], kind), pa.array([None, *names[by][keys & 0xFFFFFF].tolist()], kind),
+                     pa.array(np.append([0.0], (keys >> 24) / 1e9)), pa.array([scored, *[0] * len(keys)], pa.int64())], names=["query", "neighbour", "distance", "scored"])
+
+    schema = T.StructType([T.StructField("query", id_type), T.StructField("neighbour", id_type), T.StructField("distance", T.DoubleType()), T.StructField("scored", T.LongType())])
+    return meets.mapInArrow(search, schema)
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

@@ -195,28 +195,68 @@ def aggregate_scores(scores: DataFrame, by=("metric",), value: str = "value") ->
     return stats.withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half})
 
 
-def comparison_table(scores: DataFrame, primary: str, ascending: bool = True) -> DataFrame:
-    """Models ranked by their mean primary metric; the best one is flagged. One row per model."""
-    table = stage(aggregate_scores(scores.where(F.col("metric") == primary), ["model"]).withColumn("_all", F.lit(0)))
-    order = F.col("mean") if ascending else F.col("mean").desc()
+def comparison_table(scores: DataFrame, primary: str, ascending: bool = True, additional_metrics=()) -> DataFrame:
+    """Models ranked by their mean primary metric; the best one is flagged. One row per model.
+
+    ``additional_metrics`` add {metric}_mean and {metric}_std, null where a model
+    has no such score.
+    """
+    wanted = list(dict.fromkeys([primary, *additional_metrics]))
+    every = aggregate_scores(scores.where(F.col("metric").isin(wanted)), ["model", "metric"])
+    more = [F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{m}_{k}") for m in additional_metrics for k in ("mean", "std")]
+    own = [F.max(F.when(F.col("metric") == primary, F.col(k))).alias(k) for k in ("mean", "std", "min", "max", "n_folds", "ci_lower", "ci_upper")]
+    table = every.groupBy("model").agg(*own, *more)
+    table = stage(table.withColumns({"n_folds": F.coalesce("n_folds", F.lit(0).cast("long")), "_all": F.lit(0)}))
+    order = F.col("mean").asc_nulls_last() if ascending else F.col("mean").desc_nulls_last()
     bucket = F.lit(0)
     ranked = spread_rank(table, "_all", [order, F.col("model")], bucket, "rank").drop("_all")
-    return ranked.withColumn("is_best", flag(F.col("rank") == 1))
+    return ranked.withColumn("is_best", flag((F.col("rank") == 1) & F.col("mean").isNotNull()))
+
+
+def paired_t_test(scores: DataFrame, a: str, b: str, metric: str, alpha: float = 0.05) -> DataFrame:
+    """t statistic, mean difference and interval at 1 - ``alpha`` of paired fold scores of two models; pairs with a gap are left out.
 
+    Fewer than two pairs give nulls and no significance.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
 
-def paired_t_test(scores: DataFrame, a: str, b: str, metric: str) -> DataFrame:
-    """t statistic, mean difference and 95% interval of paired fold scores of two models; pairs with a gap are left out."""
     def of(model, name):
         return scores.where((F.col("model") == model) & (F.col("metric") == metric)).select("fold", F.col("value").alias(name))
     d = F.col("_a") - F.col("_b")
-    stats = of(a, "_a").join(of(b, "_b"), "fold").where(d.isNotNull()).agg(
+    stats = of(a, "_a").join(of(b, "_b"), "fold").where(d.isNotNull() & ~F.isnan(d)).agg(
         F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("_sd"), F.count(F.lit(1)).alias("n_valid_pairs"))
     err = F.col("_sd") / F.sqrt("n_valid_pairs")
     t = ratio(F.col("mean_diff"), err)
-    q = t_quantile(F.col("n_valid_pairs") - 1)
+    df = F.col("n_valid_pairs") - 1
+    q = t_quantile(df) if alpha == 0.05 else F.when(df > 0, t_quantile_at(df, alpha))
     return stats.withColumns({
         "t_statistic": t, "ci_diff_lower": F.col("mean_diff") - q * err, "ci_diff_upper": F.col("mean_diff") + q * err,
-        "p_value": p_value(t, F.col("n_valid_pairs") - 1), "is_significant": flag(F.abs(t) > q)}).drop("_sd")
+        "p_value": p_value(t, df), "is_significant": flag(F.abs(t) > q)}).drop("_sd")
+
+
+def t_quantile_at(df: Column, alpha: float, steps: int = 2000, halvings: int = 40) -> Column:
+    """The value that a |t| with ``df`` degrees of freedom exceeds with probability alpha.
+
+    With x = sqrt(df) tan(a) the density becomes cos(a)^(df - 1); the angle is
+    found by halving on its integral.
+    """
+    half = F.lit(math.pi / 2)
+
+    def integral(top: Column) -> Column:
+        step = top / steps
+        return step * F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0),
+                                  lambda acc, i: acc + F.pow(F.cos((i - 0.5) * step), df - 1))
+    goal = (1 - alpha) * integral(half)
+
+    def halve(state, i):
+        middle = (state["lo"] + state["hi"]) / 2
+        return F.when(integral(middle) < goal, F.struct(middle.alias("lo"), state["hi"].alias("hi"))).otherwise(
+            F.struct(state["lo"].alias("lo"), middle.alias("hi")))
+
+    start = F.struct(F.lit(0.0).alias("lo"), half.alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), start, halve)
+    return F.sqrt(df) * F.tan((found["lo"] + found["hi"]) / 2)
 
 
 def p_value(t: Column, df: Column, steps: int = 2000) -> Column:

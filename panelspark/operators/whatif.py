@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.constants import MONTH, SERIES
-from panelspark.functions.expr import clip, flag, ratio
+from panelspark.functions.expr import clip, flag, ratio, steady_sum
 from panelspark.functions.order_stats import order_hash
 
 HORIZON_END = 23
@@ -116,6 +116,32 @@ def compare_scenarios(pred: DataFrame, scenarios: Mapping[str, Sequence[Shock]],
         F.count_distinct(F.when(moved, F.struct(*SERIES))).alias("affected_series_count"))
 
 
+def scenario_predictions(pred: DataFrame, scenarios: Mapping[str, Sequence[Shock]], volume: str = "volume") -> DataFrame:
+    """Every row once per scenario: (scenario, key, baseline, adjusted)."""
+    options = F.array(*[F.struct(F.lit(n).alias("scenario"), shocked_volume(s, pred.columns, volume).alias("adjusted")) for n, s in scenarios.items()])
+    return pred.withColumn("_s", F.explode(options)).select("_s.scenario", *SERIES, MONTH, F.col(volume).alias("baseline"), "_s.adjusted")
+
+
+def summarize_scenario_impacts(results: DataFrame, baseline: str = "baseline", adjusted: str = "adjusted", by: str = "scenario") -> DataFrame:
+    """One row per scenario of a table of adjusted forecasts, whatever made them.
+
+    The table has a row per scenario, series and month; a null counts as no
+    change. Changes and totals, the largest fall and rise, and how many periods
+    and series moved. Series are first brought to one row each, so a scenario is
+    never counted in one task.
+    """
+    before, after = F.col(baseline), F.coalesce(adjusted, baseline)
+    change, moved = after - before, after != before
+    per_series = results.groupBy(by, *SERIES).agg(
+        steady_sum(before).alias("_b"), steady_sum(change).alias("_c"), F.count(change).alias("_n"), F.min(change).alias("_lo"), F.max(change).alias("_hi"),
+        F.sum(flag(moved)).alias("_m"))
+    base, total = steady_sum(F.col("_b")), steady_sum(F.col("_c"))
+    return per_series.groupBy(by).agg(
+        total.alias("total_volume_change"), F.coalesce(F.when(base > 0, ratio(total * 100, base)), F.lit(0.0)).alias("total_volume_change_pct"),
+        ratio(total, F.sum("_n")).alias("mean_volume_change"), F.min("_lo").alias("max_negative_impact"), F.max("_hi").alias("max_positive_impact"),
+        F.sum("_m").alias("affected_periods"), F.sum(flag(F.col("_m") > 0)).alias("affected_series_count"))
+
+
 def _month_sums(pred: DataFrame, shock: Shock, volume: str) -> DataFrame:
     """Volumes by month and by whether the shock applies: at most two rows per month.
 

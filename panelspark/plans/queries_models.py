@@ -1,8 +1,9 @@
 """Queries over fitted models.
 
-What a fit predicts has no SQL twin unless it is least squares. Its queries give
-the rows it speaks for, their target and the training curve, which SQL repeats,
-and what must hold of any good forecast: bounds, and less error than a mean.
+Operators that fit any model given are run with unpenalised linear models, whose
+forecasts and scores SQL repeats from the normal equations. What trees, forests
+and stacks predict has no SQL twin: their queries give the rows they speak for,
+their target and the training curve, and what must hold of any good forecast.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ from panelspark.constants import MONTH, RESIDUAL_WINDOWS, ROW_KEY, SERIES
 from panelspark.functions.expr import attach, clip
 from panelspark.operators import baselines as B
 from panelspark.operators import curves as U
+from panelspark.operators import forecasters as fc
 from panelspark.operators import features as E
 from panelspark.operators import metrics as G
 from panelspark.operators import models as I
 from panelspark.operators import panel as P
 from panelspark.operators import postprocess as K
 from panelspark.operators import similarity as Z
+from panelspark.operators import target_stats as T
 from panelspark.plans import fixtures as fx
 from panelspark.plans import forecast
+from panelspark.plans import least_squares as ls
 from panelspark.plans.queries_external import store
 from panelspark.plans.queries_features import PRE
+from panelspark.plans.queries_metrics import W0
 from panelspark.plans.registry import query, r, rx
+from panelspark.plans.shared_sql import SHARED
 from panelspark.sources import tables
 
 ROW = "country, brand_name, months_postgx"
@@ -33,6 +39,9 @@ COLUMNS = ("months_postgx", "n_gxs", "hospital_rate_norm", "time_decay", "pre_en
            "log_avg_vol", "vol_ratio_3m_12m", "n_gxs_at_month_12", "is_injection", "ther_area_encoded", "month_sin")
 TREE = I.ModelSpec("gbt_fast", {"maxIter": 8, "maxDepth": 4}, COLUMNS)
 LINEAR = I.ModelSpec("ridge", {}, COLUMNS)
+#: Least squares over the month and the competitors, and over the month alone.
+BOTH = I.ModelSpec("ridge", {"regParam": 0.0}, ("months_postgx", "n_gxs"))
+MONTHLY = I.ModelSpec("ridge", {"regParam": 0.0}, ("months_postgx",))
 
 
 def frame(spark, sf, scenario=1):
@@ -176,7 +185,20 @@ def _(spark, sf):
     return judged(train, I.predict(I.fit(I.ModelSpec("forest", {"numTrees": 15, "maxDepth": 6}, COLUMNS), train), val))
 
 
-@query("i14_hybrid_model", views="panel", ctes=FRAME, sql=f"""
+REG = {**FRAME, "reg": "SELECT *, months_postgx::DOUBLE AS m, n_gxs::DOUBLE AS g FROM {frm}",
+       "odd": f"SELECT * FROM {{reg}} WHERE {ODD}", "even": f"SELECT * FROM {{reg}} WHERE {EVEN}"}
+PHYSICS = "exp(-0.05 * months_postgx)"
+
+
+@query("i14_hybrid_model", views="panel", ctes={**REG, **ls.solved("fit", "odd", y=f"y_norm - {PHYSICS}")}, digits=5, sql=f"""
+    SELECT {ROW}, {rx(PHYSICS, 'physics', 5)}, {rx(ls.value(), 'ml_residual', 5)}, {rx(ls.clipped(f'{PHYSICS} + {ls.value()}'), 'prediction', 5)} FROM even, fit""")
+def _(spark, sf):
+    """What the decay leaves over is fitted by least squares; the forecast is the sum."""
+    train, val = parts(spark, sf)
+    return I.predict_hybrid(I.fit_hybrid(train, BOTH), val).select(*ROW_KEY, "physics", "ml_residual", "prediction")
+
+
+@query("i14_hybrid_trees", views="panel", ctes=FRAME, sql=f"""
     SELECT {ROW}, {rx('exp(-0.05 * months_postgx)', 'physics')}, true AS adds_up, true AS in_range, true AS beats_mean
     FROM frm WHERE {EVEN}""")
 def _(spark, sf):
@@ -199,41 +221,126 @@ def _(spark, sf):
                       (F.col("volume") >= 0).alias("in_range"))
 
 
-@query("i16_train_scenario_model", **measured_sql(["1 AS scenario"]))
+HOLT = (0.4, 0.2)
+PAST = {"hist": f"""SELECT {SER}, months_postgx, volume, row_number() OVER (PARTITION BY {SER} ORDER BY months_postgx) AS t,
+        count(*) OVER (PARTITION BY {SER}) AS n FROM {{panel}} WHERE volume IS NOT NULL AND months_postgx < 0"""}
+
+
+@query("i15_holt_by_rates", views="panel", ctes={**PAST,
+    "runs": f"""SELECT {SER}, n, list(volume ORDER BY t) AS v FROM {{hist}} GROUP BY 1, 2, 3 HAVING n >= 2""",
+    "state": f"""SELECT {SER}, list_reduce(list_prepend([v[1], v[2] - v[1]], list_transform(v[2:], x -> [x, 0.0])), (a, b) -> [
+        {HOLT[0]} * b[1] + {1 - HOLT[0]} * (a[1] + a[2]),
+        {HOLT[1]} * ({HOLT[0]} * b[1] + {1 - HOLT[0]} * (a[1] + a[2]) - a[1]) + {1 - HOLT[1]} * a[2]]) AS s FROM {{runs}}"""}, digits=4, sql=f"""
+    SELECT {SER}, CAST(h AS INT) AS months_postgx, {rx('s[1] + (h + 1) * s[2]', 'volume', 4)} FROM state, (SELECT unnest(range(6)) AS h)""")
 def _(spark, sf):
+    """Additive-trend smoothing with given rates."""
+    past = fx.panel(spark, sf).where("months_postgx < 0")
+    long = past.join(past.where("volume IS NOT NULL").groupBy(*SERIES).count().where("count >= 2").select(*SERIES), SERIES, "left_semi")
+    return fc.smoothed_by(long, fc.Smoothing("add"), list(HOLT), range(6))
+
+
+PHI = 0.5
+
+
+@query("i15_arima_likelihood", views="panel", ctes={**PAST,
+    "dif": f"SELECT {SER}, t, n, volume - lag(volume) OVER (PARTITION BY {SER} ORDER BY t) AS d FROM {{hist}}",
+    "err": f"""SELECT {SER}, CASE WHEN t = 2 THEN d * d * {1 - PHI * PHI} ELSE pow(d - {PHI} * lag(d) OVER (PARTITION BY {SER} ORDER BY t), 2) END AS e
+        FROM {{dif}} WHERE t >= 2""",
+    "s2": f"SELECT {SER}, count(*) AS n, avg(e) AS s2 FROM {{err}} GROUP BY 1, 2"}, digits=3, sql=f"""
+    SELECT {SER}, CAST(n AS INT) AS n, {rx(f'-0.5 * (n * ln(2 * pi() * greatest(s2, 1e-300)) - ln({1 - PHI * PHI}) + n)', 'log_likelihood', 3)}, {rx('s2', 'variance', 3)} FROM s2""")
+def _(spark, sf):
+    """Likelihood of first differences as an autoregression, from the prediction errors of the filter."""
+    past = fx.panel(spark, sf).where("months_postgx < 0")
+    return fc.filtered(past, fc.Order((1, 1, 0)), [PHI], []).where("n > 0")
+
+
+OTS = {"frm": KNN["frm"], "orows": f"""SELECT {ROW}, y_norm, ther_area, md5(concat_ws('|', '42', country, brand_name, CAST(months_postgx AS STRING))) AS h,
+        (SELECT avg(y_norm) FROM {{frm}}) AS prior FROM {{frm}}"""}
+
+
+@query("i11_ordered_target_statistics", views="panel", ctes=OTS, sql=f"""
+    SELECT {ROW}, {rx('(coalesce(sum(y_norm) OVER w, 0) + prior) / (count(y_norm) OVER w + 1)', 'ther_area_ots')} FROM orows
+    WINDOW w AS (PARTITION BY ther_area ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def _(spark, sf):
+    """The mean target of the rows before, in a seeded permutation, of the same area."""
+    return T.ordered_target_statistics(frame(spark, sf), ["ther_area"], "y_norm").select(*ROW_KEY, "ther_area_ots")
+
+
+@query("i11_gbt_categories", **JUDGED)
+def _(spark, sf):
+    train, val = parts(spark, sf)
+    spec = I.ModelSpec("gbt_fast", {"maxIter": 8, "maxDepth": 4}, COLUMNS)
+    return judged(train, T.fit_booster(spec, train, ["ther_area", "main_package"]).predict(val))
+
+
+WEIGHTED = {**REG, "wodd": f"SELECT t.*, ({W0['wrows'].split('(CASE WHEN', 1)[1].rsplit(' AS w0', 1)[0].join(['(CASE WHEN', ''])}) AS w0 FROM {{odd}} t",
+            "wtrain": "SELECT *, greatest(0.01, least(100, w0 * count(*) OVER () / sum(w0) OVER ())) AS w FROM {wodd}"}
+LOGGED = "ln(1 + greatest(y_norm, 0) + 1e-6)"
+SCORES = "rmse mae r2 official_metric"
+
+
+@query("i16_train_scenario_model", views="panel", digits=4, ctes={
+    **WEIGHTED, **ls.solved("fit", "wtrain", y=LOGGED, w="w"), **ls.scored("sc", "even", "fit", f"greatest(0, exp({ls.value()}) - 1 - 1e-6)", "1 AS scenario"),
+    **ls.scores("out", "sc", "scenario")}, sql=f"SELECT scenario, n_rows, {r(SCORES, 4)} FROM out")
+def _(spark, sf):
+    """Weighted least squares of the logarithm, scored on the shares themselves."""
     train, val = parts(spark, sf)
-    return measured(I.train_scenario_model(train, val, 1, LINEAR, "log1p")[2], F.lit(1).alias("scenario"))
+    return I.train_scenario_model(train, val, 1, BOTH, "log1p")[2].select(F.lit(1).alias("scenario"), "n_rows", *SCORES.split())
+
+
+@query("i17_cross_validation", views="panel", digits=4, ctes={**REG, **ls.folds("fl", "reg", 3), **ls.out_of_fold("oof", "fl", 3), **ls.scores("out", "oof", "fold")},
+       sql=f"SELECT fold, n_rows, {r(SCORES, 4)} FROM out")
+def _(spark, sf):
+    return I.cross_validate(frame(spark, sf), 1, BOTH, 3, weighted=False)[1].select("fold", "n_rows", *SCORES.split())
+
+
+@query("i17_out_of_fold", views="panel", digits=5, ctes={**REG, **ls.folds("fl", "reg", 3), **ls.out_of_fold("oof", "fl", 3)},
+       sql=f"SELECT {ROW}, fold, {rx('p', 'prediction', 5)} FROM oof")
+def _(spark, sf):
+    return I.cross_validate(frame(spark, sf), 1, BOTH, 3, weighted=False)[0].select(*ROW_KEY, "fold", "prediction")
 
 
-FOLDED = {"frm": KNN["frm"], "fser": f"SELECT {SER}, min(bucket) AS b FROM {{frm}} GROUP BY 1, 2",
-          "ffold": f"""SELECT {SER}, CAST((row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', '42', {SER})), {SER}) - 1) % 3 AS INT) AS fold
-              FROM {{fser}}"""}
+PLAIN_GRID = {"elasticNetParam": [0.0, 1.0]}  # without a penalty its kind does not matter
+HELD = {**REG, **ls.split("sp", "reg"), "tr": "SELECT * FROM {sp} WHERE NOT val", "va": "SELECT * FROM {sp} WHERE val", **ls.solved("fit", "tr"),
+        **ls.scored("sc", "va", "fit", keep="1 AS one"), **ls.scores("out", "sc", "one")}
 
 
-@query("i17_cross_validation", views="panel", ctes=FOLDED, sql=f"""
-    SELECT fold, count(*) AS n_rows, {GOOD} FROM frm JOIN ffold USING ({SER}) GROUP BY 1""")
+def tuned_sql(source):
+    return " UNION ALL ".join(f"SELECT {i} AS config, '{{''elasticNetParam'': {v}}}' AS params, {source} AS official_metric" for i, v in enumerate(PLAIN_GRID["elasticNetParam"]))
+
+
+@query("i18_tune", views="panel", digits=4, ctes=HELD, sql=tuned_sql("(SELECT round(official_metric, 4) FROM out)"))
 def _(spark, sf):
-    return measured(I.cross_validate(frame(spark, sf), 1, LINEAR, 3)[1], "fold")
+    return I.tune(frame(spark, sf), 1, BOTH, PLAIN_GRID)[1]
 
 
-TUNED = " UNION ALL ".join(f"""SELECT {i} AS config, '{{''regParam'': {v}}}' AS params, true AS in_range""" for i, v in enumerate((0.01, 0.3)))
+TWO = {**REG, **ls.folds("fl", "reg", 2), **ls.out_of_fold("oof", "fl", 2), **ls.scores("out", "oof", "fold"),
+       **ls.out_of_fold("flat", "fl", 2, intercept=False), **ls.scores("flatout", "flat", "fold")}
 
 
-def tuned(table):
-    return table.select("config", "params", F.col("official_metric").between(0, 5).alias("in_range"))
+@query("i18_tune_folds", views="panel", digits=4, ctes=TWO, sql=tuned_sql("(SELECT round(avg(official_metric), 4) FROM out)"))
+def _(spark, sf):
+    return I.tune(frame(spark, sf), 1, BOTH, PLAIN_GRID, folds=2)[1]
 
 
-@query("i18_tune", sql=TUNED)
+@query("i18_halving", views="panel", digits=4, ctes=TWO, sql="""
+    SELECT 0 AS config, '{''fitIntercept'': True}' AS params, 2 AS n_folds, (SELECT round(avg(official_metric), 4) FROM out) AS official_metric, true AS best
+    UNION ALL SELECT 1, '{''fitIntercept'': False}', 1, (SELECT round(official_metric, 4) FROM flatout WHERE fold = 0), false""")
 def _(spark, sf):
-    return tuned(I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]})[1])
+    """The point without an intercept is the worse one on the first fold and is not tried on the second."""
+    return I.tune_halving(frame(spark, sf), 1, BOTH, {"fitIntercept": [True, False]}, folds=2)[1]
 
 
-@query("i18_tune_folds", sql=TUNED)
+@query("i19_compare_models", views="panel", digits=4, ctes={
+    **WEIGHTED, **ls.solved("fit", "wtrain", w="w"), **ls.solved("one", "wtrain", g=None, w="w"), **ls.scored("s1", "even", "fit", keep="'both' AS model"),
+    **ls.scored("s2", "even", "one", keep="'monthly' AS model"), "sc": "SELECT * FROM {s1} UNION ALL SELECT * FROM {s2}", **ls.scores("out", "sc", "model")},
+       sql=f"SELECT model, n_rows, {r(SCORES, 4)} FROM out")
 def _(spark, sf):
-    return tuned(I.tune(frame(spark, sf), 1, LINEAR, {"regParam": [0.01, 0.3]}, folds=2)[1])
+    train, val = parts(spark, sf)
+    return I.compare_models(train, val, 1, {"both": BOTH, "monthly": MONTHLY}).select("model", "n_rows", *SCORES.split())
 
 
-@query("i19_compare_models", **measured_sql(["'tree' AS model", "'linear' AS model"]))
+@query("i19_compare_kinds", **measured_sql(["'tree' AS model", "'linear' AS model"]))
 def _(spark, sf):
     train, val = parts(spark, sf)
     return measured(I.compare_models(train, val, 1, {"tree": TREE, "linear": LINEAR}), "model")
@@ -245,10 +352,15 @@ def _(spark, sf):
     return measured(I.compare_losses(train, val, 1, I.ModelSpec("gbt_fast", {"maxIter": 4, "maxDepth": 3}, COLUMNS)), "model")
 
 
-@query("i21_bucket_specialized_models", **JUDGED)
+BUCKETED = {**REG, "o1": "SELECT * FROM {odd} WHERE bucket = 1", "o2": "SELECT * FROM {odd} WHERE bucket = 2", **ls.solved("b1", "o1"), **ls.solved("b2", "o2"),
+            "routed": f"""SELECT t.*, {ls.clipped(ls.value())} AS p FROM {{even}} t, {{b1}} WHERE bucket = 1
+                UNION ALL SELECT t.*, {ls.clipped(ls.value())} FROM {{even}} t, {{b2}} WHERE bucket = 2"""}
+
+
+@query("i21_bucket_specialized_models", views="panel", ctes=BUCKETED, digits=5, sql=f"SELECT {ROW}, bucket, {rx('p', 'prediction', 5)} FROM routed")
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return judged(train, I.route_by_bucket(I.bucket_models(train, 1, LINEAR), val))
+    return I.route_by_bucket(I.bucket_models(train, 1, BOTH), val).select(*ROW_KEY, "bucket", "prediction")
 
 
 @query("i22_multi_seed", **measured_sql(["1 AS seed", "2 AS seed"]))
@@ -267,32 +379,46 @@ def residual_frame(spark, sf):
 SPOKEN = "bucket = 1 AND (" + " OR ".join(f"months_postgx BETWEEN {a} AND {b}" for a, b in RESIDUAL_WINDOWS[1]) + ")"
 
 
-@query("i23_residual_model", views="panel", ctes={"frm": KNN["frm"]}, sql=f"""
-    SELECT count(*) AS n_val, true AS ordered FROM frm WHERE {SPOKEN} AND CAST(CAST(concat('0x', substr(md5(concat_ws('|', '42', country, brand_name,
-      CAST(months_postgx AS STRING))), 1, 8)) AS UBIGINT) AS DOUBLE) / 4294967296.0 < 0.2""")
+DRAWN = """CAST(CAST(concat('0x', substr(md5(concat_ws('|', '42', country, brand_name, CAST(months_postgx AS STRING))), 1, 8)) AS UBIGINT) AS DOUBLE) / 4294967296.0"""
+RESIDUAL = {**REG, "rr": f"SELECT t.*, p.volume AS vp, t.volume - p.volume AS res, {DRAWN.replace('months_postgx', 't.months_postgx').replace('country', 't.country').replace('brand_name', 't.brand_name')} AS u FROM {{reg}} t JOIN {{pred}} p USING ({ROW})",
+            "rtrain": f"SELECT * FROM {{rr}} WHERE {SPOKEN} AND u >= 0.2", "rheld": f"SELECT * FROM {{rr}} WHERE {SPOKEN} AND u < 0.2", **ls.solved("rfit", "rtrain", y="res")}
+
+
+@query("i23_residual_model", views="panel pred", ctes=RESIDUAL, digits=4, sql=f"""
+    SELECT count(*) AS n_val, {rx(f'sqrt(avg(pow({ls.value()} - res, 2)))', 'rmse_residual', 4)}, {rx(f'avg(abs({ls.value()} - res))', 'mae_residual', 4)} FROM rheld, rfit""")
 def _(spark, sf):
-    held = I.train_residual_model(residual_frame(spark, sf), TREE)[1]
-    return held.select("n_val", (F.col("rmse_residual") >= F.col("mae_residual")).alias("ordered"))
+    return I.train_residual_model(residual_frame(spark, sf), BOTH)[1]
 
 
-@query("k11_residual_correction", views="panel pred", ctes={"frm": KNN["frm"]}, sql=f"""
-    SELECT f.country, f.brand_name, f.months_postgx, CASE WHEN {SPOKEN.replace('months_postgx', 'f.months_postgx')} THEN NULL
-      ELSE {rx('p.volume', 'x').rsplit(' AS ', 1)[0]} END AS unmoved, true AS in_range FROM frm f JOIN pred p USING ({ROW})""")
+@query("k11_residual_correction", views="panel pred", ctes=RESIDUAL, digits=4, sql=f"""
+    SELECT {ROW}, {rx(f'greatest(0, vp + CASE WHEN {SPOKEN} THEN {ls.value()} ELSE 0 END)', 'volume', 4)} FROM rr, rfit""")
 def _(spark, sf):
     """Rows the residual model does not speak for keep their volume."""
     df = residual_frame(spark, sf)
-    model = I.train_residual_model(df, TREE)[0]
+    model = I.train_residual_model(df, BOTH)[0]
     rows = model.transform(df).withColumn("volume", F.col("volume_pred"))
-    return K.apply_residual_correction(rows, "prediction").select(
-        *ROW_KEY, F.when(~K.residual_rows(), F.col("volume")).alias("unmoved"), (F.col("volume") >= 0).alias("in_range"))
+    return K.apply_residual_correction(rows, "prediction").select(*ROW_KEY, "volume")
+
 
+def _swapped(repeat: int) -> dict[str, str]:
+    """Rows beside the partner that two independent random orders give them."""
+    def ranked(tag):
+        h = f"md5(concat_ws('|', '42', '{tag}', '{repeat}', country, brand_name, CAST(months_postgx AS STRING)))"
+        return f"SELECT *, row_number() OVER (ORDER BY {h}, country, brand_name, months_postgx) AS place FROM {{even}}"
+    return {f"pa{repeat}": ranked("a"), f"pb{repeat}": ranked("b"),
+            f"both{repeat}": f"SELECT {repeat} AS rep, a.y_norm AS y, a.m, a.g, b.m AS m2, b.g AS g2 FROM {{pa{repeat}}} a JOIN {{pb{repeat}}} b USING (place)"}
 
-@query("i24_permutation_importance", sql=" UNION ALL ".join(f"SELECT '{c}' AS feature, true AS in_range" for c in COLUMNS[:5]))
+
+RAW_ERROR = {c: f"avg(pow({ls.value(m, g)} - y, 2))" for c, m, g in (("base", "m", "g"), ("months_postgx", "m2", "g"), ("n_gxs", "m", "g2"))}
+
+
+@query("i24_permutation_importance", views="panel", digits=5, ctes={
+    **REG, **ls.solved("fit", "odd"), **_swapped(0), **_swapped(1), "tried": "SELECT * FROM {both0} UNION ALL SELECT * FROM {both1}",
+    "mse": f"SELECT rep, {RAW_ERROR['base']} AS e0, {RAW_ERROR['months_postgx']} AS e1, {RAW_ERROR['n_gxs']} AS e2 FROM {{tried}}, {{fit}} GROUP BY 1"}, sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {rx(f'avg({e} - e0)', 'importance_mean', 5)}, {rx(f'stddev_pop({e} - e0)', 'importance_std', 5)} FROM mse" for c, e in (("months_postgx", "e1"), ("n_gxs", "e2"))))
 def _(spark, sf):
     train, val = parts(spark, sf)
-    few = I.ModelSpec("ridge", {}, COLUMNS[:5])
-    table = I.permutation_importance(I.fit(few, train), val, 2)
-    return table.select("feature", (F.col("importance_mean").between(-1, 5) & (F.col("importance_std") >= 0)).alias("in_range"))
+    return I.permutation_importance(I.fit(BOTH, train), val, 2)
 
 
 NUMS = ["volume", "n_gxs", "hospital_rate", "avg_vol_12m", "months_postgx"]
@@ -322,20 +448,23 @@ def _(spark, sf):
     return I.prune_features(importance(spark, sf), 0.4, 4)
 
 
-@query("i27_feature_ablation", sql="""
-    SELECT 'baseline' AS run, 12 AS n_features, 0.0::DOUBLE AS base_impact, true AS ordered UNION ALL SELECT 'drop_time', 9, NULL, true
-    UNION ALL SELECT 'add_time', 3, NULL, true""")
+ABLATED = {**REG, **ls.split("sp", "reg"), "tr": "SELECT * FROM {sp} WHERE NOT val", "va": "SELECT * FROM {sp} WHERE val",
+           **ls.solved("f0", "tr"), **ls.solved("f1", "tr", g=None), **ls.solved("f2", "tr", m=None), **ls.scored("s0", "va", "f0", keep="'baseline' AS run, 2 AS n_features"),
+           **ls.scored("s1", "va", "f1", keep="'drop_generics' AS run, 1 AS n_features"), **ls.scored("s2", "va", "f2", keep="'add_generics' AS run, 1 AS n_features"),
+           "runs": "SELECT * FROM {s0} UNION ALL SELECT * FROM {s1} UNION ALL SELECT * FROM {s2}",
+           "err": "SELECT run, n_features, sqrt(avg(pow(p - y_norm, 2))) AS rmse, avg(abs(p - y_norm)) AS mae FROM {runs} GROUP BY 1, 2"}
+
+
+@query("i27_feature_ablation", views="panel", ctes=ABLATED, digits=5, sql=f"""
+    SELECT run, n_features, {r('rmse mae', 5)}, {rx("rmse - (SELECT rmse FROM err WHERE run = 'baseline')", 'impact', 5)} FROM err""")
 def _(spark, sf):
-    table = I.feature_ablation(frame(spark, sf), LINEAR, {"time": ["months_postgx", "time_decay", "month_sin"]})
-    return table.select("run", "n_features", F.when(F.col("run") == "baseline", F.col("impact")).alias("base_impact"),
-                        (F.col("rmse") >= F.col("mae")).alias("ordered"))
+    return I.feature_ablation(frame(spark, sf), BOTH, {"generics": ["n_gxs"]})
 
 
-@query("i28_compare_approaches", sql="""
-    SELECT 'plain' AS approach, true AS ordered UNION ALL SELECT 'encoded', true""")
+@query("i28_compare_approaches")
 def _(spark, sf):
-    table = I.compare_approaches(fx.panel(spark, sf), 1, {"plain": {}, "encoded": {"target_encoding": True}}, LINEAR)
-    return table.select("approach", (F.col("rmse") >= F.col("mae")).alias("ordered"))
+    """Errors of linear models over whole feature sets, which SQL does not repeat; the tests hold their order."""
+    return I.compare_approaches(fx.panel(spark, sf), 1, {"plain": {}, "encoded": {"target_encoding": True}}, LINEAR)
 
 
 MEMBERS = {"tree": I.ModelSpec("gbt_fast", {"maxIter": 4, "maxDepth": 3}, COLUMNS), "linear": LINEAR}
@@ -353,21 +482,29 @@ def _(spark, sf):
     return judged(train, I.blending(train, MEMBERS)[0](val))
 
 
-@query("j08_multi_model_ensemble", sql="SELECT true AS sums_to_one, true AS not_worse, true AS follows_scores")
+PAIR = {"both": BOTH, "monthly": MONTHLY}
+BLENDED = {**WEIGHTED, **ls.solved("fit", "wtrain", w="w"), **ls.solved("one", "wtrain", g=None, w="w"),
+           "pp": f"SELECT t.*, {ls.clipped(ls.value())} AS p1 FROM {{even}} t, {{fit}}", "pq": f"SELECT t.*, {ls.clipped(ls.value())} AS p2 FROM {{pp}} t, {{one}}",
+           "mix": "SELECT t.* , i / 4.0 AS w1, 1 - i / 4.0 AS w2, i, (i / 4.0) * p1 + (1 - i / 4.0) * p2 AS p FROM {pq} t, (SELECT unnest(range(5)) AS i)",
+           **ls.scores("out", "mix", "i")}
+
+
+@query("j08_multi_model_ensemble", views="panel", digits=4, ctes=BLENDED, sql="""
+    , top AS (SELECT min(official_metric) AS s FROM out), single AS (SELECT min(official_metric) AS s FROM out WHERE i IN (0, 4))
+    SELECT round((SELECT s FROM top), 4) AS score, round((SELECT s FROM single), 4) AS best_single_score,
+      (SELECT count(*) FROM out WHERE official_metric = (SELECT s FROM top)) > 0 AS found""")
 def _(spark, sf):
-    """Weights of the simplex, no worse than the best member (its own grid point), and the advice that follows."""
+    """The best point of the grid of weights and the best member, both by the official metric."""
     train, val = parts(spark, sf)
-    row = I.train_multi_model_ensemble(train, val, 1, MEMBERS, parts=4)
-    advice = F.when(F.col("score") < F.col("best_single_score"), "ensemble").otherwise(F.col("best_single"))
-    return row.select((F.abs(sum(F.col(f"w_{n}") for n in MEMBERS) - 1) < 1e-9).alias("sums_to_one"),
-                      (F.col("score") <= F.col("best_single_score") + 1e-4).alias("not_worse"),
-                      (F.col("recommendation") == advice).alias("follows_scores"))
+    row = I.train_multi_model_ensemble(train, val, 1, PAIR, parts=4)
+    return row.select("score", "best_single_score", (F.abs(sum(F.col(f"w_{n}") for n in PAIR) - 1) < 1e-9).alias("found"))
 
 
-@query("j11_predict_batch", **JUDGED)
+@query("j11_predict_batch", views="panel", digits=5, ctes={**REG, **ls.solved("one", "odd", g=None), **ls.scored("sc", "even", "one")},
+       sql=f"SELECT {ROW}, {rx('p', 'prediction', 5)} FROM sc")
 def _(spark, sf):
     train, val = parts(spark, sf)
-    return judged(train, I.predict(I.fit(LINEAR, train), val))
+    return I.predict(I.fit(MONTHLY, train), val).select(*ROW_KEY, "prediction")
 
 
 def test_panel(spark, sf):
@@ -375,18 +512,67 @@ def test_panel(spark, sf):
     return P.build_panel(volume, generics, med, is_train=False)
 
 
-@query("k01_generate_submission", views="test_volume", sql=f"""
-    , kind AS (SELECT {SER}, CASE WHEN max(CASE WHEN months_postgx BETWEEN 0 AND 5 THEN 1 ELSE 0 END) = 1 THEN 6 ELSE 0 END AS low
-      FROM test_volume GROUP BY 1, 2)
-    SELECT {SER}, CAST(h.m AS INT) AS months_postgx, true AS in_range FROM kind, (SELECT unnest(range(24)) AS m) h WHERE h.m >= low""")
-def _(spark, sf):
+def _of_test() -> dict[str, str]:
+    """The panel texts over the test volumes, under names that begin with t_."""
+    chain = ["base", "clean0", "clean", "own", "own_area", "own_filled", "scored"]
+    out = {}
+    for name in chain:
+        text = SHARED[name].replace("{volume}", "{test_volume}")
+        for other in chain:
+            text = text.replace("{" + other + "}", "{t_" + other + "}")
+        out[f"t_{name}"] = text
+    return out
+
+
+SUBMITTED = {**_of_test(),
+    "t_series": f"""SELECT {SER}, max(avg_vol_12m) AS a, min(hospital_rate) / 100 AS h, max(CASE WHEN months_postgx BETWEEN 0 AND 5 THEN 1 ELSE 0 END) AS seen
+        FROM {{t_scored}} GROUP BY 1, 2""",
+    "t_base": "SELECT * REPLACE (CASE WHEN a > 0 THEN a ELSE coalesce((SELECT median(avg_vol_12m) FROM {t_scored} WHERE avg_vol_12m > 0), 1000.0) END AS a) FROM {t_series}",
+    "reg1": "SELECT *, months_postgx::DOUBLE AS m, hospital_rate / 100 AS g FROM {panel} WHERE bucket IS NOT NULL AND months_postgx BETWEEN 0 AND 23",
+    "reg2": "SELECT *, months_postgx::DOUBLE AS m, hospital_rate / 100 AS g FROM {panel} WHERE bucket IS NOT NULL AND months_postgx BETWEEN 6 AND 23",
+    **ls.solved("fit1", "reg1"), **ls.solved("fit2", "reg2"),
+    "fc": f"""SELECT {SER}, a, CAST(k AS INT) AS months_postgx, {ls.clipped(ls.value('k', 'h'))} AS p, 1 AS scenario FROM {{t_base}}, {{fit1}}, (SELECT unnest(range(24)) AS k) WHERE seen = 0
+        UNION ALL SELECT {SER}, a, CAST(k AS INT), {ls.clipped(ls.value('k', 'h'))}, 2 FROM {{t_base}}, {{fit2}}, (SELECT unnest(range(6, 24)) AS k) WHERE seen = 1"""}
+SUBMITTED = {("t_known" if k == "t_base" and "REPLACE" in v else k): v for k, v in [*_of_test().items(), *[(k, v) for k, v in SUBMITTED.items() if k not in _of_test() or "REPLACE" in v]]}
+SUBMITTED = {k: v.replace("{t_base}, {fit", "{t_known}, {fit") for k, v in SUBMITTED.items()}
+RATED = I.ModelSpec("ridge", {"regParam": 0.0}, ("months_postgx", "hospital_rate_norm"))
+
+
+def asked(spark, sf):
+    """The test panel and the rows that its scenarios ask for."""
     test = test_panel(spark, sf)
     kinds = P.detect_test_scenarios(test)
-    template = kinds.select(*SERIES, F.explode(F.sequence(F.when(F.col("scenario") == 1, 0).otherwise(6), F.lit(23))).alias("months_postgx"))
+    return test, kinds.select(*SERIES, F.explode(F.sequence(F.when(F.col("scenario") == 1, 0).otherwise(6), F.lit(23))).alias("months_postgx"))
+
+
+@query("k01_generate_submission", views="panel test_volume", ctes=SUBMITTED, digits=4, sql=f"""
+    SELECT {ROW}, {rx(f'greatest(0, median(p * a) OVER (PARTITION BY {SER} ORDER BY months_postgx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))', 'volume', 4)} FROM fc""")
+def _(spark, sf):
+    """Volumes of all test series, smoothed along each series."""
+    test, template = asked(spark, sf)
+    codes = E.category_codes(fx.panel(spark, sf))
+    fitted = {s: I.fit(RATED, frame(spark, sf, s), codes) for s in (1, 2)}
+    return forecast.generate_submission(fitted, test, template, smooth=True)
+
+
+ROUTED = {**SUBMITTED, **{f"reg{s}{b}": f"SELECT * FROM {{reg{s}}} WHERE bucket = {b}" for s in (1, 2) for b in (1, 2)},
+          **{k: v for s in (1, 2) for b in (1, 2) for k, v in ls.solved(f"fit{s}{b}", f"reg{s}{b}").items()},
+          "fb": f"SELECT {SER}, CASE WHEN avg(p) <= 0.25 THEN 1 ELSE 2 END AS b FROM {{fc}} GROUP BY 1, 2",
+          "fr": f"SELECT f.*, b, h FROM {{fc}} f JOIN {{fb}} USING ({SER}) JOIN {{t_known}} USING ({SER})",
+          "rt": " UNION ALL ".join(f"SELECT {ROW}, fr.a, scenario, b, {ls.clipped(ls.value('months_postgx', 'h'))} AS p FROM {{fr}} fr, {{fit{s}{b}}} WHERE scenario = {s} AND b = {b}"
+                                   for s in (1, 2) for b in (1, 2))}
+
+
+@query("k01_routed_submission", views="panel test_volume", ctes=ROUTED, digits=4, sql=f"SELECT {ROW}, {rx('p * a', 'volume', 4)} FROM rt")
+def _(spark, sf):
+    """Each series through the model of the bucket that the base forecast puts it in."""
+    test, template = asked(spark, sf)
     codes = E.category_codes(fx.panel(spark, sf))
-    fitted = {s: I.fit(LINEAR, frame(spark, sf, s), codes) for s in (1, 2)}
-    out = forecast.generate_submission(fitted, test, template, smooth=True)
-    return out.select(*ROW_KEY, F.coalesce(F.col("volume") >= 0, F.lit(False)).alias("in_range"))
+    models = {}
+    for s in (1, 2):
+        rows = frame(spark, sf, s)
+        models[s] = {forecast.BASE: I.fit(RATED, rows, codes), **I.bucket_models(rows, s, RATED)}
+    return forecast.generate_submission(models, test, template)
 
 
 @query("k01_test_category_codes", views="panel test_volume medicine_info", sql="""
@@ -402,27 +588,37 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1]).select(*SERIES, "ther_area_encoded").distinct()
 
 
-@query("k05_route_by_bucket", views="panel", ctes=FRAME, sql=f"""
-    SELECT {ROW}, {r('avg_vol_12m')}, true AS in_range FROM frm WHERE {EVEN}""")
+@query("k05_route_by_bucket", views="panel", ctes=BUCKETED, digits=4, sql=f"SELECT {ROW}, {rx('p * avg_vol_12m', 'volume', 4)} FROM routed")
 def _(spark, sf):
     train, val = parts(spark, sf)
-    models = I.bucket_models(train, 1, LINEAR)
-    out = I.as_volume(I.route_by_bucket(models, val)).join(val.select(*ROW_KEY, "avg_vol_12m"), ROW_KEY)
-    return out.select(*ROW_KEY, "avg_vol_12m", F.col("volume").between(0, 2 * F.col("avg_vol_12m")).alias("in_range"))
+    return I.as_volume(I.route_by_bucket(I.bucket_models(train, 1, BOTH), val))
 
 
-@query("f08_adversarial_validation", sql=" UNION ALL ".join(
-    f"SELECT '{n}' AS name, true AS in_range" for n in ["auc_fold_0", "auc_fold_1", *[f"shift_{c}" for c in COLUMNS]]))
+@query("f08_adversarial_validation")
 def _(spark, sf):
+    """AUC per fold and mean importance per feature of a forest, which SQL does not repeat."""
     train, val = parts(spark, sf)
     auc, shift = I.adversarial_validation(train, val, list(COLUMNS), 2, 10, 4)
     return auc.select(F.concat(F.lit("auc_fold_"), F.col("fold").cast("string")).alias("name"), F.col("auc").alias("value")).unionByName(
         shift.select(F.concat(F.lit("shift_"), F.col("feature")).alias("name"), F.col("importance").alias("value"))).select(
-        "name", F.col("value").between(0, 1).alias("in_range"))
+        "name", "value", F.col("value").between(0, 1).alias("in_range"))
+
+
+@query("f08_adversarial_rows", views="panel", ctes=FRAME, sql=f"""
+    SELECT CAST(CAST(concat('0x', substr(md5(concat_ws('|', '42', {SER})), 1, 8)) AS UBIGINT) % 2 AS INT) AS fold, CASE WHEN {ODD} THEN 0 ELSE 1 END AS label, count(*) AS n_rows
+    FROM frm GROUP BY 1, 2""")
+def _(spark, sf):
+    """The rows that each fold tells apart."""
+    train, val = parts(spark, sf)
+    return I.adversarial_rows(train, val, ["months_postgx"], 2).groupBy(F.col("_fold").alias("fold"), F.col("_label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"))
+
+
+SWEPT = {**REG, **ls.folds("fl", "reg", 3), **ls.out_of_fold("oof", "fl", 3), **ls.scores("o1", "oof", "fold"), **ls.out_of_fold("mon", "fl", 3, g=None), **ls.scores("o2", "mon", "fold"),
+         "every": "SELECT 'both' AS model, * FROM {o1} UNION ALL SELECT 'monthly', * FROM {o2}",
+         "ag": "SELECT model, count(*) AS n_folds, avg(official_metric) AS mean, stddev_samp(official_metric) AS std FROM {every} GROUP BY 1"}
 
 
-@query("q04_sweep_with_cv", sql="""
-    SELECT 'ridge' AS model, 3 AS n_folds, true AS ordered UNION ALL SELECT 'lasso', 3, true""")
+@query("q04_sweep_with_cv", views="panel", ctes=SWEPT, digits=4, sql=f"""
+    SELECT model, n_folds, {r('mean std', 4)}, row_number() OVER (ORDER BY round(mean, 6), model) AS rank FROM ag""")
 def _(spark, sf):
-    table = I.sweep_with_cv(frame(spark, sf), 1, {"ridge": LINEAR, "lasso": I.ModelSpec("lasso", {}, COLUMNS)}, 3)
-    return table.select("model", "n_folds", F.col("mean").between(F.col("min"), F.col("max")).alias("ordered"))
+    return I.sweep_with_cv(frame(spark, sf), 1, {"both": BOTH, "monthly": MONTHLY}, 3, weighted=False).select("model", "n_folds", "mean", "std", "rank")

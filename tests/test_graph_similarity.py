@@ -147,3 +147,39 @@ def test_readout_rejects_unknown_pooling(graph):
     assert O.readout(graph.nodes, groups, "sum").count() == 4
     with pytest.raises(ValueError):
         O.readout(graph.nodes, groups, "median")
+
+
+def series_vectors(spark, n, seed=9):
+    """Vectors as series give them: a few dimensions that vary much and more that hardly do."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 6)) * np.array([3.0, 2.0, 1.0, 0.6, 0.3, 0.1])
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+
+
+def test_share_of_pairs_scored_falls_with_scale(spark):
+    shares = []
+    for n in (150, 3000):
+        pairs, _, work = Z.similar_pairs(series_vectors(spark, n), "id", "v", 0.95, report=True)
+        row, found = work.first(), pairs.count()
+        assert row["classes"] == n and found <= row["scored"] <= row["met"]
+        shares.append(row["scored"] / (n * (n - 1) / 2))
+    assert shares[1] < shares[0] and shares[1] < 0.25
+
+
+def test_share_of_rows_searched_falls_with_scale(spark):
+    shares = []
+    for n in (600, 12_000):
+        found, work = Z.nearest(series_vectors(spark, 100, 4), series_vectors(spark, n), "id", "v", 5, report=True)
+        row = work.first()
+        assert found.count() == 500 and row["pairs"] == 100 * n
+        shares.append(row["scored"] / row["pairs"])
+    assert shares[1] < shares[0] and shares[1] < 0.1
+
+
+def test_nearest_without_base_or_with_zero_vectors_only(spark):
+    base, _ = vectors(spark, 5, 3)
+    empty = base.where("id < 0")
+    assert Z.nearest(base, empty, "id", "v", 2).count() == 0
+    zeros = spark.createDataFrame([(i, [0.0, 0.0, 0.0]) for i in range(4)], base.schema)
+    got = sorted(tuple(r) for r in Z.nearest(base, zeros, "id", "v", 2).collect())
+    assert got == sorted((q, n, 1.0, n + 1) for q in range(5) for n in range(2))

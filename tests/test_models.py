@@ -171,3 +171,38 @@ def test_saved_model_scores_alike(frame, spark, tmp_path):
     assert again.spec.features == model.spec.features and again.codes.collect() == codes.collect()
     a, b = (sorted(r["prediction"] for r in m.transform(frame).collect()) for m in (model, again))
     assert a == b
+
+
+def test_permutation_scores_only_what_looks_at_a_feature(frame):
+    """The terms add up to the model's forecast, and swapping a column by hand gives the same rise of the error."""
+    train, val = I.split_frame(frame)
+    specs = [I.ModelSpec("gbt_fast", {"maxIter": 5}, COLS), I.ModelSpec("forest", {"numTrees": 4, "maxDepth": 3}, COLS), LINEAR,
+             I.ModelSpec("lasso", {"regParam": 0.001}, COLS, polynomial=2)]
+    rows = val.withColumn("x", F.when(F.col("months_postgx") != 3, F.col("x")))
+    for spec in specs:
+        model = I.fit(spec, train)
+        parts = I.scorer(model, frame.sparkSession)
+        got = model.transform(rows).select(*[F.col(c).cast("double").alias(c) for c in COLS], "prediction").toPandas()
+        x = parts.filled(got[list(COLS)].to_numpy(float))
+        assert np.allclose(parts.start + sum(parts.term(i, x) for i in range(len(parts.terms))), got["prediction"])
+        asked = [len(u) for u in parts.uses()]
+        assert max(asked) <= len(parts.terms) and sum(asked) < len(parts.terms) * len(COLS)
+    table = {r["feature"]: r for r in I.permutation_importance(I.fit(LINEAR, train), val, 3).collect()}
+    assert set(table) == set(COLS) and all(r["importance_std"] >= 0 for r in table.values())
+
+
+def test_halving_stops_weak_points_early(frame):
+    grid = {"regParam": [0.0, 0.5, 5.0, 50.0], "maxIter": [20]}
+    _, full = I.tune(frame, 1, LINEAR, {"regParam": [0.0, 0.5, 5.0, 50.0]}, folds=3)
+    best = min(full.collect(), key=lambda r: r["official_metric"])
+    model, table, fits = I.tune_halving(frame, 1, LINEAR, grid, folds=3)
+    got = {r["config"]: r for r in table.collect()}
+    assert [r["n_folds"] for _, r in sorted(got.items())][0] == 3 and sorted(r["n_folds"] for r in got.values()) == [1, 1, 2, 3]
+    assert fits.count() == 7 < 12 and "'regParam': 0.0" in best["params"]
+    assert [r["params"] for r in got.values() if r["best"]] == ["{'regParam': 0.0, 'maxIter': 20}"]
+    assert model.spec.params["regParam"] == 0.0
+    _, table, fits = I.tune_halving(frame, 1, LINEAR, grid, folds=3, budget=6)
+    assert fits.count() == 6 and max(r["n_folds"] for r in table.collect()) == 2
+    assert len(I.trial_points(grid, 2)) == 2 and I.trial_points(grid, 2) == I.trial_points(grid, 2) and len(I.trial_points(grid)) == 4
+    with pytest.raises(ValueError):
+        I.tune_halving(frame, 1, LINEAR, grid, folds=2, budget=3)

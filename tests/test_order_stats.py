@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import order_stats as o
+from panelspark.functions.expr import steady_avg, steady_sum
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -48,3 +51,58 @@ def test_magnitude_bucket_rises_with_the_value(spark, a, b):
     row = spark.createDataFrame([(a, b)], "a double, b double").select(
         o.magnitude_bucket(F.col("a")).alias("a"), o.magnitude_bucket(F.col("b")).alias("b")).first()
     assert row["a"] <= row["b"]
+
+
+def test_quantiles_of_close_values_go_down_in_rounds(spark):
+    """All values lie in one magnitude bucket, and one of them has most rows."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([1000 + rng.uniform(0, 1e-6, 3000), np.full(3000, 1000.0), 1000 + rng.uniform(0, 1.0, 500), [np.inf, -5.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    for probs in ({"a": 0.01, "m": 0.5, "b": 0.77, "z": 0.999},):
+        got = o.quantiles(df, [], "x", probs, inside=50).first()
+        for name, p in probs.items():
+            assert abs(got[name] - np.quantile(values, p)) <= 1e-12 * 1000, name
+    ids = spark.range(50_000).selectExpr("id", "id % 3 AS g")
+    got = {r["g"]: r["m"] for r in o.quantiles(ids, ["g"], "id", {"m": 0.5}, inside=10).collect()}
+    assert got == {g: float(np.median(np.arange(g, 50_000, 3))) for g in range(3)}
+
+
+def test_rank_of_a_value_that_most_rows_have(spark):
+    """90 % of the rows have one value; it is spread over ranges of 500 rows, and no task ranks more than a few."""
+    values = [7.0] * 9000 + [float(i % 400) for i in range(1000)] + [None] * 3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    sizes = []
+    staged = o.stage
+
+    def watched(x):
+        out = staged(x)
+        if "__rank_part" in out.columns and "i" in out.columns:
+            sizes.extend(r["count"] for r in out.groupBy("__rank_part").count().collect())
+        return out
+
+    o.stage = watched
+    try:
+        ranked = o.average_rank(df, "v", "r", per_task=500)
+    finally:
+        o.stage = staged
+    got = {r["i"]: r["r"] for r in ranked.collect()}
+    known = np.array([v for v in values if v is not None])
+    less = {v: int((known < v).sum()) for v in set(known)}
+    same = {v: int((known == v).sum()) for v in set(known)}
+    assert all(got[i] == (None if v is None else less[v] + (same[v] + 1) / 2) for i, v in enumerate(values))
+    assert len(sizes) >= 18 and max(sizes) < 1500
+    assert o.average_rank(df.limit(0), "v", "r").count() == 0
+
+
+def test_steady_sums_do_not_follow_the_order(spark):
+    rng = np.random.default_rng(9)
+    values = [float(x) for x in rng.normal(0, 1, 2000) * 10.0 ** rng.integers(-8, 9, 2000)]
+    seen = set()
+    for parts, order in ((1, values), (7, values[::-1]), (13, sorted(values))):
+        df = spark.createDataFrame([(v,) for v in order], "x double").repartition(parts)
+        seen.add((df.agg(steady_sum(F.col("x")).alias("s")).first()["s"], df.agg(steady_avg(F.col("x")).alias("s")).first()["s"]))
+    assert len(seen) == 1
+    assert abs(seen.pop()[0] - math.fsum(values)) <= 1e-12 * abs(math.fsum(values)) + 1e-14
+    odd = spark.createDataFrame([(1e300,), (2.5,), (None,)], "x double")
+    assert odd.agg(steady_sum(F.col("x")).alias("s")).first()["s"] == 1e300
+    assert odd.where("x IS NULL").agg(steady_sum(F.col("x")).alias("s")).first()["s"] is None

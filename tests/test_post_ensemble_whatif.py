@@ -149,3 +149,56 @@ def test_trend_and_global_mean(spark):
     assert got[2] == pytest.approx(1 - 2 * 0.095)
     got = {r["months_postgx"]: r["prediction"] for r in B.global_mean(train, ask).collect()}
     assert got[2] == pytest.approx(0.8) and got[9] == pytest.approx(0.8)
+
+
+def isotonic_by_hand(x, y):
+    """Least-squares rising fit at each point by the formula of greatest lowest means."""
+    at = sorted(set(x))
+    total = [sum(b for a, b in zip(x, y) if a == v) for v in at]
+    n = [x.count(v) for v in at]
+    mean = [[sum(total[i:j + 1]) / sum(n[i:j + 1]) if j >= i else None for j in range(len(at))] for i in range(len(at))]
+    return at, [max(min(mean[i][j] for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+
+
+@pytest.mark.parametrize("slope,noise", [(1.0, 3.0), (-1.0, 2.0), (0.0, 5.0), (2.0, 0.0)])
+def test_isotonic_fit_equals_the_formula(spark, slope, noise):
+    """All groups at once, points dealt over several ranges; lines between blocks, ends beyond them."""
+    rng = np.random.default_rng(int(10 * noise))
+    rows = []
+    for scenario, bucket in ((1, 1), (1, 2), (2, 1)):
+        for i in range(60 if bucket == 1 else 4):
+            x = float(rng.integers(0, 40))
+            rows.append(("X", f"B{i}", 3 if scenario == 1 else 8, scenario, bucket, slope * x + float(rng.normal(0, noise)) if noise else slope * x, x))
+    val = spark.createDataFrame(rows, "country string, brand_name string, months_postgx int, scenario int, bucket int, volume_true double, volume_pred double")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        fit = K.fit_isotonic_calibration(val.repartition(3))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r["scenario"], r["bucket"]) for r in fit.select("scenario", "bucket").distinct().collect()} == {(1, 1), (2, 1)}
+    asked = [("Q", "Q", 3, 1, 1, float(v)) for v in np.arange(-2, 45, 0.5)] + [("Q", "R", 3, 1, 2, 5.5), ("Q", "S", 3, 1, None, 6.5), ("Q", "T", 3, 1, 1, None)]
+    pred = spark.createDataFrame(asked, "country string, brand_name string, months_postgx int, scenario int, bucket int, volume double")
+    got = K.apply_isotonic_calibration(pred, fit).withColumnRenamed("volume", "after")
+    assert got.count() == len(asked)
+    own = [(r[6], r[5]) for r in rows if r[3] == 1 and r[4] == 1]
+    at, level = isotonic_by_hand([a for a, _ in own], [b for _, b in own])
+    # the order of rows is free, so the answers are compared as a whole
+    want = sorted(max(0.0, float(np.interp(v, at, level))) for *_, v in asked[:-3])
+    mine = sorted(r["after"] for r in got.where("brand_name = 'Q'").collect())
+    assert np.allclose(mine, want, atol=1e-9)
+    rest = {r["brand_name"]: r["after"] for r in got.where("brand_name <> 'Q'").collect()}
+    assert rest == {"R": 5.5, "S": 6.5, "T": None}
+
+
+def test_summary_of_scenario_tables(spark):
+    rows = [("down", "X", "A", m, 10.0, 10.0 - m) for m in range(3)] + [("up", "X", "B", 0, 5.0, 9.0), ("up", "X", "C", 0, 1.0, None)]
+    df = spark.createDataFrame(rows, "scenario string, country string, brand_name string, months_postgx int, baseline double, adjusted double")
+    got = {r["scenario"]: r for r in N.summarize_scenario_impacts(df).collect()}
+    assert (got["down"]["total_volume_change"], got["down"]["max_negative_impact"], got["down"]["affected_periods"], got["down"]["affected_series_count"]) == (-3.0, -2.0, 2, 1)
+    assert got["up"]["total_volume_change_pct"] == pytest.approx(400 / 6) and got["up"]["mean_volume_change"] == 2.0 and got["up"]["affected_series_count"] == 1
+    shocks = {"a": [N.Shock("a", "step", 0.5, 0, None)], "b": [N.Shock("b", "step", 1.0, 0, None)]}
+    pred = spark.createDataFrame([("X", "A", m, 8.0) for m in range(4)], "country string, brand_name string, months_postgx int, volume double")
+    one = {r["scenario"]: r.asDict() for r in N.compare_scenarios(pred, shocks).collect()}
+    two = {r["scenario"]: r.asDict() for r in N.summarize_scenario_impacts(N.scenario_predictions(pred, shocks)).collect()}
+    assert one == two

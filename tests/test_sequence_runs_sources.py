@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import runs as Q
 from panelspark.operators import sequence as P
 from panelspark.sources import logs, tables
-from panelspark.sources.files import lazy_load
+from panelspark.sources.files import fingerprint, lazy_load
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,33 @@ def test_submission_is_versioned_and_logged(spark, scored, panel, tmp_path):
         row = logs.save_submission(pred, str(tmp_path), v, panel, {"m": 1}, 0.5).first()
         assert row["version"] == v and row["n_rows"] == 96 and row["n_series"] == 4 and json.loads(row["model_info"]) == {"m": 1}
     assert spark.read.csv(str(tmp_path / "version=v1" / "submission"), header=True).count() == 96
+
+
+def test_changed_raw_files_give_new_panel_and_features(spark, raw, tmp_path):
+    paths = {}
+    for name, df in raw.items():
+        paths[name] = str(tmp_path / name)
+        df.write.parquet(paths[name])
+    store, built = str(tmp_path / "store"), []
+
+    def panel():
+        def load():
+            built.append("panel")
+            return tables.load_raw_data(spark, paths)
+        return tables.get_panel(spark, store, "train", load, sources=paths.values())
+
+    def features():
+        def of():
+            built.append("features")
+            return panel()
+        return tables.get_features(spark, store, "train", 1, "train", of, sources=paths.values())
+
+    first = features().count()
+    assert built == ["features", "panel"]
+    assert features().count() == first and panel().count() > 0 and built == ["features", "panel"]
+    before = fingerprint(spark, paths.values())
+    more = raw["volume"].where("brand_name = 'A'").withColumn("brand_name", F.lit("D"))
+    more.write.mode("append").parquet(paths["volume"])
+    assert features().count() == first + 24 and built == ["features", "panel"] * 2
+    assert features().where("brand_name = 'D'").count() == 24 and built == ["features", "panel"] * 2
+    assert fingerprint(spark, [str(tmp_path / "absent")]) == fingerprint(spark, [str(tmp_path / "absent")]) != before
