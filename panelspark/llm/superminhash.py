@@ -35,7 +35,7 @@ class NearDupParams:
     block: int = 2_000_000
 
 
-def signatures(sets: list[np.ndarray], m: int, block: int = 1 << 16) -> np.ndarray:
+def signatures(sets: list[np.ndarray], m: int, block: int = 1 << 17) -> np.ndarray:
     """One row of m slots per set, each the smallest (level, rank) that an element puts there.
 
     Elements are handled in blocks, so that memory is bounded for a set of any size.
@@ -128,7 +128,7 @@ def describe(docs: DataFrame, p: NearDupParams) -> DataFrame:
     """(doc_id, n_shingles, node, bands, text_hash) per document, from whole texts; node names the shingle set."""
     def run(batches):
         coef = tb.mix(np.arange(1, p.rows + 1, dtype=np.uint64)) | np.uint64(1)
-        for part in tb.parts(batches, "text", 1 << 19):  # the permutations of its elements are the largest thing held
+        for part in tb.parts(batches, "text", 1 << 20):
             sets = tb.shingles(*tb.flat(part.column("text")), p.width)
             sig = signatures(sets, p.rows * p.bands).reshape(len(sets), p.bands, p.rows)
             keys = tb.mix((sig * coef).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64)).view(np.int64)
@@ -147,7 +147,7 @@ def _compare(rows: DataFrame, p: NearDupParams) -> DataFrame:
     """Links (a, b) inside each (cluster, block, against); rows carry node, root, mover and the text."""
     def run(key, table):
         seen, names, sets, roots, movers = set(), [], [], [], []
-        for piece in tb.parts(table.to_batches(), "text"):
+        for piece in (piece for batch in table.to_batches() for piece in tb.slices(batch, "text")):
             found = tb.shingles(*tb.flat(piece.column("text")), p.width)
             made = set_keys(found)
             for k, (node, root, mover) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("node", "root", "mover")))):
