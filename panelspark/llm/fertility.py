@@ -1,8 +1,8 @@
 """Quality rules from tokeniser fertility, beside plain counts of words, symbols, repeated lines and repeated windows.
 
-A public vocabulary is made for ordinary text, so what it needs for a text tells
-how ordinary that is: characters per token, the share of tokens that fall back
-to single bytes, and the entropy of the tokens. All three depend on the language
+Public vocabularies are made for ordinary text, so what they need for a text tells
+how ordinary that is: characters per token of each vocabulary, the share of
+tokens that fall back to single bytes, and the entropy of the tokens. All depend on the language
 and on the length, so each document is held against the quartiles of the
 documents of its language (its script, where the language is unknown) and of its
 power of two of words. The quartiles are exact and over all documents. A group
@@ -13,6 +13,8 @@ takes the band around those of the languages of its script, else of all.
 
 from __future__ import annotations
 
+import base64
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +36,16 @@ class FertilityParams:
     """Distances are in widths: a group's interquartile range, or ``floor`` of the median if that is more.
 
     ``low`` bounds the sum of the distances of characters per token and entropy
-    below the median, ``high`` characters per token above it, and ``bytes`` the
-    byte-fallback share above its upper quartile. Groups of fewer than
+    below the median, ``alone`` each of them by itself, ``high`` how far they
+    lie above it, and ``bytes`` the byte-fallback share above its upper
+    quartile. ``model`` is a sentencepiece file; ``second`` may name a vocabulary
+    of ranks, whose characters per token have a band of their own. Groups of fewer than
     ``support`` documents are judged by a wider band, see ``wider_bands``.
     """
     model: str = ""
+    second: str = ""
     low: float = 2.75
+    alone: float = 6.0
     high: float = 8.0
     bytes: float = 8.0
     floor: float = 0.01
@@ -116,32 +122,41 @@ def measures(docs: DataFrame, p: FertilityParams) -> DataFrame:
             held = sentencepiece.SentencePieceProcessor(model_file=p.model)
             cache["sentencepiece", p.model] = held, np.array([held.is_byte(i) for i in range(held.vocab_size())])
         model, is_byte = cache["sentencepiece", p.model]
-        for batch in batches:
-            for part in tb.slices(batch, "text", 1 << 20):
-                counts = base_counts(*tb.flat(part.column("text")))
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = []
-                for ids in model.encode(texts, num_threads=1):
-                    ids = np.array(ids, np.int64)
-                    share = np.bincount(ids) / max(1, len(ids)) if len(ids) else np.zeros(1)
-                    share = share[share > 0]
-                    rows.append((len(ids), float(is_byte[ids].mean()) if len(ids) else 0.0, float(-(share * np.log2(share)).sum()) + 0.0))
-                tokens = np.array([r[0] for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c]) for c in names),
-                     pa.array([script_of(t) for t in texts], pa.string()), pa.array(tokens),
-                     pa.array(counts["word_chars"] / np.maximum(1, tokens)), pa.array([r[1] for r in rows], pa.float64()),
-                     pa.array([r[2] for r in rows], pa.float64())],
-                    names=["doc_id", "lang", *names, "script", "n_tokens", "chars_per_token", "byte_share", "entropy"])
+        if p.second and ("ranks", p.second) not in cache:
+            import public_tokenizers
+            import tiktoken
+
+            with open(p.second, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            cache["ranks", p.second] = tiktoken.Encoding(os.path.basename(p.second), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        other = cache["ranks", p.second] if p.second else None
+        for part in tb.parts(batches, "text"):
+            counts = base_counts(*tb.flat(part.column("text")))
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            rows = []
+            for ids in model.encode(texts, num_threads=1):
+                ids = np.array(ids, np.int64)
+                share = np.bincount(ids) / max(1, len(ids)) if len(ids) else np.zeros(1)
+                share = share[share > 0]
+                rows.append((len(ids), float(is_byte[ids].mean()) if len(ids) else 0.0, float(-(share * np.log2(share)).sum()) + 0.0))
+            tokens = np.array([r[0] for r in rows], np.int64)
+            more = pa.array([w / max(1, len(other.encode_to_numpy(t, disallowed_special=()))) for w, t in zip(counts["word_chars"].tolist(), texts)], pa.float64()) \
+                if other else pa.nulls(len(texts), pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c]) for c in names),
+                 pa.array([script_of(t) for t in texts], pa.string()), pa.array(tokens),
+                 pa.array(counts["word_chars"] / np.maximum(1, tokens)), pa.array([r[1] for r in rows], pa.float64()),
+                 pa.array([r[2] for r in rows], pa.float64()), more],
+                names=["doc_id", "lang", *names, "script", "n_tokens", "chars_per_token", "byte_share", "entropy", "second_chars"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in names)
-        + ", script string, n_tokens long, chars_per_token double, byte_share double, entropy double")
+        + ", script string, n_tokens long, chars_per_token double, byte_share double, entropy double, second_chars double")
 
 
 #: Measures that have bands, and the digits they are rounded to there.
-METRICS = {"chars_per_token": 3, "entropy": 2, "byte_share": 4, "of_most": 3}
+METRICS = {"chars_per_token": 3, "entropy": 2, "byte_share": 4, "of_most": 3, "second_chars": 3}
 
 
 def wider_bands(found: DataFrame, p: FertilityParams) -> DataFrame:
@@ -220,9 +235,12 @@ def rate(docs: DataFrame, params: FertilityParams = FertilityParams()) -> DataFr
     low = F.least(F.greatest(distance("entropy", "least"), distance("of_most", "least")), F.lit(0.0))
     entropy = F.when(F.col("_level") == 0, distance("entropy", "least")).otherwise(low)
     base = (F.col("n_words") < p.min_words) | (100 * F.col("n_repeat_words") > p.max_repeat_percent * F.col("n_words"))
-    odd = (distance("chars_per_token", "least") + entropy < -p.low) | (distance("chars_per_token", "most") > p.high) | (
+    # each measure has a band of its own beside the sum, in which one can make up for the other
+    odd = (distance("chars_per_token", "least") + entropy < -p.low) | (F.least(distance("chars_per_token", "least"), entropy) < -p.alone)
+    odd = odd | (distance("chars_per_token", "most") > p.high) | (F.least(distance("entropy", "most"), distance("of_most", "most")) > p.high)
+    odd = odd | F.coalesce((distance("second_chars", "least") < -p.alone) | (distance("second_chars", "most") > p.high), F.lit(False)) | (
         F.col("byte_share") > F.col("b_byte_share.high") + p.bytes * width("byte_share", F.lit(p.byte_floor)))
     out = found.join(bands, ["_group", "script", "_size"]).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & ~odd).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "script", "n_tokens", "chars_per_token", "byte_share", "entropy")
+        "script", "n_tokens", "chars_per_token", "byte_share", "entropy", "second_chars")

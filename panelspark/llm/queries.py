@@ -131,7 +131,7 @@ def op7_mix_sources(spark, sf_dir):
 @query()
 def op8_tokeniser_fertility(spark, sf_dir):
     """Base rules and fertility bands per language; checked against brute force in the tests."""
-    params = fertility.FertilityParams(model=public_tokenizers.path("piece_bpe_32k.model"))
+    params = fertility.FertilityParams(model=public_tokenizers.path("piece_bpe_32k.model"), second=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return fertility.rate(table(spark, sf_dir, "documents"), params)
 
 

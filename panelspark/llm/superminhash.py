@@ -234,6 +234,7 @@ def drop_near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams(
     one doc_id only the copy goes. Rows equal in both are one document, and
     rows without a doc_id or without words all stay.
     """
-    gone = stage(near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct())
-    same = (docs["doc_id"].cast("long") == F.col("d")) & (F.xxhash64(docs["text"].cast("string")) == F.col("h"))
+    d, h = tb.spare(docs.columns, "_d"), tb.spare(docs.columns, "_h")
+    gone = stage(near_duplicates(docs, params).where("NOT kept").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct())
+    same = (F.col("doc_id").cast("long") == F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(h))
     return docs.join(gone.hint("merge"), same, "left_anti")

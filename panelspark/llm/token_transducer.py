@@ -206,15 +206,23 @@ class Transducer:
     def chunk_map(self, chunk: str) -> tuple[str, int | None, str]:
         """(head, tokens, tail) of a chunk; tokens is null if the chunk has no sure place to cut.
 
-        A white character after one that is not white always begins a pretoken,
-        whatever stands further left or right.
+        Two kinds of places always begin a pretoken, whatever stands further left
+        or right: a white character after one that is not white, and a letter,
+        number or sign after one of another of these classes, unless an
+        apostrophe shortly before may take it in.
         """
         points = np.frombuffer(chunk.encode("utf-32-le"), np.uint32)
-        white = self.class_of(points) >= SPACE
-        sure = np.flatnonzero(white[1:] & ~white[:-1]) + 1
-        if not len(sure):
+        c = self.class_of(points)
+        white, quote = c >= SPACE, points == 39
+        sure = np.zeros(len(points), bool)
+        sure[1:] = (white[1:] & ~white[:-1]) | (~white[1:] & ~white[:-1] & (c[1:] != c[:-1]))
+        for back in (1, 2, 3):
+            sure[back:] &= ~quote[:-back] | white[back:]
+        sure[:3] &= white[:3]
+        found = np.flatnonzero(sure)
+        if not len(found):
             return chunk, None, ""
-        return chunk[:sure[0]], self.total(chunk[sure[0]:sure[-1]]), chunk[sure[-1]:]
+        return chunk[:found[0]], self.total(chunk[found[0]:found[-1]]), chunk[found[-1]:]
 
     def compose(self, a: tuple, b: tuple) -> tuple:
         """The map of two neighbouring chunks."""
@@ -226,70 +234,90 @@ class Transducer:
             return a[0], a[1], a[2] + b[0]
         return a[0], a[1] + self.total(a[2] + b[0]) + b[1], b[2]
 
-    def scan(self, maps: list[tuple]) -> int:
-        """Tokens of a whole text from the maps of its chunks, composed in pairs."""
+    def compose_all(self, maps: list[tuple]) -> tuple:
+        """The map of neighbouring chunks, composed in pairs."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, tokens, tail = maps[0]
+        return maps[0]
+
+    def closed(self, whole: tuple) -> int:
+        """Tokens of a whole text from its map."""
+        head, tokens, tail = whole
         return self.total(head) + (tokens or 0) + self.total(tail)
 
 
+FAN = 16  # maps that one step of the scan composes
+
+MAPS = "row long, part int, nth int, head string, tokens long, tail string"
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int = 1 << 16) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) per row of (doc_id, text).
 
-    Texts beyond ``chunk`` characters are read in chunks by any tasks, and their
-    maps are gathered per text. A text that holds the string of a special token
-    is read whole, since that may stand across chunks. Null counts as the empty
-    text with 0 tokens. A null doc_id stays null; repeated rows are counted one
-    by one. Other columns are not looked at.
+    Texts beyond ``chunk`` characters are cut at the strings of special tokens,
+    one token each, and read in chunks by any tasks. The maps of a part's chunks
+    are composed ``FAN`` at a time, step by step, so no task takes all chunks of
+    a text; what is open at the ends of a chunk is a pretoken or less, and all
+    of it only where a part is one run of letters, numbers or signs. Null counts
+    as the empty text with 0 tokens. A null doc_id stays null; repeated rows are
+    counted one by one. Other columns are not looked at.
     """
     size = F.coalesce(F.length("text"), F.lit(0))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    one = own.select("doc_id", "text", F.lit(0).alias("row"), F.lit(False).alias("part"), size.alias("size"))
-
-    def count(texts, machine):
-        return [machine.text_tokens(t) if t else 0 for t in texts]
+    one = own.select("doc_id", "text", size.alias("size"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
 
     def whole(batches):
         machine = Transducer.held(tokenizer)
-        for batch in batches:
-            for part in tb.slices(batch, "text", 1 << 20):
-                texts = part.column("text").to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(count(texts, machine), pa.int64())],
-                    names=["doc_id", "n_bytes", "n_tokens"])
+        for part in tb.parts(batches, "text"):
+            counts = [machine.text_tokens(t) if t else 0 for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    special = [t for t in _special(tokenizer)]
-    holds = F.coalesce(F.expr("false") if not special else F.greatest(*(F.contains("text", F.lit(s)) for s in special), F.lit(False)), F.lit(False))
-    long = (F.col("size") > chunk) & ~holds
-    short = one.where(~long).select("doc_id", "text").mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
+    long = F.col("size") > chunk
+    short = one.where(~long).select("doc_id", "n_bytes", "text").mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
+
+    def batch_of(rows):
+        columns = list(zip(*rows)) if rows else [[]] * 6
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in MAPS.split(", ")])
 
     def mapped(batches):
         machine = Transducer.held(tokenizer)
-        for batch in batches:
-            for part in tb.slices(batch, "text", 1 << 20):
-                texts = part.column("text").to_pylist()
-                maps = [machine.chunk_map(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("nth"), pa.array([len(t.encode()) for t in texts], pa.int64()),
-                     *(pa.array([m[i] for m in maps], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string())))],
-                    names=["row", "doc_id", "nth", "n_bytes", "head", "tokens", "tail"])
-
-    pieces = one.where(long).withColumn("row", F.monotonically_increasing_id())
-    pieces = pieces.withColumn("nth", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk).cast("int"))))
-    pieces = pieces.select("row", "doc_id", "nth", F.expr(f"substring(text, nth * {chunk} + 1, {chunk})").alias("text"))
-    pieces = stage(pieces.mapInArrow(mapped, "row long, doc_id long, nth int, n_bytes long, head string, tokens long, tail string"))
-
-    def gathered(key, t):
+        for piece in tb.parts(batches, "text"):
+            keys = zip(*(piece.column(c).to_pylist() for c in ("row", "part", "nth")))
+            yield batch_of([(*k, *machine.chunk_map(t)) for k, t in zip(keys, piece.column("text").to_pylist())])
+
+    rows = stage(one.where(long).withColumn("row", F.monotonically_increasing_id()))
+    special = _special(tokenizer)
+    parts = F.split("text", "|".join("\\Q" + s + "\\E" for s in special), -1) if special else F.array("text")
+    pieces = rows.select("row", F.posexplode(parts).alias("part", "text")).withColumn("size", F.length("text"))
+    pieces = pieces.withColumn("nth", F.explode(F.sequence(F.lit(0), F.greatest(F.floor((F.col("size") - 1) / chunk), F.lit(0)).cast("int"))))
+    pieces = pieces.select("row", "part", "nth", F.expr(f"substring(text, nth * {chunk} + 1, {chunk})").alias("text"))
+    maps = stage(pieces.mapInArrow(mapped, MAPS))
+
+    def composed(key, t):
         machine = Transducer.held(tokenizer)
         t = t.sort_by("nth")
-        total = machine.scan(list(zip(*(t.column(c).to_pylist() for c in ("head", "tokens", "tail")))))
-        return pa.table({"doc_id": t.column("doc_id")[:1], "n_bytes": pa.array([sum(t.column("n_bytes").to_pylist())], pa.int64()), "n_tokens": pa.array([total], pa.int64())})
+        made = machine.compose_all(list(zip(*(t.column(c).to_pylist() for c in ("head", "tokens", "tail")))))
+        return pa.Table.from_batches([batch_of([(*(k.as_py() for k in key), *made)])])
+
+    last = maps.agg(F.max("nth")).first()[0] or 0
+    while last:
+        # a step of the scan: neighbours become one, whatever their text
+        maps = stage(maps.groupBy("row", "part", F.floor(F.col("nth") / FAN).cast("int").alias("group")).applyInArrow(composed, MAPS))
+        last //= FAN
+
+    def closed(batches):
+        machine = Transducer.held(tokenizer)
+        for batch in batches:
+            made = zip(*(batch.column(c).to_pylist() for c in ("head", "tokens", "tail")))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([machine.closed(m) for m in made], pa.int64())], names=["row", "n"])
 
-    large = pieces.groupBy("row").applyInArrow(gathered, "doc_id long, n_bytes long, n_tokens long")
+    sums = maps.select("row", "head", "tokens", "tail").mapInArrow(closed, "row long, n long").groupBy("row").agg((F.sum("n") + F.count("*") - 1).alias("n_tokens"))
+    large = rows.select("row", "doc_id", "n_bytes").join(sums, "row").select("doc_id", "n_bytes", "n_tokens")
     return short.unionByName(large).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def _special(tokenizer: str) -> list[str]:
+    """Strings of special tokens, longest first."""
     with open(tokenizer, encoding="utf-8") as f:
-        return [t["content"] for t in json.load(f)["added_tokens"]]
+        return sorted((t["content"] for t in json.load(f)["added_tokens"]), key=len, reverse=True)

@@ -4,9 +4,10 @@ Word beginnings that mark toxic documents among the labelled ones make a trie.
 The Levenshtein automata of all its terms run together over a word: a state is
 the set of trie nodes reached and the mistakes made so far, and the transitions
 that words ask for are kept, so a word is read once, letter by letter. Matches
-are weighed by their surroundings, where quotation marks and reporting words
-speak for a quotation and direct address for abuse. A logistic model of a few
-sums over the matches gives the score.
+are weighed by their surroundings: what stands around the matches of toxic and
+of clean labelled documents tells, in whatever language, which words speak for
+a quotation or report and which for abuse, and what quotation marks are worth.
+A logistic model of a few sums over the matches gives the score.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from panelspark.llm import textbytes as tb
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = " .,;:!?\"'`()[]{}<>|«»“”„‘’*#$%&_~-…¡¿"
-REPORTING = frozenset("said says say wrote writes quoted quote quotes called calls word words term terms reported report".split())
-ADDRESS = frozenset("you your yours you're ur u".split())
+#: What is believed of some surroundings before any are seen: log odds of abuse.
+PRIOR = {"\0quoted": -1.2, **dict.fromkeys("said says say wrote writes quoted quote quotes called calls word words term terms reported report".split(), -0.5),
+         **dict.fromkeys("you your yours you're ur u".split(), 0.26)}
 OPEN, CLOSE = "\"“„«", "\"”“»"
 FEATURES = 7
 
@@ -38,16 +40,20 @@ class ToxicityParams:
 
     A beginning of ``shortest`` to ``longest`` letters becomes a term with
     ``support`` distinct toxic documents and a log odds of ``odds``. One mistake
-    is allowed from ``one`` letters on, two from ``two`` on.
+    is allowed from ``one`` letters on, two from ``two`` on. The context is
+    ``window`` words to either side; its weights, ``around`` at most, count as
+    if PRIOR had been seen in ``belief`` documents.
     """
     sample: int = 20_000
     shortest: int = 3
-    longest: int = 10
+    longest: int = 32
     support: int = 6
     odds: float = 2.5
     one: int = 5
     two: int = 8
     window: int = 6
+    around: int = 2000
+    belief: float = 20.0
 
 
 def word_of(raw: str) -> str:
@@ -148,28 +154,29 @@ class Automaton:
         return out
 
 
-def context(raw: list[str], at: int, window: int) -> float:
-    """How far a match at a word is meant: 1 alone, less inside quotation marks or beside reporting words, more in direct address."""
+def surroundings(raw: list[str], at: int, window: int) -> set[str]:
+    """The words around a match, and whether it stands between quotation marks."""
     a, b = max(0, at - window), min(len(raw), at + window + 1)
-    near = [word_of(w) for w in raw[a:b]]
+    near = {word_of(w) for w in [*raw[a:at], *raw[at + 1:b]]} - {""}
     opened = any(w[:1] in OPEN for w in raw[a:at + 1] if w)
     closed = any(w.rstrip(".,;:!?")[-1:] in CLOSE for w in raw[at:b] if w)
-    weight = 0.3 if opened and closed else 1.0
-    if any(w in REPORTING for w in near):
-        weight *= 0.6
-    if any(w in ADDRESS for w in near):
-        weight *= 1.3
-    return weight
+    return near | {"\0quoted"} if opened and closed else near
 
 
-def features(text: str | None, machine: Automaton, window: int) -> list[float]:
+def context(raw: list[str], at: int, window: int, weights: dict[str, float] = PRIOR) -> float:
+    """How far a match at a word is meant: 1 alone, less among what surrounds quotations, more among what surrounds abuse."""
+    total = sum(weights.get(w, 0.0) for w in surroundings(raw, at, window))
+    return math.exp(max(-2.0, min(1.0, total)))
+
+
+def features(text: str | None, machine: Automaton, window: int, weights: dict[str, float] = PRIOR) -> list[float]:
     """Sums over the matches of a whole text; all zero for a text without any."""
     raw = WORD.findall(text or "")
     exact = fuzzy = top = hits = meant = 0.0
     known = machine.words
     for i in [i for i, w in enumerate(raw) if (known[w] if w in known else machine.match(w))]:
         weight, mistakes = machine.match(raw[i])
-        c = context(raw, i, window)
+        c = context(raw, i, window, weights)
         value = weight * c
         hits += 1
         meant += c
@@ -182,6 +189,20 @@ def features(text: str | None, machine: Automaton, window: int) -> list[float]:
     return [math.log1p(exact), math.log1p(fuzzy), top, math.log1p(hits), 100.0 * exact / (n + 20), 100.0 * fuzzy / (n + 20), meant / max(1.0, hits)]
 
 
+def learn_context(stats: list[tuple[str, int, int]], toxic: int, clean: int, p: ToxicityParams) -> dict[str, float]:
+    """Log odds of abuse of what stands around matches, from (what, toxic documents, clean documents) among documents with a match.
+
+    The odds of few documents give way to PRIOR, and to 0 where that says
+    nothing; without clean documents that have a match nothing is learned.
+    """
+    out = dict(PRIOR)
+    for what, a, b in stats if clean and toxic else []:
+        odds = math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
+        out[what] = (odds * (a + b) + PRIOR.get(what, 0.0) * p.belief) / (a + b + p.belief)
+    kept = sorted(((w, x) for w, x in out.items() if abs(x) >= 0.2), key=lambda wx: (-abs(wx[1]), wx[0]))[:p.around]
+    return dict(kept)
+
+
 def learn_terms(stats: list[tuple[str, int, int]], toxic: int, clean: int, p: ToxicityParams) -> list[tuple[str, bool, float]]:
     """Terms from (beginning, toxic documents, clean documents); a beginning that ends with NUL is a whole word.
 
@@ -234,6 +255,7 @@ class ToxicityModel:
     terms: list
     weights: list
     params: ToxicityParams
+    context: dict = field(default_factory=lambda: dict(PRIOR))
 
     def machine(self) -> Automaton:
         return Automaton(self.terms, self.params.one, self.params.two)
@@ -250,7 +272,7 @@ class ToxicityModel:
         def run(batches):
             machine = model.machine()
             for part in tb.parts(batches, f"_{rest.index('text')}"):
-                x = np.array([features(t.as_py(), machine, model.params.window) for t in part.column(f"_{rest.index('text')}")]).reshape(-1, FEATURES)
+                x = np.array([features(t.as_py(), machine, model.params.window, model.context) for t in part.column(f"_{rest.index('text')}")]).reshape(-1, FEATURES)
                 yield pa.RecordBatch.from_arrays([*(part.column(f"_{i}") for i in range(len(rest))), pa.array(model.scores(x), pa.float64())],
                                                  names=[*(f"_{i}" for i in range(len(rest))), "score"])
 
@@ -314,10 +336,29 @@ def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityPar
     terms = learn_terms([(r["s"], r["a"], r["b"]) for r in stats.collect()], toxic, clean, p)  # bounded by the sample
     model = ToxicityModel(terms, [0.0] * (FEATURES + 1), p)
 
+    def around(batches):
+        machine, held = model.machine(), {}
+        for part in tb.parts(batches, "text"):
+            for text, label in zip(part.column("text"), part.column("toxic").to_pylist()):
+                raw = WORD.findall(text.as_py() or "")
+                hits = [i for i, w in enumerate(raw) if machine.match(w)]
+                seen = set().union(*(surroundings(raw, i, p.window) for i in hits)) - {word_of(raw[i]) for i in hits}
+                for s in seen | {""} if hits else ():  # the empty word counts documents with a match
+                    held.setdefault(s, [0, 0])[0 if label else 1] += 1
+            if len(held) > 200_000:
+                yield _counts(held)
+                held = {}
+        yield _counts(held)
+
+    near = rows.select("text", "toxic").mapInArrow(around, "s string, a long, b long").groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    near = {r["s"]: (r["a"], r["b"]) for r in near.where("a + b >= 5").collect()}  # bounded by the sample
+    matched = near.pop("", (0, 0))
+    model.context = learn_context([(s, a, b) for s, (a, b) in sorted(near.items())], *matched, p)
+
     def measure(batches):
         machine = model.machine()
         for part in tb.parts(batches, "text"):
-            x = [features(t.as_py(), machine, p.window) for t in part.column("text")]
+            x = [features(t.as_py(), machine, p.window, model.context) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column("toxic")], names=["x", "toxic"])
 
     seen = rows.select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").orderBy("toxic", "x").collect()  # bounded by the sample

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 import re
 import struct
 import uuid
@@ -31,10 +32,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 
 
+def located(spark: SparkSession, path: str) -> str:
+    """The path with its file system; one without a scheme lies where Spark itself would look for it."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return ("file://" + os.path.abspath(path)) if default.startswith("file:") else default.rstrip("/") + "/" + path.lstrip("/")
+
+
 def filesystem(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + path)
+    return fs.FileSystem.from_uri(path)
 
 
 def member(record: bytes, level: int = 6) -> bytes:
@@ -70,29 +79,41 @@ def parse(head: bytes) -> dict[str, str]:
 
 
 class Tail:
-    """A file read forward from a place, in pieces."""
+    """A file read forward from a place, in pieces; what was passed is let go when the next piece is read."""
 
     def __init__(self, file, place: int, piece: int = 1 << 20):
-        self.file, self.place, self.piece, self.held, self.ended = file, place, piece, b"", False
+        self.file, self.place, self.piece, self.buffer, self.at, self.ended = file, place, piece, b"", 0, False
         file.seek(place)
 
+    def left(self) -> int:
+        return len(self.buffer) - self.at
+
+    def peek(self, a: int, b: int) -> bytes:
+        """Bytes a to b from here on, as far as they are held."""
+        return self.buffer[self.at + a:self.at + b]
+
+    def find(self, what: bytes) -> int:
+        i = self.buffer.find(what, self.at)
+        return i - self.at if i >= 0 else -1
+
     def more(self) -> bool:
         got = b"" if self.ended else self.file.read(self.piece)
         self.ended = not got
-        self.held += got
+        if got:
+            self.buffer, self.at = self.buffer[self.at:] + got, 0
         return bool(got)
 
     def need(self, n: int) -> bool:
-        while len(self.held) < n and self.more():
+        while self.left() < n and self.more():
             pass
-        return len(self.held) >= n
+        return self.left() >= n
 
     def skip(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        if n <= self.left():
+            self.at += n
         else:
             self.file.seek(self.place + n)
-            self.held, self.ended = b"", False
+            self.buffer, self.at, self.ended = b"", 0, False
         self.place += n
 
 
@@ -107,10 +128,11 @@ class Range(InputPartition):
 class Written(WriterCommitMessage):
     path: str
     size: int
+    marks: list
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc")``: options path, payload (default true), splitBytes."""
+    """``spark.read.format("warc")``: options path, payload (default true), splitBytes, where (header values wanted, as JSON)."""
 
     @classmethod
     def name(cls):
@@ -120,33 +142,40 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options, schema)
+        pushes = self.options.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushes else WarcReader)(self.options, schema)
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options)
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Files are named anew by every attempt; a manifest of each write, written last, names those that count."""
+    """Files are named anew by every attempt; a manifest of each write, written last, names those that count.
+
+    The manifest also holds places where records begin, one per ``markBytes`` or
+    so, at which a reader may cut the file.
+    """
 
     def __init__(self, options):
-        self.path, self.level = options["path"].rstrip("/"), int(options.get("level", 6))
+        self.path, self.level, self.mark = options["path"].rstrip("/"), int(options.get("level", 6)), int(options.get("markbytes", 1 << 20))
 
     def write(self, iterator):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, size, marks = f"part-{uuid.uuid4().hex}.warc.gz", 0, [0]
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in iterator:
                 for row in batch.to_pylist():
+                    if size - marks[-1] >= self.mark:
+                        marks.append(size)
                     size += out.write(member(record(row), self.level))
-        return Written(name, size)
+        return Written(name, size, marks)
 
     def commit(self, messages):
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         with fs.open_output_stream(f"{root}/manifest-{uuid.uuid4().hex}.json", compression=None) as out:
-            out.write(json.dumps([[m.path, m.size] for m in messages if m]).encode())
+            out.write(json.dumps([[m.path, m.size, m.marks] for m in messages if m]).encode())
 
     def abort(self, messages):
         fs, root = filesystem(self.path)
@@ -156,38 +185,42 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcReader(DataSourceReader):
-    """Equalities on header columns are tested before a payload is inflated."""
+    """Equalities on header columns are tested before a payload is inflated.
+
+    They come as the option ``where``, or pushed down by Spark where its setting
+    allows that for Python sources. Files are cut only where a manifest says
+    that a record begins; archives from elsewhere, whose payloads may hold
+    anything that looks like a record, are read from their start by one task.
+    """
 
     def __init__(self, options, schema):
         self.path, self.payload = options["path"].rstrip("/"), options.get("payload", "true").lower() != "false"
-        self.split, self.wanted = int(options.get("splitbytes", 32 << 20)), []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute[0] in HEADERS and len(f.attribute) == 1:
-                self.wanted.append((f.attribute[0], {f.value}))
-            elif isinstance(f, In) and f.attribute[0] in HEADERS and len(f.attribute) == 1:
-                self.wanted.append((f.attribute[0], set(f.value)))
-            else:
-                yield f
+        self.split = int(options.get("splitbytes", 32 << 20))
+        self.wanted = [(c, set(values)) for c, values in json.loads(options.get("where", "{}")).items()]
 
     def partitions(self):
         from pyarrow import fs as pafs
 
         fs, root = filesystem(self.path)
         if fs.get_file_info(root).type == pafs.FileType.File:
-            files = [(root, fs.get_file_info(root).size)]
+            files = {root: (fs.get_file_info(root).size, [0])}
         else:
             found = fs.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
             lists = [x.path for x in found if re.fullmatch(r"manifest(-[0-9a-f]{32})?\.json", x.base_name)]
             # a writer's own files count once a manifest names them, archives from elsewhere as they lie there
             own = re.compile(r"part-[0-9a-f]{32}\.warc\.gz").fullmatch if lists else lambda name: None
-            named = {(x.path, x.size) for x in found if x.path.endswith((".warc", ".warc.gz")) and not own(x.base_name)}
+            files = {x.path: (x.size, [0]) for x in found if x.path.endswith((".warc", ".warc.gz")) and not own(x.base_name)}
             for path in lists:
                 with fs.open_input_stream(path, compression=None) as f:
-                    named |= {(f"{path.rsplit('/', 1)[0]}/{name}", size) for name, size in json.loads(f.read())}
-            files = sorted(named)
-        return [Range(path, a, min(a + self.split, size)) for path, size in files for a in range(0, size, self.split)] or [Range("", 0, 0)]
+                    files |= {f"{path.rsplit('/', 1)[0]}/{name}": (size, rest[0] if rest else [0]) for name, size, *rest in json.loads(f.read())}
+        out = []
+        for path, (size, marks) in sorted(files.items()):
+            cuts = [0]
+            for mark in marks:
+                if mark - cuts[-1] >= self.split:
+                    cuts.append(mark)
+            out += [Range(path, a, b) for a, b in zip(cuts, [*cuts[1:], size])]
+        return out or [Range("", 0, 0)]
 
     def read(self, partition):
         if partition.end <= partition.start:
@@ -209,46 +242,19 @@ class WarcReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*HEADERS, "payload_bytes", "payload"])
 
     def records(self, tail, start, end):
-        """The records that begin inside a range; the range before reads the one that reaches into it."""
-        if start and not self.sync(tail, end):
-            return
+        """The records of a range, which begins and ends with one."""
         while tail.place < end and tail.need(4):
-            gz = tail.held[:3] == MAGIC
-            got = self.compressed(tail) if gz else self.plain(tail)
+            got = self.compressed(tail) if tail.peek(0, 3) == MAGIC else self.plain(tail)
             if got:
                 yield got
 
-    def sync(self, tail, end) -> bool:
-        while tail.place < end:
-            spots = [i for i in (tail.held.find(MAGIC), tail.held.find(b"WARC/1.")) if i >= 0]
-            if not spots:
-                keep = max(0, len(tail.held) - 8)
-                tail.skip(keep)
-                if not tail.more():
-                    return False
-                continue
-            tail.skip(min(spots))
-            if self.begins(tail):
-                return tail.place < end
-            tail.skip(1)
-        return False
-
-    def begins(self, tail) -> bool:
-        tail.need(4096)
-        if tail.held[:7] == b"WARC/1.":
-            return b"\r\n" in tail.held[:16]
-        try:
-            return zlib.decompressobj(31).decompress(tail.held[:4096], 16)[:7] == b"WARC/1."
-        except zlib.error:
-            return False
-
     def skip_length(self, tail) -> int | None:
         """The compressed length that a member's extra field gives."""
-        if not tail.need(12) or not tail.held[3] & 4:
+        if not tail.need(12) or not tail.peek(3, 4)[0] & 4:
             return None
-        size = struct.unpack_from("<H", tail.held, 10)[0]
+        size = struct.unpack("<H", tail.peek(10, 12))[0]
         tail.need(12 + size)
-        at, extra = 0, tail.held[12:12 + size]
+        at, extra = 0, tail.peek(12, 12 + size)
         while at + 4 <= len(extra):
             n = struct.unpack_from("<H", extra, at + 2)[0]
             if extra[at:at + 2] == b"sl" and n == 8:
@@ -261,9 +267,9 @@ class WarcReader(DataSourceReader):
         inflate, content, used, fed = zlib.decompressobj(31), b"", 0, 0
         head = None
         while not inflate.eof:
-            if fed >= len(tail.held) and not tail.more():
+            if fed >= tail.left() and not tail.more():
                 break
-            piece = tail.held[fed:fed + (2048 if head is None else 1 << 20)]
+            piece = tail.peek(fed, fed + (2048 if head is None else 1 << 20))
             fed += len(piece)
             content += inflate.decompress(piece)
             if head is None and (i := content.find(b"\r\n\r\n")) >= 0:
@@ -276,18 +282,18 @@ class WarcReader(DataSourceReader):
         return self.row(head, content[used:]) if head and keep else None
 
     def plain(self, tail):
-        while tail.held[:2] == b"\r\n" or (len(tail.held) < 2 and tail.more()):
+        while tail.need(2) and tail.peek(0, 2) == b"\r\n":
             tail.skip(2)
-        while (i := tail.held.find(b"\r\n\r\n")) < 0:
+        while (i := tail.find(b"\r\n\r\n")) < 0:
             if not tail.more():
-                tail.skip(max(1, len(tail.held)))
+                tail.skip(max(1, tail.left()))
                 return None
-        head = parse(tail.held[:i])
+        head = parse(tail.peek(0, i))
         size = int(head.get("content-length", 0))
         block = b""
         if keep := self.passes(head):
             tail.need(i + 4 + (size if self.body_needed(head, b"", 0) else min(size, 4096)))
-            block = tail.held[i + 4:i + 4 + size]
+            block = tail.peek(i + 4, i + 4 + size)
         tail.skip(i + 4 + size + 4)
         return self.row(head, block) if keep else None
 
@@ -308,17 +314,50 @@ class WarcReader(DataSourceReader):
         return (*(head.get(FIELD[c].lower()) for c in HEADERS), size if size >= 0 else len(payload), body)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write rows of (HEADERS, payload_bytes, payload) as archives below ``path``; null headers are left out."""
-    records.sparkSession.dataSource.register(WarcSource)
-    records.select(*HEADERS, "payload_bytes", "payload").write.format("warc").mode("append").save(path)
+class PushingReader(WarcReader):
+    """Takes over the filters that Spark offers; Spark allows this only with spark.sql.python.filterPushdown.enabled."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute[0] in HEADERS and len(f.attribute) == 1:
+                self.wanted.append((f.attribute[0], {f.value}))
+            elif isinstance(f, In) and f.attribute[0] in HEADERS and len(f.attribute) == 1:
+                self.wanted.append((f.attribute[0], set(f.value)))
+            else:
+                yield f
+
+
+def write_warc(records: DataFrame, path: str, **options) -> None:
+    """Write rows of (HEADERS, payload_bytes, payload) as archives below ``path``, beside what lies there.
+
+    Null headers are left out of the record; a null payload is an empty one, and
+    a null payload_bytes is the payload's size. Repeated rows are records of
+    their own. No rows write an empty list of files. Other columns are not
+    looked at.
+    """
+    spark = records.sparkSession
+    spark.dataSource.register(WarcSource)
+    records.select(*HEADERS, "payload_bytes", "payload").write.format("warc").options(**options).mode("append").save(located(spark, path))
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True, **options) -> DataFrame:
-    """Records of archives; filters on header columns are pushed into the scan. Without ``payload`` none is inflated."""
+def read_warc(spark: SparkSession, path: str, payload: bool = True, where: dict | None = None, **options) -> DataFrame:
+    """Records of the archives at ``path``: (HEADERS, payload_bytes, payload).
+
+    ``where`` names header columns and the values wanted of each; other records
+    are passed over before their payload is inflated. Where the session allows
+    pushdown to Python sources, filters on header columns are taken over too. Without ``payload`` no
+    payload is inflated beyond its HTTP headers, and it is null; that of a
+    revisit is always null. Headers that a record lacks are null; an empty
+    payload is empty. Records that are stored twice are read twice; a folder
+    without archives, or none, has no records.
+    """
+    unknown = set(where or {}) - set(HEADERS)
+    if unknown:
+        raise ValueError(f"no header columns: {sorted(unknown)}")
     spark.dataSource.register(WarcSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").options(payload=str(payload).lower(), **options).load(path)
+    wanted = json.dumps({c: [v] if isinstance(v, str) else list(v) for c, v in (where or {}).items()})
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("warc").options(payload=str(payload).lower(), where=wanted, pushdown=pushes, **options).load(located(spark, path))
 
 
 def page_records(pages: DataFrame, least: int = 100) -> DataFrame:
@@ -353,9 +392,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or f"{stage_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(page_records(pages), path)
-    whole = read_warc(spark, path).where("record_type = 'response'").withColumns(
+    whole = read_warc(spark, path, where={"record_type": "response"}).withColumns(
         {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    short = read_warc(spark, path, payload=False).where("record_type = 'revisit'").withColumn("payload_digest", F.substring_index("payload_digest", ":", -1))
+    short = read_warc(spark, path, payload=False, where={"record_type": "revisit"}).withColumn("payload_digest", F.substring_index("payload_digest", ":", -1))
     page = r"^<urn:x-page:(-?\d+)>$"
     number = [F.expr(f"try_cast(nullif(regexp_extract({c}, r'{page}', 1), '') AS BIGINT)").alias(a) for c, a in (("record_id", "page_id"), ("refers_to", "refers_to"))]
     return whole.drop("payload").unionByName(short.drop("payload")).select(number[0], "payload_bytes", "payload_digest", "record_type", number[1])

@@ -35,7 +35,7 @@ class WindowParams:
     words: int = 20
     gram: int = 5
     slice: int = 1 << 21
-    bucket: int = 1 << 25
+    bucket: int = 1 << 24
 
 
 def span_sums(words: np.ndarray) -> np.ndarray:
