@@ -10,6 +10,7 @@ for another view.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -34,6 +35,18 @@ class Dialect:
     def div(self, a: str, b: str) -> str:
         return f"{a} div {b}" if self.name == "spark" else f"{a} // {b}"
 
+    def decay(self, kind: str, month: str, rates: dict[int, str]) -> str:
+        """exp(-rate x month) for months from 0 to 23, by kind.
+
+        Two engines' exponentials differ in the last digit of some values, so
+        Spark gets the values of the C library, which DuckDB uses, as literals.
+        """
+        cases = " ".join(f"WHEN {k} THEN {{}}".format(r) for k, r in rates.items())
+        if self.name != "spark":
+            return f"exp(-(CASE {kind} {cases} ELSE 0.0 END) * {month})"
+        tables = " ".join(f"WHEN {k} THEN array({', '.join(f'{math.exp(-(round(float(r) * 100) * m) / 100)!r}D' for m in range(24))})" for k, r in rates.items())
+        return f"coalesce(element_at(CASE {kind} {tables} END, CAST({month} AS INT) + 1), 1D)"
+
     def month_start(self, x: str) -> str:
         return f"CAST(date_trunc('month', {x}) AS DATE)"
 
@@ -62,13 +75,13 @@ def view_texts(d: Dialect) -> dict[str, str]:
             SELECT country, concat('Brand#', CAST(bk AS STRING)) AS brand_name, nk, bk, start + months_postgx AS t, months_postgx,
               SUM(q) AS q, COUNT(*) AS ns
             FROM {supplied} GROUP BY 1, 2, 3, 4, 5, 6""",
-        "volume": """
+        "volume": f"""
             SELECT country, brand_name, substr('JanFebMarAprMayJunJulAugSepOctNovDec', (t % 12) * 3 + 1, 3) AS month,
               CAST(months_postgx AS INT) AS months_postgx,
               CASE WHEN months_postgx < 0 THEN q
-                   ELSE q * exp(-(CASE bk % 3 WHEN 0 THEN 0.30 WHEN 1 THEN 0.05 ELSE 0.0 END) * months_postgx)
+                   ELSE q * {d.decay('bk % 3', 'months_postgx', {0: '0.30', 1: '0.05'})}
               END AS volume
-            FROM {series_month}""",
+            FROM {{series_month}}""",
         "generics": """
             SELECT country, brand_name, CAST(months_postgx AS INT) AS months_postgx,
               CAST(CASE WHEN months_postgx < 0 THEN 0 ELSE ns + CAST(floor(months_postgx / 6) AS INT) END AS INT) AS n_gxs

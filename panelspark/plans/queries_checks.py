@@ -385,3 +385,23 @@ def _(spark, sf):
         FROM (SELECT unnest(range(1, 2001)) AS i)))''', 'p_value')} FROM p""")
 def _(spark, sf):
     return S.paired_t_test(scores(spark, sf), "1", "2", "rmse")
+
+
+@query("f10_cv_comparison_additional", views="", ctes=SCORES, sql=f"""
+    SELECT a.model, a.n_folds, {rx('a.mean', 'mean')}, {rx('a.std', 'std')}, {rx('b.mean', 'rmse_mean')}, {rx('b.std', 'rmse_std')}, {rx('c.mean', 'mae_mean')}, {rx('c.std', 'mae_std')},
+      row_number() OVER (ORDER BY a.mean DESC, a.model) AS rank
+    FROM agg a LEFT JOIN agg b ON a.model = b.model AND b.metric = 'rmse' LEFT JOIN agg c ON a.model = c.model AND c.metric = 'mae' WHERE a.metric = 'metric1_official'""")
+def _(spark, sf):
+    """Ranked from the largest mean down, with two more metrics beside."""
+    table = S.comparison_table(scores(spark, sf), "metric1_official", ascending=False, additional_metrics=("rmse", "mae"))
+    return table.select("model", "n_folds", "mean", "std", "rmse_mean", "rmse_std", "mae_mean", "mae_std", "rank")
+
+
+@query("f11_paired_t_test_alpha", views="", ctes=SCORES, digits=4, sql=f"""
+    , d AS (SELECT a.value - b.value AS d FROM scores a JOIN scores b ON a.fold = b.fold AND a.metric = b.metric WHERE a.model = '1' AND b.model = '2' AND a.metric = 'rmse'),
+    s AS (SELECT avg(d) AS m, stddev_samp(d) AS sd, count(*) AS n FROM d)
+    SELECT n AS n_valid_pairs, {rx('m - 4.6040949 * sd / sqrt(n)', 'ci_diff_lower', 4)}, {rx('m + 4.6040949 * sd / sqrt(n)', 'ci_diff_upper', 4)},
+      CASE WHEN abs(m / (sd / sqrt(n))) > 4.6040949 THEN 1 ELSE 0 END AS is_significant FROM s""")
+def _(spark, sf):
+    """The interval at 99 %, with four degrees of freedom."""
+    return S.paired_t_test(scores(spark, sf), "1", "2", "rmse", alpha=0.01).select("n_valid_pairs", "ci_diff_lower", "ci_diff_upper", "is_significant")

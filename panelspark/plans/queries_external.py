@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from panelspark.constants import MACRO_COLUMNS, ROW_KEY, VISIBILITY_COLUMNS
 from panelspark.functions.stage import stage_folder
 from panelspark.operators import baselines as B
+from panelspark.operators import columns as C
 from panelspark.operators import external as L
 from panelspark.operators import features as E
 from panelspark.operators import metrics as G
 from panelspark.operators import visibility as V
 from panelspark.plans import fixtures as fx
-from panelspark.plans.registry import query, r, rx
+from panelspark.plans import queries_features as qf
+from panelspark.plans.fixtures import duck_ctes
+from panelspark.plans.registry import ORACLES, query, r, rx
+from panelspark.plans.shared_sql import SHARED
 from panelspark.sources import external as X
 from panelspark.sources import logs, schemas, tables
 from panelspark.sources.files import lazy_load
@@ -318,3 +322,22 @@ def _(spark, sf):
 @query("e12_visibility_features", views="panel", ctes=VIS, digits=9, sql=f"SELECT {ROW}, {VIS_FILLED} FROM vrow")
 def _(spark, sf):
     return E.add_visibility_features(dated(spark, sf), rollup(spark, sf)).drop("date")
+
+
+def _whole_features() -> str:
+    """Every column of all groups under the second scenario's cutoff, each group by the text of its own query."""
+    future = duck_ctes(["panel", *qf.generics_ctes(6)], {**SHARED, **qf.generics_ctes(6)}) + f"SELECT {ROW}, {qf.FUTURE_SQL} FROM panel JOIN gx USING ({SER})"
+    crossed = duck_ctes(["panel"], SHARED) + f"SELECT {ROW}, {rx('n_gxs * hospital_rate / 100', 'n_gxs_x_hospital_rate_norm')} FROM panel"
+    names = ["e02_pre_entry_features", "e03_seasonal_features", "e04_time_features", "e05_generics_features", "e07_drug_features", "e08_early_erosion_features",
+             "e12_visibility_features"]
+    texts = [ORACLES[n] for n in names] + [future, crossed]
+    shorter = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in VISIBILITY_COLUMNS)  # that text rounds to 9 digits
+    return f"SELECT * REPLACE ({shorter}) FROM ({texts[0]}) " + " ".join(f"JOIN ({t}) USING ({ROW})" for t in texts[1:]) + " WHERE months_postgx BETWEEN 6 AND 23"
+
+
+@query("e01_make_features_whole", sql=_whole_features())
+def _(spark, sf):
+    """All feature groups with the supply metrics and one interaction: every column that is made."""
+    p = dated(spark, sf).join(fx.panel(spark, sf), ROW_KEY)
+    out = E.make_features(p, 2, config={"interactions": [("n_gxs", "hospital_rate_norm")], "visibility": rollup(spark, sf)})
+    return qf.added(p, C.select_training_rows(out, 2))

@@ -282,6 +282,26 @@ def _(spark, sf):
         "hospital_rate_norm", "time_decay", "n_gxs_x_hospital_rate_norm")
 
 
+BINNED_SQL = DRUG_SQL.replace("30", "20").replace("70", "60").split("CAST(dense_rank() OVER (ORDER BY main_package)")[0].rstrip().rstrip(",")
+SOME_PRE = [c for c in PRE_SQL.removeprefix(f"SELECT {ROW}, ").split("round(") if c and " AS log_" not in c and "pre_entry_trend" not in c]
+
+
+@query("e01_make_features_options", views="panel", ctes=PRE, sql=f"""
+    SELECT * FROM (SELECT {ROW}, {', '.join('round(' + c.strip().rstrip(',') for c in SOME_PRE)} FROM pre_rows) JOIN (SELECT {ROW}, {BINNED_SQL} FROM panel) USING ({ROW})""")
+def _(spark, sf):
+    """Whole groups and single options turned off, other bins of the hospital share: no other column is left."""
+    p = fx.panel(spark, sf)
+    off = {"time": False, "generics": False, "scenario2_early": False, "pre_entry": {"compute_seasonal": False, "log_transform": False, "compute_trend": False},
+           "drug": {"hospital_rate_bins": (20, 60), "categoricals": ["ther_area"]}}
+    return added(p, E.make_features(p, 2, config=off))
+
+
+@query("e07_drug_features_bins", views="panel", sql=f"SELECT {ROW}, {BINNED_SQL} FROM panel")
+def _(spark, sf):
+    p = fx.panel(spark, sf)
+    return added(p, E.add_drug_features(p, ["ther_area"], bins=(20, 60)))
+
+
 @query("e09_interaction_features", views="panel", sql=f"""
     SELECT {ROW}, {rx('coalesce(n_gxs * hospital_rate, 0)', 'n_gxs_x_hospital_rate')},
       0.0 AS month_x_n_gxs, {rx('coalesce(avg_vol_12m * months_postgx, 0)', 'avg_vol_12m_x_months_postgx')} FROM panel""")

@@ -336,10 +336,12 @@ def _(spark, sf):
 
 
 @query("n05_summarize_scenario_impacts", views="pred", ctes=SCEN_CTE, digits=4, sql=f"""
-    SELECT scenario, {rx('(sum(w) - sum(v)) * 100 / sum(v)', 'total_volume_change_pct', 4)},
-      count(DISTINCT (country, brand_name)) FILTER (w <> v) AS affected_series_count FROM adj GROUP BY 1""")
+    SELECT scenario, {rx('sum(w) - sum(v)', 'total_volume_change', 4)}, {rx('(sum(w) - sum(v)) * 100 / sum(v)', 'total_volume_change_pct', 4)},
+      {rx('avg(w - v)', 'mean_volume_change', 4)}, {rx('min(w - v)', 'max_negative_impact', 4)}, {rx('max(w - v)', 'max_positive_impact', 4)},
+      count(*) FILTER (w <> v) AS affected_periods, count(DISTINCT (country, brand_name)) FILTER (w <> v) AS affected_series_count FROM adj GROUP BY 1""")
 def _(spark, sf):
-    return N.compare_scenarios(pred(spark, sf), SCEN).select("scenario", "total_volume_change_pct", "affected_series_count")
+    """From the table of adjusted forecasts, by way of one row per series."""
+    return N.summarize_scenario_impacts(N.scenario_predictions(pred(spark, sf), SCEN))
 
 
 RAMP = N.Shock("ramp", "ramp", 0.8, 3, 9)
