@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.constants import MONTH, ROW_KEY, SERIES
+from panelspark.constants import MONTH, SERIES
 from panelspark.functions.expr import one_row, ratio
 from panelspark.functions.stage import stage
 from panelspark.operators import similarity
-
-# The grouped forecaster calls helpers of this module; they travel with it, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from panelspark.operators.forecasters import SeriesForecaster
 
 MATCHING = ["log_avg_vol", "pre_entry_trend", "pre_entry_volatility", "hospital_rate", "n_gxs_at_entry", "n_gxs"]
 CATEGORIES = ["ther_area", "main_package"]
@@ -85,80 +79,7 @@ class HistoricalCurve:
                 .drop("_node", "_own", "_curve"))
 
 
-def _holt(y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Additive-trend smoothing; level and trend rates from a small grid by squared one-step error."""
-    best = None
-    for alpha in (0.1, 0.3, 0.5, 0.7, 0.9):
-        for beta in (0.05, 0.1, 0.3, 0.5):
-            level, slope, fitted = y[0], y[1] - y[0], np.empty(len(y))
-            for i, value in enumerate(y):
-                fitted[i] = level + slope if i else y[0]
-                new = alpha * value + (1 - alpha) * (level + slope) if i else value
-                slope = beta * (new - level) + (1 - beta) * slope if i else slope
-                level = new
-            error = float(((y - fitted) ** 2).sum())
-            if best is None or error < best[0]:
-                best = (error, fitted, level + slope * np.arange(1, steps + 1))
-    return best[1], best[2]
-
-
-def _differenced(y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """First-order autoregression on first differences by least squares."""
-    d = np.diff(y)
-    phi = 0.0
-    if len(d) > 2 and (d[:-1] ** 2).sum() > 0:
-        phi = float(np.clip((d[1:] * d[:-1]).sum() / (d[:-1] ** 2).sum(), -0.99, 0.99))
-    fitted = np.concatenate([y[:2], y[1:-1] + phi * d[:-1]]) if len(y) > 2 else y.copy()
-    moves = d[-1] * np.cumsum(phi ** np.arange(1, steps + 1))
-    return fitted, y[-1] + moves
-
-
-def _blend(a: np.ndarray, b: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Non-negative ridge weights of two forecasts, brought to sum 1."""
-    g = np.array([[a @ a + ridge, a @ b], [a @ b, b @ b + ridge]])
-    c = np.array([a @ y, b @ y])
-    w = np.linalg.solve(g, c)
-    if w[0] < 0 or w[1] < 0:
-        alone = np.array([max(c[0], 0) / g[0, 0], max(c[1], 0) / g[1, 1]])
-        gain = [2 * alone[i] * c[i] - alone[i] ** 2 * g[i, i] for i in (0, 1)]
-        w = np.array([alone[0], 0.0]) if gain[0] >= gain[1] else np.array([0.0, alone[1]])
-    total = w.sum()
-    return (w[0] / total, w[1] / total) if total > 0 else (0.5, 0.5)
-
-
 def blended_series_forecast(history: DataFrame, months, min_history: int = 6, window: int = 12,
                             fallback: DataFrame | None = None, decay_rate: float = 0.05) -> DataFrame:
-    """Per series: autoregression on differences and additive-trend smoothing, blended on the last points.
-
-    Series shorter than ``min_history`` repeat their last value, or decay from
-    ``fallback`` (country, brand_name, avg_vol) where it is given. A series has
-    at most 48 rows, so a group never outgrows its task.
-    """
-    wanted = [int(m) for m in months]
-
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["volume"]).sort_values(MONTH)
-        y = pdf["volume"].to_numpy(dtype=float)
-        steps, fitted = len(wanted), 0
-        wa, wh = 0.5, 0.5
-        if len(y) >= min_history:
-            fa, pa = _differenced(y, steps)
-            fh, ph = _holt(y, steps)
-            n = min(len(y), window)
-            wa, wh = _blend(fa[-n:], fh[-n:], y[-n:])
-            values, fitted = np.maximum(wa * pa + wh * ph, 0), 1
-        else:
-            values = np.full(steps, y[-1] if len(y) else 1.0)
-        return pd.DataFrame({"country": pdf["country"].iloc[0] if len(pdf) else None,
-                             "brand_name": pdf["brand_name"].iloc[0] if len(pdf) else None,
-                             MONTH: wanted, "volume": values, "fitted": fitted, "weight_ar": wa, "weight_holt": wh})
-
-    schema = f"country string, brand_name string, {MONTH} int, volume double, fitted int, weight_ar double, weight_holt double"
-    out = (history.select(*ROW_KEY, F.col("volume").cast("double").alias("volume")).where(F.col("volume").isNotNull())
-           .groupBy(*SERIES).applyInPandas(forecast, schema))
-    if fallback is None:
-        return out
-    base = fallback.select(*SERIES, F.col("avg_vol").alias("_base"))
-    decay = F.coalesce("_base", F.lit(1.0)) * F.exp(-decay_rate * F.col(MONTH))
-    return out.join(base, SERIES, "left").withColumn(
-        "volume", F.when(F.col("fitted") == 1, F.col("volume")).otherwise(decay)).drop("_base")
+    """The per-series forecaster with its usual options: ARIMA(1, 1, 1) and additive-trend smoothing, blended on the last points."""
+    return SeriesForecaster(window=window, min_history=min_history).forecast(history, months, fallback, decay_rate)

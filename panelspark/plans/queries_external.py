@@ -331,8 +331,8 @@ def _whole_features() -> str:
     names = ["e02_pre_entry_features", "e03_seasonal_features", "e04_time_features", "e05_generics_features", "e07_drug_features", "e08_early_erosion_features",
              "e12_visibility_features"]
     texts = [ORACLES[n] for n in names] + [future, crossed]
-    shorter = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in VISIBILITY_COLUMNS)  # that text rounds to 9 digits
-    return f"SELECT * REPLACE ({shorter}) FROM ({texts[0]}) " + " ".join(f"JOIN ({t}) USING ({ROW})" for t in texts[1:]) + " WHERE months_postgx BETWEEN 6 AND 23"
+    texts[names.index("e12_visibility_features")] = ORACLES["e12_visibility_features"].replace(", 9) + 0.0", ", 6) + 0.0")
+    return f"SELECT * FROM ({texts[0]}) " + " ".join(f"JOIN ({t}) USING ({ROW})" for t in texts[1:]) + " WHERE months_postgx BETWEEN 6 AND 23"
 
 
 @query("e01_make_features_whole", sql=_whole_features())

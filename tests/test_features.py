@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from panel_rows import by_key
@@ -126,3 +127,38 @@ def test_codes_of_new_data_are_those_of_the_training_data(panel):
     new = part.withColumn("ther_area", F.lit("T9")).unionByName(part)
     got = {r["ther_area"]: r["code"] for r in E.label_codes(new, {"ther_area": "code"}, codes).collect()}
     assert got == {"T2": 1, "T9": -1}
+
+
+def test_options_turn_columns_off(panel):
+    whole = set(E.make_features(panel, 2).columns)
+    some = set(E.make_features(panel, 2, config={"time": {"include_decay": False}, "generics": {"include_future_n_gxs": False}, "scenario2_early": False}).columns)
+    assert some < whole and {"time_decay", "n_gxs_at_month_12", "erosion_0_5"} <= whole - some and {"month_sin", "has_generic"} <= some
+    none = E.make_features(panel, 1, config={g: False for g in ("pre_entry", "time", "generics", "drug")})
+    assert none.columns == panel.columns and none.count() == panel.count()
+    with pytest.raises(ValueError):
+        E.make_features(panel, 1, config={"time": {"include_everything": True}})
+    with pytest.raises(ValueError):
+        E.make_features(panel, 1, config={"weather": True})
+    with pytest.raises(ValueError):
+        E.add_drug_features(panel, bins=(70, 30))
+
+
+def test_visibility_is_a_feature_group(panel):
+    dated = panel.withColumn("day", F.make_date(F.lit(2020), F.lit(1), F.lit(1)))
+    metrics = panel.select("country", "brand_name").distinct().withColumns({"period": F.make_date(F.lit(2020), F.lit(1), F.lit(1)), "vis_fill_rate": F.lit(0.5)})
+    from panelspark.constants import VISIBILITY_COLUMNS
+    name = VISIBILITY_COLUMNS[0]
+    out = E.make_features(dated, 1, config={"visibility": {"data": metrics.withColumnRenamed("vis_fill_rate", name), "date_col": "day"}})
+    assert set(VISIBILITY_COLUMNS) <= set(out.columns) and out.where(f"{name} <> 0.5").count() == 0 and out.count() == panel.count()
+
+
+def test_narrow_types_do_not_follow_the_values(spark):
+    from panelspark.operators import panel as P
+    kinds = "n_gxs long, ids long, is_x long, volume double, share double"
+    for rows in ([(1, 2, 1, 3.0, 0.5)], [(1, 2 ** 40, 1, 3.0, 0.5)], []):
+        out = P.narrow_types(spark.createDataFrame(rows, kinds))
+        assert dict(out.dtypes) == {"n_gxs": "int", "ids": "bigint", "is_x": "int", "volume": "double", "share": "float"}
+        assert out.count() == len(rows)
+    assert dict(P.narrow_types(spark.createDataFrame([], kinds), types={"ids": "int"}).dtypes)["ids"] == "int"
+    with pytest.raises(Exception):
+        P.narrow_types(spark.createDataFrame([(2 ** 40, 1, 1, 1.0, 1.0)], kinds)).collect()

@@ -206,3 +206,33 @@ def test_halving_stops_weak_points_early(frame):
     assert len(I.trial_points(grid, 2)) == 2 and I.trial_points(grid, 2) == I.trial_points(grid, 2) and len(I.trial_points(grid)) == 4
     with pytest.raises(ValueError):
         I.tune_halving(frame, 1, LINEAR, grid, folds=2, budget=3)
+
+
+def test_submission_routes_by_bucket_and_corrects_residuals(spark, raw):
+    """A known bucket decides, else the base forecast's mean share; the residual model moves only the rows it speaks for."""
+    panel = P.build_panel(**raw)
+    from panelspark.operators import features as E
+    train = E.make_features(panel, 1).where("months_postgx >= 0 AND bucket IS NOT NULL")
+    test = P.build_panel(raw["volume"].where("months_postgx < 0"), raw["generics"], raw["medicine_info"], is_train=False)
+    template = P.series_ids(test).withColumn("months_postgx", F.explode(F.sequence(F.lit(0), F.lit(23))))
+
+    def constant(value, label="y_norm"):
+        spec = I.ModelSpec("ridge", {"regParam": 0.0}, ("months_postgx",), label=label)
+        return I.fit(spec, train.withColumn(label, F.lit(value) + F.col("months_postgx") * 0))
+
+    def mean_share(models, panel=test, **more):
+        out = forecast.generate_submission({1: models, 2: models}, panel, template, **more)
+        both = out.join(panel.groupBy("country", "brand_name").agg(F.max("avg_vol_12m").alias("a")), ["country", "brand_name"])
+        return {(r["brand_name"], r["months_postgx"]): r["volume"] / r["a"] for r in both.collect()}
+
+    low, high = constant(0.2), constant(0.9)
+    by_low = mean_share({forecast.BASE: low, 1: constant(0.1), 2: constant(1.5)})
+    by_high = mean_share({forecast.BASE: high, 1: constant(0.1), 2: constant(1.5)})
+    assert all(abs(v - 0.1) < 1e-6 for v in by_low.values()) and all(abs(v - 1.5) < 1e-6 for v in by_high.values())
+    told = test.withColumn("bucket", F.when(F.col("brand_name") == "A", F.lit(1)))
+    routed = mean_share({forecast.BASE: high, 1: constant(0.1), 2: constant(1.5)}, told)
+    assert abs(routed["A", 0] - 0.1) < 1e-6 and all(abs(v - 1.5) < 1e-6 for (b, _), v in routed.items() if b != "A")
+    plain, moved = mean_share(low), mean_share(low, residuals={1: constant(30.0, "residual"), 2: constant(30.0, "residual")})
+    assert any(abs(moved[k] - plain[k]) > 0.1 for k in plain if k[1] <= 11) and all(abs(moved[k] - plain[k]) < 1e-9 for k in plain if k[1] > 11)
+    scaled = spark.createDataFrame([(1, 1, w, 2.0, 0.0) for w in range(3)], "scenario int, bucket int, time_window int, a double, b double")
+    assert all(abs(v - 0.4) < 1e-6 for k, v in mean_share(low, calibration=scaled).items())

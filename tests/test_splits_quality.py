@@ -132,3 +132,19 @@ def test_t_test_is_null_where_undefined(spark):
     for metric in ("m", "n"):
         got = S.paired_t_test(scores, "a", "b", metric).first()
         assert got["t_statistic"] is None and got["p_value"] is None
+
+
+def test_interval_at_any_level_and_more_metrics(spark):
+    rows = [(m, f, "rmse", v) for m, vs in (("a", [1.0, 2.0, 4.0, 4.5]), ("b", [0.5, 1.8, 3.1, 4.6])) for f, v in enumerate(vs)] + [("a", 0, "mae", 7.0)]
+    scores = spark.createDataFrame(rows, "model string, fold int, metric string, value double")
+    mean, sd = 0.375, 0.45  # of the differences 0.5, 0.2, 0.9, -0.1
+    sd = (sum((d - mean) ** 2 for d in (0.5, 0.2, 0.9, -0.1)) / 3) ** 0.5
+    for alpha, q in ((0.1, 2.353363), (0.05, 3.182446), (0.01, 5.840909)):
+        r = S.paired_t_test(scores, "a", "b", "rmse", alpha).first()
+        assert r["ci_diff_upper"] == pytest.approx(mean + q * sd / 2, abs=1e-5) and r["n_valid_pairs"] == 4
+        assert r["is_significant"] == int(abs(r["t_statistic"]) > q)
+    with pytest.raises(ValueError):
+        S.paired_t_test(scores, "a", "b", "rmse", 1.5)
+    table = {r["model"]: r for r in S.comparison_table(scores, "rmse", additional_metrics=["mae"]).collect()}
+    assert table["b"]["is_best"] == 1 and table["a"]["mae_mean"] == 7.0 and table["b"]["mae_mean"] is None
+    assert {r["model"]: r["rank"] for r in S.comparison_table(scores, "rmse", ascending=False).collect()} == {"a": 1, "b": 2}
