@@ -331,13 +331,14 @@ def _whole_features() -> str:
     names = ["e02_pre_entry_features", "e03_seasonal_features", "e04_time_features", "e05_generics_features", "e07_drug_features", "e08_early_erosion_features",
              "e12_visibility_features"]
     texts = [ORACLES[n] for n in names] + [future, crossed]
-    texts[names.index("e12_visibility_features")] = ORACLES["e12_visibility_features"].replace(", 9) + 0.0", ", 6) + 0.0")
     return f"SELECT * FROM ({texts[0]}) " + " ".join(f"JOIN ({t}) USING ({ROW})" for t in texts[1:]) + " WHERE months_postgx BETWEEN 6 AND 23"
 
 
-@query("e01_make_features_whole", sql=_whole_features())
+@query("e01_make_features_whole", digits=9, sql=_whole_features())
 def _(spark, sf):
     """All feature groups with the supply metrics and one interaction: every column that is made."""
     p = dated(spark, sf).join(fx.panel(spark, sf), ROW_KEY)
     out = E.make_features(p, 2, config={"interactions": [("n_gxs", "hospital_rate_norm")], "visibility": rollup(spark, sf)})
-    return qf.added(p, C.select_training_rows(out, 2))
+    made = qf.added(p, C.select_training_rows(out, 2))
+    # the supply metrics are compared to 9 digits, all other columns to 6
+    return made.select(*[c if c in VISIBILITY_COLUMNS or t != "double" else (F.round(c, 6) + F.lit(0.0)).alias(c) for c, t in made.dtypes])
