@@ -16,3 +16,34 @@ def test_scores_of_folds_join_nothing(spark, scored):
     assert "Join" not in folds._jdf.queryExecution().optimizedPlan().toString()
     want = G.official_metric(actual, pred, aux, 1).first()["metric"]
     assert [r["official_metric"] for r in folds.collect()] == [want] * 3
+
+
+def test_cosine_edges_are_added_up_and_not_written(spark, monkeypatch):
+    from panelspark.operators import graph as O
+    from panelspark.operators import similarity as Z
+
+    def no_pairs(*_, **__):
+        raise AssertionError("a graph needs no list of its cosine edges")
+
+    monkeypatch.setattr(Z, "similar_pairs", no_pairs)
+    monkeypatch.setattr(Z, "CHUNK", 8)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    x[7] = x[3]
+    df = spark.createDataFrame([("C", f"B{i}", 0, None, None, *map(float, v)) for i, v in enumerate(x)],
+                               "country string, brand_name string, months_postgx int, ther_area string, main_package string, a double, b double, c double")
+    g = O.build_graph(df, ["a", "b", "c"], ("therapeutic",), 0.7, normalize=False)
+    norm = np.linalg.norm(x, axis=1)
+    s = x @ x.T / (np.outer(norm, norm) + 1e-6)
+    w = np.where((s > 0.7) & ~np.eye(300, dtype=bool), s, 0.0)
+    got = {r["node"]: r["degree"] for r in O.degrees(g).collect()}
+    assert np.allclose([got[f"C|B{i}"] for i in range(300)], 1 + w.sum(1))
+    edges = {r["edge_type"]: r["n_edges"] for r in O.edge_summary(g).collect()}
+    assert edges["similar_erosion"] == (w > 0).sum() / 2
+
+
+def test_a_row_of_the_pair_index_meets_few_blocks(spark):
+    from panelspark.operators import similarity as Z
+    x = np.random.default_rng(4).normal(size=(3000, 16))
+    index, _ = Z.similar_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>"), "id", "v", 0.3)
+    assert index._meets(index.placed, ["rep"]).count() == 1
