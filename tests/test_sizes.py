@@ -47,3 +47,25 @@ def test_a_row_of_the_pair_index_meets_few_blocks(spark):
     x = np.random.default_rng(4).normal(size=(3000, 16))
     index, _ = Z.similar_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>"), "id", "v", 0.3)
     assert index._meets(index.placed, ["rep"]).count() == 1
+
+
+def test_a_mean_share_that_is_a_short_fraction_is_met(spark):
+    """(147 / 8) / (112 / 3) = 63 / 128, whose rounding to 6 digits hangs on the last digit of the double."""
+    from panelspark.operators import panel as P
+    months = [-10, -9, -8, -7, -6, -2, 5, 11, 13, 14, 16, 18, 19, 22]
+    volumes = [31.0, 44.0, 37.0, 37.0, 37.0, 38.0, 15.0, 30.0, 4.0, 12.0, 61.0, 6.0, 18.0, 1.0]
+    df = spark.createDataFrame([("X", "A", m, v, 112 / 3) for m, v in zip(months, volumes)], "country string, brand_name string, months_postgx int, volume double, avg_vol_12m double")
+    assert {r["mean_erosion"] for r in P.add_target(df).collect()} == {63 / 128}
+
+
+def test_queries_reach_leaves_in_small_steps(spark, monkeypatch):
+    """What a task holds of distances to leaves is bounded, however many queries a batch has."""
+    from panelspark.operators import similarity as Z
+    assert Z.REACHED * 8 <= 4 << 20
+    monkeypatch.setattr(Z, "REACHED", 8)
+    x = np.random.default_rng(8).normal(size=(1500, 3))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in Z.nearest(df.where("id < 40"), df.where("id >= 40"), "id", "v", 3).collect()}
+    near = np.lexsort((np.broadcast_to(np.arange(1460), (40, 1460)), np.round(1 - u[:40] @ u[40:].T, 9)), axis=1)[:, :3] + 40
+    assert all(got[q, k + 1] == near[q, k] for q in range(40) for k in range(3))
