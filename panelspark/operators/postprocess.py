@@ -190,10 +190,11 @@ def apply_isotonic_calibration(pred: DataFrame, blocks: DataFrame) -> DataFrame:
     same = rows.where("cuts IS NULL OR x IS NULL").select("row.*")
     rows = rows.where("cuts IS NOT NULL AND x IS NOT NULL").drop("cuts").withColumn("fit", F.lit(None).cast("double"))
     both = rows.unionByName(placed.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)))
-    at = Window.partitionBy(*keys, "segment").orderBy("x")
+    at, piece = (Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*keys, "segment")
     knot = F.when(F.col("row").isNull(), F.struct("x", "fit"))
-    both = both.withColumns({"left": F.last(knot, ignorenulls=True).over(at.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-                             "right": F.first(knot, ignorenulls=True).over(at.rangeBetween(Window.currentRow, Window.unboundedFollowing))})
+    # both sides run forward: Spark goes through a frame up to the end anew for every row
+    both = both.withColumn("left", F.last(knot, ignorenulls=True).over(piece.orderBy("x").rangeBetween(*at))).withColumn(
+        "right", F.last(knot, ignorenulls=True).over(piece.orderBy(F.col("x").desc()).rangeBetween(*at)))
     both = both.where(F.col("row").isNotNull()).join(near, [*keys, "segment"], "left")
     left, right, x = F.coalesce("left", "before"), F.coalesce("right", "after"), F.col("x")
     line = left["fit"] + (right["fit"] - left["fit"]) * F.try_divide(x - left["x"], right["x"] - left["x"])

@@ -69,3 +69,15 @@ def test_queries_reach_leaves_in_small_steps(spark, monkeypatch):
     got = {(r["query"], r["rank"]): r["neighbour"] for r in Z.nearest(df.where("id < 40"), df.where("id >= 40"), "id", "v", 3).collect()}
     near = np.lexsort((np.broadcast_to(np.arange(1460), (40, 1460)), np.round(1 - u[:40] @ u[40:].T, 9)), axis=1)[:, :3] + 40
     assert all(got[q, k + 1] == near[q, k] for q in range(40) for k in range(3))
+
+
+def test_isotonic_rows_find_their_blocks_in_one_pass(spark):
+    """A frame from the row to the end of its piece is gone through anew for every row, so its time grows with the square."""
+    from panelspark.operators import postprocess as K
+    x = np.random.default_rng(5).uniform(0, 100, 400)
+    val = spark.createDataFrame([("X", "A", i % 6, 1, 1, float(v), float(v + 9 * np.sin(v))) for i, v in enumerate(x)],
+                                "country string, brand_name string, months_postgx int, scenario int, bucket int, volume_pred double, volume_true double")
+    out = K.apply_isotonic_calibration(val.withColumn("volume", F.col("volume_pred")), K.fit_isotonic_calibration(val))
+    assert "RangeFrame, currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [r["volume"] for r in out.orderBy("volume_pred").collect()]
+    assert len(got) == 400 and got == sorted(got)
