@@ -81,3 +81,40 @@ def test_isotonic_rows_find_their_blocks_in_one_pass(spark):
     assert "RangeFrame, currentrow$(), unboundedfollowing$()" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = [r["volume"] for r in out.orderBy("volume_pred").collect()]
     assert len(got) == 400 and got == sorted(got)
+
+
+def from_files(df) -> bool:
+    return "LogicalRDD" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_panel_and_its_medians_do_not_repeat_the_joins(spark, raw):
+    """A series with two areas weighs in each by its rows there; the least of a month's competitor counts stays."""
+    from panelspark.operators import panel as P
+    assert from_files(P.build_panel(**raw))
+    rows = [("X", "A", "T1", -3, 10.0), ("X", "A", "T1", -2, 20.0), ("X", "A", "T2", -1, 60.0), ("X", "B", "T2", -1, None), ("X", "C", "T2", -1, 70.0), ("X", "C", "T2", 0, 1.0)]
+    df = spark.createDataFrame(rows, "country string, brand_name string, ther_area string, months_postgx int, volume double")
+    own = P._own_by_series(df, F.when(F.col("months_postgx") < 0, F.col("volume")), F.lit(None).cast("double"))
+    assert sorted((r["ther_area"], r["_own"], r["_rows"]) for r in own.where("_own IS NOT NULL").collect()) == [("T1", 30.0, 2), ("T2", 30.0, 1), ("T2", 70.0, 2)]
+    got = P.compute_pre_entry_stats(df, is_train=False).where("brand_name = 'B'").first()
+    assert got["avg_vol_12m"] == 70.0  # of 30, 70 and 70
+    twice = raw["generics"].unionByName(spark.createDataFrame([("X", "A", 3, 2)], raw["generics"].schema))
+    base = P.prepare_base_panel(raw["volume"], twice, raw["medicine_info"]).where("country = 'X' AND brand_name = 'A'")
+    assert {r["months_postgx"]: r["n_gxs"] for r in base.where("n_gxs IS NOT NULL").collect()} == {0: 1, 3: 2}
+
+
+def test_shipments_are_dealt_by_series_once(spark):
+    from panelspark.plans import fixtures as fx
+    sf, texts = "/root/testdata/sf0.001", fx.view_texts(fx.SPARK)
+    tables = {n: fx.table(spark, sf, n) for n in ("lineitem", "part", "supplier", "nation")}
+    shipped = spark.sql(texts["shipped_month"], **tables)
+    plan = spark.sql(texts["series_month"], supplied=spark.sql(texts["supplied"], shipped_month=shipped))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(nk") == plan.count("Exchange hashpartitioning") == 1
+
+
+def test_supply_medians_do_not_repeat_the_rollup(spark):
+    from panelspark.operators import features as E
+    panel = spark.sql("SELECT 'X' AS country, 'A' AS brand_name, id AS months_postgx, add_months(DATE'2020-01-01', CAST(id AS INT)) AS date FROM range(4)")
+    seen = spark.createDataFrame([("X", "A", "2020-01-01", 3.0), ("X", "A", "2020-02-01", 5.0)], "country string, brand_name string, period string, vis_fill_rate double")
+    out = E.add_visibility_features(panel, seen.withColumn("period", F.col("period").cast("date")), "date")
+    assert from_files(out)
+    assert [r["vis_fill_rate"] for r in out.orderBy("months_postgx").collect()] == [3.0, 5.0, 4.0, 4.0]
