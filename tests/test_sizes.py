@@ -49,6 +49,37 @@ def test_a_row_of_the_pair_index_meets_few_blocks(spark):
     assert index._meets(index.placed, ["rep"]).count() == 1
 
 
+def test_blocks_of_the_pair_index_are_not_shuffled_to_each_other(spark, monkeypatch):
+    """What two blocks give each other is computed where their files are read, so disk follows the rows and not the pairs of blocks."""
+    from panelspark.operators import similarity as Z
+    monkeypatch.setattr(Z, "CHUNK", 4)
+    x = np.random.default_rng(5).normal(size=(300, 6)).astype(np.float32)
+    x[9] = x[2]
+    x[10] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    index, _ = Z.similar_index(df, "id", "v", 0.3)
+    pairs = index.found()
+    assert index.boxes.agg(F.sum("parts")).first()[0] > 8
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    u = x.astype(float)
+    norm = np.linalg.norm(u, axis=1)
+    s = u @ u.T / (np.outer(norm, norm) + 1e-6)
+    want = {(i, j): s[i, j] for i in range(300) for j in range(i + 1, 300) if s[i, j] > 0.3 and 9 not in (i, j)}
+    found = [(r["src"], r["dst"], r["weight"]) for r in pairs.where("src IS NOT NULL").collect()]
+    got = {(a, b): w for a, b, w in found}
+    assert len(found) == len(got) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_blocks_hold_vectors_as_they_came(spark):
+    from panelspark.operators import similarity as Z
+    for kind in ("float", "double"):
+        index, _ = Z.similar_index(spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], f"id bigint, v array<{kind}>"), "id", "v", 0.3)
+        assert index.placed.schema["x"].dataType.elementType.typeName() == kind
+        assert index.found().where("src IS NOT NULL").count() == 1
+
+
 def test_a_mean_share_that_is_a_short_fraction_is_met(spark):
     """(147 / 8) / (112 / 3) = 63 / 128, whose rounding to 6 digits hangs on the last digit of the double."""
     from panelspark.operators import panel as P
