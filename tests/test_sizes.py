@@ -149,3 +149,33 @@ def test_supply_medians_do_not_repeat_the_rollup(spark):
     out = E.add_visibility_features(panel, seen.withColumn("period", F.col("period").cast("date")), "date")
     assert from_files(out)
     assert [r["vis_fill_rate"] for r in out.orderBy("months_postgx").collect()] == [3.0, 5.0, 4.0, 4.0]
+
+
+def test_nearest_rows_are_found_where_their_blocks_are_read(spark, monkeypatch):
+    """Queries travelled to every leaf in reach, so the disk grew with the product of queries and leaves; now only what is found is shuffled."""
+    from panelspark.operators import similarity as Z
+    for name, value in {"CHUNK": 40, "BALL": 8, "LEAVES": 12}.items():
+        monkeypatch.setattr(Z, name, value)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(900, 16)).astype(np.float32)
+    x[300:700] = x[300] + rng.normal(size=(400, 16)) * 1e-3  # one leaf holds most rows
+    x[710:730] = x[710]  # copies
+    ids = [f"s{i % 850:03d}" for i in range(900)]  # and some names twice
+    df = spark.createDataFrame([(i, name, v.tolist()) for i, (name, v) in enumerate(zip(ids, x))], "i int, id string, v array<float>")
+    missing = spark.createDataFrame([(1000, "none", None)], df.schema)
+    near = Z.nearest(df.where("i % 3 = 0").unionByName(missing), df.where("i % 3 > 0").unionByName(missing), "id", "v", 4)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and plan.count("Exchange hashpartitioning") == 1
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want: dict = {}
+    for q in range(0, 900, 3):
+        d = np.round(1 - u[q] @ u.T, 9)
+        want.setdefault(ids[q], []).extend((max(d[j], 0.0), ids[j]) for j in range(900) if j % 3)
+    got: dict = {}
+    for r in near.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["distance"], r["neighbour"]))
+    assert got.keys() == want.keys()
+    for q, rows in got.items():
+        best = sorted(want[q])[:4]
+        assert np.allclose([d for d, _ in rows], [d for d, _ in best], atol=2e-9)
+        assert all(n in {m for e, m in want[q] if abs(e - d) <= 2e-9} for d, n in rows)
