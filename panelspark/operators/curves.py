@@ -55,11 +55,19 @@ class HistoricalCurve:
             F.array(*[F.avg(F.col("raw")[i]) for i in range(dim)]).alias("m"),
             F.array(*[F.coalesce(F.stddev_pop(F.col("raw")[i]), F.lit(1.0)) for i in range(dim)]).alias("s")))
         self.vectors = stage(self._scaled(raw))
-        self.curves = stage(train.select(F.concat_ws("|", *SERIES).alias("neighbour"), MONTH, F.col(target).alias("_y")))
-        self.month_curve = stage(self.curves.groupBy(MONTH).agg(F.avg("_y").alias("_curve")))
-        self.mean = stage(self.curves.agg(F.avg("_y").alias("m")))
+        # a curve is one row, so that what meets a neighbour is no row per month
+        points = F.collect_list(F.struct(MONTH, F.col(target).alias("_y")))
+        self.curves = stage(train.groupBy(F.concat_ws("|", *SERIES).alias("neighbour")).agg(points.alias("_p")).select(
+            "neighbour", F.col(f"_p.{MONTH}").alias("_months"), F.col("_p._y").alias("_ys")))
+        self.month_curve = stage(self._by_month(self.curves).groupBy(MONTH).agg(F.avg("_y").alias("_curve")))
+        self.mean = stage(self._by_month(self.curves).agg(F.avg("_y").alias("m")))
         return self
 
+    @staticmethod
+    def _by_month(curves: DataFrame, *keep: str) -> DataFrame:
+        point = F.explode(F.arrays_zip("_months", "_ys")).alias("_p")
+        return curves.select(*keep, point).select(*keep, F.col("_p._months").alias(MONTH), F.col("_p._ys").alias("_y"))
+
     def _scaled(self, raw: DataFrame) -> DataFrame:
         pairs = F.arrays_zip("raw", "_p.m", "_p.s")
         scaled = F.transform(F.col("_z"), lambda x: (x["raw"] - x["m"]) / F.when(x["s"] == 0, 1.0).otherwise(x["s"]))
@@ -71,11 +79,15 @@ class HistoricalCurve:
     def predict(self, df: DataFrame) -> DataFrame:
         near = self.neighbours(df)
         weight = 1.0 / (F.col("distance") + 1e-6) if self.weights == "distance" else F.lit(1.0)
-        curve = (near.join(self.curves, "neighbour").groupBy(F.col("query").alias("_node"), MONTH)
-                 .agg(ratio(F.sum(weight * F.col("_y")), F.sum(weight)).alias("_own")))
+        # dealt by query once: its months are summed, put together and joined to its rows there
+        met = (near.join(self.curves, "neighbour").select(F.col("query").alias("_node"), weight.alias("_w"), "_months", "_ys")
+               .repartition("_node"))
+        own = (self._by_month(met, "_node", "_w").where(F.col(MONTH).isNotNull())
+               .groupBy("_node", F.col(MONTH).cast("double").alias("_m")).agg(ratio(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("_v"))
+               .groupBy("_node").agg(F.map_from_entries(F.collect_list(F.struct("_m", "_v"))).alias("_own")))
         rows = df.withColumn("_node", F.concat_ws("|", *SERIES))
-        return (rows.join(curve, ["_node", MONTH], "left").join(self.month_curve, MONTH, "left")
-                .withColumn("prediction", F.coalesce("_own", "_curve", one_row(self.mean)["m"]))
+        return (rows.join(own, "_node", "left").join(self.month_curve, MONTH, "left")
+                .withColumn("prediction", F.coalesce(F.col("_own")[F.col(MONTH).cast("double")], "_curve", one_row(self.mean)["m"]))
                 .drop("_node", "_own", "_curve"))
 
 

@@ -179,3 +179,37 @@ def test_nearest_rows_are_found_where_their_blocks_are_read(spark, monkeypatch):
         best = sorted(want[q])[:4]
         assert np.allclose([d for d, _ in rows], [d for d, _ in best], atol=2e-9)
         assert all(n in {m for e, m in want[q] if abs(e - d) <= 2e-9} for d, n in rows)
+
+
+def test_a_neighbours_curve_travels_as_one_row(spark):
+    """Joined as a row per neighbour and month, it was shuffled to the sums of each month."""
+    from panelspark.operators.curves import HistoricalCurve
+    rng = np.random.default_rng(12)
+    level = rng.normal(size=(30, 3))
+    rows = [(f"C{s % 2}", f"B{s}", m, *map(float, level[s]), None if (s, m) == (4, 1) else float(s + m / 10)) for s in range(30) for m in range(6) if (s + m) % 7]
+    rows += [("C0", "B0", None, *map(float, level[0]), 9.0), ("C1", "B21", None, *map(float, level[21]), 9.0), ("C1", "B21", 50, *map(float, level[21]), 9.0)]
+    df = spark.createDataFrame(rows, "country string, brand_name string, months_postgx int, a double, b double, c double, y_norm double")
+    number = F.substring("brand_name", 2, 9).cast("int")
+    model = HistoricalCurve(k=3, columns=["a", "b", "c"], categories=[]).fit(df.where(number < 20))
+    out = model.predict(df.where(number >= 20))
+    exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("months_postgx" in x.split("ENSURE")[0].split("REPARTITION")[0] for x in exchanges)
+    by_month: dict = {}
+    for _, b, m, *_, y in rows:
+        if int(b[1:]) < 20:
+            by_month.setdefault(m, []).append((int(b[1:]), y))
+    near: dict = {}
+    for r in model.neighbours(df.where(number >= 20)).collect():
+        near.setdefault(int(r["query"][4:]), {})[int(r["neighbour"][4:])] = 1 / (r["distance"] + 1e-6)
+    known = [y for x in by_month.values() for _, y in x if y is not None]
+    got = out.collect()
+    assert len(got) == sum(int(b[1:]) >= 20 for _, b, *_ in rows)
+    for r in got:
+        m, w = r["months_postgx"], near[int(r["brand_name"][1:])]
+        of = [(w[s], y) for s, y in by_month.get(m, []) if s in w] if m is not None else []
+        every = [y for _, y in by_month.get(m, []) if y is not None] if m is not None else []
+        if any(y is not None for _, y in of):  # a missing share weighs in the sum of the weights, as it did
+            want = sum(x * y for x, y in of if y is not None) / sum(x for x, _ in of)
+        else:
+            want = np.mean(every or known)
+        assert abs(r["prediction"] - want) < 1e-9, (r, want)
