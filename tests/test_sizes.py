@@ -213,3 +213,26 @@ def test_a_neighbours_curve_travels_as_one_row(spark):
         else:
             want = np.mean(every or known)
         assert abs(r["prediction"] - want) < 1e-9, (r, want)
+
+
+def test_supply_metrics_meet_the_features_on_their_series(spark, monkeypatch):
+    """The frame of all features was dealt anew by series and month, and written, for eight columns of metrics."""
+    from panelspark.operators import features as E
+    from panelspark.operators.panel import series_window
+    rows = [("X", "A", m, f"2020-0{m + 1}-15") for m in range(5)] + [("X", "A", 7, "2020-01-20"), ("X", "B", 0, "2020-01-01"), ("X", "B", 1, None), (None, "B", 0, "2020-01-01")]
+    panel = spark.createDataFrame(rows, "country string, brand_name string, months_postgx int, date string").withColumn("date", F.col("date").cast("date"))
+    wide = panel.withColumn("wide", F.count("*").over(series_window()))
+    seen = [("X", "A", "2020-01-01", 3.0, 1.0), ("X", "A", "2020-02-01", 5.0, None), ("X", "A", "2020-03-01", 7.0, None), ("X", "A", "2020-03-01", 8.0, None),
+            ("X", "A", "2021-01-01", 99.0, 9.0), ("X", "C", "2020-01-01", 99.0, 9.0), (None, "B", "2020-01-01", 99.0, 9.0)]
+    metrics = spark.createDataFrame(seen, "country string, brand_name string, period string, vis_fill_rate double, vis_avg_lead_time double").withColumn("period", F.col("period").cast("date"))
+    written = []
+    monkeypatch.setattr(E, "stage", lambda df, keep=E.stage: written.extend(df.columns) or keep(df))
+    out = E.add_visibility_features(wide, metrics)
+    assert written and "wide" not in written
+    exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("_period" in x for x in exchanges)
+    assert out.columns[:5] == wide.columns and set(out.columns[5:]) == set(E.VISIBILITY_COLUMNS)
+    # the joined rows bear 3, 3, 5, 7 and 8, so gaps get 5; a month that is known twice stands twice
+    got = sorted((str(r["country"]), r["brand_name"], r["months_postgx"], r["wide"], r["vis_fill_rate"], r["vis_avg_lead_time"], r["vis_avg_inventory"]) for r in out.collect())
+    assert got == [("None", "B", 0, 1, 5.0, 1.0, 0.0), ("X", "A", 0, 6, 3.0, 1.0, 0.0), ("X", "A", 1, 6, 5.0, 1.0, 0.0), ("X", "A", 2, 6, 7.0, 1.0, 0.0), ("X", "A", 2, 6, 8.0, 1.0, 0.0),
+                   ("X", "A", 3, 6, 5.0, 1.0, 0.0), ("X", "A", 4, 6, 5.0, 1.0, 0.0), ("X", "A", 7, 6, 3.0, 1.0, 0.0), ("X", "B", 0, 2, 5.0, 1.0, 0.0), ("X", "B", 1, 2, 5.0, 1.0, 0.0)]
